@@ -243,7 +243,7 @@ def archive_pointers(spark: SparkSession, sf: str, root: str) -> DataFrame:
         name = f"segment-{int(pages['page_id'].iloc[0]) // 32:06d}.warc.gz"
         store.create_dir(base, recursive=True)
         rows, at = [], 0
-        with store.open_output_stream(f"{base}/{name}") as out:
+        with store.open_output_stream(f"{base}/{name}", compression=None) as out:
             for page in pages.itertuples(index=False):
                 data = b""
                 for kind in ("request", "response"):

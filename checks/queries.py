@@ -250,8 +250,8 @@ def feed_json_scan(spark, sf):
 @query
 def gtin_check(spark, sf):
     f = catalog.normalize(A.feed(spark, sf))
-    number = scoring.digits(F.col("gtin"))
-    return f.select("row_id", number.alias("digits"), scoring.gtin_valid(number).alias("valid"))
+    f = f.select("row_id", scoring.digits(F.col("gtin")).alias("digits"))
+    return f.withColumn("valid", scoring.gtin_valid("digits"))
 
 
 @query
@@ -274,7 +274,7 @@ def catalog_enriched(spark, sf):
 
 @query
 def quarantine_split(spark, sf):
-    clean, held = catalog.split(_enriched(spark, sf))
+    clean, held = catalog.split(materialize(_enriched(spark, sf), "enriched"))
     return clean.select("row_id", F.lit("clean").alias("part")).unionByName(
         held.select("row_id", F.lit("quarantine").alias("part"))
     )
@@ -414,7 +414,7 @@ def record_locations(spark, sf):
 @query
 def archive_records(spark, sf):
     root = scratch_path(spark, "archive")
-    records, _ = archive.archive_records(_written(A.archive_pointers(spark, sf, root)), root)
+    records, _ = archive.archive_records(materialize(A.archive_pointers(spark, sf, root), "pointers"), root)
     return records.select(
         "page_id", "url", "target_uri", "status", F.md5("text").alias("text_md5"), F.length("text").alias("chars"), "charset_fallback"
     )
@@ -423,15 +423,10 @@ def archive_records(spark, sf):
 @query
 def archive_rejects(spark, sf):
     root = scratch_path(spark, "archive")
-    _, rejects = archive.archive_records(_written(A.archive_pointers(spark, sf, root)), root)
+    _, rejects = archive.archive_records(materialize(A.archive_pointers(spark, sf, root), "pointers"), root)
     return rejects.select("page_id", "error")
 
 
-def _written(df):
-    """Run a writing job once and read its rows back."""
-    return materialize(df, "pointers")
-
-
 # Functions, routing, extraction
 
 

@@ -45,10 +45,12 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "\\D", "")
 
 
-def gtin_valid(number: Column) -> Column:
-    """Whether a digit string is an EAN/GTIN of 8, 12, 13 or 14 digits with a right check digit."""
-    padded = F.lpad(number, 14, "0")
-    total = F.lit(0)
-    for pos in range(1, 15):
-        total = total + F.substring(padded, pos, 1).cast("int") * (3 if pos % 2 else 1)
-    return F.length(number).isin(8, 12, 13, 14) & (total % 10 == 0)
+def gtin_valid(number: str) -> Column:
+    """Whether the named column of digits is an EAN/GTIN of 8, 12, 13 or 14 digits with a
+    right check digit."""
+    # One SQL text: the sum is long, and the column is named once per digit.
+    padded = f"lpad({number}, 14, '0')"
+    total = " + ".join(
+        f"cast(substring({padded}, {i}, 1) AS int) * {3 if i % 2 else 1}" for i in range(1, 15)
+    )
+    return F.expr(f"length({number}) IN (8, 12, 13, 14) AND ({total}) % 10 = 0")

@@ -22,6 +22,7 @@ from sitemill.session import materialize
 
 MIN_BLOCK, MAX_BLOCK = 256, 4096
 LEVEL_EDGES = 200_000
+LOCAL_EDGES = 200_000
 
 
 def _tree(points: np.ndarray) -> list[tuple[int, int, float]]:
@@ -88,58 +89,85 @@ def block_edges(points: DataFrame, block_points: int | None = None) -> DataFrame
     return found.groupBy("lo", "hi").agg(F.min("w").alias("w"))
 
 
-def spanning_tree(points: DataFrame, block_points: int | None = None) -> DataFrame:
+def _local_tree(edges: pd.DataFrame) -> pd.DataFrame:
+    """The edges of ``cu, cv, lo, hi, w`` that join two components, shortest first."""
+    root: dict = {}
+
+    def find(c):
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    keep = []
+    edges = edges.sort_values(["w", "lo", "hi"], ignore_index=True)
+    for n, (u, v) in enumerate(zip(edges["cu"], edges["cv"], strict=True)):
+        a, b = find(u), find(v)
+        if a != b:
+            root[a] = b
+            keep.append(n)
+    return edges.loc[keep, ["lo", "hi", "w"]]
+
+
+def spanning_tree(
+    points: DataFrame, block_points: int | None = None, local_edges: int = LOCAL_EDGES
+) -> DataFrame:
     """Minimum spanning tree of ``id, vector`` points as ``lo, hi, w``, n - 1 edges.
 
     Rounds over the candidate edges: each component takes its least edge (by length, then
     ids, so choices cannot form a cycle), components that meet are merged, edges inside a
-    component are dropped. At least half of the components vanish per round.
+    component are dropped. At least half of the components vanish per round. Once no more
+    than ``local_edges`` remain, one task finishes them.
     """
     edges = materialize(block_edges(points, block_points), "candidates")
+    id_type = points.schema["id"].dataType.simpleString()
     live = edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), "lo", "hi", "w")
-    chosen = None
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("cv").alias("cu"), F.col("cu").alias("cv"), "lo", "hi", "w"))
-        least = one_per_key(both, ["cu"], [F.col("w"), F.col("lo"), F.col("hi")])
-        least = materialize(least, "least")
-        taken = least.select("lo", "hi", "w").distinct()
-        chosen = taken if chosen is None else chosen.unionByName(taken)
+    chosen = [edges.limit(0)]
+    while (left := live.count()) > 0:
+        if left <= local_edges:
+            rest = live.withColumn("g", F.lit(True)).groupBy("g")
+            rest = rest.applyInPandas(_local_tree, f"lo {id_type}, hi {id_type}, w double")
+            chosen.append(rest)
+            break
+        turned = live.select(F.col("cv").alias("cu"), F.col("cu").alias("cv"), "lo", "hi", "w")
+        order = [F.col("w"), F.col("lo"), F.col("hi")]
+        least = materialize(one_per_key(live.unionByName(turned), ["cu"], order), "least")
+        chosen.append(least.select("lo", "hi", "w").distinct())
         names = _merge_components(least.select(F.col("cu").alias("node"), F.col("cv").alias("to")))
         live = (
             live.join(names.select(F.col("node").alias("cu"), F.col("root").alias("ru")), "cu")
             .join(names.select(F.col("node").alias("cv"), F.col("root").alias("rv")), "cv")
             .filter("ru <> rv")
-            .select(F.col("ru").alias("cu"), F.col("rv").alias("cv"), "lo", "hi", "w")
+            .select(
+                F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"), "lo", "hi", "w"
+            )
         )
         # Of parallel edges between two components only the least can be taken.
-        live = live.withColumns({"cu": F.least("cu", "cv"), "cv": F.greatest("cu", "cv")})
-        live = materialize(one_per_key(live, ["cu", "cv"], [F.col("w"), F.col("lo"), F.col("hi")]), "live")
-    if chosen is None:
-        return edges
-    return chosen.distinct()
+        live = materialize(one_per_key(live, ["cu", "cv"], order), "live")
+    return reduce(DataFrame.unionByName, chosen)
 
 
 def _merge_components(links: DataFrame) -> DataFrame:
     """Root per node of a forest in which each node names the one its least edge leads to.
 
     Following the names ends in two nodes that name each other; the smaller is the root.
-    Pointers are doubled until all are roots.
+    Pointers are doubled, three times per written round, until all are roots.
     """
     a, b = links.alias("a"), links.alias("b")
-    back = a.join(b, (F.col("a.to") == F.col("b.node")), "left")
     mutual = (F.col("b.to") == F.col("a.node")) & (F.col("a.node") < F.col("a.to"))
-    names = back.select(
+    names = a.join(b, F.col("a.to") == F.col("b.node"), "left").select(
         F.col("a.node").alias("node"),
         F.when(mutual, F.col("a.node")).otherwise(F.col("a.to")).alias("root"),
     )
     while True:
+        for _ in range(3):
+            up = names.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+            names = names.join(up, F.col("root") == F.col("_n")).select(
+                "node", F.col("_r").alias("root"), (F.col("root") != F.col("_r")).alias("moved")
+            )
         names = materialize(names, "roots")
-        up = names.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        stepped = names.join(up, F.col("root") == F.col("_n")).select("node", F.col("root").alias("_old"), F.col("_r").alias("root"))
-        stepped = materialize(stepped, "stepped")
-        if stepped.filter("_old <> root").isEmpty():
-            return stepped.select("node", "root")
-        names = stepped.select("node", "root")
+        if names.filter("moved").isEmpty():
+            return names.select("node", "root")
 
 
 def _grow(edges: pd.DataFrame, min_size: int, first_cluster: int):
@@ -211,18 +239,20 @@ def _winners(ended: DataFrame) -> DataFrame:
         "cluster", F.col("parent").alias("up"), F.when(F.col("wins"), F.col("cluster")).alias("top")
     )
     while True:
+        for _ in range(3):
+            above = paths.select(
+                F.col("cluster").alias("_c"), F.col("up").alias("_up"), F.col("top").alias("_top")
+            )
+            # At the end of a path "up" names the last cluster, which has no row.
+            paths = paths.join(above, F.col("up") == F.col("_c"), "left").select(
+                "cluster",
+                F.coalesce("_up", "up").alias("up"),
+                F.coalesce("_top", "top").alias("top"),
+                F.col("_c").isNotNull().alias("moved"),
+            )
         paths = materialize(paths, "paths")
-        above = paths.select(
-            F.col("cluster").alias("_c"), F.col("up").alias("_up"), F.col("top").alias("_top")
-        )
-        stepped = paths.join(above, F.col("up") == F.col("_c"), "left")
-        if stepped.filter("_c IS NOT NULL").isEmpty():
+        if paths.filter("moved").isEmpty():
             return paths.select("cluster", "top")
-        paths = stepped.select(
-            "cluster",
-            F.coalesce("_up", F.when(F.col("_c").isNull(), F.col("up"))).alias("up"),
-            F.coalesce("_top", "top").alias("top"),
-        )
 
 
 def density(
@@ -230,6 +260,7 @@ def density(
     min_cluster_size: int = 2,
     block_points: int | None = None,
     level_edges: int = LEVEL_EDGES,
+    local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """Cluster label per point: ``id, label``; -1 is noise.
 
@@ -241,14 +272,20 @@ def density(
     these have; what it decides (merged components, ended clusters, the cluster a component
     enters) is written as rows and resolved by joins. Levels follow one another.
     """
-    tree = materialize(spanning_tree(points.select("id", "vector"), block_points), "tree")
+    tree = spanning_tree(points.select("id", "vector"), block_points, local_edges)
+    tree = materialize(tree, "tree")
     n_edges = tree.count()
     if n_edges == 0:
         return points.select("id", F.lit(-1).alias("label"))
     id_type = points.schema["id"].dataType.simpleString()
     n_levels = math.ceil(n_edges / level_edges)
-    ranged = tree.repartitionByRange(n_levels, "w", "lo", "hi")
-    ranged = materialize(ranged.withColumn("level", F.spark_partition_id()), "levels")
+    if n_levels > 1:
+        ranged = tree.repartitionByRange(n_levels, "w", "lo", "hi")
+        ranged = materialize(ranged.withColumn("level", F.spark_partition_id()), "levels")
+        # Partition numbers rise with edge length; there are about n / level_edges of them.
+        present = [r[0] for r in ranged.select("level").distinct().orderBy("level").collect()]
+    else:
+        ranged, present = tree.withColumn("level", F.lit(0)), [0]
 
     schema = (
         f"kind string, comp {id_type}, root {id_type}, size long, cluster long, parent long, "
@@ -274,14 +311,19 @@ def density(
         "mass": F.lit(0.0),
         "inner": F.lit(0.0),
     }
-    where = materialize(points.select("id", F.col("id").alias("comp")), "where")
+    # Component of each point, and the account of every component of more than one point.
+    where = points.select("id", F.col("id").alias("comp"))
     state = where.select("comp", *[c.alias(k) for k, c in fresh.items()]).limit(0)
     entries, ended = [], []
-    # Partition numbers rise with edge length; there are about n / level_edges of them.
-    present = ranged.select("level").distinct().orderBy("level").collect()
-    for (level,) in present:
-        edges = ranged.filter(F.col("level") == level).drop("level")
+    for level in present:
+        edges = ranged.filter(F.col("level") == level)
         for end, side in (("lo", "u"), ("hi", "v")):
+            if level == present[0]:
+                # Every point is still a component of its own.
+                edges = edges.withColumns(
+                    {side: F.col(end)} | {f"{side}_{k}": c for k, c in fresh.items()}
+                )
+                continue
             edges = edges.join(
                 where.select(F.col("id").alias(end), F.col("comp").alias(side)), end
             )
@@ -289,14 +331,19 @@ def density(
             edges = edges.join(known, side, "left").withColumns(
                 {f"{side}_{k}": F.coalesce(F.col(f"_{k}"), c) for k, c in fresh.items()}
             ).drop(*[f"_{k}" for k in fresh])
-        grown = edges.groupBy(F.lit(level)).applyInPandas(grow_level(level), schema)
+        grown = edges.groupBy("level").applyInPandas(grow_level(level), schema)
         grown = materialize(grown, "grown")
 
         entered = grown.filter("kind = 'entered'").select("comp", "cluster")
-        entries.append(where.join(entered, "comp").select("id", "cluster"))
+        if level == present[0]:
+            entries.append(entered.withColumnRenamed("comp", "id"))
+        else:
+            entries.append(where.join(entered, "comp").select("id", "cluster"))
         ended.append(grown.filter("kind = 'ended'").select("cluster", "parent", "wins"))
-        moved = grown.filter("kind = 'moved'").select(F.col("comp").alias("_c"), F.col("root").alias("_r"))
-        if len(present) > 1:
+        if level != present[-1]:
+            moved = grown.filter("kind = 'moved'").select(
+                F.col("comp").alias("_c"), F.col("root").alias("_r")
+            )
             where = where.join(moved, F.col("comp") == F.col("_c"), "left")
             where = materialize(where.select("id", F.coalesce("_r", "comp").alias("comp")), "where")
             changed = grown.filter("kind = 'comp'").select("comp", *fresh)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -15,6 +16,10 @@ from sitemill.functions.text import strip
 from sitemill.operators.ranking import one_per_key
 from sitemill.session import materialize
 
+LOCAL_EDGES = 200_000
+FIRST_BATCH = 4096
+HOT_PAIRS = 1_000_000
+
 
 def _edits(a: str, b: str) -> int:
     """Insertions and deletions that turn ``a`` into ``b``: both lengths less twice the
@@ -40,103 +45,203 @@ def sorted_tokens(label: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(label), r"(?U)[\s\x1c-\x1f]+")), " ")
 
 
-def similar_pairs(keys: DataFrame, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
-    """Pairs ``a, b, score`` of distinct keys whose similarity reaches ``threshold``.
+def _lengths(m: Column, n: Column, threshold: int) -> Column:
+    """Edits allowed between keys of lengths ``m <= n``."""
+    return F.floor((m + n) * (100 - threshold) / 100).cast("int")
 
-    ``keys`` has one string column ``key``, no repeats. With lengths ``m <= n`` at most
-    ``d = (1 - threshold)(m + n)`` edits are allowed, so of ``d + 1`` pieces of the shorter
-    key one occurs unchanged in the longer, shifted by what the edits permit. An equality
-    join on (lengths, piece number, piece) therefore finds every pair, and a bounded edit
-    distance check inside the join drops nearly all others before the exact score.
-    """
-    slack = 100 - threshold
-    sized = keys.select("key", F.length("key").alias("n"))
 
-    def allowed(m: Column, n: Column) -> Column:
-        return F.floor((m + n) * slack / 100).cast("int")
+def _sized(keys: DataFrame, name: str, threshold: int) -> DataFrame:
+    """Keys with every pair of lengths ``m <= n`` they can be the shorter or longer of."""
+    reach = (200 - threshold) / threshold
+    size = F.length("key")
+    m, n = F.col("m"), F.col("n")
+    if name == "a":
+        rows = keys.select("key", size.alias("m"), F.explode(F.sequence(size, F.floor(size * reach).cast("int"))).alias("n"))
+    else:
+        rows = keys.select("key", F.explode(F.sequence(F.ceil(size / reach).cast("int"), size)).alias("m"), size.alias("n"))
+    rows = rows.withColumn("d", _lengths(m, n, threshold)).filter((n - m <= F.col("d")) & (F.col("d") > 0))
+    return rows.select(F.col("key").alias(name), "m", "n", "d", F.lit("").alias("sig"), F.col("key").alias("rest"))
 
-    def bounds(m: Column, i: Column, d: Column) -> tuple[Column, Column]:
-        start = F.floor(i * m / (d + 1)).cast("int")
-        return start, F.floor((i + 1) * m / (d + 1)).cast("int") - start
 
-    # Other lengths that can match: n - m <= d bounds the longer by m (200 - t) / t.
-    reach = (200 - threshold) / threshold
-    m, n, d, i = (F.col(c) for c in ("m", "n", "d", "i"))
-    pieces = (
-        sized.select(F.col("key").alias("a"), F.col("n").alias("m"))
-        .withColumn("n", F.explode(F.sequence(m, F.floor(m * reach).cast("int"))))
-        .withColumn("d", allowed(m, n))
-        .filter((n - m <= d) & (d > 0))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), d)))
-    )
-    start, size = bounds(m, i, d)
-    pieces = pieces.select("a", "m", "n", "i", F.substring(F.col("a"), start + 1, size).alias("piece"))
-
-    windows = (
-        sized.select(F.col("key").alias("b"), "n")
-        .withColumn("m", F.explode(F.sequence(F.ceil(n / reach).cast("int"), n)))
-        .withColumn("d", allowed(m, n))
-        .filter((n - m <= d) & (d > 0))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), d)))
-    )
-    more = n - m
-    shift = F.col("shift")
-    windows = windows.withColumns({"start": start, "size": size}).withColumn(
-        "shift",
-        F.explode(
-            F.sequence(-F.floor((d - more) / 2).cast("int"), F.floor((d + more) / 2).cast("int"))
-        ),
-    )
-    at = F.col("start") + shift
-    windows = windows.filter((at >= 0) & (at + F.col("size") <= n)).select(
-        "b", "m", "n", "d", "i", F.substring(F.col("b"), at + 1, F.col("size")).alias("piece")
+def _cut(rows: DataFrame, name: str) -> DataFrame:
+    """Cut the rest of a shorter key into d + 1 pieces, or the rest of a longer one into the
+    windows where such a piece can have moved. The piece is added to ``sig`` and taken out."""
+    d, more = F.col("d"), F.col("n") - F.col("m")
+    # Pieces are laid out over the rest of the shorter key, on both sides.
+    size = F.length("rest") - (F.lit(0) if name == "a" else more)
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    start = F.floor(F.col("i") * size / (d + 1)).cast("int")
+    stop = F.floor((F.col("i") + 1) * size / (d + 1)).cast("int")
+    rows = rows.withColumns({"at": start, "len": stop - start})
+    if name == "b":
+        # The edits before a piece are split between both keys as all edits are.
+        back, ahead = F.floor((d - more) / 2).cast("int"), F.floor((d + more) / 2).cast("int")
+        rows = rows.withColumn("at", F.explode(F.sequence(F.col("at") - back, F.col("at") + ahead)))
+        rows = rows.filter((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.length("rest")))
+    at, length = F.col("at"), F.col("len")
+    piece = F.substring(F.col("rest"), at + 1, length)
+    return rows.select(
+        name,
+        "m",
+        "n",
+        "d",
+        F.concat_ws("\x01", "sig", F.col("i").cast("string"), piece).alias("sig"),
+        F.concat(F.substring(F.col("rest"), F.lit(1), at), F.substring(F.col("rest"), at + length + 1, F.length("rest"))).alias("rest"),
     )
 
-    # With substitutions the distance can only be smaller; -1 means above the bound.
-    near = F.expr("levenshtein(a, b, d) >= 0")
-    met = pieces.join(windows, ["m", "n", "i", "piece"]).filter(
-        ((m < n) | (F.col("a") < F.col("b"))) & near
-    )
-    pairs = met.select("a", "b").distinct().withColumn("edits", edits("a", "b"))
+
+def _meet(short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = False) -> DataFrame:
+    """Pairs ``a, b, d`` of keys that share a piece.
+
+    A bucket of one piece that would give more than ``hot`` pairs is not paired: its keys
+    must share one more piece outside the first, and are cut again, up to ``cuts`` times.
+    ``once`` drops the second form of a pair of equal lengths, when both sides are one set.
+    """
+    bucket = ["m", "n", "sig"]
+    met = []
+    for cut in range(cuts):
+        short, long = _cut(short, "a"), _cut(long, "b").distinct()
+        if cut == cuts - 1:
+            met.append(short.join(long.drop("d"), bucket))
+            break
+        sizes = short.groupBy(*bucket).agg(F.count("*").alias("ca")).join(
+            long.groupBy(*bucket).agg(F.count("*").alias("cb")), bucket
+        )
+        crowded = sizes.filter(F.col("ca") * F.col("cb") > hot).select(*bucket)
+        crowded = materialize(crowded, "crowded")
+        if crowded.isEmpty():
+            met.append(short.join(long.drop("d"), bucket))
+            break
+        met.append(
+            short.join(crowded, bucket, "left_anti").join(long.drop("d"), bucket)
+        )
+        short = short.join(crowded, bucket, "left_semi")
+        long = long.join(crowded, bucket, "left_semi")
+    other = (F.col("m") < F.col("n")) | (F.col("a") < F.col("b")) if once else F.col("a") != F.col("b")
+    near = F.expr("levenshtein(a, b, d) >= 0")  # with substitutions never more than the edits
+    return reduce(DataFrame.unionByName, [p.filter(other & near).select("a", "b") for p in met])
+
+
+def similar_pairs(
+    left: DataFrame,
+    right: DataFrame | None = None,
+    threshold: int = FUZZY_THRESHOLD,
+    hot: int = HOT_PAIRS,
+    cuts: int = 3,
+) -> DataFrame:
+    """Pairs ``a, b, score`` of distinct keys whose similarity reaches ``threshold``.
+
+    ``left`` and ``right`` have one string column ``key`` without repeats; without
+    ``right`` each unordered pair of ``left`` comes once, with ``a < b``.
+
+    With lengths ``m <= n`` at most ``d = (1 - threshold)(m + n)`` edits are allowed, so of
+    ``d + 1`` pieces of the shorter key one occurs unchanged in the longer, moved by no more
+    than the edits permit. An equality join on (lengths, piece) therefore finds every pair,
+    and a bounded edit distance inside the join drops nearly all others before the exact
+    score.
+    """
+    both = left if right is None else right
+    met = _meet(_sized(left, "a", threshold), _sized(both, "b", threshold), hot, cuts, right is None)
+    if right is None:
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    else:
+        turned = _meet(_sized(right, "a", threshold), _sized(left, "b", threshold), hot, cuts)
+        met = met.unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = met.distinct().withColumn("edits", edits("a", "b"))
     total = F.length("a") + F.length("b")
-    return pairs.filter(F.col("edits") * 100 <= total * slack).select(
+    return pairs.filter(F.col("edits") * 100 <= total * (100 - threshold)).select(
         "a", "b", ((1 - F.col("edits") / total) * 100).alias("score")
     )
 
 
-def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _local_dropped(edges: pd.DataFrame) -> pd.DataFrame:
+    """Keys dropped when going through ``early, late, pos`` (of late) in order."""
+    dropped: set = set()
+    for late, group in edges.sort_values("pos", kind="stable").groupby("late", sort=False):
+        if any(e not in dropped for e in group["early"]):
+            dropped.add(late)
+    return pd.DataFrame({"key": list(dropped)}, dtype=object)
+
+
+def first_independent(
+    nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES
+) -> DataFrame:
     """Nodes kept by going through all in order and dropping those with a kept neighbour.
 
-    ``nodes`` has ``key``; ``edges`` has ``early, late`` keys. Every round keeps the nodes
-    with no undecided earlier neighbour and drops their neighbours, all at once. The rest
-    is written to the shared folder each round to cut lineage.
+    ``nodes`` has ``key``; ``edges`` has ``early, late`` keys and ``pos`` of the late one.
+    Every round keeps the nodes with no undecided earlier neighbour and drops their
+    neighbours, all at once; the rest is written to the shared folder to cut lineage. Once
+    no more than ``local_edges`` remain, one task goes through them in order.
     """
-    kept = nodes.join(edges.select(F.col("late").alias("key")), "key", "left_anti")
-    kept = materialize(kept.select("key"), "kept")
-    result = kept
-    undecided = nodes.select("key").join(kept, "key", "left_anti")
-    edges = edges.select("early", "late")
-    while True:
-        dropped = edges.join(kept, edges.early == kept.key, "left_semi").select(
-            F.col("late").alias("key")
-        )
-        undecided = materialize(undecided.join(dropped, "key", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            return result
-        live = undecided.select("key")
-        edges = edges.join(live, edges.early == live.key, "left_semi").join(
-            live, F.col("late") == live.key, "left_semi"
+    undecided, edges = nodes.select("key"), edges.select("early", "late", "pos")
+    result = []
+    while (left := edges.count()) > local_edges:
+        kept = undecided.join(edges.select(F.col("late").alias("key")), "key", "left_anti")
+        kept = materialize(kept, "kept")
+        result.append(kept)
+        dropped = edges.join(kept, F.col("early") == F.col("key"), "left_semi")
+        decided = kept.unionByName(dropped.select(F.col("late").alias("key")))
+        undecided = materialize(undecided.join(decided, "key", "left_anti"), "undecided")
+        edges = edges.join(undecided, F.col("early") == F.col("key"), "left_semi").join(
+            undecided, F.col("late") == F.col("key"), "left_semi"
         )
         edges = materialize(edges, "edges")
-        kept = materialize(
-            undecided.join(edges.select(F.col("late").alias("key")), "key", "left_anti"), "kept"
+    if left:
+        rest = edges.withColumn("g", F.lit(True)).groupBy("g").applyInPandas(_local_dropped, "key string")
+        undecided = undecided.join(rest, "key", "left_anti")
+    return reduce(DataFrame.unionByName, [*result, undecided])
+
+
+def canonical_keys(
+    nodes: DataFrame,
+    threshold: int = FUZZY_THRESHOLD,
+    first_batch: int = FIRST_BATCH,
+    local_edges: int = LOCAL_EDGES,
+    hot: int = HOT_PAIRS,
+) -> DataFrame:
+    """The keys of ``key, pos`` that become canonical when all are read by ``pos``.
+
+    Keys are taken in batches, each about twice as long as the one before. Inside a batch
+    all similar pairs are needed; the canonical keys found are then compared with all later
+    keys, and those they match are settled. Most of a large group of similar labels is so
+    compared with its few canonical ones, never with each other.
+    """
+    rest, canon, size = nodes.select("key", "pos"), [], first_batch
+    while (left := rest.count()) > 0:
+        if left > size:
+            cutoff = rest.agg(F.percentile_approx("pos", size / left, 10_000)).first()[0]
+            batch = rest.filter(F.col("pos") <= cutoff)
+            later = rest.filter(F.col("pos") > cutoff)
+        else:
+            batch, later = rest, None
+        pairs = similar_pairs(batch.select("key"), None, threshold, hot)
+        pa = batch.select(F.col("key").alias("a"), F.col("pos").alias("pa"))
+        pb = batch.select(F.col("key").alias("b"), F.col("pos").alias("pb"))
+        a_first = F.col("pa") < F.col("pb")
+        edges = pairs.join(pa, "a").join(pb, "b").select(
+            F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"),
+            F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"),
+            F.greatest("pa", "pb").alias("pos"),
         )
-        result = result.unionByName(kept)
-        undecided = undecided.join(kept, "key", "left_anti")
+        edges = materialize(edges, "edges")
+        new = materialize(first_independent(batch, edges, local_edges).select("key"), "canonical")
+        canon.append(new)
+        if later is None:
+            break
+        matched = similar_pairs(new, later.select("key"), threshold, hot).select(F.col("b").alias("key"))
+        rest = materialize(later.join(matched, "key", "left_anti"), "rest")
+        size *= 2
+    return reduce(DataFrame.unionByName, canon) if canon else nodes.select("key")
 
 
 def canonicalize(
-    df: DataFrame, column: str, order_by: str, threshold: int = FUZZY_THRESHOLD
+    df: DataFrame,
+    column: str,
+    order_by: str,
+    threshold: int = FUZZY_THRESHOLD,
+    first_batch: int = FIRST_BATCH,
+    local_edges: int = LOCAL_EDGES,
+    hot: int = HOT_PAIRS,
 ) -> DataFrame:
     """Map every raw label to its canonical one: ``raw, canonical, score``.
 
@@ -159,31 +264,14 @@ def canonicalize(
         "key", F.col("first").alias("pos"), F.col("label").alias("canonical")
     )
     nodes = materialize(nodes, "nodes")
+    keys = canonical_keys(nodes, threshold, first_batch, local_edges, hot)
+    canon = materialize(nodes.join(keys, "key", "left_semi"), "canonical")
 
-    pairs = similar_pairs(nodes.select("key"), threshold)
-    pos = nodes.select("key", "pos")
-    edges = pairs.join(pos.select(F.col("key").alias("a"), F.col("pos").alias("pa")), "a").join(
-        pos.select(F.col("key").alias("b"), F.col("pos").alias("pb")), "b"
-    )
-    a_first = F.col("pa") < F.col("pb")
-    edges = materialize(
-        edges.select(
-            F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"),
-            F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"),
-            "score",
-        ),
-        "similar",
-    )
-
-    canon = nodes.join(first_independent(nodes, edges), "key", "left_semi")
-    canon = materialize(canon, "canonical")
-    neighbours = edges.select(
-        F.col("early").alias("key"), F.col("late").alias("other"), "score"
-    ).unionByName(edges.select(F.col("late").alias("key"), F.col("early").alias("other"), "score"))
-    options = neighbours.join(canon.withColumnRenamed("key", "other"), "other").select(
-        "key", "pos", "canonical", "score"
+    options = similar_pairs(canon.select("key"), nodes.select("key"), threshold, hot).select(
+        F.col("a").alias("other"), F.col("b").alias("key"), "score"
     )
-    own = canon.select("key", "pos", "canonical", F.lit(100.0).alias("score"))
+    options = options.join(canon.withColumnRenamed("key", "other"), "other").drop("other")
+    own = canon.select("key", F.lit(100.0).alias("score"), "pos", "canonical")
     choices = raws.select("raw", "key", "last").join(options.unionByName(own), "key")
     choices = choices.filter("pos <= last")
     return one_per_key(choices, ["raw"], [F.col("score").desc(), F.col("pos")]).select(

@@ -41,26 +41,12 @@ def first_contained(
     widths = [r["_len"] for r in lengths.collect()]
     if not widths:
         return df.withColumn(out, F.lit(None).cast("string"))
-    grams = texts.select(
-        "_text",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.array(
-                        *[
-                            F.when(
-                                F.length("_text") >= n,
-                                F.transform(
-                                    F.sequence(F.lit(1), F.length("_text") - (n - 1)),
-                                    lambda i, n=n: F.substring(F.col("_text"), i, F.lit(n)),
-                                ),
-                            ).otherwise(F.array().cast("array<string>"))
-                            for n in widths
-                        ]
-                    )
-                )
-            )
-        ).alias("_gram"),
+    last = F.length("_text")
+    grams = (
+        texts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)))))
+        .withColumn("_len", F.explode(F.array(*[F.lit(n) for n in widths])))
+        .filter(F.col("_at") + F.col("_len") - 1 <= last)
+        .select("_text", F.substring(F.col("_text"), F.col("_at"), F.col("_len")).alias("_gram"))
     )
     hits = grams.join(dictionary, F.col("_gram") == needle)
     best = one_per_key(hits, ["_text"], [F.col("rank")]).select(

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +17,39 @@ from sitemill.session import materialize
 
 TEXT_FIELDS = ("sku", "gtin", "brand", "title", "category", "parent_sku")
 
-# A rule reads columns of the feed and returns a struct<value string, confidence double,
-# message string>. ``RULES`` entries are (rule id, field, function of the frame).
-Rule = Callable[[DataFrame], Column]
+
+@dataclass(frozen=True)
+class Guess:
+    """What a rule says about a row: columns over the feed and the rule's facts."""
+
+    value: Column
+    confidence: Column
+    message: Column
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A catalog rule that predicts the field it is named after.
+
+    ``facts`` are intermediate columns, computed once in stages (a stage may use the one
+    before); ``guess`` reads them. Keeping them as columns stops long expressions from
+    being repeated in every place that uses a prediction.
+    """
+
+    rule_id: str
+    facts: Callable[[DataFrame], list[dict[str, Column]]]
+    guess: Callable[[], Guess]
+
+
+def _choose(*options: tuple[Column, Column, float, str], missing: tuple[float, str]) -> Guess:
+    """The first option whose condition holds: (condition, value, confidence, message)."""
+    value = F.lit(None).cast("string")
+    confidence, message = F.lit(float(missing[0])), F.lit(missing[1])
+    for holds, v, c, m in reversed(options):
+        value = F.when(holds, v.cast("string")).otherwise(value)
+        confidence = F.when(holds, F.lit(float(c))).otherwise(confidence)
+        message = F.when(holds, F.lit(m)).otherwise(message)
+    return Guess(value, confidence, message)
 
 
 def profile(df: DataFrame, max_columns: int = K.PROFILE_COLUMNS) -> DataFrame:
@@ -50,28 +83,6 @@ def _field(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
-def _guess(value: Column, confidence: float, message: str) -> Column:
-    return F.struct(
-        value.cast("string").alias("value"),
-        F.lit(float(confidence)).alias("confidence"),
-        F.lit(message).alias("message"),
-    )
-
-
-def _none(confidence: float, message: str) -> Column:
-    return _guess(F.lit(None), confidence, message)
-
-
-def gtin_rule(df: DataFrame) -> Column:
-    raw = F.coalesce(blank_to_null(_field(df, "gtin")), blank_to_null(_field(df, "ean")), F.lit(""))
-    number = digits(raw)
-    return (
-        F.when(number == "", _none(0.0, "missing gtin"))
-        .when(gtin_valid(number), _guess(number, 1.0, "valid ean/gtin"))
-        .otherwise(_guess(number, 0.2, "invalid checksum"))
-    )
-
-
 def _first_contained(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     """Value of the first needle, in dictionary order, that ``text`` contains."""
     hit = F.lit(None).cast("string")
@@ -80,28 +91,49 @@ def _first_contained(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return hit
 
 
+def gtin_rule() -> Rule:
+    def facts(df: DataFrame) -> list[dict[str, Column]]:
+        raw = F.coalesce(blank_to_null(_field(df, "gtin")), blank_to_null(_field(df, "ean")), F.lit(""))
+        return [{"_digits": digits(raw)}, {"_gtin_ok": gtin_valid("_digits")}]
+
+    def guess() -> Guess:
+        number = F.col("_digits")
+        return _choose(
+            (number == "", F.lit(None), 0.0, "missing gtin"),
+            (F.col("_gtin_ok"), number, 1.0, "valid ean/gtin"),
+            (F.lit(True), number, 0.2, "invalid checksum"),
+            missing=(0.0, "missing gtin"),
+        )
+
+    return Rule("gtin", facts, guess)
+
+
 def brand_rule(aliases: dict[str, str]) -> Rule:
-    def rule(df: DataFrame) -> Column:
-        brand = strip(F.coalesce(_field(df, "brand"), F.lit("")))
+    def facts(df: DataFrame) -> list[dict[str, Column]]:
         title = F.lower(F.coalesce(_field(df, "title"), F.lit("")))
-        key = F.lower(brand)
+        key = F.lower("_brand")
         alias = F.lit(None).cast("string")
         for needle, canonical in aliases.items():
             alias = F.when(key == needle, F.lit(canonical)).otherwise(alias)
-        in_title = _first_contained(title, list(aliases.items()))
-        return (
-            F.when((brand != "") & alias.isNotNull(), _guess(alias, 0.95, "alias map"))
-            .when(brand != "", _guess(brand, 0.85, "supplier brand kept"))
-            .when(in_title.isNotNull(), _guess(in_title, 0.75, "found in title"))
-            .otherwise(_none(0.0, "brand unknown"))
+        return [
+            {"_brand": strip(F.coalesce(_field(df, "brand"), F.lit("")))},
+            {"_alias": alias, "_brand_seen": _first_contained(title, list(aliases.items()))},
+        ]
+
+    def guess() -> Guess:
+        brand, alias, seen = F.col("_brand"), F.col("_alias"), F.col("_brand_seen")
+        return _choose(
+            ((brand != "") & alias.isNotNull(), alias, 0.95, "alias map"),
+            (brand != "", brand, 0.85, "supplier brand kept"),
+            (seen.isNotNull(), seen, 0.75, "found in title"),
+            missing=(0.0, "brand unknown"),
         )
 
-    return rule
+    return Rule("brand", facts, guess)
 
 
 def color_rule(words: Sequence[tuple[str, str]]) -> Rule:
-    def rule(df: DataFrame) -> Column:
-        given = blank_to_null(_field(df, "color"))
+    def facts(df: DataFrame) -> list[dict[str, Column]]:
         text = F.concat(
             F.coalesce(_field(df, "title"), F.lit("")),
             F.lit(" "),
@@ -109,128 +141,165 @@ def color_rule(words: Sequence[tuple[str, str]]) -> Rule:
         )
         label = F.lit(None).cast("string")
         for pattern, name in reversed(list(words)):
-            label = F.when(text.rlike(rf"(?iU)\b({pattern})\b"), F.lit(name)).otherwise(label)
-        return (
-            F.when(given.isNotNull(), _guess(strip(given), 0.9, "already set"))
-            .when(label.isNotNull(), _guess(label, 0.8, "regex match"))
-            .otherwise(_none(0.0, "color not found"))
+            label = F.when(F.col("_text").rlike(rf"(?iU)\b({pattern})\b"), F.lit(name)).otherwise(label)
+        return [{"_text": text, "_color": blank_to_null(_field(df, "color"))}, {"_hue": label}]
+
+    def guess() -> Guess:
+        given, hue = F.col("_color"), F.col("_hue")
+        return _choose(
+            (given.isNotNull(), strip(given), 0.9, "already set"),
+            (hue.isNotNull(), hue, 0.8, "regex match"),
+            missing=(0.0, "color not found"),
         )
 
-    return rule
+    return Rule("color", facts, guess)
 
 
 def category_rule(keywords: Sequence[tuple[str, str]]) -> Rule:
-    def rule(df: DataFrame) -> Column:
-        given = blank_to_null(_field(df, "category"))
+    def facts(df: DataFrame) -> list[dict[str, Column]]:
         title = F.lower(F.coalesce(_field(df, "title"), F.lit("")))
-        found = _first_contained(title, keywords)
-        return (
-            F.when(given.isNotNull(), _guess(strip(given), 0.9, "supplier category"))
-            .when(found.isNotNull(), _guess(found, 0.7, "keyword map"))
-            .otherwise(_none(0.0, "category unknown"))
+        return [
+            {
+                "_category": blank_to_null(_field(df, "category")),
+                "_category_seen": _first_contained(title, keywords),
+            }
+        ]
+
+    def guess() -> Guess:
+        given, seen = F.col("_category"), F.col("_category_seen")
+        return _choose(
+            (given.isNotNull(), strip(given), 0.9, "supplier category"),
+            (seen.isNotNull(), seen, 0.7, "keyword map"),
+            missing=(0.0, "category unknown"),
         )
 
-    return rule
+    return Rule("category", facts, guess)
 
 
-def price_rule(df: DataFrame) -> Column:
-    raw = blank_to_null(_field(df, "price"))
-    price = raw.try_cast("double")
-    return (
-        F.when(raw.isNull(), _none(0.0, "missing price"))
-        .when(price.isNull(), _none(0.1, "not a number"))
-        .when(price <= 0, _guess(price, 0.1, "price must be > 0"))
-        .when(price > K.PRICE_CEILING, _guess(price, 0.4, "suspiciously high"))
-        .otherwise(_guess(price, 0.95, "price ok"))
-    )
+def price_rule() -> Rule:
+    def facts(df: DataFrame) -> list[dict[str, Column]]:
+        raw = blank_to_null(_field(df, "price"))
+        return [{"_price_text": raw}, {"_price": F.col("_price_text").try_cast("double")}]
+
+    def guess() -> Guess:
+        price = F.col("_price")
+        return _choose(
+            (F.col("_price_text").isNull(), F.lit(None), 0.0, "missing price"),
+            (price.isNull(), F.lit(None), 0.1, "not a number"),
+            (price <= 0, price, 0.1, "price must be > 0"),
+            (price > K.PRICE_CEILING, price, 0.4, "suspiciously high"),
+            (F.lit(True), price, 0.95, "price ok"),
+            missing=(0.0, "missing price"),
+        )
+
+    return Rule("price", facts, guess)
 
 
 def rule_pack(
     aliases: dict[str, str] = K.BRAND_ALIASES,
     colors: Sequence[tuple[str, str]] = K.COLOR_WORDS,
     keywords: Sequence[tuple[str, str]] = K.CATEGORY_KEYWORDS,
-) -> list[tuple[str, Rule]]:
-    """The five rules in order; the id of a rule is also the field it predicts.
+) -> list[Rule]:
+    """The five rules in order.
 
     The dictionaries are literals of the plan, meant for word lists of a few hundred
     entries; ``operators.lookup`` joins larger ones.
     """
-    return [
-        ("gtin", gtin_rule),
-        ("brand", brand_rule(aliases)),
-        ("color", color_rule(colors)),
-        ("category", category_rule(keywords)),
-        ("price", price_rule),
-    ]
+    return [gtin_rule(), brand_rule(aliases), color_rule(colors), category_rule(keywords), price_rule()]
+
+
+def _guessed(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``_v_<rule>, _c_<rule>, _m_<rule>`` (value, confidence, message) per rule."""
+    staged = [r.facts(df) for r in rules]
+    out, made = df, []
+    for n in range(max(len(s) for s in staged)):
+        stage = {k: c for s in staged if n < len(s) for k, c in s[n].items()}
+        out = out.withColumns(stage)
+        made += stage
+    guesses = {}
+    for r in rules:
+        g = r.guess()
+        guesses |= {f"_v_{r.rule_id}": g.value, f"_c_{r.rule_id}": g.confidence, f"_m_{r.rule_id}": g.message}
+    return out.withColumns(guesses).drop(*made)
+
+
+def _prediction(rule: Rule) -> Column:
+    r = rule.rule_id
+    return F.struct(
+        F.lit(r).alias("rule_id"),
+        F.lit(r).alias("field"),
+        F.col(f"_v_{r}").alias("value"),
+        F.col(f"_c_{r}").alias("confidence"),
+        F.col(f"_m_{r}").alias("message"),
+    )
 
 
-def predict(df: DataFrame, rules: list[tuple[str, Rule]] | None = None) -> DataFrame:
+def predict(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Add ``predictions``: array<struct<rule_id, field, value, confidence, message>>."""
     rules = rules or rule_pack()
-    entries = []
-    for rule_id, rule in rules:
-        p = rule(df)
-        entries.append(
-            F.struct(
-                F.lit(rule_id).alias("rule_id"),
-                F.lit(rule_id).alias("field"),
-                p["value"].alias("value"),
-                p["confidence"].alias("confidence"),
-                p["message"].alias("message"),
-            )
-        )
-    return df.withColumn("predictions", F.array(*entries))
+    out = _guessed(df, rules).withColumn("predictions", F.array(*[_prediction(r) for r in rules]))
+    return out.select(*[c for c in df.columns if c != "predictions"], "predictions")
 
 
 def enrich(
-    df: DataFrame,
-    rules: list[tuple[str, Rule]] | None = None,
-    floor: float = K.CONFIDENCE_FLOOR,
+    df: DataFrame, rules: list[Rule] | None = None, floor: float = K.CONFIDENCE_FLOOR
 ) -> DataFrame:
     """Merge sure predictions into empty fields and flag rows to hold back.
 
     Adds ``predictions``, ``low_conf`` and ``quarantine``. Row-local: no shuffle.
     """
     rules = rules or rule_pack()
-    out = predict(df, rules)
+    flags: dict[str, Column] = {}
     merged: dict[str, Column] = {}
-    held = F.lit(False)
-    notes = []
-    for i, (field, _) in enumerate(rules):
-        p = F.col("predictions")[i]
-        ok = p["value"].isNotNull() & (p["confidence"] > 0)
-        unsure = ok & (p["confidence"] < floor)
-        if field in df.columns:
-            own = F.col(field)
+    for rule in rules:
+        r = rule.rule_id
+        value, confidence = F.col(f"_v_{r}"), F.col(f"_c_{r}")
+        ok = value.isNotNull() & (confidence > 0)
+        sure = ok & (confidence >= floor)
+        if r in df.columns:
+            own, own_type = F.col(r), df.schema[r].dataType.simpleString()
             empty = own.isNull() | (own.cast("string") == "")
             # Numbers are compared as numbers: their text form differs between engines.
-            own_type = df.schema[field].dataType.simpleString()
-            differs = own != p["value"].try_cast(own_type)
-            merged[field] = F.when(ok & ~unsure & empty, p["value"].try_cast(own_type)).otherwise(own)
+            typed = value.try_cast(own_type)
+            clash = sure & ~empty & (own != typed)
+            merged[r] = F.when(sure & empty, typed).otherwise(own)
         else:
-            empty, differs = F.lit(True), F.lit(False)
-            merged[field] = F.when(ok & ~unsure, p["value"])
-        clash = ok & ~unsure & ~empty & differs
-        hold = F.coalesce(unsure | clash, F.lit(False))
-        note = hold | (~ok & (p["confidence"] == 0) & (p["message"] != ""))
-        held = held | hold
-        notes.append(F.when(note, p))
-    out = out.withColumns({"low_conf": F.array_compact(F.array(*notes)), "_held": held})
-    out = out.withColumns(merged)
+            clash = F.lit(False)
+            merged[r] = F.when(sure, value)
+        flags[f"_hold_{r}"] = F.coalesce((ok & ~sure) | clash, F.lit(False))
+        flags[f"_note_{r}"] = ~ok & (confidence == 0) & (F.col(f"_m_{r}") != "")
+
+    out = _guessed(df, rules).withColumns(flags)
+    held = reduce(or_, [F.col(f"_hold_{r.rule_id}") for r in rules])
+    notes = [
+        F.when(F.col(f"_hold_{r.rule_id}") | F.col(f"_note_{r.rule_id}"), _prediction(r)) for r in rules
+    ]
+    out = out.withColumns(
+        merged
+        | {
+            "predictions": F.array(*[_prediction(r) for r in rules]),
+            "low_conf": F.array_compact(F.array(*notes)),
+            "_held": held,
+        }
+    )
     no_category = blank_to_null(F.col("category")).isNull() if "category" in merged else F.lit(True)
-    return out.withColumn("quarantine", F.col("_held") | no_category).drop("_held")
+    added = [r.rule_id for r in rules if r.rule_id not in df.columns]
+    return out.select(
+        *df.columns, *added, "predictions", "low_conf", (F.col("_held") | no_category).alias("quarantine")
+    )
 
 
 def prediction_rows(enriched: DataFrame, key: str = "sku") -> DataFrame:
-    return enriched.select(key, F.inline("predictions"))
+    # Outer: otherwise Spark derives a filter on the array and computes all rules in it again.
+    return enriched.select(key, F.inline_outer("predictions"))
 
 
-def rule_hits(enriched: DataFrame, rules: list[tuple[str, Rule]] | None = None) -> DataFrame:
+def rule_hits(enriched: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Rows per rule with a usable prediction, counted even below the floor.
 
     One aggregate of conditional counts; no row is exploded.
     """
-    ids = [rule_id for rule_id, _ in rules or rule_pack()]
+    ids = [r.rule_id for r in rules or rule_pack()]
 
     def usable(i: int) -> Column:
         p = F.col("predictions")[i]
@@ -243,8 +312,8 @@ def rule_hits(enriched: DataFrame, rules: list[tuple[str, Rule]] | None = None)
     return counts.select(F.inline(F.array(*pairs))).filter("hits > 0")
 
 
-def issue_array(df: DataFrame) -> Column:
-    """Validator findings of a row: array<struct<field, severity, message, raw_value>>."""
+def _with_issues(df: DataFrame) -> DataFrame:
+    """Add ``_issues``, the findings of a row: array<struct<field, severity, message, raw_value>>."""
     have = set(df.columns)
 
     def issue(when: Column, field: str, severity: str, message: str, raw: Column) -> Column:
@@ -262,8 +331,9 @@ def issue_array(df: DataFrame) -> Column:
     found = []
     if "gtin" in have:
         gtin = blank_to_null(F.col("gtin").cast("string"))
-        wrong = ~gtin_valid(digits(gtin))
-        found.append(issue(wrong, "gtin", "error", "Invalid GTIN/EAN checksum", gtin))
+        df = df.withColumn("_gtin", digits(gtin))
+        df = df.withColumn("_gtin", ~gtin_valid("_gtin"))
+        found.append(issue(F.col("_gtin"), "gtin", "error", "Invalid GTIN/EAN checksum", gtin))
     price = F.col("price") if "price" in have else F.lit(None).cast("double")
     found.append(issue(price.isNull(), "price", "warning", "Missing price", nothing))
     found.append(issue(price <= 0, "price", "error", "Price must be > 0", price))
@@ -272,13 +342,14 @@ def issue_array(df: DataFrame) -> Column:
         found.append(issue(stock < 0, "stock", "error", "Stock cannot be negative", stock))
     no_sku = F.coalesce(_field(df, "sku"), F.lit("")) == ""
     found.append(issue(no_sku, "sku", "error", "SKU is required", nothing))
-    return F.array_compact(F.array(*found))
+    return df.withColumn("_issues", F.array_compact(F.array(*found))).drop("_gtin")
 
 
 def issues(df: DataFrame) -> DataFrame:
     """Validator findings, one row each: ``sku, field, severity, message, raw_value``."""
     sku = F.coalesce(_field(df, "sku"), F.lit(""))
-    return df.select(sku.alias("sku"), F.inline(issue_array(df)))
+    rows = _with_issues(df).select(sku.alias("sku"), F.inline_outer("_issues"))
+    return rows.filter("field IS NOT NULL")
 
 
 def rollup(enriched: DataFrame) -> DataFrame:
@@ -289,7 +360,7 @@ def rollup(enriched: DataFrame) -> DataFrame:
         n = F.size(F.filter(F.col("_issues"), lambda i: i["severity"] == severity))
         return F.coalesce(F.sum(F.when(~held, n)), F.lit(0))
 
-    return enriched.withColumn("_issues", issue_array(enriched)).agg(
+    return _with_issues(enriched).agg(
         F.count("*").alias("row_count"),
         F.count_if(~held).alias("clean_count"),
         F.count_if(held).alias("quarantine_count"),
@@ -313,7 +384,11 @@ def gate(rollup_row: DataFrame) -> DataFrame:
 
 
 def split(enriched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean and quarantined rows; their counts add up to the input."""
+    """Clean and quarantined rows of a stored frame; their counts add up to the input.
+
+    Give it a materialized frame: both parts are then filters pushed into one table, and
+    the rules are not run again for each.
+    """
     plain = enriched.drop("predictions", "low_conf")
     return (
         plain.filter("NOT quarantine").drop("quarantine"),
@@ -329,7 +404,7 @@ def staging(enriched: DataFrame, import_run_id: int) -> DataFrame:
     """
     errors = F.exists(F.col("_issues"), lambda i: i["severity"] == "error")
     data = [F.col(c) for c in enriched.columns if c not in ("predictions", "low_conf", "quarantine")]
-    return enriched.withColumn("_issues", issue_array(enriched)).select(
+    return _with_issues(enriched).select(
         F.lit(import_run_id).alias("import_run_id"),
         *data,
         F.sha2(F.to_json(F.struct(*data)), 256).alias("row_hash"),
@@ -349,7 +424,7 @@ def run(
     out: str,
     source_path: str,
     import_run_id: int = 1,
-    rules: list[tuple[str, Rule]] | None = None,
+    rules: list[Rule] | None = None,
     floor: float = K.CONFIDENCE_FLOOR,
 ) -> dict:
     """Normalise, enrich, validate and export one feed.

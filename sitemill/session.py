@@ -78,5 +78,5 @@ def fits_broadcast(df: DataFrame) -> bool:
     threshold = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     )
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return 0 <= size <= threshold

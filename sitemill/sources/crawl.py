@@ -65,7 +65,9 @@ def shards(
     if max_shards is not None and max_shards > 0:
         ordered = ordered.limit(max_shards)
     path = F.ltrim(F.col("path"), F.lit("/"))
-    return ordered.select(path if base is None else F.concat(F.lit(f"{base}/"), path).alias("path"))
+    if base is not None:
+        path = F.concat(F.lit(f"{base}/"), path)
+    return ordered.select(path.alias("path"))
 
 
 def shard_paths(listed: DataFrame) -> list[str]:
