@@ -74,9 +74,6 @@ def fits_broadcast(df: DataFrame) -> bool:
     Estimates never shrink through filters or aggregates without statistics, so
     a true answer is a safe one.
     """
-    spark = df.sparkSession
-    threshold = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    )
+    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return 0 <= size <= threshold
