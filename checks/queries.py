@@ -251,7 +251,8 @@ def feed_json_scan(spark, sf):
 def gtin_check(spark, sf):
     f = catalog.normalize(A.feed(spark, sf))
     f = f.select("row_id", scoring.digits(F.col("gtin")).alias("digits"))
-    return f.withColumn("valid", scoring.gtin_valid("digits"))
+    f = f.withColumn("number", F.col("digits").try_cast("bigint"))
+    return f.withColumn("valid", scoring.gtin_valid("digits", "number")).drop("number")
 
 
 @query

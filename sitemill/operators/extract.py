@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions.text import blank_to_null
+from sitemill.session import spread
 
 Parser = Callable[[str, str], list[dict]]
 
@@ -152,7 +153,7 @@ def extract_records(
             yield pd.DataFrame(out, columns=names)
 
     schema = f"page_id {id_type}, extractor_id string, ord int, {RECORD}, attrs map<string,string>, record_size int, error string"
-    rows = pages.mapInPandas(run, schema)
+    rows = spread(pages).mapInPandas(run, schema)
     errors = rows.filter("error IS NOT NULL").select("page_id", "extractor_id", "error")
     return rows.filter("error IS NULL").drop("error"), errors
 

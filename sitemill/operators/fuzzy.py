@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from sitemill.constants import FUZZY_THRESHOLD
 from sitemill.functions.text import strip
 from sitemill.operators.ranking import one_per_key
-from sitemill.session import materialize
+from sitemill.session import materialize, spread
 
 LOCAL_EDGES = 200_000
 FIRST_BATCH = 4096
@@ -90,7 +90,9 @@ def _cut(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _meet(short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = False) -> DataFrame:
+def _meet(
+    short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = False
+) -> DataFrame:
     """Pairs ``a, b, d`` of keys that share a piece.
 
     A bucket of one piece that would give more than ``hot`` pairs is not paired: its keys
@@ -99,10 +101,14 @@ def _meet(short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = F
     """
     bucket = ["m", "n", "sig"]
     met = []
+
+    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+        return spread(a, *bucket).join(spread(b.drop("d"), *bucket), bucket)
+
     for cut in range(cuts):
         short, long = _cut(short, "a"), _cut(long, "b").distinct()
         if cut == cuts - 1:
-            met.append(short.join(long.drop("d"), bucket))
+            met.append(paired(short, long))
             break
         sizes = short.groupBy(*bucket).agg(F.count("*").alias("ca")).join(
             long.groupBy(*bucket).agg(F.count("*").alias("cb")), bucket
@@ -110,11 +116,9 @@ def _meet(short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = F
         crowded = sizes.filter(F.col("ca") * F.col("cb") > hot).select(*bucket)
         crowded = materialize(crowded, "crowded")
         if crowded.isEmpty():
-            met.append(short.join(long.drop("d"), bucket))
+            met.append(paired(short, long))
             break
-        met.append(
-            short.join(crowded, bucket, "left_anti").join(long.drop("d"), bucket)
-        )
+        met.append(paired(short.join(crowded, bucket, "left_anti"), long))
         short = short.join(crowded, bucket, "left_semi")
         long = long.join(crowded, bucket, "left_semi")
     other = (F.col("m") < F.col("n")) | (F.col("a") < F.col("b")) if once else F.col("a") != F.col("b")
@@ -122,6 +126,10 @@ def _meet(short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = F
     return reduce(DataFrame.unionByName, [p.filter(other & near).select("a", "b") for p in met])
 
 
+# Spark repeats a deterministic function where a filter on its result is moved; this is costly.
+edits = edits.asNondeterministic()
+
+
 def similar_pairs(
     left: DataFrame,
     right: DataFrame | None = None,

@@ -9,13 +9,17 @@ from sitemill.functions.text import routing_host, strip
 from sitemill.operators.ranking import one_per_key
 
 
-def registry_domains(registry: DataFrame) -> DataFrame:
-    """``extractor_id, domains`` as one row per domain, ranked by id and list position."""
-    rows = registry.select(
-        F.regexp_replace("extractor_id", "-", "_").alias("extractor_id"),
-        F.posexplode("domains").alias("_pos", "_domain"),
+def routing_keys(registry: DataFrame) -> DataFrame:
+    """``extractor_id, domains`` as ``route_key, extractor_id, position``: the id, then each domain.
+
+    An id is told from a domain by its prefix.
+    """
+    extractor = F.regexp_replace("extractor_id", "-", "_")
+    domains = F.transform("domains", F.lower)
+    keys = F.concat(F.array(F.concat(F.lit("id:"), extractor)), domains)
+    return registry.select(
+        extractor.alias("extractor_id"), F.posexplode(keys).alias("position", "route_key")
     )
-    return rows.select("extractor_id", F.lower("_domain").alias("domain"), F.col("_pos").alias("position"))
 
 
 def route(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
@@ -27,33 +31,21 @@ def route(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
     are not moved for it; the routing table is then joined back by host.
     """
     host, key = routing_host(F.col(url)), F.lower(strip(F.col(url)))
-    bare = key.rlike("^[a-z0-9_-]+$")
-    keyed = pages.withColumns({"_host": host, "_bare": F.coalesce(bare, F.lit(False))})
+    bare = F.coalesce(key.rlike("^[a-z0-9_-]+$"), F.lit(False))
+    keyed = pages.withColumns({"_host": host, "_bare": bare})
 
-    # With no suffix of its own a host of n labels has n suffixes, itself included.
-    hosts = keyed.select("_host", "_bare").filter("_host != ''").distinct()
+    hosts = keyed.select("_host", "_bare").distinct()
     labels = F.split("_host", r"\.")
-    suffixes = hosts.select(
-        "_host",
-        "_bare",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels)),
-                lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-            )
-        ).alias("_suffix"),
-    )
-    domains = registry_domains(registry)
-    by_domain = suffixes.join(domains, F.col("_suffix") == F.col("domain")).select(
-        "_host", "_bare", F.lit(1).alias("_prio"), "extractor_id", "position"
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    ids = registry.select(F.regexp_replace("extractor_id", "-", "_").alias("extractor_id"))
-    by_id = (
-        hosts.filter("_bare")
-        .join(ids, F.regexp_replace("_host", "-", "_") == F.col("extractor_id"))
-        .select("_host", "_bare", F.lit(0).alias("_prio"), "extractor_id", F.lit(0).alias("position"))
+    as_id = F.concat(F.lit("id:"), F.regexp_replace("_host", "-", "_"))
+    wanted = F.when(F.col("_bare"), F.concat(F.array(as_id), suffixes)).otherwise(suffixes)
+    found = hosts.select("_host", "_bare", F.explode(wanted).alias("route_key")).join(
+        routing_keys(registry), "route_key"
     )
-    table = one_per_key(
-        by_domain.unionByName(by_id), ["_host", "_bare"], [F.col("_prio"), F.col("extractor_id"), F.col("position")]
-    ).select("_host", "_bare", "extractor_id")
+    # Position 0 is an id; domains rank by extractor, then list position.
+    order = [F.col("position") > 0, F.col("extractor_id"), F.col("position")]
+    table = one_per_key(found, ["_host", "_bare"], order).select("_host", "_bare", "extractor_id")
     return keyed.join(table, ["_host", "_bare"], "left").drop("_host", "_bare")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitemill.operators.merge import read_version, upsert, write_version
-from sitemill.operators.ranking import one_per_key
+from sitemill.session import spread
 
 # Metric names (anything else means Cosine) and search defaults.
 METRICS = ("Cosine", "Euclid", "Dot")
@@ -208,7 +208,9 @@ def embed(
         for texts in batches:
             yield pd.Series(list(model.encode(texts.tolist()).astype(np.float32)))
 
-    return df.withColumn(out, encode(F.col(text)))
+    # Not repeated where a filter on the vector is moved below it.
+    once = encode.asNondeterministic()
+    return spread(df).withColumn(out, once(F.col(text)))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -41,12 +41,14 @@ class Rule:
     guess: Callable[[], Guess]
 
 
-def _choose(*options: tuple[Column, Column, float, str], missing: tuple[float, str]) -> Guess:
+def _choose(
+    *options: tuple[Column, Column, float, str], missing: tuple[float, str], kind: str = "string"
+) -> Guess:
     """The first option whose condition holds: (condition, value, confidence, message)."""
-    value = F.lit(None).cast("string")
+    value = F.lit(None).cast(kind)
     confidence, message = F.lit(float(missing[0])), F.lit(missing[1])
     for holds, v, c, m in reversed(options):
-        value = F.when(holds, v.cast("string")).otherwise(value)
+        value = F.when(holds, v.cast(kind)).otherwise(value)
         confidence = F.when(holds, F.lit(float(c))).otherwise(confidence)
         message = F.when(holds, F.lit(m)).otherwise(message)
     return Guess(value, confidence, message)
@@ -94,7 +96,11 @@ def _first_contained(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
 def gtin_rule() -> Rule:
     def facts(df: DataFrame) -> list[dict[str, Column]]:
         raw = F.coalesce(blank_to_null(_field(df, "gtin")), blank_to_null(_field(df, "ean")), F.lit(""))
-        return [{"_digits": digits(raw)}, {"_gtin_ok": gtin_valid("_digits")}]
+        return [
+            {"_digits": digits(raw)},
+            {"_number": F.col("_digits").try_cast("bigint")},
+            {"_gtin_ok": gtin_valid("_digits", "_number")},
+        ]
 
     def guess() -> Guess:
         number = F.col("_digits")
@@ -178,18 +184,22 @@ def category_rule(keywords: Sequence[tuple[str, str]]) -> Rule:
 
 def price_rule() -> Rule:
     def facts(df: DataFrame) -> list[dict[str, Column]]:
+        if "price" in df.columns and df.schema["price"].dataType.simpleString() != "string":
+            # Already a number: no way through text.
+            return [{"_no_price": F.col("price").isNull(), "_price": F.col("price").cast("double")}]
         raw = blank_to_null(_field(df, "price"))
-        return [{"_price_text": raw}, {"_price": F.col("_price_text").try_cast("double")}]
+        return [{"_no_price": raw.isNull(), "_price": raw.try_cast("double")}]
 
     def guess() -> Guess:
         price = F.col("_price")
         return _choose(
-            (F.col("_price_text").isNull(), F.lit(None), 0.0, "missing price"),
+            (F.col("_no_price"), F.lit(None), 0.0, "missing price"),
             (price.isNull(), F.lit(None), 0.1, "not a number"),
             (price <= 0, price, 0.1, "price must be > 0"),
             (price > K.PRICE_CEILING, price, 0.4, "suspiciously high"),
             (F.lit(True), price, 0.95, "price ok"),
             missing=(0.0, "missing price"),
+            kind="double",
         )
 
     return Rule("price", facts, guess)
@@ -228,7 +238,7 @@ def _prediction(rule: Rule) -> Column:
     return F.struct(
         F.lit(r).alias("rule_id"),
         F.lit(r).alias("field"),
-        F.col(f"_v_{r}").alias("value"),
+        F.col(f"_v_{r}").cast("string").alias("value"),
         F.col(f"_c_{r}").alias("confidence"),
         F.col(f"_m_{r}").alias("message"),
     )
@@ -331,9 +341,10 @@ def _with_issues(df: DataFrame) -> DataFrame:
     found = []
     if "gtin" in have:
         gtin = blank_to_null(F.col("gtin").cast("string"))
-        df = df.withColumn("_gtin", digits(gtin))
-        df = df.withColumn("_gtin", ~gtin_valid("_gtin"))
-        found.append(issue(F.col("_gtin"), "gtin", "error", "Invalid GTIN/EAN checksum", gtin))
+        df = df.withColumn("_digits", digits(gtin))
+        df = df.withColumn("_number", F.col("_digits").try_cast("bigint"))
+        df = df.withColumn("_wrong", ~gtin_valid("_digits", "_number"))
+        found.append(issue(F.col("_wrong"), "gtin", "error", "Invalid GTIN/EAN checksum", gtin))
     price = F.col("price") if "price" in have else F.lit(None).cast("double")
     found.append(issue(price.isNull(), "price", "warning", "Missing price", nothing))
     found.append(issue(price <= 0, "price", "error", "Price must be > 0", price))
@@ -342,7 +353,7 @@ def _with_issues(df: DataFrame) -> DataFrame:
         found.append(issue(stock < 0, "stock", "error", "Stock cannot be negative", stock))
     no_sku = F.coalesce(_field(df, "sku"), F.lit("")) == ""
     found.append(issue(no_sku, "sku", "error", "SKU is required", nothing))
-    return df.withColumn("_issues", F.array_compact(F.array(*found))).drop("_gtin")
+    return df.withColumn("_issues", F.array_compact(F.array(*found))).drop("_digits", "_number", "_wrong")
 
 
 def issues(df: DataFrame) -> DataFrame:

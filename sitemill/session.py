@@ -13,14 +13,19 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above 8,000 bytes; wide rule projections are faster
+    # as several small methods than as one large interpreted one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# Fixed at start: call sites are not collected for every column expression.
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def builder(app: str = "sitemill", master: str | None = None) -> SparkSession.Builder:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | STATIC).items():
         b = b.config(key, value)
     return b
 
@@ -68,6 +73,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_bytes(df: DataFrame) -> int:
+    """Bytes of the files a frame reads, after column pruning; -1 when it reads none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    sizes = [int(p.stats().sizeInBytes()) for p in found if p.nodeName().startswith("Relation") or p.nodeName() == "LogicalRelation"]
+    return sum(sizes) if sizes else -1
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores when it reads so little that it would be a few tasks only.
+
+    For steps whose cost is computing, not bytes. Larger inputs have enough partitions and
+    are left as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if not 0 <= _file_bytes(df) < cores * split:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Catalyst's own size estimate of ``df`` is below the broadcast threshold.
 

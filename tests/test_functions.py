@@ -112,7 +112,8 @@ def test_lead_score(spark):
 )
 def test_gtin(spark, number, valid):
     df = spark.createDataFrame([(number,)], "d string")
-    assert df.select(scoring.gtin_valid("d")).first()[0] is valid
+    df = df.withColumn("n", F.col("d").try_cast("bigint"))
+    assert bool(df.select(scoring.gtin_valid("d", "n")).first()[0]) is valid
 
 
 def test_html(spark):
