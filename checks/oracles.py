@@ -318,7 +318,8 @@ ORACLES["staging_rows"] = f"""WITH {QA} SELECT 7 AS import_run_id, e.row_id,
   64 AS hash_chars FROM enriched e"""
 # The export feed has no zero price, so a zero-priced row is no longer held back for it.
 ORACLES["catalog_export"] = f"""WITH {ENRICHED.replace("WHEN p % 13 = 12 THEN '0'", "WHEN p % 13 = 12 THEN NULL")}
-SELECT CASE WHEN quarantine THEN 'quarantine' ELSE 'catalog' END AS part, 'SKU-' || row_id AS sku, 'passed' AS status, (SELECT count(*) FROM part) AS row_count FROM enriched"""
+SELECT CASE WHEN quarantine THEN 'quarantine' ELSE 'catalog' END AS part, 'SKU-' || row_id AS sku FROM enriched
+UNION ALL SELECT 'passed', CAST(count(*) AS VARCHAR) FROM part"""
 ORACLES["brand_map_apply"] = """SELECT p_partkey, CASE WHEN length(p_brand) = 7 THEN 'House ' || substr(p_brand, 7, 1) ELSE p_brand END AS brand FROM part"""
 ORACLES["keyword_category"] = """WITH needles AS (SELECT DISTINCT lower(substr(split_part(p_name, ' ', -1), 1, 3)) AS needle FROM part),
 titles AS (SELECT DISTINCT p_name FROM part),

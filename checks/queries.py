@@ -315,8 +315,9 @@ def catalog_export(spark, sf):
         spark.read.option("header", True).csv(f"{out}/{n}.csv").select(F.lit(n).alias("part"), "sku")
         for n in ("catalog", "quarantine")
     ]
-    ledger = spark.read.parquet(f"{out}/import_runs").select("status", "row_count")
-    return parts[0].unionByName(parts[1]).join(ledger, F.lit(True))
+    ledger = spark.read.parquet(f"{out}/import_runs")
+    ledger = ledger.select(F.col("status").alias("part"), F.col("row_count").cast("string").alias("sku"))
+    return parts[0].unionByName(parts[1]).unionByName(ledger)
 
 
 @query
@@ -549,8 +550,10 @@ def load_counts(spark, sf):
         merge.upsert(merge.read_version(spark, root), batch, ["company_name"], "pos", ["summary", "source_url"]), root, 2
     )
     keys = batch.select("company_name").distinct()
-    stored = keys.join(merge.read_version(spark, root).select("company_name"), "company_name", "left_semi")
-    return keys.agg(F.count("*").alias("scraped")).join(stored.agg(F.count("*").alias("stored")), F.lit(True))
+    stored = merge.read_version(spark, root).select("company_name", F.lit(True).alias("kept"))
+    return keys.join(stored, "company_name", "left").agg(
+        F.count("*").alias("scraped"), F.count("kept").alias("stored")
+    )
 
 
 @query

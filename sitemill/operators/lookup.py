@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.operators.ranking import one_per_key
+from sitemill.session import materialize
 
 
 def apply_map(
@@ -52,6 +53,8 @@ def first_contained(
     best = one_per_key(hits, ["_text"], [F.col("rank")]).select(
         F.col("_text"), F.col("value").alias(out)
     )
+    # Written so that its size is known when Spark picks the join.
+    best = materialize(best, "found")
     joined = df.withColumn("_key", F.lower(F.coalesce(text, F.lit("")))).join(
         best, F.col("_key") == F.col("_text"), "left"
     )

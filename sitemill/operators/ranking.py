@@ -24,9 +24,12 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """The row of the greatest ``(ts, tie)`` per key for few keys over many rows.
 
     A hash aggregate finds the newest time per key without sorting the table; the
-    second scan keeps only rows at that time, and ties are settled among those.
+    second scan keeps only rows at that time, and ties are settled among those. The newest
+    times are written first: with their size known Spark broadcasts them when they are
+    small, where a guess from the table's size would move the whole table.
     """
     newest = df.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_t"))
+    newest = materialize(newest, "newest")
     at_newest = df.join(
         newest, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi"
     )

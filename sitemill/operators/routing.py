@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitemill.functions.text import routing_host, strip
 from sitemill.operators.ranking import one_per_key
+from sitemill.session import materialize
 
 
 def routing_keys(registry: DataFrame) -> DataFrame:
@@ -28,7 +29,8 @@ def route(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
     An URL that is an extractor id takes that one; otherwise the first entry in id and
     list order wins. Unrouted pages stay, with a null id. "Host ends with .domain" becomes
     an equality join on the host's dot suffixes, over distinct hosts only, so page bodies
-    are not moved for it; the routing table is then joined back by host.
+    are not moved for it. The routing table is written first: with its size known, Spark
+    broadcasts it to the pages when it is small and else joins by host, splitting hot hosts.
     """
     host, key = routing_host(F.col(url)), F.lower(strip(F.col(url)))
     bare = F.coalesce(key.rlike("^[a-z0-9_-]+$"), F.lit(False))
@@ -48,4 +50,5 @@ def route(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
     # Position 0 is an id; domains rank by extractor, then list position.
     order = [F.col("position") > 0, F.col("extractor_id"), F.col("position")]
     table = one_per_key(found, ["_host", "_bare"], order).select("_host", "_bare", "extractor_id")
+    table = materialize(table, "routes")
     return keyed.join(table, ["_host", "_bare"], "left").drop("_host", "_bare")

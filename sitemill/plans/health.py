@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitemill import constants as K
 from sitemill.functions.text import blank_to_null, is_log_error, log_bundle, short, strip
 from sitemill.operators.ranking import latest_per_key
+from sitemill.session import materialize
 
 
 def rollup(runs: DataFrame, as_of: Column, include_idle: bool = False) -> DataFrame:
@@ -160,9 +161,11 @@ def last_runs(runs: DataFrame) -> DataFrame:
     return newest.withColumn("error_message", short(F.col("error_message")))
 
 
+FAILURES = ("ZERO_ROWS", "FAILED", "DEGRADED")
+
+
 def last_failures(runs: DataFrame) -> DataFrame:
-    bad = runs.filter(F.col("status").isin("ZERO_ROWS", "FAILED", "DEGRADED"))
-    return latest_per_key(bad, "bundle_name", "created_at", "id")
+    return latest_per_key(runs.filter(F.col("status").isin(*FAILURES)), "bundle_name", "created_at", "id")
 
 
 def digest(
@@ -233,25 +236,35 @@ def fleet_action(fleet_rows: DataFrame) -> DataFrame:
 
 
 def diagnostics(runs: DataFrame, bundles: DataFrame) -> DataFrame:
-    """Diagnostic row per bundle from its last run and its last failure."""
-    last = latest_per_key(runs, "bundle_name", "created_at", "id")
-    failure = last_failures(runs).select(
-        "bundle_name",
-        F.col("status").alias("_failed_status"),
-        F.col("error_message").alias("_failed_error"),
+    """Diagnostic row per bundle from its last run and its last failure.
+
+    Both come from the same two scans: the newest times per bundle, then the rows at them.
+    """
+    failed, ts = F.col("status").isin(*FAILURES), F.col("created_at")
+    newest = runs.groupBy("bundle_name").agg(
+        F.max(ts).alias("_last"), F.max(F.when(failed, ts)).alias("_failed")
+    )
+    newest = materialize(newest, "newest")
+    row = F.struct(
+        "created_at", "id", "status", "error_message", "items_scraped",
+        "http_200_count", "http_403_count", "http_429_count", "http_500_count",
+    )
+    is_last, is_failure = ts == F.col("_last"), failed & (ts == F.col("_failed"))
+    few = runs.join(newest, "bundle_name").filter(is_last | is_failure)
+    found = few.groupBy("bundle_name").agg(
+        F.max(F.when(is_last, row)).alias("last"), F.max(F.when(is_failure, row)).alias("failure")
     )
-    df = bundles.select("bundle_name").distinct().join(last, "bundle_name", "full_outer")
-    df = df.join(failure, "bundle_name", "left")
+    df = bundles.select("bundle_name").distinct().join(found, "bundle_name", "full_outer")
     return df.select(
         "bundle_name",
-        F.coalesce(blank_to_null(F.col("status")), "_failed_status", F.lit("UNKNOWN")).alias("status"),
-        F.coalesce(blank_to_null(F.col("_failed_error")), "error_message").alias("error_message"),
-        "items_scraped",
-        "http_200_count",
-        "http_403_count",
-        "http_429_count",
-        "http_500_count",
-        "created_at",
+        F.coalesce(blank_to_null(F.col("last.status")), "failure.status", F.lit("UNKNOWN")).alias("status"),
+        F.coalesce(blank_to_null(F.col("failure.error_message")), "last.error_message").alias("error_message"),
+        "last.items_scraped",
+        "last.http_200_count",
+        "last.http_403_count",
+        "last.http_429_count",
+        "last.http_500_count",
+        "last.created_at",
     )
 
 

@@ -33,15 +33,13 @@ def page(items: DataFrame, title: str = "Scraped items", limit: int = 1000) -> D
     A page is read by a person, so the number of cards is bounded; all cards are rows of
     :func:`cards`.
     """
-    total = items.agg(F.count("*").alias("total"))
-    order = [F.col("created_at").desc(), F.col("company_name")]
-    newest = cards(items.orderBy(*order).limit(limit))
-    key = F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "company_name", "card")
-    body = newest.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda c: c["card"]), "\n").alias("body")
-    )
-    # Both sides are single rows.
-    return total.join(body, F.lit(True)).select(
+    newest = cards(items.orderBy(F.col("created_at").desc(), "company_name").limit(limit))
+    age = -F.unix_micros(F.col("created_at").cast("timestamp"))
+    shown = newest.select(F.struct(age.alias("t"), "company_name", "card").alias("card"))
+    counted = items.agg(F.count("*").alias("total"))
+    parts = shown.unionByName(counted, allowMissingColumns=True)
+    body = F.transform(F.array_sort(F.collect_list("card")), lambda c: c["card"])
+    return parts.agg(F.max("total").alias("total"), F.array_join(body, "\n").alias("body")).select(
         F.format_string(
             '<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="utf-8"><title>%s</title></head>\n'
             '<body>\n<h1>%s</h1>\n<p class="subtitle">%d row(s)</p>\n%s\n</body>\n</html>\n',
