@@ -388,8 +388,9 @@ ROUTED = """routed AS (
   FROM (SELECT *, split_part(split_part(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https://', ''), '^http://', ''), '^www\\.', ''), '/', 1), ':', 1) AS host FROM pages)
 )"""
 ORACLES["route_pages"] = f"WITH {ROUTED} SELECT page_id, url, extractor_id FROM routed"
+# HTML ends "&amp" without its semicolon too, as a title cut inside the entity has it.
 ORACLES["extract_titles"] = f"""WITH {ROUTED} SELECT page_id, extractor_id,
-  trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;', '&')) AS company_name,
+  trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;?', '&', 'g')) AS company_name,
   extractor_id AS source_directory, url AS source_url FROM routed WHERE extractor_id IS NOT NULL"""
 ORACLES["valid_records"] = """SELECT conv_id, CASE WHEN n > 0 THEN 'SUCCESS' ELSE 'ZERO_ROWS' END AS status, n AS items_scraped, total - n AS discarded
 FROM (SELECT conv_id, count(*) FILTER (WHERE role <> 'system' AND length(text) > 0) AS n, count(*) AS total FROM conversations GROUP BY conv_id)"""
@@ -437,9 +438,10 @@ ORACLES["knn_dot_threshold"] = _knn("list_inner_product(q, v)", "DESC", "score >
 ORACLES["point_upsert"] = """WITH batch AS (SELECT DISTINCT label * 100 AS id FROM embeddings)
 SELECT vec_id AS id, 64 AS dims, CASE WHEN vec_id IN (SELECT id FROM batch) THEN '' ELSE CAST(label AS VARCHAR) END AS label FROM embeddings
 UNION ALL SELECT id, 64, '' FROM batch WHERE id NOT IN (SELECT vec_id FROM embeddings)"""
+# Vectors are 32-bit.
 ORACLES["embed_hash"] = """WITH terms AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents),
 dims AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS n FROM terms WHERE term <> '' GROUP BY 1, 2)
-SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS weight FROM dims"""
+SELECT doc_id, dim, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS FLOAT) AS DOUBLE), 4) AS weight FROM dims"""
 MEDIA = """media AS (SELECT conv_id AS cluster_id, turn AS ord, CASE role WHEN 'assistant' THEN 'image' WHEN 'user' THEN 'video' END AS type,
   CASE WHEN turn % 3 = 1 THEN text ELSE '' END AS title, CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN text END AS speech_transcript,
   CASE WHEN role = 'user' THEN text ELSE '  ' END AS ocr_text, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS brand FROM conversations)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -611,7 +613,7 @@ def point_upsert(spark, sf):
 @query
 def embed_hash(spark, sf):
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
-    rows = vectors.embed(docs, "text", lambda: vectors.HashingEncoder(64))
+    rows = vectors.embed(docs, "text", functools.partial(vectors.HashingEncoder, 64))
     return rows.select("doc_id", F.posexplode("vector").alias("dim", "weight")).filter("weight > 0").withColumn(
         "weight", F.round(F.col("weight").cast("double"), 4)
     )
