@@ -43,9 +43,8 @@ def duck(sf: str):
     return con
 
 
-def compare(spark, con, sf: str, name: str) -> str | None:
-    """None when both sides agree, else what differs."""
-    df = QUERIES[name](spark, sf)
+def compare(df, con, name: str) -> str | None:
+    """None when the frame of a query agrees with its SQL, else what differs."""
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLES:
         return None if got[1] else "no rows"
@@ -81,7 +80,7 @@ if __name__ == "__main__":
     for name in names:
         start = time.time()
         try:
-            diff = compare(spark, con, sf, name)
+            diff = compare(QUERIES[name](spark, sf), con, name)
         except Exception as e:
             diff = f"{type(e).__name__}: {str(e)[:1500]}"
         mark = "rows " if name not in ORACLES and not diff else ("FAIL " if diff else "ok   ")

@@ -206,8 +206,9 @@ def canonical_keys(
     first_batch: int = FIRST_BATCH,
     local_edges: int = LOCAL_EDGES,
     hot: int = HOT_PAIRS,
-) -> DataFrame:
-    """The keys of ``key, pos`` that become canonical when all are read by ``pos``.
+) -> tuple[DataFrame, DataFrame | None]:
+    """The keys of ``key, pos`` that become canonical when all are read by ``pos``; and, when
+    they fit one batch, all similar pairs ``early, late, score``.
 
     Keys are taken in batches, each about twice as long as the one before. Inside a batch
     all similar pairs are needed; the canonical keys found are then compared with all later
@@ -230,16 +231,19 @@ def canonical_keys(
             F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("early"),
             F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("late"),
             F.greatest("pa", "pb").alias("pos"),
+            "score",
         )
         edges = materialize(edges, "edges")
         new = materialize(first_independent(batch, edges, local_edges).select("key"), "canonical")
         canon.append(new)
+        if later is None and len(canon) == 1:
+            return new, edges.select("early", "late", "score")
         if later is None:
             break
         matched = similar_pairs(new, later.select("key"), threshold, hot).select(F.col("b").alias("key"))
         rest = materialize(later.join(matched, "key", "left_anti"), "rest")
         size *= 2
-    return reduce(DataFrame.unionByName, canon) if canon else nodes.select("key")
+    return reduce(DataFrame.unionByName, canon) if canon else nodes.select("key"), None
 
 
 def canonicalize(
@@ -272,12 +276,15 @@ def canonicalize(
         "key", F.col("first").alias("pos"), F.col("label").alias("canonical")
     )
     nodes = materialize(nodes, "nodes")
-    keys = canonical_keys(nodes, threshold, first_batch, local_edges, hot)
+    keys, pairs = canonical_keys(nodes, threshold, first_batch, local_edges, hot)
     canon = materialize(nodes.join(keys, "key", "left_semi"), "canonical")
 
-    options = similar_pairs(canon.select("key"), nodes.select("key"), threshold, hot).select(
-        F.col("a").alias("other"), F.col("b").alias("key"), "score"
-    )
+    if pairs is None:
+        options = similar_pairs(canon.select("key"), nodes.select("key"), threshold, hot).select(
+            F.col("a").alias("other"), F.col("b").alias("key"), "score"
+        )
+    else:
+        options = pairs.toDF("other", "key", "score").unionByName(pairs.toDF("key", "other", "score"))
     options = options.join(canon.withColumnRenamed("key", "other"), "other").drop("other")
     own = canon.select("key", F.lit(100.0).alias("score"), "pos", "canonical")
     choices = raws.select("raw", "key", "last").join(options.unionByName(own), "key")

@@ -4,21 +4,10 @@ import pytest
 
 from checks.queries import QUERIES
 
-# These run jobs of many rounds; their own tests cover them.
-ROUNDS = {"brand_canonical", "density_clusters"}
-
-
 def plan(spark, sf, name):
     return QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROUNDS))
-def test_no_cross_join_and_no_row_at_a_time_python(spark, sf, name):
-    text = plan(spark, sf, name)
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert bad not in text
-
-
 def test_rollup_is_one_scan_with_partial_aggregation(spark, sf):
     text = plan(spark, sf, "health_rollup_24h")
     assert text.count("FileScan") == 1 and text.count("HashAggregate") == 2 and "SortAggregate" not in text

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL."""
+"""Every registered query: its plan, and its rows against its SQL."""
 
 import pytest
 
@@ -14,7 +14,11 @@ def con(sf):
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
-    assert compare(spark, con, sf, name) is None
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert bad not in plan
+    assert compare(df, con, name) is None
 
 
 def test_every_sql_has_a_query():

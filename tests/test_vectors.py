@@ -136,7 +136,7 @@ def blobs():
     return np.concatenate([c + rng.normal(size=(s, 4)) * w for c, s, w in zip(centers, (50, 12, 9, 5, 3, 21), (0.3, 0.2, 0.6, 0.1, 0.2, 1.0), strict=True)]).astype(np.float32)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_points": 17}, {"block_points": 17, "local_edges": 20}, {"level_edges": 13}, {"local_edges": 0, "level_edges": 30}])
+@pytest.mark.parametrize("options", [{}, {"block_points": 17, "local_edges": 0, "level_edges": 30}])
 def test_density(spark, blobs, options):
     got = cluster.density(frame(spark, blobs), **options)
     labels = [r["label"] for r in got.orderBy("id").collect()]
