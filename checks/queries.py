@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import adapters as A
 from sitemill.functions import scoring, text
-from sitemill.operators import cluster, extract, fuzzy, lookup, media, merge, ranking, routing, vectors
+from sitemill.operators import cluster, extract, fuzzy, lookup, media, merge, routing, vectors
 from sitemill.plans import alerts, catalog, health, report, snapshot
 from sitemill.session import materialize, scratch_path, tune
 from sitemill.sources import archive, crawl, feeds
