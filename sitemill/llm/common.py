@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import types
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,6 +82,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = low.join(up, "low", "left").select("node", F.least("low", "up").alias("component"))
 
 
+def per_worker(key: str, build: Callable[[], object]) -> object:
+    """``build()``, once per Python worker process rather than once per task."""
+    kept = sys.modules.setdefault("_sitemill_worker", types.ModuleType("_sitemill_worker")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
 def travel(module: str) -> None:
     """Code of ``module`` travels with its tasks: workers need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitemill.llm import exact, mixing, sharding
+from sitemill.llm import bpe, exact, mixing, sharding, tokenfiles
 from sitemill.llm.common import table
+from sitemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -16,6 +18,16 @@ SHARD_BYTES = 1 << 20
 #: Shares of the mixed corpus; the other sources share the rest in proportion to their rows.
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.2, "src1": 0.1, "src2": 0.02}, 0.68, 17
 
+#: Id that ends each document in token files.
+END_ID = 2
+
+
+def vocabulary() -> str:
+    """The public vocabulary file; it is not part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -32,6 +44,24 @@ def op3_exact_dedup(spark, sf):
     return exact.duplicates(table(spark, sf, "documents")).drop("row")
 
 
+@query
+def op5_bpe(spark, sf):
+    both = table(spark, sf, "documents").select("doc_id", bpe.round_trip(spark, vocabulary())(F.col("text")).alias("both"))
+    return both.select(
+        "doc_id",
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("both.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("both.decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op6_token_files(spark, sf):
+    path = scratch_path(spark, "token-files")
+    tokenfiles.write(table(spark, sf, "documents"), path, vocabulary(), END_ID)
+    return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", tokenfiles.crc32(F.col("ids")).alias("ids_crc32"))
+
+
 @query
 def op10_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*", "copy", "rate", "shuffle_key")
