@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, mixing, sharding, tokenfiles
+from sitemill.llm import bpe, exact, mixing, quality, sharding, tokenfiles
 from sitemill.llm.common import table
 from sitemill.session import scratch_path
 
@@ -62,6 +62,13 @@ def op6_token_files(spark, sf):
     return tokenfiles.read(spark, path).select("doc_id", "start", "n_tokens", tokenfiles.crc32(F.col("ids")).alias("ids_crc32"))
 
 
+@query
+def op7_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
+    )
+
+
 @query
 def op10_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*", "copy", "rate", "shuffle_key")
