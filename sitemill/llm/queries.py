@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, mixing, quality, sharding, tokenfiles
-from sitemill.llm.common import table
+from sitemill.llm import bpe, exact, langid, mixing, quality, sharding, tokenfiles
+from sitemill.llm.common import fold, table
 from sitemill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_langid(spark, sf):
+    docs = table(spark, sf, "documents")
+    known = langid.learn(langid.training_rows(docs))
+    return langid.classify(docs.select("doc_id", "text"), known).select(
+        "doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "margin"
+    )
+
+
 @query
 def op2_sharding(spark, sf):
     return sharding.assign(table(spark, sf, "documents"), SHARD_BYTES)
