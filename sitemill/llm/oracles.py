@@ -1,6 +1,6 @@
 """SQL of the queries that SQL can express."""
 
-from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, SHARD_BYTES
+from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, NEAR_PERCENT, SHARD_BYTES
 
 ORACLES = {}
 
@@ -46,3 +46,19 @@ k AS (SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (c <= u) AS copies
 SELECT d.*, copy::INT AS copy, rate, ('0x' || substr(md5('order{MIX_SEED}:' || copy || ':' || d.doc_id), 1, 15))::BIGINT AS shuffle_key
 FROM documents d JOIN k USING (doc_id), unnest(range(1, copies + 1)) y(copy)
 """
+
+ORACLES["op4_near_dedup"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(2, len(ws) - 3))) x(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {NEAR_PERCENT} * (any_value(na.n) + any_value(nb.n) - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id
+"""

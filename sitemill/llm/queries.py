@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, langid, mixing, quality, sharding, tokenfiles
+from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, sharding, tokenfiles
 from sitemill.llm.common import fold, table
 from sitemill.session import scratch_path
 
@@ -18,6 +18,8 @@ SHARD_BYTES = 1 << 20
 #: Shares of the mixed corpus; the other sources share the rest in proportion to their rows.
 MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.2, "src1": 0.1, "src2": 0.02}, 0.68, 17
 
+#: Links of op4: 100 * shared shingles >= this * all shingles of both.
+NEAR_PERCENT = 85
 #: Id that ends each document in token files.
 END_ID = 2
 
@@ -53,6 +55,11 @@ def op3_exact_dedup(spark, sf):
     return exact.duplicates(table(spark, sf, "documents")).drop("row")
 
 
+@query
+def op4_near_dedup(spark, sf):
+    return neardup.near_duplicates(table(spark, sf, "documents"), NEAR_PERCENT).drop("row")
+
+
 @query
 def op5_bpe(spark, sf):
     both = table(spark, sf, "documents").select("doc_id", bpe.round_trip(spark, vocabulary())(F.col("text")).alias("both"))
