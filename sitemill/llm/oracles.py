@@ -1,5 +1,6 @@
 """SQL of the queries that SQL can express."""
 
+from sitemill.llm import secrets
 from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, NEAR_PERCENT, SHARD_BYTES
 
 ORACLES = {}
@@ -62,3 +63,77 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id
 """
+
+
+def _spans(name: str, pattern: str, where: str = "true") -> str:
+    """Matches of a pattern with their places: lengths of what lies between them, and their own, summed up."""
+    quoted = pattern.replace("'", "''").replace('\\"', '"')
+    return f"""
+{name} AS (
+  SELECT doc_id, list_sum(g[1:i]) + coalesce(list_sum(s[1:i - 1]), 0) AS a, m[i] AS value, v[i] AS word FROM (
+    SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {2 if name == "assign" else 0}) AS v,
+           list_transform(regexp_extract_all(t, '{quoted}'), lambda x: length(x)) AS s, list_transform(string_split_regex(t, '{quoted}'), lambda x: length(x)) AS g
+    FROM d WHERE regexp_matches(t, '{quoted}')) q, unnest(range(1, len(m) + 1)) x(i)
+  WHERE {where})"""
+
+
+_code = "CASE " + " ".join(
+    f"WHEN regexp_matches(value, '{p}') " + " ".join(f"AND regexp_matches(value, '{x}')" for x in parts) + f" THEN {i}" for i, (_, p, parts, _) in enumerate(secrets.ENCODINGS)
+) + " END"
+_letters = "CASE code " + " ".join(f"WHEN {i} THEN '{e[3]}'" for i, e in enumerate(secrets.ENCODINGS)) + " END"
+_long = " + ".join(f"(n >= {x})::INT" for x in secrets.LENGTHS[1:])
+
+
+def _tail(z: str) -> str:
+    return f"1 / (1 + exp(least(600.0::DOUBLE, 1.5976::DOUBLE * ({z}) + 0.070566::DOUBLE * ({z}) * ({z}) * ({z}))))"
+
+
+def _two(z: str) -> str:
+    return f"ln(greatest(1e-12, least(1.0::DOUBLE, 2 * ({_tail(z)}))))"
+
+
+ORACLES["op9_secrets"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{_spans("assign", secrets.ASSIGN, f"length(v[i]) >= {secrets.ASSIGN_LEAST}")},
+{_spans("access", secrets.ACCESS)},
+{_spans("hex", secrets.HEX)},
+{_spans("candidate", secrets.CANDIDATE)},
+base AS (
+  SELECT doc_id, a, 0 AS k, a + length(value) AS b FROM assign UNION ALL SELECT doc_id, a, 1, a + length(value) FROM access
+  UNION ALL SELECT doc_id, a, 2, a + length(value) FROM hex),
+coded AS (SELECT *, {_code} AS code FROM candidate),
+ranked AS (
+  SELECT doc_id, a, a + length(value) AS b, code, length({_letters})::DOUBLE AS size, string_split(rtrim(value, '='), '') AS cs, {_letters} AS letters
+  FROM coded WHERE code IS NOT NULL),
+numbers AS (
+  SELECT *, len(cs)::DOUBLE AS n, list_transform(cs, lambda c: strpos(letters, c)::DOUBLE) AS r,
+         list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda o: o = c))::DOUBLE) AS counts FROM ranked),
+sums AS (
+  SELECT *, list_sum(list_transform(counts, lambda c: c * c)) AS squares, list_sum(list_transform(r, lambda x: (x > size / 2)::INT::DOUBLE)) AS high,
+         list_sum(list_transform(range(1, len(r)), lambda i: ((r[i] > size / 2) <> (r[i + 1] > size / 2))::INT::DOUBLE)) AS turns,
+         list_sum(list_transform(range(1, len(r)), lambda i: (r[i] - (size + 1) / 2) * (r[i + 1] - (size + 1) / 2))) AS products
+  FROM numbers),
+z AS (
+  SELECT *, (size / n * squares - n - (size - 1)) / sqrt(2 * (size - 1) * (n - 1) / n) AS z1,
+         abs(turns + 1 - (2 * high * (n - high) / n + 1)) / sqrt(greatest(1e-9, (2 * high * (n - high) / n) * (2 * high * (n - high) / n - 1) / (n - 1))) AS z2,
+         abs(products) / ((size * size - 1) / 12 * sqrt(n - 1)) AS z3 FROM sums),
+logs AS (SELECT *, ln(greatest(1e-12, {_tail("z1")})) + {_two("z2")} + {_two("z3")} AS l FROM z),
+p AS (SELECT doc_id, a, b, code * {len(secrets.LENGTHS)} + {_long} AS stratum, exp(l) * (1 - l + l * l / 2) AS p FROM logs),
+counts AS (SELECT stratum, least({secrets.STEPS - 1}, floor(p * {secrets.STEPS}))::INT AS step, count(*) AS n FROM p GROUP BY ALL),
+rated AS (
+  SELECT stratum, step, 2 * coalesce(sum(n) FILTER (step >= {secrets.STEPS // 2}) OVER (PARTITION BY stratum), 0) AS random,
+         sum(n) OVER (PARTITION BY stratum ORDER BY step DESC) AS taken FROM counts),
+least_p AS (
+  SELECT stratum, min(step / {secrets.STEPS}.0) AS least_p FROM rated
+  WHERE 1 - (1 - step / {secrets.STEPS}.0) * random / taken <= {secrets.FALSE_SHARE} AND random > 0 GROUP BY stratum),
+added AS (
+  SELECT p.doc_id, p.a, 3 AS k, p.b FROM p JOIN least_p USING (stratum)
+  WHERE p.p >= least_p AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.a < p.b AND p.a < base.b)),
+every AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS s FROM (FROM base UNION ALL FROM added)),
+lists AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN lists USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, sharding, tokenfiles
+from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, secrets, sharding, tokenfiles
 from sitemill.llm.common import fold, table
 from sitemill.session import scratch_path
 
@@ -85,6 +85,11 @@ def op7_quality(spark, sf):
     )
 
 
+@query
+def op9_secrets(spark, sf):
+    return secrets.digest(secrets.scan(table(spark, sf, "documents")))
+
+
 @query
 def op10_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*", "copy", "rate", "shuffle_key")
