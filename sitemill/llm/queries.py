@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, secrets, sharding, tokenfiles
+from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, secrets, sharding, tokenfiles, toxicity
 from sitemill.llm.common import fold, table
 from sitemill.session import scratch_path
 
@@ -85,6 +85,13 @@ def op7_quality(spark, sf):
     )
 
 
+@query
+def op8_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    net = toxicity.train(*toxicity.sample(docs, table(spark, sf, "labels")))
+    return toxicity.rate(docs.select("doc_id", "text"), net).select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_secrets(spark, sf):
     return secrets.digest(secrets.scan(table(spark, sf, "documents")))
