@@ -1,23 +1,71 @@
-"""Corpus pipeline: documents to token ids, each stage one operator of ``sitemill.llm``."""
+"""Corpus pipeline: documents to token ids, each stage one operator of ``sitemill.llm``.
+
+``STAGES`` are functions of (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitemill.llm import exact
+from sitemill.llm import bpe, exact, langid, mixing, neardup
 from sitemill.llm.common import prepare
+from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, vocabulary
 from sitemill.session import materialize
 
+#: A text goes when the next best language packs it to no more than this share above the best one.
+MARGIN = 0.002
+#: Similarity of near-duplicates: shared shingles of 100.
+PERCENT = 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: texts without a letter and undecided ones go."""
+    columns = docs.columns
+    known = langid.learn(langid.training_rows(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")))
+    return langid.keep_known(docs, known, margin=MARGIN).select(*columns)
+
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts that are equal without blanks."""
     prepare(spark)
     return exact.deduplicate(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    prepare(spark)
+    return neardup.deduplicate(docs, PERCENT)
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight asks for, globally shuffled."""
+    prepare(spark)
+    return mixing.mix(docs, MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, checked by decoding them: ``doc_id, source, n_tokens, ids, round_trip``."""
+    prepare(spark)
+    both = docs.select("doc_id", "source", "text", bpe.round_trip(spark, vocabulary())(F.col("text")).alias("both"))
+    return both.select(
+        "doc_id",
+        "source",
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        F.col("both.ids").alias("ids"),
+        (F.col("both.decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("mixing", target_mix),
+    ("BPE", token_ids),
+]
 
-#: Compression and learned models cannot be expressed in SQL.
+#: Compression and MinHash cannot be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -19,6 +19,7 @@ PIECES, PIECE_CHARS = 200, 400
 #: Characters that are packed at once: short, so that a text's own repetition does not hide the dictionary.
 BLOCK = 1_500
 UNKNOWN = "und"
+ADDED = ["lang_pred", "score", "margin", "accepted"]
 #: Bits of difference between the two smallest encodings that count as one unit of evidence.
 BITS_PER_UNIT = 16.0
 
@@ -83,14 +84,8 @@ def decide(sizes: np.ndarray) -> tuple[int, float, float]:
     return int(order[0]), float(1 / odds.sum()), margin
 
 
-def classify(docs: DataFrame, known: Dictionaries, text: str = "text", margin: float = 0.0) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``accepted`` (columns of these names are replaced).
-
-    A text that is null or has no letter is ``und`` with score 0 and not accepted; so is every text
-    when no language was learned. Others get the language with the smallest encoding and are
-    accepted when the next one is larger by a share of at least ``margin``; of equal encodings the
-    language with more labelled rows wins. Only the text is read.
-    """
+def prediction(known: Dictionaries, docs: DataFrame, margin: float):
+    """Column function: text to ``struct<lang_pred, score, margin, accepted>``."""
     sent = docs.sparkSession.sparkContext.broadcast(known)  # pieces * chars per language
     name = f"langid-{zlib.crc32(repr(known).encode())}"
 
@@ -106,16 +101,30 @@ def classify(docs: DataFrame, known: Dictionaries, text: str = "text", margin: f
                     out.append((names[best], score, gap, gap >= margin))
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang_pred", "score", "margin", "accepted"])
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ADDED)
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    kind = T.StructType(
-        [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    )
-    found = F.arrow_udf(predict, kind).asNondeterministic()(F.col(text).cast("string"))
-    given = docs.select(F.struct("*").alias("doc"), found.alias("found"))
-    added = ["lang_pred", "score", "margin", "accepted"]
-    return given.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in added], *[F.col(f"found.{c}").alias(c) for c in added])
+    kind = T.StructType([T.StructField(c, k) for c, k in zip(ADDED, [T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()], strict=True)])
+    return F.arrow_udf(predict, kind).asNondeterministic()
+
+
+def classify(docs: DataFrame, known: Dictionaries, text: str = "text", margin: float = 0.0) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``accepted`` (columns of these names are replaced).
+
+    A text that is null or has no letter is ``und`` with score 0 and not accepted; so is every text
+    when no language was learned. Others get the language with the smallest encoding and are
+    accepted when the next one is larger by a share of at least ``margin``; of equal encodings the
+    language with more labelled rows wins. Rows are judged one by one, by their text only. An empty
+    table gives no rows.
+    """
+    given = docs.select(F.struct("*").alias("doc"), prediction(known, docs, margin)(F.col(text).cast("string")).alias("found"))
+    return given.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED], *[F.col(f"found.{c}").alias(c) for c in ADDED])
+
+
+def keep_known(docs: DataFrame, known: Dictionaries, text: str = "text", margin: float = 0.0) -> DataFrame:
+    """The documents that ``classify`` accepts, with their own columns only."""
+    given = docs.select(F.struct("*").alias("doc"), prediction(known, docs, margin)(F.col(text).cast("string")).alias("found"))
+    return given.where("found.accepted").select("doc.*")
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
