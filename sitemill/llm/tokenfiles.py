@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +32,14 @@ LAYOUT = {
 
 
 def library_encoder(source: str) -> Cutter:
-    """Ids from the tokenizers library, which is asked once for each distinct piece."""
+    """Ids from the tokenizers library, which is asked for pieces not met before."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(source)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return Cutter(added, lambda piece: np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<i4").tobytes())
+    return Cutter(added, lambda pieces: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 def library(spark: SparkSession, path: str) -> Callable[[], Cutter]:
