@@ -146,6 +146,13 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def awkward_titles(feed: DataFrame) -> DataFrame:
+    """The feed with titles that CSV must quote: quotes, commas, line breaks and padding."""
+    p = F.col("row_id")
+    tail = F.when(p % 5 == 0, ' 5" screw, "best"').when(p % 5 == 1, "\nsecond, line").when(p % 5 == 2, ' \\ "').when(p % 5 == 3, "  ,  ").otherwise("")
+    return feed.withColumn("title", F.concat("title", tail))
+
+
 # Word lists for the test feed: the default ones do not occur in it.
 ALIASES = {f"brand#{k}": f"Brand#{k}" for k in (1, 2, 3, 4, 5)} | {"widget": "Widgetco"}
 KEYWORDS = [("bolt", "Hardware > Bolts"), ("ring", "Hardware > Rings")]

@@ -104,7 +104,8 @@ issues AS (
       'High anomaly rate (' || anomaly || '/' || total || ' runs returned 0 items, threshold: ' || pct || '%). Target HTML selector changed?' FROM health WHERE anomalous
     UNION ALL SELECT bundle_name, status, 4, 'EXECUTION_FAILURE_RATE',
       'High failure rate (' || failed || '/' || total || ' runs FAILED, threshold: ' || pct || '%). Check error_message / stdout logs.' FROM health WHERE failing
-    UNION ALL SELECT bundle_name, status, 5, 'SLA_STALENESS_EXCEEDED', 'stale' FROM health WHERE stale
+    UNION ALL SELECT bundle_name, status, 5, 'SLA_STALENESS_EXCEEDED',
+      'Staleness SLA breached! Last successful run was ' || printf('%.1f', hours) || ' hours ago (SLA: ' || sla || 'h).' FROM health WHERE stale
     UNION ALL SELECT bundle_name, status, 6, 'NEVER_SUCCEEDED',
       'No successful run has ever been recorded for ''' || bundle_name || ''' (' || total || ' run(s) in the last 24h, none SUCCESS).' FROM health WHERE never
   )
@@ -131,11 +132,12 @@ SELECT bundle_name AS name, status, action, items AS items_24h, total AS runs_24
 ORACLES["health_fleet_action"] = f"""WITH {_health(False)}
 SELECT CASE WHEN bool_or(action = 'REMEDIATE') THEN 'REMEDIATE' WHEN bool_or(action = 'WATCH') THEN 'WATCH' ELSE 'OK' END AS action,
   count(*) AS count FROM acted"""
-ORACLES["health_digest"] = f"""WITH {_health(False)}, {_latest('runs', 'last_log')}
+ORACLES["health_digest"] = f"""WITH {_health(False)}, {_latest('runs', 'last_log')},
+shown AS (SELECT bundle_name, string_agg(left(message, 140), ' / ' ORDER BY issue_no) AS issue_texts FROM issues WHERE issue_no <= 2 GROUP BY bundle_name)
 SELECT a.bundle_name, a.status, action, total AS runs_24h, success AS success_24h, items AS items_24h,
-  least(issues_n, 2) AS issues_shown, l.status AS last_status, left(l.error_message, 140) AS last_error, l.created_at AS last_at,
+  least(issues_n, 2) AS issues_shown, coalesce(issue_texts, '') AS issue_texts, l.status AS last_status, left(l.error_message, 140) AS last_error, l.created_at AS last_at,
   CASE WHEN action = 'REMEDIATE' THEN 'diagnose ' || a.bundle_name END AS next
-FROM bundles b JOIN acted a USING (bundle_name) LEFT JOIN last_log l USING (bundle_name)"""
+FROM bundles b JOIN acted a USING (bundle_name) LEFT JOIN last_log l USING (bundle_name) LEFT JOIN shown s ON s.bundle_name = a.bundle_name"""
 ORACLES["last_run"] = f"""WITH {RUNS}, {_latest('runs', 'r')}
 SELECT bundle_name, id, status, items_scraped, http_403_count, http_429_count, left(error_message, 140) AS error_message, created_at FROM r"""
 ORACLES["last_failure"] = f"""WITH {RUNS}, {BAD}, {_latest('bad', 'r')}
@@ -168,15 +170,11 @@ ORACLES["fetch_outcomes"] = f"""WITH {PROBES}, {FETCH}
 SELECT CASE WHEN items > 0 THEN 'SUCCESS' WHEN status_code = 200 THEN 'ZERO_ROWS' ELSE 'FAILED' END AS status, count(*) AS n FROM fetches GROUP BY 1"""
 ORACLES["log_errors"] = f"WITH {LINES} SELECT * FROM log_errors"
 
-LINE = "━" * 28
+SENT = f"strftime({NOW}, '%Y-%m-%d %H:%M:%S')"
 ALERTS = f"""alert_rows AS (
   SELECT bundle_name, alert_type, 'SCRAPER_ALERT' AS event, message,
-    '🚨 <b>OBSERVABILITY ALERT</b>' || chr(10) || '{LINE}' || chr(10) || '📦 <b>Bundle:</b> <code>' || bundle_name || '</code>' || chr(10)
-    || '⚠️ <b>Anomaly Type:</b> <code>' || alert_type || '</code>' || chr(10) || '🕒 <b>Timestamp:</b> <code>'
-    || strftime({NOW}, '%H:%M:%S (%d %b)') || '</code>' || chr(10) || '{LINE}' || chr(10) || '📋 <b>Diagnostic Details:</b>' || chr(10)
-    || '<i>' || message || '</i>' || chr(10) || chr(10) || '📊 <b>HTTP Error Breakdown:</b>' || chr(10) || '• 🚫 <b>HTTP 403:</b> 0' || chr(10)
-    || '• 🛑 <b>HTTP 429:</b> 0' || chr(10) || '{LINE}' || chr(10) || '🤖 <b>Quick Action:</b>' || chr(10)
-    || '<code>sitemill health --auto-fix ' || bundle_name || '</code>' AS text_html,
+    '<b>' || bundle_name || '</b>: <code>' || alert_type || '</code> at ' || {SENT} || chr(10) || message || chr(10)
+    || 'Blocked requests: 0 with 403, 0 with 429' || chr(10) || 'Run <code>sitemill health --auto-fix ' || bundle_name || '</code>' AS text_html,
     '{{"bundle_name":"' || bundle_name || '","alert_type":"' || alert_type || '","details":"' || message || '","http_403_count":0,"http_429_count":0}}' AS payload
   FROM issues WHERE alert_type IS NOT NULL
 )"""
@@ -185,21 +183,16 @@ ORACLES["alerts_fanout"] = f"""WITH {_health(True)}, {ALERTS}
 SELECT bundle_name, alert_type, 'chat' AS channel, 'room-1' AS target, text_html AS body FROM alert_rows
 UNION ALL SELECT bundle_name, alert_type, 'chat_webhook', 'https://hooks.example/a',
   replace(replace(replace(regexp_replace(text_html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') FROM alert_rows
-UNION ALL SELECT bundle_name, alert_type, 'webhook', 'https://hooks.example/b', '{{"event":"' || event || '","payload":' || payload || '}}' FROM alert_rows"""
+UNION ALL SELECT bundle_name, alert_type, 'webhook', 'https://hooks.example/b', '{{"event":"' || event || '","payload":' || payload || ',"timestamp":"' || strftime({NOW}, '%Y-%m-%dT%H:%M:%S.000000+00:00') || '"}}' FROM alert_rows"""
 ORACLES["attention_alerts"] = f"""WITH {RUNS}, {BAD}, {_latest('bad', 'r')},
 f AS (SELECT bundle_name, coalesce(error_message, status) AS e FROM r)
 SELECT bundle_name, 'HUMAN_ATTENTION' AS event,
-  '🆘 <b>HUMAN INTERVENTION REQUIRED</b>' || chr(10) || '{LINE}' || chr(10) || '📦 <b>Bundle:</b> <code>' || bundle_name || '</code>' || chr(10)
-  || '🚨 <b>Status:</b> Circuit Breaker Exhausted (3/3 retries)' || chr(10) || '🕒 <b>Timestamp:</b> <code>' || strftime({NOW}, '%H:%M:%S (%d %b)') || '</code>'
-  || chr(10) || '{LINE}' || chr(10) || '📌 <b>Reason for Failure:</b>' || chr(10) || '<code>' || e || '</code>' || chr(10) || '{LINE}' || chr(10)
-  || '🛠️ <b>Manual Repair Command:</b>' || chr(10) || '<code>sitemill health --fix ' || bundle_name || '</code>' AS text_html,
+  '<b>' || bundle_name || '</b>: given up after 3 repairs at ' || {SENT} || chr(10) || 'Last error: <code>' || e || '</code>' || chr(10)
+  || 'Run <code>sitemill health --fix ' || bundle_name || '</code>' AS text_html,
   '{{"bundle_name":"' || bundle_name || '","retries_count":3,"last_error":"' || e || '"}}' AS payload FROM f"""
 ORACLES["repair_alerts"] = f"""WITH {RUNS}, f AS (SELECT bundle_name, count(*) AS n FROM runs GROUP BY bundle_name)
 SELECT bundle_name, 'AUTO_REPAIR_SUCCESS' AS event,
-  '✅ <b>SCRAPER AUTO-REPAIRED</b>' || chr(10) || '{LINE}' || chr(10) || '📦 <b>Bundle:</b> <code>' || bundle_name || '</code>' || chr(10)
-  || '🤖 <b>AI Provider:</b> <code>model</code>' || chr(10) || '🔄 <b>Attempt:</b> #1' || chr(10) || '🕒 <b>Timestamp:</b> <code>'
-  || strftime({NOW}, '%H:%M:%S (%d %b)') || '</code>' || chr(10) || '{LINE}' || chr(10) || '✨ <b>Repair Summary:</b>' || chr(10)
-  || '• Lines Modified: <b>' || n || ' lines</b>' AS text_html,
+  '<b>' || bundle_name || '</b>: repaired by <code>model</code> in attempt 1 at ' || {SENT} || chr(10) || 'Changed lines: ' || n AS text_html,
   '{{"bundle_name":"' || bundle_name || '","model_used":"model","attempt":1,"modified_lines_count":' || n || '}}' AS payload FROM f"""
 ORACLES["run_log_append"] = f"""WITH {RUNS}
 SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS dt, status, count(*) AS runs, CAST(sum(items_scraped) AS BIGINT) AS items,
@@ -302,7 +295,14 @@ ORACLES["feed_profile"] = f"WITH {FEED} {PROFILE}"
 ORACLES["feed_json_scan"] = ORACLES["feed_profile"]
 ORACLES["feed_normalized"] = f"WITH {NORM} SELECT * FROM norm"
 # A CSV file cannot tell an empty text from none.
-ORACLES["feed_csv_scan"] = f"WITH {NORM} SELECT row_id, nullif(sku, '') AS sku, gtin, brand, title, category, price, stock FROM norm"
+TAIL = """CASE p % 5 WHEN 0 THEN ' 5" screw, "best"' WHEN 1 THEN chr(10) || 'second, line' WHEN 2 THEN ' ' || chr(92) || ' "' WHEN 3 THEN '  ,  ' ELSE '' END"""
+
+
+def _awkward(sql: str) -> str:
+    return sql.replace("' ' || p_name AS title", f"' ' || p_name || {TAIL} AS title")
+
+
+ORACLES["feed_csv_scan"] = f"WITH {_awkward(NORM)} SELECT row_id, nullif(sku, '') AS sku, gtin, brand, title, category, price, stock FROM norm"
 ORACLES["gtin_check"] = f"""WITH {PREDS}
 SELECT row_id, CASE WHEN gtin IS NULL THEN NULL ELSE digits END AS digits, CASE WHEN gtin IS NULL THEN NULL ELSE valid END AS valid FROM checked"""
 ORACLES["rule_predictions"] = f"WITH {PREDS} SELECT row_id, rule_id, value, round(number, 4) AS number, CAST(confidence AS DOUBLE) AS confidence, message FROM preds"
@@ -313,13 +313,17 @@ ORACLES["qa_issues"] = f"WITH {QA} SELECT sku, field, severity, message FROM qa"
 ORACLES["qa_rollup"] = f"WITH {QA} SELECT * FROM totals"
 ORACLES["qa_gate"] = f"""WITH {QA} SELECT qa_errors = 0 AS passed, qa_errors, qa_warnings, quarantine_count,
   CASE WHEN qa_errors = 0 THEN 'No GTIN/price/SKU errors' ELSE qa_errors || ' QA errors — fix before export' END AS description FROM totals"""
+JSON_ROW = "'{' || concat_ws(',', '\"row_id\":' || row_id, " + ", ".join(
+    f"'\"{c}\":\"' || {c} || '\"'" if c not in ("price", "stock") else f"'\"{c}\":' || {c}"
+    for c in ("sku", "gtin", "brand", "title", "category", "price", "stock", "color")
+) + ") || '}'"
 ORACLES["staging_rows"] = f"""WITH {QA} SELECT 7 AS import_run_id, e.row_id,
   CASE WHEN quarantine THEN 'quarantine' WHEN e.row_id IN (SELECT row_id FROM qa WHERE severity = 'error') THEN 'failed' ELSE 'passed' END AS qa_status,
-  64 AS hash_chars FROM enriched e"""
+  sha256({JSON_ROW}) AS row_hash FROM enriched e"""
 # The export feed has no zero price, so a zero-priced row is no longer held back for it.
-ORACLES["catalog_export"] = f"""WITH {ENRICHED.replace("WHEN p % 13 = 12 THEN '0'", "WHEN p % 13 = 12 THEN NULL")}
-SELECT CASE WHEN quarantine THEN 'quarantine' ELSE 'catalog' END AS part, 'SKU-' || row_id AS sku FROM enriched
-UNION ALL SELECT 'passed', CAST(count(*) AS VARCHAR) FROM part"""
+ORACLES["catalog_export"] = f"""WITH {_awkward(ENRICHED).replace("WHEN p % 13 = 12 THEN '0'", "WHEN p % 13 = 12 THEN NULL")}
+SELECT CASE WHEN quarantine THEN 'quarantine' ELSE 'catalog' END AS part, 'SKU-' || row_id AS sku, title FROM enriched
+UNION ALL SELECT 'passed', CAST(count(*) AS VARCHAR), NULL FROM part"""
 ORACLES["brand_map_apply"] = """SELECT p_partkey, CASE WHEN length(p_brand) = 7 THEN 'House ' || substr(p_brand, 7, 1) ELSE p_brand END AS brand FROM part"""
 ORACLES["keyword_category"] = """WITH needles AS (SELECT DISTINCT lower(substr(split_part(p_name, ' ', -1), 1, 3)) AS needle FROM part),
 titles AS (SELECT DISTINCT p_name FROM part),
@@ -356,6 +360,10 @@ ORACLES["cdx_captures"] = f"WITH {CDX} SELECT * EXCLUDE (st) FROM captures WHERE
 ORACLES["cdx_unfiltered"] = f"WITH {CDX} SELECT * EXCLUDE (st) FROM captures"
 ORACLES["cdx_limited"] = f"""WITH {CDX} SELECT * EXCLUDE (st) FROM captures WHERE st = '200' AND contains(mime, 'text/html')
   AND ord IN (SELECT ord FROM lines ORDER BY ord LIMIT 100) ORDER BY ord LIMIT 20"""
+ORACLES["cdx_first"] = f"""WITH {CDX} SELECT * EXCLUDE (st) FROM captures WHERE st = '200' AND contains(mime, 'text/html') ORDER BY ord LIMIT 150"""
+ORACLES["cdx_dropped"] = "SELECT count(*) AS lines, 0::BIGINT AS blank, count(*) FILTER (page_id % 50 = 49) AS malformed FROM pages"
+ORACLES["shard_limit"] = """SELECT 'https://shards.example/cc-index/table/cc-main/warc/crawl=CC-MAIN-2024-46/subset=warc/part-' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.parquet' AS path
+FROM pages WHERE page_id % 2 = 0 AND page_id % 3 <> 0 AND page_id % 9 <> 8 ORDER BY page_id LIMIT 15"""
 ORACLES["record_locations"] = f"WITH {INDEX} SELECT url, 'https://data.commoncrawl.org/' || warc_filename AS record_url FROM idx"
 ORACLES["archive_records"] = """SELECT page_id, url, url AS target_uri, 200 AS status, md5(html) AS text_md5, length(html) AS chars, false AS charset_fallback
 FROM pages WHERE page_id % 40 <> 39 AND page_id % 25 <> 24"""
@@ -427,17 +435,22 @@ centroids AS (SELECT label AS query_id, list(x ORDER BY i) AS q FROM means GROUP
 
 
 def _knn(score: str, order: str, keep: str = "true") -> str:
-    return f"""WITH {CENTROIDS}, scored AS (SELECT query_id, id, {score} AS score FROM centroids, points)
-SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, id) AS INTEGER) AS rank
+    return f"""WITH {CENTROIDS}, scored AS (SELECT query_id, id, CAST(label AS VARCHAR) AS label, {score} AS score FROM centroids, points)
+SELECT query_id, id, label, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, id) AS INTEGER) AS rank
 FROM scored WHERE {keep} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score {order}, id) <= 10"""
 
 
 ORACLES["knn_cosine"] = _knn("list_cosine_similarity(q, v)", "DESC")
 ORACLES["knn_euclid"] = _knn("list_distance(q, v)", "ASC")
-ORACLES["knn_dot_threshold"] = _knn("list_inner_product(q, v)", "DESC", "score >= 0.3")
-ORACLES["point_upsert"] = """WITH batch AS (SELECT DISTINCT label * 100 AS id FROM embeddings)
-SELECT vec_id AS id, 64 AS dims, CASE WHEN vec_id IN (SELECT id FROM batch) THEN '' ELSE CAST(label AS VARCHAR) END AS label FROM embeddings
-UNION ALL SELECT id, 64, '' FROM batch WHERE id NOT IN (SELECT vec_id FROM embeddings)"""
+ORACLES["knn_dot_threshold"] = _knn("list_inner_product(q, v)", "DESC", "score >= 0.04")
+# A centroid replaces the point of its id; vectors are 32-bit.
+MERGED = """merged AS (
+  SELECT id, CASE WHEN q IS NULL THEN CAST(label AS VARCHAR) ELSE '' END AS label, coalesce(q, v)::FLOAT[] AS v FROM points LEFT JOIN (SELECT query_id * 100 AS id, q FROM centroids) c USING (id)
+  UNION ALL SELECT query_id * 100, '', q::FLOAT[] FROM centroids WHERE query_id * 100 NOT IN (SELECT id FROM points))"""
+ORACLES["point_upsert"] = f"""WITH {CENTROIDS}, {MERGED}
+SELECT id, label, CAST(i - 1 AS INTEGER) AS dim, round(CAST(v[i] AS DOUBLE), 5) AS x FROM merged, range(1, 65) t(i)"""
+ORACLES["collection_versions"] = f"""WITH {CENTROIDS}, {MERGED}
+SELECT label, count(*) AS points, 64 AS dims, 64 AS dim, 'Dot' AS metric FROM merged GROUP BY label"""
 # Vectors are 32-bit.
 ORACLES["embed_hash"] = """WITH terms AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS term FROM documents),
 dims AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS INTEGER) AS dim, count(*) AS n FROM terms WHERE term <> '' GROUP BY 1, 2)
@@ -448,10 +461,11 @@ MEDIA = """media AS (SELECT conv_id AS cluster_id, turn AS ord, CASE role WHEN '
 ORACLES["cluster_summary"] = f"""WITH {MEDIA}, kinds AS (SELECT cluster_id, coalesce(type, 'video') AS k, count(*) AS n FROM media GROUP BY 1, 2),
 lead AS (SELECT cluster_id, k AS primary_media_type FROM kinds QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, k) = 1),
 facts AS (SELECT cluster_id, arg_min(speech_transcript, ord) FILTER (WHERE speech_transcript <> '') AS s, arg_min(title, ord) FILTER (WHERE title <> '') AS t,
-  arg_min(ocr_text, ord) FILTER (WHERE ocr_text <> '') AS o, count(*) AS n, count(DISTINCT nullif(brand, '')) AS b FROM media GROUP BY cluster_id),
+  arg_min(ocr_text, ord) FILTER (WHERE ocr_text <> '') AS o, count(*) AS n, count(DISTINCT nullif(brand, '')) AS b, arg_min(brand, ord) FILTER (WHERE brand <> '') AS lead_brand FROM media GROUP BY cluster_id),
 hooked AS (SELECT *, coalesce(s, t, 'Discover the ultimate solution today.') AS hook, coalesce(o, 'SPECIAL OFFER 50% OFF') AS overlay FROM facts)
-SELECT cluster_id, 'success' AS status, NULL::VARCHAR AS message, primary_media_type, n AS analyzed_items_count, b AS brand_count, hook, overlay,
-  'Script for cluster #' || cluster_id || chr(10) || 'Voiceover: "' || hook || '"' || chr(10) || 'On-Screen Text: "' || overlay || '"' AS generated_script
+SELECT cluster_id, 'success' AS status, NULL::VARCHAR AS message, primary_media_type, n AS analyzed_items_count, b AS brand_count, lead_brand, hook, overlay,
+  'Script for cluster #' || cluster_id || chr(10) || 'Voiceover: "' || hook || '"' || chr(10) || 'On-Screen Text: "' || overlay || '"' AS generated_script,
+  'Product shot of ' || coalesce(lead_brand, 'modern product') || ' with the text "' || overlay || '"' AS visual_prompt
 FROM hooked JOIN lead USING (cluster_id)"""
 ORACLES["cluster_brands"] = f"WITH {MEDIA} SELECT DISTINCT cluster_id, brand FROM media WHERE brand <> ''"
 ORACLES["media_context"] = f"""WITH {MEDIA}, seen AS (SELECT cluster_id, trim(ocr_text, ' ' || chr(9) || chr(10) || chr(13)) AS t, min(ord) AS ord FROM media GROUP BY 1, 2),
@@ -467,24 +481,25 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS component, count(*) AS row_count FROM {t}" for t in TABLES)
 ORACLES["snapshot_manifest"] = f"SELECT component, row_count, CASE WHEN row_count > 0 THEN 'ok' ELSE 'empty' END AS status FROM ({COUNTS})"
 ORACLES["restore_status"] = f"SELECT 'complete' AS status, count(*) + 1 AS components, CAST(sum(row_count) AS BIGINT) AS row_count FROM ({COUNTS})"
+ORACLES["snapshot_rollup"] = f"SELECT 'partial' AS status, count(*) + 1 AS components, CAST(sum(row_count) AS BIGINT) AS row_count FROM ({COUNTS})"
 ORACLES["json_payloads"] = "SELECT page_id, url, md5(html) AS html_md5 FROM pages"
 CARD = """'<div class="card">' || chr(10) || '<h2>' || company_name || '</h2>' || chr(10) || '<p>' || summary || '</p>' || chr(10) || '<a href="' || source_url || '">' || source_url || '</a>' || chr(10) || '</div>'"""
 ORACLES["report_cards"] = f"WITH {ITEMS} SELECT company_name, {CARD} AS card FROM cur"
-ORACLES["report_page"] = f"""WITH {ITEMS}, top AS (SELECT *, {CARD} AS card FROM cur ORDER BY created_at DESC, company_name LIMIT 50)
-SELECT '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head><meta charset="utf-8"><title>Scraped items</title></head>' || chr(10)
-  || '<body>' || chr(10) || '<h1>Scraped items</h1>' || chr(10) || '<p class="subtitle">' || (SELECT count(*) FROM cur) || ' row(s)</p>' || chr(10)
-  || string_agg(card, chr(10) ORDER BY created_at DESC, company_name) || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM top"""
+ORACLES["report_page"] = f"""WITH {ITEMS}, n AS (SELECT count(*) AS n FROM cur)
+SELECT 0::BIGINT AS position, '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10) || '<head><meta charset="utf-8"><title>Scraped items</title></head>' || chr(10)
+  || '<body>' || chr(10) || '<h1>Scraped items</h1>' || chr(10) || '<p class="subtitle">' || n || ' row(s)</p>' AS html FROM n
+UNION ALL SELECT row_number() OVER (ORDER BY created_at DESC, company_name), {CARD} FROM cur
+UNION ALL SELECT n + 1, '</body>' || chr(10) || '</html>' FROM n"""
 
 # Streams: the batch equivalent
 
 ORACLES["stream_log_errors"] = f"WITH {LINES} SELECT bundle_name, message FROM log_errors"
-ORACLES["stream_health"] = f"""WITH {RUNS}, {VIEW}, s AS (
-  SELECT r.bundle_name, total_runs_24h AS total, success_runs_24h, anomaly_runs_24h AS anomaly, failed_runs_24h AS failed, last_success_timestamp AS ok,
-    CASE WHEN CAST(right(r.bundle_name, 2) AS INTEGER) % 2 = 0 THEN 6 ELSE 12 END AS sla,
-    CASE WHEN CAST(right(r.bundle_name, 2) AS INTEGER) % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS ratio FROM rollup_all r WHERE total_runs_24h > 0
-)
-SELECT bundle_name, CASE WHEN (failed > 0 AND failed / greatest(1, total) >= ratio) OR ok IS NULL OR (epoch_us({NOW}) - epoch_us(ok)) / 3.6e9 > sla THEN 'CRITICAL'
-  WHEN anomaly > 0 AND anomaly / greatest(1, total) >= ratio THEN 'DEGRADED' ELSE 'HEALTHY' END AS status,
-  total AS total_runs_24h, success_runs_24h, failed AS failed_runs_24h FROM s
-UNION ALL SELECT bundle_name, 'UNKNOWN', 0, 0, 0 FROM rollup_all WHERE total_runs_24h = 0"""
+ORACLES["stream_health"] = f"""WITH {_health(False)}
+SELECT bundle_name, status, total AS total_runs_24h, success AS success_runs_24h, failed AS failed_runs_24h FROM health"""
 ORACLES["stream_telemetry"] = f"""WITH {RUNS} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS dt, bundle_name, count(*) AS runs, CAST(sum(items_scraped) AS BIGINT) AS items FROM runs GROUP BY 1, 2"""
+ORACLES["stream_trailing"] = f"""WITH {RUNS}, buckets AS (
+  SELECT bundle_name, (CAST(floor(epoch(created_at) / 300) AS BIGINT) + 1) * 300 AS as_of, count(*) AS t, count(*) FILTER (status = 'SUCCESS') AS s,
+    count(*) FILTER (status IN ('ZERO_ROWS', 'DEGRADED')) AS a, count(*) FILTER (status = 'FAILED') AS f FROM runs GROUP BY ALL)
+SELECT bundle_name, as_of, CAST(sum(t) OVER w AS BIGINT) AS total_runs_24h, CAST(sum(s) OVER w AS BIGINT) AS success_runs_24h,
+  CAST(sum(a) OVER w AS BIGINT) AS anomaly_runs_24h, CAST(sum(f) OVER w AS BIGINT) AS failed_runs_24h
+FROM buckets WINDOW w AS (PARTITION BY bundle_name ORDER BY as_of RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)"""

@@ -72,11 +72,7 @@ def health_status_logs(spark, sf):
 
 @query
 def health_issues(spark, sf):
-    # The one message with a rounded number is checked as a number in health_status.
-    return health.issues(_health(spark, sf, logs=True)).withColumn(
-        "message",
-        F.when(F.col("alert_type") == "SLA_STALENESS_EXCEEDED", F.lit("stale")).otherwise(F.col("message")),
-    )
+    return health.issues(_health(spark, sf, logs=True))
 
 
 @query
@@ -101,6 +97,7 @@ def health_digest(spark, sf):
         "success_24h",
         "items_24h",
         F.size("issues").alias("issues_shown"),
+        F.array_join("issues", " / ").alias("issue_texts"),
         F.col("last_log.status").alias("last_status"),
         F.col("last_log.error_message").alias("last_error"),
         F.col("last_log.created_at").alias("last_at"),
@@ -159,11 +156,7 @@ def log_errors(spark, sf):
 
 
 def _alerts(spark, sf):
-    issues = health.issues(_health(spark, sf, logs=True)).withColumn(
-        "message",
-        F.when(F.col("alert_type") == "SLA_STALENESS_EXCEEDED", F.lit("stale")).otherwise(F.col("message")),
-    )
-    return alerts.degradation_alerts(issues, A.as_of())
+    return alerts.degradation_alerts(health.issues(_health(spark, sf, logs=True)), A.as_of())
 
 
 @query
@@ -179,7 +172,7 @@ def alerts_fanout(spark, sf):
         ("webhook", "https://hooks.example/b"),
         ("webhook", "https://hooks.example/b"),
     ]
-    return alerts.fan_out(_alerts(spark, sf), channels).select("bundle_name", "alert_type", "channel", "target", "body")
+    return alerts.fan_out(_alerts(spark, sf), channels, A.as_of()).select("bundle_name", "alert_type", "channel", "target", "body")
 
 
 @query
@@ -235,10 +228,9 @@ def feed_normalized(spark, sf):
 
 @query
 def feed_csv_scan(spark, sf):
+    """Titles with doubled quotes, commas, line breaks and padding, written and read as CSV."""
     path = scratch_path(spark, "feed") + ".csv"
-    A.feed(spark, sf).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(path)
+    feeds.export_csv(A.awkward_titles(A.feed(spark, sf)), path)
     return catalog.normalize(feeds.read_feed(spark, path)).withColumn("row_id", F.col("row_id").cast("long"))
 
 
@@ -308,23 +300,22 @@ def qa_gate(spark, sf):
 def catalog_export(spark, sf):
     """The whole catalog job on rows that can pass the gate; the exported files counted."""
     out = scratch_path(spark, "catalog")
-    feed = A.feed(spark, sf).withColumns(
+    feed = A.awkward_titles(A.feed(spark, sf)).withColumns(
         {"price": F.when(F.col("price") == "0", F.lit(None)).otherwise(F.col("price")),
          "stock": F.lit("1"), "sku": F.concat(F.lit("SKU-"), F.col("row_id").cast("string"))}
     )
     catalog.run(feed, out, "feed.csv", rules=_rules())
     parts = [
-        spark.read.option("header", True).csv(f"{out}/{n}.csv").select(F.lit(n).alias("part"), "sku")
-        for n in ("catalog", "quarantine")
+        feeds.read_feed(spark, f"{out}/{n}.csv").select(F.lit(n).alias("part"), "sku", "title") for n in ("catalog", "quarantine")
     ]
     ledger = spark.read.parquet(f"{out}/import_runs")
-    ledger = ledger.select(F.col("status").alias("part"), F.col("row_count").cast("string").alias("sku"))
+    ledger = ledger.select(F.col("status").alias("part"), F.col("row_count").cast("string").alias("sku"), F.lit(None).cast("string").alias("title"))
     return parts[0].unionByName(parts[1]).unionByName(ledger)
 
 
 @query
 def staging_rows(spark, sf):
-    return catalog.staging(_enriched(spark, sf), 7).select("import_run_id", "row_id", "qa_status", F.length("row_hash").alias("hash_chars"))
+    return catalog.staging(_enriched(spark, sf), 7).select("import_run_id", "row_id", "qa_status", "row_hash")
 
 
 @query
@@ -392,7 +383,16 @@ def shard_list(spark, sf):
     path = scratch_path(spark, "manifest")
     lines = A.manifest_lines(spark, sf).repartitionByRange("page_id").sortWithinPartitions("page_id")
     lines.select("value").write.option("compression", "gzip").text(path)
-    return crawl.shards(spark, path, "CC-MAIN-2024-46", max_shards=None)
+    return crawl.shards(spark, path, "CC-MAIN-2024-46")
+
+
+@query
+def shard_limit(spark, sf):
+    """The first shards of a manifest in one file, in its order."""
+    path = scratch_path(spark, "manifest")
+    lines = A.manifest_lines(spark, sf).orderBy("page_id").coalesce(1)
+    lines.select("value").write.text(path)
+    return crawl.shards(spark, path, "CC-MAIN-2024-46", max_shards=15, base="https://shards.example")
 
 
 @query
@@ -407,7 +407,17 @@ def cdx_unfiltered(spark, sf):
 
 @query
 def cdx_limited(spark, sf):
-    return crawl.cdx_captures(A.capture_lines(spark, sf), limit=20, order="ord")
+    return crawl.cdx_captures(A.capture_lines(spark, sf), limit=20, order="ord", service_limits=True)
+
+
+@query
+def cdx_first(spark, sf):
+    return crawl.cdx_captures(A.capture_lines(spark, sf), limit=150, order="ord")
+
+
+@query
+def cdx_dropped(spark, sf):
+    return crawl.dropped_captures(A.capture_lines(spark, sf))
 
 
 @query
@@ -589,12 +599,13 @@ def knn_euclid(spark, sf):
 
 @query
 def knn_dot_threshold(spark, sf):
-    return _knn(spark, sf, "Dot", 0.3)
+    return _knn(spark, sf, "Dot", 0.04)
 
 
 def _knn(spark, sf, metric, threshold=None):
-    found = vectors.search(A.points(spark, sf), A.centroids(spark, sf), 10, metric, threshold)
-    return found.withColumn("score", F.round("score", 6))
+    points = A.points(spark, sf).withColumn("payload", F.create_map(F.lit("label"), F.col("label").cast("string")))
+    found = vectors.search(points, A.centroids(spark, sf), 10, metric, threshold, payload="payload")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank", F.col("payload")["label"].alias("label"))
 
 
 @query
@@ -607,7 +618,25 @@ def point_upsert(spark, sf):
         (F.col("query_id") * 100).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")
     )
     out = vectors.merge_points(current, vectors.check_dimension(batch, 64))
-    return out.select("id", F.size("vector").alias("dims"), F.coalesce(F.col("payload")["label"], F.lit("")).alias("label"))
+    return out.select("id", F.coalesce(F.col("payload")["label"], F.lit("")).alias("label"), F.posexplode("vector").alias("dim", "x")).withColumn(
+        "x", F.round(F.col("x").cast("double"), 5)
+    )
+
+
+@query
+def collection_versions(spark, sf):
+    """A collection made, filled with all points, then updated by the centroids of all labels."""
+    root = scratch_path(spark, "collection")
+    vectors.create_collection(spark, root, 64, "Dot")
+    points = A.points(spark, sf).select("id", "vector", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("payload"))
+    vectors.upsert_points(spark, root, points, 1)
+    batch = A.centroids(spark, sf).select((F.col("query_id") * 100).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
+    vectors.upsert_points(spark, root, batch, 2)
+    dim, metric = vectors.collection_meta(spark, root)
+    stored = merge.read_version(spark, root)
+    return stored.groupBy(F.coalesce(F.col("payload")["label"], F.lit("")).alias("label")).agg(
+        F.count("*").alias("points"), F.max(F.size("vector")).alias("dims")
+    ).withColumns({"dim": F.lit(dim), "metric": F.lit(metric)})
 
 
 @query
@@ -669,6 +698,12 @@ def restore_status(spark, sf):
     return snapshot.restore_status(restored)
 
 
+@query
+def snapshot_rollup(spark, sf):
+    tables = {n: A.table(spark, sf, n) for n in TABLES} | {"none": A.table(spark, sf, "region").where("r_regionkey < 0")}
+    return snapshot.snapshot_status(snapshot.write(tables, scratch_path(spark, "snapshot")))
+
+
 @query
 def json_payloads(spark, sf):
     path = scratch_path(spark, "payloads")
@@ -684,7 +719,7 @@ def report_cards(spark, sf):
 
 @query
 def report_page(spark, sf):
-    return report.page(A.items_current(spark, sf), limit=50)
+    return report.page(A.items_current(spark, sf))
 
 
 # Streams
@@ -711,6 +746,24 @@ def stream_health(spark, sf):
     return done.select("bundle_name", "status", "total_runs_24h", "success_runs_24h", "failed_runs_24h")
 
 
+@query
+def stream_trailing(spark, sf):
+    """Five-minute buckets counted by a stream; the trailing day at the end of each."""
+    root = scratch_path(spark, "stream-trailing")
+    runs = A.runs(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    last = runs.agg(F.max("created_at")).select(F.lit(-1).cast("long").alias("id"), F.lit("clock").alias("bundle_name"), (F.col("max(created_at)") + F.expr("INTERVAL 2 DAYS")).alias("created_at"))
+    runs.select("id", "bundle_name", "status", "created_at").write.parquet(f"{root}/in")
+    # A later row closes the last buckets.
+    last.withColumn("status", F.lit("SUCCESS")).select("id", "bundle_name", "status", "created_at").write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema("id long, bundle_name string, status string, created_at timestamp").parquet(f"{root}/in")
+    buckets = stream_jobs.bucket_rollup(stream)
+    buckets.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    done = stream_jobs.trailing_rollup(spark.read.parquet(f"{root}/out").where("bundle_name <> 'clock'"))
+    return done.withColumn("as_of", F.unix_seconds("as_of"))
+
+
 def stream_health_job(spark, sf, stream, root):
     return stream_jobs.evaluate_health(
         stream, f"{root}/state", f"{root}/checkpoint", A.bundles(spark, sf), A.settings(spark, sf), A.as_of(), once=True

@@ -32,7 +32,7 @@ ISSUE_ANOMALY = (
 ISSUE_FAILURE = (
     "High failure rate (%d/%d runs FAILED, threshold: %d%%). Check error_message / stdout logs."
 )
-ISSUE_STALE = "Staleness SLA breached! Last successful run was %.1f hours ago (SLA: %dh)."
+ISSUE_STALE = "Staleness SLA breached! Last successful run was %s hours ago (SLA: %dh)."
 ISSUE_NEVER = (
     "No successful run has ever been recorded for '%s' (%d run(s) in the last 24h, none SUCCESS)."
 )
@@ -49,7 +49,6 @@ CRAWL_HTTPS_BASE = "https://data.commoncrawl.org"
 CRAWL_INDEX_PREFIX = "s3://commoncrawl/cc-index/table/cc-main/warc"
 CRAWL_MANIFEST_NAME = "cc-index-table.paths.gz"
 DEFAULT_SUBSET = "warc"
-DEFAULT_MAX_SHARDS = 8
 CDX_MAX_ROWS = 10_000
 CDX_OVERFETCH = 5
 
@@ -69,13 +68,13 @@ CATEGORY_KEYWORDS = [
 ]
 CONFIDENCE_FLOOR = 0.65
 PRICE_CEILING = 100_000
-PROFILE_COLUMNS = 20
 FUZZY_THRESHOLD = 90
 
 # Cluster summary defaults.
 DEFAULT_HOOK = "Discover the ultimate solution today."
 DEFAULT_OVERLAY = "SPECIAL OFFER 50% OFF"
 DEFAULT_MEDIA_TYPE = "video"
+DEFAULT_SUBJECT = "modern product"
 
 # Fixed value: the code points a Unicode strip removes.
 WHITESPACE = "".join(

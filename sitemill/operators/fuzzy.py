@@ -14,9 +14,8 @@ from pyspark.sql import types as T
 from sitemill.constants import FUZZY_THRESHOLD
 from sitemill.functions.text import strip
 from sitemill.operators.ranking import one_per_key
-from sitemill.session import materialize, spread
+from sitemill.session import materialize
 
-LOCAL_EDGES = 200_000
 FIRST_BATCH = 4096
 HOT_PAIRS = 1_000_000
 
@@ -103,7 +102,7 @@ def _meet(
     met = []
 
     def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-        return spread(a, *bucket).join(spread(b.drop("d"), *bucket), bucket)
+        return a.join(b.drop("d"), bucket)
 
     for cut in range(cuts):
         short, long = _cut(short, "a"), _cut(long, "b").distinct()
@@ -162,28 +161,16 @@ def similar_pairs(
     )
 
 
-def _local_dropped(edges: pd.DataFrame) -> pd.DataFrame:
-    """Keys dropped when going through ``early, late, pos`` (of late) in order."""
-    dropped: set = set()
-    for late, group in edges.sort_values("pos", kind="stable").groupby("late", sort=False):
-        if any(e not in dropped for e in group["early"]):
-            dropped.add(late)
-    return pd.DataFrame({"key": list(dropped)}, dtype=object)
-
-
-def first_independent(
-    nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES
-) -> DataFrame:
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes kept by going through all in order and dropping those with a kept neighbour.
 
     ``nodes`` has ``key``; ``edges`` has ``early, late`` keys and ``pos`` of the late one.
     Every round keeps the nodes with no undecided earlier neighbour and drops their
-    neighbours, all at once; the rest is written to the shared folder to cut lineage. Once
-    no more than ``local_edges`` remain, one task goes through them in order.
+    neighbours, all at once; the rest is written to the shared folder to cut lineage.
     """
     undecided, edges = nodes.select("key"), edges.select("early", "late", "pos")
     result = []
-    while (left := edges.count()) > local_edges:
+    while not edges.isEmpty():
         kept = undecided.join(edges.select(F.col("late").alias("key")), "key", "left_anti")
         kept = materialize(kept, "kept")
         result.append(kept)
@@ -194,9 +181,6 @@ def first_independent(
             undecided, F.col("late") == F.col("key"), "left_semi"
         )
         edges = materialize(edges, "edges")
-    if left:
-        rest = edges.withColumn("g", F.lit(True)).groupBy("g").applyInPandas(_local_dropped, "key string")
-        undecided = undecided.join(rest, "key", "left_anti")
     return reduce(DataFrame.unionByName, [*result, undecided])
 
 
@@ -204,7 +188,6 @@ def canonical_keys(
     nodes: DataFrame,
     threshold: int = FUZZY_THRESHOLD,
     first_batch: int = FIRST_BATCH,
-    local_edges: int = LOCAL_EDGES,
     hot: int = HOT_PAIRS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The keys of ``key, pos`` that become canonical when all are read by ``pos``; and, when
@@ -234,7 +217,7 @@ def canonical_keys(
             "score",
         )
         edges = materialize(edges, "edges")
-        new = materialize(first_independent(batch, edges, local_edges).select("key"), "canonical")
+        new = materialize(first_independent(batch, edges).select("key"), "canonical")
         canon.append(new)
         if later is None and len(canon) == 1:
             return new, edges.select("early", "late", "score")
@@ -252,7 +235,6 @@ def canonicalize(
     order_by: str,
     threshold: int = FUZZY_THRESHOLD,
     first_batch: int = FIRST_BATCH,
-    local_edges: int = LOCAL_EDGES,
     hot: int = HOT_PAIRS,
 ) -> DataFrame:
     """Map every raw label to its canonical one: ``raw, canonical, score``.
@@ -276,7 +258,7 @@ def canonicalize(
         "key", F.col("first").alias("pos"), F.col("label").alias("canonical")
     )
     nodes = materialize(nodes, "nodes")
-    keys, pairs = canonical_keys(nodes, threshold, first_batch, local_edges, hot)
+    keys, pairs = canonical_keys(nodes, threshold, first_batch, hot)
     canon = materialize(nodes.join(keys, "key", "left_semi"), "canonical")
 
     if pairs is None:

@@ -43,45 +43,51 @@ def context(df: DataFrame, key: str, order: str, text: str, brand: Column, speec
     )
 
 
-def _first(value: Column, order: str) -> Column:
-    """Aggregate: the first non-empty value in ``order``, by a struct minimum."""
-    filled = blank_to_null(value)
-    return F.min(F.when(filled.isNotNull(), F.struct(F.col(order), filled.alias("v"))))["v"]
-
-
 def cluster_brands(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """Distinct non-empty brands, one row each: a cluster may have any number."""
     return df.select(cluster, blank_to_null(F.col("brand")).alias("brand")).dropna().distinct()
 
 
 def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", known: DataFrame | None = None) -> DataFrame:
-    """Summary per cluster: hook, overlay text, leading media type, brand and item counts, script.
+    """Summary per cluster: hook, overlay text, leading media type and brand, counts, script and visual prompt.
 
-    The hook is the first speech, else the first title, else a default. A cluster of
-    ``known`` without items gets an error row.
+    The hook is the first speech, else the first title, else a default; the lead brand is the first
+    one named. A cluster of ``known`` without items gets an error row. One scan: items are reduced
+    per (cluster, type, brand), and those rows per cluster.
     """
-    kind = F.coalesce("type", F.lit(K.DEFAULT_MEDIA_TYPE))
-    counts = df.groupBy(cluster, kind.alias("_kind")).agg(F.count("*").alias("_n"))
-    # Most frequent type, the smallest name among equals.
-    leading = counts.groupBy(cluster).agg(F.min(F.struct(-F.col("_n"), F.col("_kind").alias("k")))["k"].alias("primary_media_type"))
-    brands = cluster_brands(df, cluster).groupBy(cluster).agg(F.count("*").alias("brand_count"))
-    facts = df.groupBy(cluster).agg(
-        _first(F.col("speech_transcript"), order).alias("_speech"),
-        _first(F.col("title"), order).alias("_title"),
-        _first(F.col("ocr_text"), order).alias("_overlay"),
-        F.count("*").alias("analyzed_items_count"),
+    first = {"speech": "speech_transcript", "title": "title", "overlay": "ocr_text"}
+
+    def at(value: Column) -> Column:
+        return F.min(F.when(value.isNotNull(), F.struct(F.col(order).alias("at"), value.alias("v"))))
+
+    kind, brand = F.coalesce("type", F.lit(K.DEFAULT_MEDIA_TYPE)), blank_to_null(F.col("brand"))
+    parts = df.groupBy(cluster, kind.alias("kind"), brand.alias("named")).agg(
+        F.count("*").alias("n"), F.min(order).alias("named_at"), *[at(blank_to_null(F.col(c))).alias(k) for k, c in first.items()]
+    )
+    kinds = parts.groupBy(cluster, "kind").agg(
+        F.sum("n").alias("n"),
+        F.collect_set("named").alias("named"),  # a cluster names a handful of brands
+        F.min(F.when(F.col("named").isNotNull(), F.struct("named_at", "named"))).alias("lead"),
+        *[F.min(k).alias(k) for k in first],
+    )
+    rows = kinds.groupBy(cluster).agg(
+        # Most frequent type, the smallest name among equals.
+        F.min(F.struct(-F.col("n"), F.col("kind").alias("k")))["k"].alias("primary_media_type"),
+        F.sum("n").alias("analyzed_items_count"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("named")))).cast("long").alias("brand_count"),
+        F.min("lead")["named"].alias("lead_brand"),
+        *[F.min(k)["v"].alias(f"_{k}") for k in first],
     )
-    rows = facts.join(leading, cluster).join(brands, cluster, "left")
     if known is not None:
         rows = known.select(cluster).distinct().join(rows, cluster, "left")
     found = F.col("analyzed_items_count").isNotNull()
     hook = F.coalesce("_speech", "_title", F.lit(K.DEFAULT_HOOK))
     overlay = F.coalesce("_overlay", F.lit(K.DEFAULT_OVERLAY))
-    # The script layout.
     script = F.format_string(
         'Script for cluster #%s\nVoiceover: "%s"\nOn-Screen Text: "%s"',
         F.col(cluster).cast("string"), hook, overlay,
     )
+    prompt = F.format_string('Product shot of %s with the text "%s"', F.coalesce("lead_brand", F.lit(K.DEFAULT_SUBJECT)), overlay)
     return rows.select(
         cluster,
         F.when(found, "success").otherwise("error").alias("status"),
@@ -89,7 +95,9 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
         "primary_media_type",
         "analyzed_items_count",
         F.when(found, F.coalesce("brand_count", F.lit(0))).alias("brand_count"),
+        "lead_brand",
         F.when(found, hook).alias("hook"),
         F.when(found, overlay).alias("overlay"),
         F.when(found, script).alias("generated_script"),
+        F.when(found, prompt).alias("visual_prompt"),
     )

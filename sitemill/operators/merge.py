@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.operators.ranking import number_rows, one_per_key
-from sitemill.session import fits_broadcast
+from sitemill.session import materialize
 
 
 def dedupe_last(batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -54,36 +54,25 @@ def upsert(
     added rows, and ``id_column`` numbers them after the current maximum. ``update=None``
     replaces every non-key column. Without ``order`` the batch must have unique keys.
 
-    A batch under the broadcast threshold is merged without moving the table; a larger
-    one is merged by one full outer join.
+    The batch is reduced and written first, so the size that Spark plans the joins with is that of a
+    file and not a guess: a small batch leaves the table where it is, a large one moves both. The
+    table is read once in full and once for its keys.
     """
     keys = list(keys)
-    small = fits_broadcast(batch)
     batch = _require_keys(batch, keys)
     if order is not None:
         batch = dedupe_last(batch, keys, order)
+    batch = materialize(batch, "merge-batch")
     update = [c for c in current.columns if c not in keys] if update is None else list(update)
     incoming = batch.select(
         *keys, F.struct(*[F.col(c) for c in update]).alias("_new")
     )
 
-    def updated(df: DataFrame) -> list[Column]:
-        known = F.col("_new").isNotNull()
-        return [
-            F.when(known, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in update else F.col(c)
-            for c in current.columns
-        ]
-
-    if small:
-        kept = current.join(F.broadcast(incoming), keys, "left")
-        seen = current.select(*keys).join(F.broadcast(incoming.select(*keys)), keys, "left_semi")
-        added = batch.join(seen, keys, "left_anti")
-        kept = kept.select(*updated(kept))
-    else:
-        rows = current.withColumn("_old", F.lit(True)).join(incoming, keys, "full_outer")
-        kept = rows.filter("_old").select(*updated(rows))
-        added = rows.filter("_old IS NULL").select(*keys, "_new.*")
-
+    rows = current.join(incoming, keys, "left")
+    known = F.col("_new").isNotNull()
+    kept = rows.select(*[F.when(known, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in update else F.col(c) for c in current.columns])
+    seen = current.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    added = batch.join(seen, keys, "left_anti").select(*keys, *update)
     added = added.withColumns(new_values or {})
     added = _aligned(added, current.columns, current.schema)
     if id_column is not None:
@@ -97,11 +86,8 @@ def upsert(
 def insert_ignore(current: DataFrame, batch: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The table plus the first batch row of each key it does not have yet."""
     keys = list(keys)
-    fresh = dedupe_first(batch, keys, order)
-    if fits_broadcast(batch):
-        known = current.select(*keys).join(F.broadcast(fresh.select(*keys)), keys, "left_semi")
-    else:
-        known = current.select(*keys)
+    fresh = materialize(dedupe_first(batch, keys, order), "merge-batch")
+    known = current.select(*keys).join(fresh.select(*keys), keys, "left_semi")
     added = fresh.join(known, keys, "left_anti")
     return current.unionByName(_aligned(added, current.columns, current.schema))
 

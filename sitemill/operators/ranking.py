@@ -31,7 +31,7 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     newest = df.groupBy(F.col(key).alias("_k")).agg(F.max(ts).alias("_t"))
     newest = materialize(newest, "newest")
     at_newest = df.join(
-        newest, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left_semi"
+        newest, F.col(key).eqNullSafe(F.col("_k")) & F.col(ts).eqNullSafe(F.col("_t")), "left_semi"
     )
     return one_per_key(at_newest, [key], [F.col(ts).desc(), F.col(tie).desc()])
 

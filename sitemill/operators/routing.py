@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitemill.functions.text import routing_host, strip
+from sitemill.functions.text import page_urls, routing_host, strip
 from sitemill.operators.ranking import one_per_key
 from sitemill.session import materialize
 
@@ -52,3 +54,14 @@ def route(pages: DataFrame, registry: DataFrame, url: str = "url") -> DataFrame:
     table = one_per_key(found, ["_host", "_bare"], order).select("_host", "_bare", "extractor_id")
     table = materialize(table, "routes")
     return keyed.join(table, ["_host", "_bare"], "left").drop("_host", "_bare")
+
+
+def extractor_page_urls(routed: DataFrame, max_pages: Column, pagers: dict[str, Callable[[Column, Column], Column]], url: str = "url", extractor: str = "extractor_id") -> DataFrame:
+    """Adds ``page_urls``: those of the row's extractor, or the generic ``?page=`` form without one.
+
+    ``pagers`` maps extractor ids to column functions of (base URL, number of pages).
+    """
+    found = page_urls(F.col(url), max_pages)
+    for name, pager in pagers.items():
+        found = F.when(F.col(extractor) == name, pager(F.col(url), max_pages)).otherwise(found)
+    return routed.withColumn("page_urls", found)

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitemill.operators.merge import read_version, upsert, write_version
-from sitemill.session import spread
+from sitemill.session import materialize
 
 # Metric names (anything else means Cosine) and search defaults.
 METRICS = ("Cosine", "Euclid", "Dot")
 DEFAULT_K = 10
-QUERY_BYTES = 64 * 1024 * 1024
+#: Queries that are sent to every task, and that one block holds.
+QUERY_BYTES = 16 * 1024 * 1024
+#: Points of a block, and scores that are computed at once.
+POINT_BLOCK, TILE_CELLS = 8_192, 1 << 21
 
 POINTS = "id bigint, vector array<float>, payload map<string,string>"
 
@@ -80,38 +83,70 @@ def _scores(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
     return queries @ points.T
 
 
-def _nearest(
-    points: DataFrame, qids: list, matrix: np.ndarray, qid_type: str, k: int, metric: str, threshold: float | None
-) -> DataFrame:
-    """The ``k`` nearest points to each broadcast query within every task."""
-    sent = points.sparkSession.sparkContext.broadcast(matrix)
-    floor = None if threshold is None else (-threshold if metric == "Euclid" else threshold)
+def _best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` rows of each query with the greatest ``near``, the smallest id among equals."""
+    ordered = rows.sort_values(["q", "near", "id"], ascending=[True, False, True])
+    return ordered[ordered.groupby("q").cumcount() < k]
+
+
+def _hits(queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, metric: str, floor: float | None) -> pd.DataFrame:
+    """``q, id, near``: for each query the points up to the k-th nearest, with all that tie with it.
+
+    Scores are computed for as many queries at once as ``TILE_CELLS`` allows.
+    """
+    found, step = [], max(1, TILE_CELLS // max(1, len(points)))
+    for i in range(0, len(queries), step):
+        near = _scores(queries[i : i + step], points, metric)
+        least = np.partition(near, -k, axis=1)[:, -k, None] if near.shape[1] > k else -np.inf
+        keep = near >= least if floor is None else (near >= least) & (near >= floor)
+        q, p = np.nonzero(keep)
+        found.append(pd.DataFrame({"q": q + i, "id": ids[p], "near": near[q, p]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def _answer(best: pd.DataFrame, qids: np.ndarray, metric: str) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": qids[best["q"]], "id": best["id"], "score": -best["near"] if metric == "Euclid" else best["near"]})
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
+def _broadcast_search(points: DataFrame, queries: list, k: int, metric: str, floor: float | None, schema: str) -> DataFrame:
+    """Every task holds all queries and keeps ``k`` rows for each."""
+    sent = points.sparkSession.sparkContext.broadcast(
+        (np.array([r["query_id"] for r in queries], dtype=object), np.array([r["vector"] for r in queries], dtype=np.float64))
+    )
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries = sent.value
-        best = [(np.empty(0), np.empty(0, dtype=object)) for _ in qids]
+        qids, matrix = sent.value
+        best = None
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch["id"].to_numpy(dtype=object)
-            scores = _scores(queries, np.stack(batch["vector"]).astype(np.float64), metric)
-            for q, row in enumerate(scores):
-                s, i = np.concatenate([best[q][0], row]), np.concatenate([best[q][1], ids])
-                if floor is not None:
-                    near = s >= floor
-                    s, i = s[near], i[near]
-                if len(s) > k:
-                    # Everything tied with the k-th stays until ids settle the order.
-                    near = s >= np.partition(s, -k)[-k]
-                    s, i = s[near], i[near]
-                order = sorted(range(len(s)), key=lambda j: (-s[j], i[j]))[:k]
-                best[q] = (s[order], i[order])
-        for q, (s, i) in enumerate(best):
-            if len(s):
-                yield pd.DataFrame({"query_id": qids[q], "id": i, "score": -s if metric == "Euclid" else s})
-
-    id_type = points.schema["id"].dataType.simpleString()
-    return points.select("id", "vector").mapInPandas(local, f"query_id {qid_type}, id {id_type}, score double")
+            if len(batch):
+                new = _hits(matrix, batch["id"].to_numpy(dtype=object), _stacked(batch["vector"]), k, metric, floor)
+                best = _best(new if best is None else pd.concat([best, new]), k)
+        if best is not None:
+            yield _answer(best, qids, metric)
+
+    return points.mapInPandas(local, schema)
+
+
+def _blocked_search(points: DataFrame, queries: DataFrame, blocks: int, k: int, metric: str, floor: float | None, schema: str) -> DataFrame:
+    """Points and queries in blocks; each pair of blocks is one group of bounded size."""
+    sides = max(1, -(-points.count() // POINT_BLOCK))
+    of_points = points.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(sides))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    of_queries = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn(
+        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sides - 1).cast("long")))
+    )
+
+    def pair(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        qids = asked["query_id"].to_numpy(dtype=object)
+        if not len(own) or not len(asked):
+            return pd.DataFrame({"query_id": qids[:0], "id": own["id"][:0], "score": np.zeros(0)})
+        best = _best(_hits(_stacked(asked["vector"]), own["id"].to_numpy(dtype=object), _stacked(own["vector"]), k, metric, floor), k)
+        return _answer(best, qids, metric)
+
+    return of_points.groupBy("p", "b").cogroup(of_queries.groupBy("p", "b")).applyInPandas(pair, schema)
 
 
 def search(
@@ -120,37 +155,39 @@ def search(
     k: int = DEFAULT_K,
     metric: str = "Cosine",
     threshold: float | None = None,
+    payload: str | None = None,
 ) -> DataFrame:
-    """Exact ``k`` nearest points per query: ``query_id, id, score, rank``.
+    """Exact ``k`` nearest points per query: ``query_id, id, score, rank`` and the ``payload`` column of the point.
 
     ``points`` has ``id, vector``; ``queries`` has ``query_id, vector``. Cosine and Dot rank
     by falling score and keep scores of at least ``threshold``, Euclid by rising distance
     up to it; ties by id. Each task keeps ``k`` rows per query, so only those are shuffled.
 
-    The query matrix is broadcast in blocks of at most 64 MB; more queries mean one more
-    scan of the points per block, and the driver never holds more than a block.
+    Queries that are no more than ``QUERY_BYTES`` together are sent to every task. More are cut
+    into blocks of that size and meet the points, in blocks too, by an equality join; the driver
+    then holds no query.
     """
     metric = metric_name(metric)
-    dims = queries.select(F.size("vector").alias("d")).groupBy().agg(F.max("d"), F.count("*")).first()
-    if not dims[1]:
+    queries = materialize(queries.select("query_id", "vector"), "queries")
+    dims, count = queries.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
+    if not count:
+        carried = [F.col(payload)] if payload else []
         return points.limit(0).select(
             F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
-            "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"),
+            "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"), *carried,
         )
-    per_block = max(1, QUERY_BYTES // (8 * dims[0]))
-    blocks = -(-dims[1] // per_block)
-    qid_type = queries.schema["query_id"].dataType.simpleString()
-    placed = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        rows = placed.filter(F.col("_block") == b).select("query_id", "vector").collect()
-        if not rows:
-            continue
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-        part = _nearest(check_dimension(points, matrix.shape[1]), [r["query_id"] for r in rows], matrix, qid_type, k, metric, threshold)
-        found = part if found is None else found.unionByName(part)
+    floor = None if threshold is None else (-threshold if metric == "Euclid" else threshold)
+    id_type, qid_type = points.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {qid_type}, id {id_type}, score double"
+    own = check_dimension(points.select("id", "vector"), dims)
+    blocks = -(-count * dims * 8 // QUERY_BYTES)
+    if blocks <= 1:
+        found = _broadcast_search(own, queries.collect(), k, metric, floor, schema)
+    else:
+        found = _blocked_search(own, check_dimension(queries, dims), blocks, k, metric, floor, schema)
     order = [F.col("score") if metric == "Euclid" else F.col("score").desc(), F.col("id")]
-    return top_k(found, "query_id", order, k)
+    hits = top_k(found, "query_id", order, k)
+    return hits.join(points.select("id", payload), "id").select("query_id", "id", "score", "rank", payload) if payload else hits
 
 
 def top_k(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
@@ -210,7 +247,7 @@ def embed(
 
     # Not repeated where a filter on the vector is moved below it.
     once = encode.asNondeterministic()
-    return spread(df).withColumn(out, once(F.col(text)))
+    return df.withColumn(out, once(F.col(text)))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

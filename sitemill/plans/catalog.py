@@ -14,6 +14,7 @@ from sitemill import constants as K
 from sitemill.functions.scoring import digits, gtin_valid
 from sitemill.functions.text import blank_to_null, strip
 from sitemill.session import materialize
+from sitemill.sources.feeds import export_csv
 
 TEXT_FIELDS = ("sku", "gtin", "brand", "title", "category", "parent_sku")
 
@@ -54,8 +55,8 @@ def _choose(
     return Guess(value, confidence, message)
 
 
-def profile(df: DataFrame, max_columns: int = K.PROFILE_COLUMNS) -> DataFrame:
-    """Row count of the feed and null count of its first columns, from one aggregate."""
+def profile(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Row count of the feed and null count of its columns, or of the first few, from one aggregate."""
     counted = df.columns[:max_columns]
     nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(counted)]
     totals = df.agg(F.count("*").alias("row_count"), *nulls)
@@ -196,7 +197,8 @@ def price_rule() -> Rule:
             (F.col("_no_price"), F.lit(None), 0.0, "missing price"),
             (price.isNull(), F.lit(None), 0.1, "not a number"),
             (price <= 0, price, 0.1, "price must be > 0"),
-            (price > K.PRICE_CEILING, price, 0.4, "suspiciously high"),
+            # Not a number is not above any limit here, though Spark sorts it last.
+            (~F.isnan(price) & (price > K.PRICE_CEILING), price, 0.4, "suspiciously high"),
             (F.lit(True), price, 0.95, "price ok"),
             missing=(0.0, "missing price"),
             kind="double",
@@ -469,7 +471,5 @@ def run(
     if not passed:
         raise GateError(f"{totals['qa_errors']} QA errors — fix before export")
 
-    clean.write.mode("overwrite").option("header", True).csv(f"{out}/catalog.csv")
-    if totals["quarantine_count"]:
-        held.write.mode("overwrite").option("header", True).csv(f"{out}/quarantine.csv")
-    return totals | {"export_path": f"{out}/catalog.csv"}
+    export_csv(held, f"{out}/quarantine.csv")
+    return totals | {"export_path": export_csv(clean, f"{out}/catalog.csv")}

@@ -39,6 +39,11 @@ def hours_between(start: Column, end: Column) -> Column:
     return (_micros(end) - _micros(start)) / F.lit(3.6e9)
 
 
+def one_decimal(number: Column) -> Column:
+    """Text with one decimal, rounded from the binary value as printf does, not from its decimal text."""
+    return F.replace(F.format_number(number, 1), F.lit(","), F.lit(""))
+
+
 def status(
     view: DataFrame,
     as_of: Column,
@@ -117,7 +122,7 @@ def status(
             stale,
             K.ALERT_STALE,
             F.format_string(
-                K.ISSUE_STALE, F.bround("hours_since_success", 1), F.col("sla_hours").cast("int")
+                K.ISSUE_STALE, one_decimal(F.col("hours_since_success")), F.col("sla_hours").cast("int")
             ),
         ),
         issue(never, K.ALERT_NEVER, F.format_string(K.ISSUE_NEVER, F.col("bundle_name"), total)),
@@ -211,6 +216,11 @@ def digest(
     )
 
 
+def report(health: DataFrame) -> DataFrame:
+    """Health rows in order of bundle name, as a report shows them."""
+    return health.orderBy("bundle_name")
+
+
 def fleet(health: DataFrame) -> DataFrame:
     """Fleet digest, one short row per bundle."""
     return health.select(

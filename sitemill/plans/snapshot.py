@@ -26,7 +26,7 @@ def write(tables: dict[str, DataFrame], path: str, parallel: int = 4) -> DataFra
             n = spark.read.parquet(target).count()
             return name, target, n, "ok" if n else "empty", None
         except Exception as e:
-            return name, target, 0, "failed", f"{type(e).__name__}: {e}"[:500]
+            return name, target, 0, "failed", f"{type(e).__name__}: {e}"
 
     # Threads only submit jobs; several tables are written at once.
     with ThreadPoolExecutor(parallel) as pool:
@@ -58,7 +58,7 @@ def restore(spark: SparkSession, path: str, names: list[str], target: str, paral
             spark.read.parquet(entry["path"]).write.mode("overwrite").parquet(f"{target}/{name}")
             n = spark.read.parquet(f"{target}/{name}").count()
         except Exception as e:
-            return name, 0, "failed", f"{type(e).__name__}: {e}"[:500]
+            return name, 0, "failed", f"{type(e).__name__}: {e}"
         return name, n, "ok" if n == entry["row_count"] else "partial", None
 
     with ThreadPoolExecutor(parallel) as pool:

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch space and size checks used by every job."""
+"""Session settings and shared scratch space used by every job."""
 
 from __future__ import annotations
 
@@ -71,36 +71,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _file_bytes(df: DataFrame) -> int:
-    """Bytes of the files a frame reads, after column pruning; -1 when it reads none."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    found = [leaves.apply(i) for i in range(leaves.size())]
-    sizes = [int(p.stats().sizeInBytes()) for p in found if p.nodeName().startswith("Relation") or p.nodeName() == "LogicalRelation"]
-    return sum(sizes) if sizes else -1
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over all cores when it reads so little that it would be a few tasks only.
-
-    For steps whose cost is computing, not bytes. Larger inputs have enough partitions and
-    are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if not 0 <= _file_bytes(df) < cores * split:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate of ``df`` is below the broadcast threshold.
-
-    Estimates never shrink through filters or aggregates without statistics, so
-    a true answer is a safe one.
-    """
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return 0 <= size <= threshold

@@ -45,12 +45,12 @@ def shards(
     manifest: str,
     crawl: str,
     subset: str = K.DEFAULT_SUBSET,
-    max_shards: int | None = K.DEFAULT_MAX_SHARDS,
+    max_shards: int | None = None,
     base: str | None = None,
 ) -> DataFrame:
     """Index shards of one crawl partition listed by a path manifest, in file order.
 
-    ``max_shards`` keeps the first so many; ``None`` or a value below one keeps all.
+    All of them, or the first ``max_shards`` when the caller names a number above zero.
     """
     lines = spark.read.text(manifest).select(
         strip(F.col("value")).alias("path"),
@@ -99,6 +99,15 @@ def query_index(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def dropped_captures(lines: DataFrame, value: str = "value") -> DataFrame:
+    """One row: ``lines`` read, ``blank`` and ``malformed`` ones among them, which yield no capture."""
+    text, schema = strip(F.col(value)), f"{CAPTURE_FIELDS}, _bad string"
+    capture = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    marked = lines.select((F.coalesce(text, F.lit("")) == "").alias("blank"), capture.alias("capture"))
+    wrong = ~F.col("blank") & (F.col("capture").isNull() | F.col("capture._bad").isNotNull())
+    return marked.agg(F.count(F.lit(1)).alias("lines"), F.count_if("blank").alias("blank"), F.count_if(wrong).alias("malformed"))
+
+
 def parse_captures(lines: DataFrame, value: str = "value") -> DataFrame:
     """Add ``capture`` to JSON lines; blank and malformed lines are dropped."""
     text = strip(F.col(value))
@@ -117,17 +126,18 @@ def cdx_captures(
     limit: int | None = None,
     order: str | None = None,
     value: str = "value",
+    service_limits: bool = False,
 ) -> DataFrame:
     """Record pointers from capture lines.
 
-    With ``limit`` (1 to 10,000) the service contract applies: the first ``limit`` lines in
-    ``order`` are read, five times as many when a filter is set, and the first ``limit``
-    survivors are kept.
+    ``limit`` keeps the first so many of those that pass the filters, in ``order``. With
+    ``service_limits`` the answer is that of the capture service: ``limit`` counts as 1 to 10,000,
+    and only the first ``limit`` lines, five times as many when a filter is set, are looked at.
     """
     filtered = status is not None or bool(mime)
-    if limit is not None:
-        if order is None:
-            raise ValueError("a limit needs an order column")
+    if limit is not None and order is None:
+        raise ValueError("a limit needs an order column")
+    if limit is not None and service_limits:
         limit = max(1, min(int(limit), K.CDX_MAX_ROWS))
         fetched = min(limit * K.CDX_OVERFETCH, K.CDX_MAX_ROWS) if filtered else limit
         lines = lines.orderBy(order).limit(fetched)

@@ -35,20 +35,26 @@ TELEMETRY = (
 )
 
 
-def read_feed(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+#: Standard CSV: a quote within quotes is doubled, blanks belong to the value.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_feed(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, line_breaks: bool = True, array: bool = False
+) -> DataFrame:
     """A supplier feed by suffix. Without a schema, CSV columns are read as text.
 
-    Text keeps leading zeros of identifiers; normalisation parses the numbers.
+    Text keeps leading zeros of identifiers; normalisation parses the numbers. A CSV value may hold
+    line breaks in quotes, so a file is one task; set ``line_breaks`` to false for large files known
+    to have none, which are then split. JSON feeds hold an object per line, or with ``array`` one
+    array per file, which is one task.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix == "csv":
-        return reader.option("header", True).csv(path)
+        return reader.options(**CSV, multiLine=line_breaks).csv(path)
     if suffix == "json":
-        # One JSON array or newline-delimited objects; the array form is one record per file.
-        first = spark.read.text(path).filter("trim(value) <> ''").limit(1).first()
-        whole = first is not None and first[0].lstrip().startswith("[")
-        return reader.option("multiLine", whole).json(path)
+        return reader.option("multiLine", array).json(path)
     if suffix in ("parquet", "pq"):
         return reader.parquet(path)
     raise ValueError(f"unsupported feed format: {suffix or path}")
@@ -116,5 +122,6 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str, lower, upp
 
 
 def export_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Standard CSV files with a header; what was there before is replaced, also by no rows."""
+    df.write.mode("overwrite").options(**CSV).csv(path)
     return path

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sitemill.operators.ranking import one_per_key
 from sitemill.plans import health
 from sitemill.sources.feeds import TELEMETRY
 
+BUCKET = "5 minutes"
+
 
 def _start(writer, once: bool) -> StreamingQuery:
     if once:
@@ -27,20 +30,69 @@ def append_telemetry(runs: DataFrame, path: str, checkpoint: str, once: bool = F
     return _start(writer, once)
 
 
-def trailing_rollup(runs: DataFrame, window: str = "24 hours", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """The 24-hour rollup as sliding event-time windows (an extension)."""
+def bucket_rollup(runs: DataFrame, bucket: str = BUCKET, late: str = "1 hour") -> DataFrame:
+    """Counts per bundle and tumbling event-time bucket: each run is counted once."""
     status = F.col("status")
     return (
         runs.withWatermark("created_at", late)
-        .groupBy(F.window("created_at", window, slide).alias("w"), "bundle_name")
+        .groupBy(F.window("created_at", bucket).alias("w"), "bundle_name")
         .agg(
-            F.count("*").alias("total_runs_24h"),
-            F.count_if(status == "SUCCESS").alias("success_runs_24h"),
-            F.count_if(status.isin("ZERO_ROWS", "DEGRADED")).alias("anomaly_runs_24h"),
-            F.count_if(status == "FAILED").alias("failed_runs_24h"),
+            F.count("*").alias("total_runs"),
+            F.count_if(status == "SUCCESS").alias("success_runs"),
+            F.count_if(status.isin("ZERO_ROWS", "DEGRADED")).alias("anomaly_runs"),
+            F.count_if(status == "FAILED").alias("failed_runs"),
         )
-        .select("bundle_name", F.col("w.end").alias("as_of"), "total_runs_24h", "success_runs_24h", "anomaly_runs_24h", "failed_runs_24h")
+        .select("bundle_name", F.col("w.end").alias("as_of"), "total_runs", "success_runs", "anomaly_runs", "failed_runs")
+    )
+
+
+def trailing_rollup(buckets: DataFrame, hours: int = 24) -> DataFrame:
+    """The rollup of the last ``hours`` at the end of every bucket, from stored buckets (an extension)."""
+    at = F.unix_seconds(F.col("as_of").cast("timestamp"))
+    span = Window.partitionBy("bundle_name").orderBy(at).rangeBetween(-hours * 3600 + 1, 0)
+    kinds = ("total", "success", "anomaly", "failed")
+    return buckets.select("bundle_name", "as_of", *[F.sum(f"{k}_runs").over(span).alias(f"{k}_runs_{hours}h") for k in kinds])
+
+
+def store_runs(batch: DataFrame, number: int, root: str) -> None:
+    """A batch of runs added to the log below ``root``, and the newest success per bundle so far.
+
+    The log is laid out by day, then batch, so a window is a few folders; a repeated batch
+    replaces its own.
+    """
+    spark = batch.sparkSession
+    rows = batch.withColumns({"dt": F.to_date("created_at"), "batch": F.lit(number)})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "batch").parquet(f"{root}/runs")
+    seen = batch.filter("status = 'SUCCESS'").select("bundle_name", "created_at")
+    if number > 0:
+        seen = seen.unionByName(spark.read.schema(seen.schema).parquet(f"{root}/last_success/batch={number - 1:010d}"))
+    newest = seen.groupBy("bundle_name").agg(F.max("created_at").alias("created_at"))
+    newest.write.mode("overwrite").parquet(f"{root}/last_success/batch={number:010d}")
+
+
+def evaluate(
+    spark: SparkSession, root: str, label: str, bundles: DataFrame, settings: DataFrame, now: Column, include_idle: bool = False
+) -> None:
+    """Health of all bundles, known or seen, from the stored log; remediation requests for the bad ones.
+
+    A bundle without a run in the window is UNKNOWN; with ``include_idle`` its last success counts
+    and it can be stale. Reads the days of the window and the last successes. Writes to folders named by ``label``, so a
+    repeated evaluation replaces its first attempt.
+    """
+    log = read_log(spark, root)
+    recent = log.filter(F.col("dt") >= F.to_date(now - F.expr("INTERVAL 24 HOURS")))
+    successes = spark.read.option("basePath", f"{root}/last_success").parquet(f"{root}/last_success")
+    last = successes.agg(F.max("batch")).first()[0]
+    newest = successes.filter(F.col("batch") == last).select("bundle_name", F.col("created_at").alias("last_success_timestamp"))
+    view = health.rollup(recent, now).drop("last_success_timestamp").join(newest, "bundle_name", "full_outer" if include_idle else "left")
+    rows = health.status(view, now, bundles, settings).drop("issues")
+    rows = rows.withColumns({"evaluated_at": now, "evaluated_in": F.lit(label)})
+    rows.write.mode("overwrite").parquet(f"{root}/health/at={label}")
+    rows = spark.read.parquet(f"{root}/health/at={label}")
+    wanted = rows.filter(F.col("status").isin("DEGRADED", "CRITICAL")).select(
+        "bundle_name", "status", F.concat(F.lit("auto_repair_"), "bundle_name", F.lit(f"_{label}")).alias("run_key")
     )
+    wanted.write.mode("overwrite").parquet(f"{root}/requests/at={label}")
 
 
 def evaluate_health(
@@ -52,61 +104,34 @@ def evaluate_health(
     as_of: Column | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Re-evaluate the touched bundles on every batch and emit remediation requests.
+    """Store every batch of runs and evaluate all bundles after it."""
 
-    Below ``root``: ``runs`` (day-partitioned log), ``last_success`` (one small table per
-    batch: the newest success per bundle so far), ``health`` and ``requests``. Every batch
-    writes to folders of its own number, so a repeated batch replaces its first attempt.
-    A batch reads the log of the window only, not the whole history.
+    def step(batch: DataFrame, number: int) -> None:
+        store_runs(batch, number, root)
+        evaluate(batch.sparkSession, root, f"run-{number:010d}", bundles, settings, F.current_timestamp() if as_of is None else as_of)
+
+    return _start(runs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint), once)
+
+
+def watch_health(spark: SparkSession, root: str, checkpoint: str, bundles: DataFrame, settings: DataFrame) -> StreamingQuery:
+    """Evaluate all bundles every five minutes by the clock, whether runs come in or not.
+
+    A bundle that stopped sends no rows; only the clock can find it stale.
     """
 
-    def evaluate(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = f"batch={number:010d}"
-        day = batch.withColumn("dt", F.to_date("created_at"))
-        day.write.mode("overwrite").partitionBy("dt").parquet(f"{root}/runs/{part}")
-        now = as_of if as_of is not None else F.current_timestamp()
-
-        done = spark.read.schema(day.schema).parquet(f"{root}/runs/{part}")
-        seen = done.filter("status = 'SUCCESS'").select("bundle_name", "created_at")
-        before = f"{root}/last_success/batch={number - 1:010d}"
-        if number > 0:
-            seen = seen.unionByName(spark.read.schema(seen.schema).parquet(before))
-        newest = seen.groupBy("bundle_name").agg(F.max("created_at").alias("created_at"))
-        newest.write.mode("overwrite").parquet(f"{root}/last_success/{part}")
-        newest = spark.read.schema(seen.schema).parquet(f"{root}/last_success/{part}")
-
-        touched = done.select("bundle_name").distinct()
-        log = read_log(spark, root, day.schema)
-        recent = log.filter(F.col("dt") >= F.to_date(now - F.expr("INTERVAL 24 HOURS")))
-        view = health.rollup(recent, now).drop("last_success_timestamp")
-        view = view.join(
-            newest.withColumnRenamed("created_at", "last_success_timestamp"), "bundle_name", "left"
-        )
-        known = bundles.select("bundle_name").join(touched, "bundle_name", "left_semi")
-        rows = health.status(view.join(touched, "bundle_name", "left_semi"), now, known, settings)
-        rows = rows.drop("issues").withColumn("evaluated_in", F.lit(number))
-        rows.write.mode("overwrite").parquet(f"{root}/health/{part}")
-        rows = spark.read.schema(rows.schema).parquet(f"{root}/health/{part}")
-        wanted = rows.filter(F.col("status").isin("DEGRADED", "CRITICAL")).select(
-            "bundle_name",
-            "status",
-            F.concat(F.lit("auto_repair_"), "bundle_name", F.lit(f"_{number}")).alias("run_key"),
-        )
-        wanted.write.mode("overwrite").parquet(f"{root}/requests/{part}")
+    def tick(batch: DataFrame, number: int) -> None:
+        evaluate(batch.sparkSession, root, f"tick-{number:010d}", bundles, settings, F.current_timestamp())
 
-    writer = runs.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
-    return _start(writer, once)
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return _start(clock.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint), once=False)
 
 
-def read_log(spark: SparkSession, root: str, schema) -> DataFrame:
+def read_log(spark: SparkSession, root: str) -> DataFrame:
     """The run log written so far; day and batch come from the folder names."""
-    return spark.read.schema(schema).option("basePath", f"{root}/runs").parquet(f"{root}/runs")
+    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs")
 
 
 def current_health(spark: SparkSession, root: str) -> DataFrame:
     """The latest evaluation of every bundle."""
     rows = spark.read.option("basePath", f"{root}/health").parquet(f"{root}/health")
-    from sitemill.operators.ranking import one_per_key
-
-    return one_per_key(rows, ["bundle_name"], [F.col("evaluated_in").desc()]).drop("batch")
+    return one_per_key(rows, ["bundle_name"], [F.col("evaluated_at").desc(), F.col("evaluated_in").desc()]).drop("at")

@@ -1,7 +1,9 @@
 """Catalog rules, quarantine, validators, gate and export on small feeds."""
 
+import csv
 import glob
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +126,11 @@ def test_run_exports_and_refuses(spark, tmp_path):
     assert spark.read.parquet(f"{bad}/import_runs").first()["status"] == "failed"
 
 
-def test_no_quarantine_file_when_empty(spark, tmp_path):
+def test_no_quarantined_rows_when_empty(spark, tmp_path):
     ok = {"sku": "a", "title": "plain", "gtin": GOOD, "brand": "Other", "category": "C", "price": 5.0, "stock": 1}
     catalog.run(frame(spark, ok), str(tmp_path / "o"), "f")
-    assert not glob.glob(str(tmp_path / "o" / "quarantine.csv"))
+    rerun = str(tmp_path / "o" / "quarantine.csv")
+    assert feeds.read_feed(spark, rerun).count() == 0
 
 
 def test_rules_are_not_repeated_in_the_plan(spark, tmp_path):
@@ -147,11 +150,28 @@ def test_read_feed_formats(spark, tmp_path):
     assert feeds.read_feed(spark, str(tmp_path / "f.csv")).first()["sku"] == "007"
     assert feeds.read_feed(spark, str(tmp_path / "f.json")).count() == 1
     assert feeds.read_feed(spark, str(tmp_path / "f.pq")).count() == 1
-    assert feeds.read_feed(spark, str(tmp_path / "arr.json")).count() == 2
+    assert feeds.read_feed(spark, str(tmp_path / "arr.json"), array=True).count() == 2
     with pytest.raises(ValueError):
         feeds.read_feed(spark, str(tmp_path / "f.xlsx"))
 
 
+def test_csv_both_ways_is_standard(spark, tmp_path):
+    texts = ['5" bolt, zinc', "two\nlines", "  padded  ", 'a""b', "back\\slash", 'ends "', "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, title string")
+    feeds.export_csv(df, str(tmp_path / "f.csv"))
+    assert sorted((int(r["row"]), r["title"]) for r in feeds.read_feed(spark, str(tmp_path / "f.csv")).collect()) == list(enumerate(texts))
+    files = duckdb.sql(f"SELECT row, title FROM read_csv('{tmp_path}/f.csv/*.csv', header = true, quote = '\"', escape = '\"')").fetchall()
+    assert sorted(files) == list(enumerate(texts))
+    with open(tmp_path / "g.csv", "w", newline="") as f:
+        csv.writer(f).writerows([["row", "title"], *enumerate(texts)])
+    assert sorted((int(r["row"]), r["title"]) for r in feeds.read_feed(spark, str(tmp_path / "g.csv")).collect()) == list(enumerate(texts))
+
+
+def test_price_that_is_no_number_is_not_too_high(spark):
+    row = {r["rule_id"]: r for r in catalog.prediction_rows(catalog.enrich(frame(spark, {"sku": "a", "price": float("nan")})), "sku").collect()}
+    assert row["price"]["message"] == "price ok"
+
+
 def test_maps(spark):
     df = spark.createDataFrame([("A",), ("B",), (None,)], "brand string")
     m = spark.createDataFrame([("A", "Alpha"), ("B", None)], "raw string, canonical string")

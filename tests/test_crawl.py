@@ -80,10 +80,16 @@ def test_capture_filters(spark):
 
 def test_capture_limit_over_fetches_five_times(spark):
     lines = [capture(status="404")] * 4 + [capture(url=f"https://x.example/{i}") for i in range(10)]
-    got = captures(spark, lines, limit=1, order="ord")
+    got = captures(spark, lines, limit=1, order="ord", service_limits=True)
     assert [r["url"] for r in got] == ["https://x.example/0"]
-    assert captures(spark, [capture(status="404")] * 5 + lines, limit=1, order="ord") == []
-    assert len(captures(spark, lines, limit=0, order="ord")) == 1
+    assert captures(spark, [capture(status="404")] * 5 + lines, limit=1, order="ord", service_limits=True) == []
+    assert len(captures(spark, lines, limit=0, order="ord", service_limits=True)) == 1
+    assert len(captures(spark, [capture(status="404")] * 50 + lines, limit=7, order="ord")) == 7
+
+
+def test_dropped_captures_are_counted(spark):
+    df = spark.createDataFrame([(x,) for x in (capture(), "", "  ", "{bad", "No Captures found", None)], "value string")
+    assert tuple(crawl.dropped_captures(df).first()) == (6, 3, 2)
 
 
 def record(kind="response", body=b"hi", head=b"Content-Type: text/html", uri="http://x/"):

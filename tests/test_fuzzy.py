@@ -55,7 +55,7 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"first_batch": 4, "local_edges": 0, "hot": 0}])
+@pytest.mark.parametrize("options", [{}, {"first_batch": 4, "hot": 0}])
 def test_same_as_in_order(spark, options):
     assert run(spark, VALUES, **options) == in_order(VALUES)
 

@@ -1,10 +1,12 @@
 """Health rules, log scan, digests and alerts on hand-built rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitemill.operators.ranking import latest_per_key
 from sitemill.plans import alerts, health
 
 NOW = dt.datetime(2024, 1, 31)
@@ -134,15 +136,32 @@ def test_latest_settles_ties_by_id(spark):
 
 def test_fan_out(spark):
     rows = spark.createDataFrame([("<b>x</b> &lt;y&gt;", "E", '{"a":1}')], "text_html string, event string, payload string")
-    got = alerts.fan_out(rows, [("chat", "c"), ("chat_webhook", "w"), ("webhook", "g"), ("webhook", "g"), ("webhook", "")])
+    got = alerts.fan_out(rows, [("chat", "c"), ("chat_webhook", "w"), ("webhook", "g"), ("webhook", "g"), ("webhook", "")], F.lit("2024-01-31 10:00:00").cast("timestamp_ntz"))
     assert {(r["channel"], r["body"]) for r in got.collect()} == {
         ("chat", "<b>x</b> &lt;y&gt;"),
         ("chat_webhook", "x <y>"),
-        ("webhook", '{"event":"E","payload":{"a":1}}'),
+        ("webhook", '{"event":"E","payload":{"a":1},"timestamp":"2024-01-31T10:00:00.000000+00:00"}'),
     }
     assert alerts.fan_out(rows, []).count() == 0
 
 
+def test_one_decimal_rounds_the_binary_value(spark):
+    rng = random.Random(1)
+    numbers = [12.35, 12.45, 12.55, 0.25, 0.05, 1234.5678, 24.0] + [rng.randrange(10_000) / 20 for _ in range(300)]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", health.one_decimal(F.col("x")).alias("t")).collect()
+    assert all(r["t"] == f"{r['x']:.1f}" for r in rows)
+
+
+def test_newest_row_without_time_is_found(spark):
+    runs = spark.createDataFrame([(1, "a", None), (2, "a", None)], "id long, bundle_name string, created_at timestamp_ntz")
+    assert [r["id"] for r in latest_per_key(runs, "bundle_name", "created_at", "id").collect()] == [2]
+
+
+def test_report_order(spark):
+    rows = spark.createDataFrame([("c",), ("a",), ("b",)], "bundle_name string")
+    assert [r[0] for r in health.report(rows).collect()] == ["a", "b", "c"]
+
+
 @pytest.mark.parametrize(
     ("values", "mode"),
     [(("ZERO_ROWS", 5, 0, "x"), "A"), (("FAILED", 0, 2, "x"), "B"), (("FAILED", 0, 0, "x"), "C"), (("FAILED", 0, 0, ""), None)],

@@ -41,9 +41,8 @@ def test_upsert(spark, threshold):
 
 
 def test_null_keys_are_rejected(spark):
-    out = merge.upsert(items(spark, (1, "A", "a", "u", "t")), batch(spark, (0, None, "x", "u")), ["company_name"], "pos", ["summary"])
     with pytest.raises(Exception, match="null key"):
-        out.collect()
+        merge.upsert(items(spark, (1, "A", "a", "u", "t")), batch(spark, (0, None, "x", "u")), ["company_name"], "pos", ["summary"]).collect()
 
 
 def test_insert_ignore(spark, threshold):
@@ -135,9 +134,29 @@ def test_status_roll_ups(spark, statuses, snap, rest):
     assert snapshot.restore_status(df).first()["status"] == rest
 
 
+def joined(page):
+    rows = sorted(page.collect())
+    assert [r["position"] for r in rows] == list(range(len(rows)))
+    return "\n".join(r["html"] for r in rows)
+
+
+def test_batch_that_looks_small_is_not_broadcast(spark):
+    """A batch made large by an explode: its real size decides, not the estimate."""
+    current = spark.range(200_000).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    grown = spark.createDataFrame([(0,), (100_000,)], "s long").select(F.explode(F.sequence("s", F.col("s") + 199_999)).alias("k"))
+    batch = grown.select("k", F.sha2(F.col("k").cast("string"), 512).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        out = merge.upsert(current, batch.dropDuplicates(["k"]), ["k"])
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 300_000 and out.where("v = 'old'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_report(spark):
     rows = items(spark, (1, "<A>", None, None, "2024-01-01"), (2, "B & C", "s", "https://x/?a=1&b", "2024-01-02"))
-    html = report.page(rows.withColumn("created_at", F.to_timestamp("created_at"))).first()["html"]
+    html = joined(report.page(rows.withColumn("created_at", F.to_timestamp("created_at"))))
     assert html.index("B &amp; C") < html.index("&lt;A&gt;") and 'href="#"' in html and "2 row(s)" in html
-    none = report.page(rows.limit(0).withColumn("created_at", F.to_timestamp("created_at"))).first()["html"]
+    none = joined(report.page(rows.limit(0).withColumn("created_at", F.to_timestamp("created_at"))))
     assert "No rows yet" in none and "0 row(s)" in none

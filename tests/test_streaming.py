@@ -49,14 +49,20 @@ def test_health_follows_batches_and_repeats_safely(spark, tmp_path):
         return {r["bundle_name"]: r["status"] for r in jobs.current_health(spark, f"{root}/state").collect()}
 
     add(0, ("a", "SUCCESS", 1), ("b", "SUCCESS", 20))
-    assert step() == {"a": "HEALTHY", "b": "CRITICAL"}
+    assert step() == {"a": "HEALTHY", "b": "CRITICAL", "idle": "UNKNOWN"}
     add(1, ("b", "SUCCESS", 2))
-    assert step() == {"a": "HEALTHY", "b": "HEALTHY"}
+    assert step() == {"a": "HEALTHY", "b": "HEALTHY", "idle": "UNKNOWN"}
     # An old success from an earlier batch still counts for a bundle touched now.
     add(2, ("a", "FAILED", 1), ("a", "FAILED", 1))
-    assert step() == {"a": "CRITICAL", "b": "HEALTHY"}
-    wanted = spark.read.parquet(f"{root}/state/requests/batch=*").select("bundle_name", "run_key").collect()
-    assert sorted(r["run_key"] for r in wanted) == ["auto_repair_a_2", "auto_repair_b_0"]
+    assert step() == {"a": "CRITICAL", "b": "HEALTHY", "idle": "UNKNOWN"}
+    wanted = spark.read.parquet(f"{root}/state/requests/at=*").select("bundle_name", "run_key").collect()
+    assert sorted(r["run_key"] for r in wanted) == ["auto_repair_a_run-0000000002", "auto_repair_b_run-0000000000"]
+
+    # No new rows: the clock alone finds that b stopped.
+    for hours, idle, status in ((9, False, "HEALTHY"), (11, False, "CRITICAL"), (23, False, "UNKNOWN"), (24, True, "CRITICAL")):
+        now = F.lit(NOW + dt.timedelta(hours=hours)).cast("timestamp_ntz")
+        jobs.evaluate(spark, f"{root}/state", f"tick-{hours:010d}", bundles, conf, now, include_idle=idle)
+        assert {r["bundle_name"]: r["status"] for r in jobs.current_health(spark, f"{root}/state").collect()}["b"] == status
 
     runs = spark.read.schema(RUN).parquet(f"{root}/in/*")
     batch = health.status(health.rollup(runs, as_of), as_of, bundles, conf)
@@ -68,11 +74,12 @@ def test_trailing_rollup(spark, tmp_path):
     rows = [(1, "a", "SUCCESS", 1, NOW), (2, "a", "FAILED", 1, NOW + dt.timedelta(hours=1)), (3, "z", "SUCCESS", 1, NOW + dt.timedelta(days=3))]
     df = spark.createDataFrame(rows, RUN).withColumn("created_at", F.col("created_at").cast("timestamp"))
     df.coalesce(1).write.parquet(f"{root}/in")
-    out = jobs.trailing_rollup(spark.readStream.schema(df.schema).parquet(f"{root}/in"), slide="12 hours")
+    out = jobs.bucket_rollup(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
     q = out.writeStream.outputMode("append").option("checkpointLocation", f"{root}/c").option("path", f"{root}/out").format("parquet").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = {(r["bundle_name"], str(r["as_of"])): (r["total_runs_24h"], r["failed_runs_24h"]) for r in spark.read.parquet(f"{root}/out").collect()}
-    assert got[("a", "2024-01-31 12:00:00")] == (2, 1) and got[("a", "2024-02-01 00:00:00")] == (2, 1)
+    rows = jobs.trailing_rollup(spark.read.parquet(f"{root}/out")).collect()
+    got = {(r["bundle_name"], str(r["as_of"])): (r["total_runs_24h"], r["failed_runs_24h"]) for r in rows}
+    assert got == {("a", "2024-01-31 00:05:00"): (1, 0), ("a", "2024-01-31 01:05:00"): (2, 1)}
 
 
 def test_telemetry_stream_appends_each_run_once(spark, tmp_path):
