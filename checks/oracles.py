@@ -395,6 +395,9 @@ ROUTED = """routed AS (
     WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 'com_site' WHEN host = 'example.net' OR suffix(host, '.example.net') THEN 'net_site' END AS extractor_id
   FROM (SELECT *, split_part(split_part(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https://', ''), '^http://', ''), '^www\\.', ''), '/', 1), ':', 1) AS host FROM pages)
 )"""
+ORACLES["extractor_pages"] = f"""WITH {ROUTED}, n AS (SELECT page_id, url, extractor_id = 'com_site' AS own, unnest(range(page_id % 4 + 1)) AS i FROM routed)
+SELECT page_id, CAST(i AS INTEGER) AS pos, CASE WHEN own THEN rtrim(url, '/') || '/p/' || (i + 1) WHEN i = 0 THEN url
+  ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'page=' || i END AS page_url FROM n"""
 ORACLES["route_pages"] = f"WITH {ROUTED} SELECT page_id, url, extractor_id FROM routed"
 # HTML ends "&amp" without its semicolon too, as a title cut inside the entity has it.
 ORACLES["extract_titles"] = f"""WITH {ROUTED} SELECT page_id, extractor_id,

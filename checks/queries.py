@@ -446,7 +446,7 @@ def archive_rejects(spark, sf):
 
 @query
 def clean_website(spark, sf):
-    return A.raw_websites(spark, sf).select("page_id", text.clean_website(F.col("raw")).alias("website"))
+    return text.clean_website(A.raw_websites(spark, sf), "raw").select("page_id", "website")
 
 
 @query
@@ -467,6 +467,18 @@ def page_urls(spark, sf):
     return pages.select("page_id", F.posexplode(text.page_urls(F.col("url"), n)).alias("pos", "page_url"))
 
 
+@query
+def extractor_pages(spark, sf):
+    """Page URLs by the extractor's own form where it has one, else by the generic one."""
+    routed = routing.route(A.table(spark, sf, "pages"), A.registry(spark))
+
+    def by_path(base, n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.rtrim(base, F.lit("/")), F.lit("/p/"), i.cast("string")))
+
+    rows = routing.extractor_page_urls(routed, (F.col("page_id") % 4 + 1).cast("int"), {"com_site": by_path})
+    return rows.select("page_id", F.posexplode("page_urls").alias("pos", "page_url"))
+
+
 @query
 def route_pages(spark, sf):
     routed = routing.route(A.table(spark, sf, "pages"), A.registry(spark))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.constants import (
@@ -84,35 +84,31 @@ def page_urls(base: Column, max_pages: Column) -> Column:
     return F.concat(F.array(base), numbered)
 
 
-def _percent_decode(c: Column) -> Column:
-    """Percent-decode; a malformed escape leaves the text as it is."""
-    return F.coalesce(F.try_url_decode(c), c)
-
-
-def clean_website(raw: Column) -> Column:
-    """Canonical ``https://host/path`` of a link: unwrapped redirect, no query or fragment."""
-    url = strip(F.translate(raw, "\u200b\ufeff\xa0", ""))
+def clean_website(df: DataFrame, raw: str, out: str = "website") -> DataFrame:
+    """Adds ``out``: canonical ``https://host/path`` of the link ``raw``: unwrapped redirect, no query or fragment.
 
+    Each step is a column of its own, so that none is repeated inside the next.
+    """
+    url, target, link, whole, netloc = (F.col(f"_web_{k}") for k in ("url", "target", "link", "whole", "netloc"))
     # First non-empty "u" parameter of the query part, decoded as a form value and once more.
-    target = blank_to_null(
-        F.regexp_extract(
-            F.substring_index(url, "#", 1), r"^[^?]*\?(?:[^&]*&)*?u=([^&]+)", 1
-        )
-    )
-    plus_kept = F.replace(
-        _percent_decode(F.replace(target, F.lit("+"), F.lit(" "))), F.lit("+"), F.lit("%2B")
-    )
-    unwrapped = F.replace(_percent_decode(plus_kept), F.lit("%2B"), F.lit("+"))
+    parameter = blank_to_null(F.regexp_extract(F.substring_index(url, "#", 1), r"^[^?]*\?(?:[^&]*&)*?u=([^&]+)", 1))
+    form = F.replace(target, F.lit("+"), F.lit(" "))
+    plus_kept = F.replace(F.coalesce(F.try_url_decode(form), form), F.lit("+"), F.lit("%2B"))
+    unwrapped = F.coalesce(F.try_url_decode(F.col("_web_plus")), F.col("_web_plus"))
     wrapped = F.contains(url, F.lit("redirect?")) | F.contains(url, F.lit("u="))
-    url = strip(F.when(wrapped & target.isNotNull(), unwrapped).otherwise(url))
-
-    absolute = F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
-    absolute = F.translate(absolute, "\t\r\n", "")
-    netloc = F.regexp_extract(absolute, r"^https?://([^/?#]*)", 1)
-    host = F.regexp_replace(strip(F.lower(netloc)), r"^www\.", "")
-    path = F.regexp_extract(absolute, r"^https?://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(path, ";[^/]*$", "")
-    path = strip(F.rtrim(path, F.lit("/")))
-    bad_brackets = F.contains(netloc, F.lit("[")) != F.contains(netloc, F.lit("]"))
-    clean = F.when(bad_brackets, absolute).otherwise(F.concat(F.lit("https://"), host, path))
-    return F.when(url != "", strip(clean))
+    path = F.regexp_replace(F.regexp_extract(whole, r"^https?://[^/?#]*([^?#]*)", 1), ";[^/]*$", "")
+    brackets = F.contains(netloc, F.lit("[")) != F.contains(netloc, F.lit("]"))
+    steps = {
+        "url": strip(F.translate(F.col(raw), "\u200b\ufeff\xa0", "")),
+        "target": F.when(wrapped, parameter),
+        "plus": plus_kept,
+        "link": strip(F.when(target.isNotNull(), F.replace(unwrapped, F.lit("%2B"), F.lit("+"))).otherwise(url)),
+        "whole": F.translate(F.when(link.rlike("^https?://"), link).otherwise(F.concat(F.lit("https://"), link)), "\t\r\n", ""),
+        "netloc": F.regexp_extract(whole, r"^https?://([^/?#]*)", 1),
+        "host": F.regexp_replace(strip(F.lower(netloc)), r"^www\.", ""),
+        "path": strip(F.rtrim(path, F.lit("/"))),
+    }
+    for name, step in steps.items():
+        df = df.withColumn(f"_web_{name}", step)
+    clean = F.when(brackets, whole).otherwise(F.concat(F.lit("https://"), F.col("_web_host"), F.col("_web_path")))
+    return df.withColumn(out, F.when(link != "", strip(clean))).drop(*[f"_web_{k}" for k in steps])

@@ -31,28 +31,27 @@ def first_contained(
 
     ``needles`` has ``needle, value, rank`` (needles in lower case, not empty). Containment is
     turned into an equality join: each distinct text gives its substrings of the lengths
-    that needles have. Equal texts are looked up once, and the work is linear in text
-    length, whatever the number of needles.
+    that needles have, with the text's number and not the text itself. Equal texts are looked
+    up once, and work and bytes are linear in text length, whatever the number of needles.
     """
     needle = F.col("needle")
     dictionary = needles.filter(F.length(needle) > 0).select(needle, "value", "rank")
     lengths = dictionary.select(F.length(needle).alias("_len")).distinct()
-    texts = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("_text")).distinct()
+    texts = df.select(F.lower(F.coalesce(text, F.lit(""))).alias("_text")).distinct().withColumn("_id", F.monotonically_increasing_id())
+    texts = materialize(texts, "texts")
     # Lengths are few (at most the longest needle): collected as plan literals.
     widths = [r["_len"] for r in lengths.collect()]
     if not widths:
         return df.withColumn(out, F.lit(None).cast("string"))
-    last = F.length("_text")
-    grams = (
-        texts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.greatest(last, F.lit(1)))))
-        .withColumn("_len", F.explode(F.array(*[F.lit(n) for n in widths])))
-        .filter(F.col("_at") + F.col("_len") - 1 <= last)
-        .select("_text", F.substring(F.col("_text"), F.col("_at"), F.col("_len")).alias("_gram"))
-    )
+    def pieces(width: int):
+        last = F.length("_text") - width + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda at: F.substring(F.col("_text"), at, F.lit(width)))
+        return F.when(last >= 1, every).otherwise(F.array().cast("array<string>"))
+
+    grams = texts.select("_id", F.explode(F.array_distinct(F.concat(*[pieces(n) for n in widths]))).alias("_gram"))
     hits = grams.join(dictionary, F.col("_gram") == needle)
-    best = one_per_key(hits, ["_text"], [F.col("rank")]).select(
-        F.col("_text"), F.col("value").alias(out)
-    )
+    found = one_per_key(hits, ["_id"], [F.col("rank")]).select("_id", F.col("value").alias(out))
+    best = texts.join(found, "_id").select("_text", out)
     # Written so that its size is known when Spark picks the join.
     best = materialize(best, "found")
     joined = df.withColumn("_key", F.lower(F.coalesce(text, F.lit("")))).join(

@@ -25,5 +25,14 @@ def test_row_local_work_does_not_shuffle(spark, sf, name):
     assert "Exchange" not in text and text.count("FileScan") == 1
 
 
+def test_website_steps_are_not_repeated(spark, sf):
+    text = QUERIES["clean_website"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract(") <= 10 and text.count("url_decode") <= 4
+
+
+def test_summary_is_one_scan(spark, sf):
+    assert plan(spark, sf, "cluster_summary").count("FileScan") == 1
+
+
 def test_vectors_are_encoded_once(spark, sf):
     assert plan(spark, sf, "embed_hash").count("ArrowEvalPython") == 1
