@@ -181,6 +181,21 @@ def registry(spark: SparkSession) -> DataFrame:
     )
 
 
+def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Routed listing pages: headings, cards and items, with and without a paragraph beside them."""
+    p = F.col("page_id").cast("string")
+    more = F.transform(
+        F.sequence(F.lit(1), (F.col("page_id") % 3 + 1).cast("int")),
+        lambda i: F.concat(F.lit("<section><h1>Extra "), i.cast("string"), F.lit("</h1>\n<p>About <i>"), p, F.lit("</i></p><p>Not this</p></section>")),
+    )
+    html = F.concat(
+        F.lit("<html><body><div><h2>Shop "), p, F.lit("</h2><p>First <b>note</b> "), p, F.lit("</p></div><h3>A</h3>"),
+        F.lit('<div><div class="card big">Card <em>'), p, F.lit("</em></div><span>x</span><p>Second &amp; note</p></div>"),
+        F.lit('<ul><li class="item"><script>var a;</script>Item '), p, F.lit("</li></ul>"), F.array_join(more, ""), F.lit("</body></html>"),
+    )
+    return table(spark, sf, "pages").select("page_id", F.lit("com_site").alias("extractor_id"), "url", html.alias("html"))
+
+
 def capture_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Capture JSON lines, one per page; every 50th is malformed."""
     p = F.col("page_id")

@@ -399,6 +399,12 @@ ORACLES["extractor_pages"] = f"""WITH {ROUTED}, n AS (SELECT page_id, url, extra
 SELECT page_id, CAST(i AS INTEGER) AS pos, CASE WHEN own THEN rtrim(url, '/') || '/p/' || (i + 1) WHEN i = 0 THEN url
   ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'page=' || i END AS page_url FROM n"""
 ORACLES["route_pages"] = f"WITH {ROUTED} SELECT page_id, url, extractor_id FROM routed"
+ORACLES["extract_listing"] = """WITH found AS (
+  SELECT page_id, url, 0 AS ord, 'Shop ' || page_id AS company_name, 'First note ' || page_id AS summary FROM pages
+  UNION ALL SELECT page_id, url, 1, 'Card ' || page_id, 'Second & note' FROM pages
+  UNION ALL SELECT page_id, url, 2, 'Item ' || page_id, 'Item ' || page_id FROM pages
+  UNION ALL SELECT page_id, url, 2 + i, 'Extra ' || i, 'About ' || page_id FROM (SELECT *, unnest(range(1, page_id % 3 + 2)) AS i FROM pages))
+SELECT page_id, CAST(ord AS INTEGER) AS ord, company_name, summary, 'com_site' AS source_directory, url AS source_url FROM found"""
 # HTML ends "&amp" without its semicolon too, as a title cut inside the entity has it.
 ORACLES["extract_titles"] = f"""WITH {ROUTED} SELECT page_id, extractor_id,
   trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&amp;?', '&', 'g')) AS company_name,

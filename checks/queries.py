@@ -497,6 +497,12 @@ def extract_records(spark, sf):
     return records.select("page_id", "extractor_id", "ord", *extract.FIELDS)
 
 
+@query
+def extract_listing(spark, sf):
+    records, _ = extract.extract_records(A.listing_pages(spark, sf), {"com_site": extract.cards_parser("com_site")})
+    return records.select("page_id", "ord", "company_name", "summary", "source_directory", "source_url")
+
+
 @query
 def extract_titles(spark, sf):
     records, _ = _records(spark, sf)
