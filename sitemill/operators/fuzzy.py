@@ -7,7 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,6 @@ from sitemill.operators.ranking import one_per_key
 from sitemill.session import materialize
 
 FIRST_BATCH = 4096
-HOT_PAIRS = 1_000_000
 
 
 def _edits(a: str, b: str) -> int:
@@ -44,117 +43,66 @@ def sorted_tokens(label: Column) -> Column:
     return F.array_join(F.array_sort(F.split(strip(label), r"(?U)[\s\x1c-\x1f]+")), " ")
 
 
-def _lengths(m: Column, n: Column, threshold: int) -> Column:
-    """Edits allowed between keys of lengths ``m <= n``."""
-    return F.floor((m + n) * (100 - threshold) / 100).cast("int")
+def _marks(keys: DataFrame) -> DataFrame:
+    """``key, size, gram, nth``: the letter pairs of each key, ends included, numbered where they repeat."""
+    whole = F.concat(F.lit("\x02"), "key", F.lit("\x03"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substring(whole, i, F.lit(2)))
+    rows = keys.select("key", F.length("key").alias("size"), F.posexplode(pairs).alias("at", "gram"))
+    again = Window.partitionBy("key", "gram").orderBy("at")
+    return rows.select("key", "size", "gram", F.row_number().over(again).alias("nth"))
 
 
-def _sized(keys: DataFrame, name: str, threshold: int) -> DataFrame:
-    """Keys with every pair of lengths ``m <= n`` they can be the shorter or longer of."""
-    reach = (200 - threshold) / threshold
-    size = F.length("key")
-    m, n = F.col("m"), F.col("n")
-    if name == "a":
-        rows = keys.select("key", size.alias("m"), F.explode(F.sequence(size, F.floor(size * reach).cast("int"))).alias("n"))
-    else:
-        rows = keys.select("key", F.explode(F.sequence(F.ceil(size / reach).cast("int"), size)).alias("m"), size.alias("n"))
-    rows = rows.withColumn("d", _lengths(m, n, threshold)).filter((n - m <= F.col("d")) & (F.col("d") > 0))
-    return rows.select(F.col("key").alias(name), "m", "n", "d", F.lit("").alias("sig"), F.col("key").alias("rest"))
-
-
-def _cut(rows: DataFrame, name: str) -> DataFrame:
-    """Cut the rest of a shorter key into d + 1 pieces, or the rest of a longer one into the
-    windows where such a piece can have moved. The piece is added to ``sig`` and taken out."""
-    d, more = F.col("d"), F.col("n") - F.col("m")
-    # Pieces are laid out over the rest of the shorter key, on both sides.
-    size = F.length("rest") - (F.lit(0) if name == "a" else more)
-    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), d)))
-    start = F.floor(F.col("i") * size / (d + 1)).cast("int")
-    stop = F.floor((F.col("i") + 1) * size / (d + 1)).cast("int")
-    rows = rows.withColumns({"at": start, "len": stop - start})
-    if name == "b":
-        # The edits before a piece are split between both keys as all edits are.
-        back, ahead = F.floor((d - more) / 2).cast("int"), F.floor((d + more) / 2).cast("int")
-        rows = rows.withColumn("at", F.explode(F.sequence(F.col("at") - back, F.col("at") + ahead)))
-        rows = rows.filter((F.col("at") >= 0) & (F.col("at") + F.col("len") <= F.length("rest")))
-    at, length = F.col("at"), F.col("len")
-    piece = F.substring(F.col("rest"), at + 1, length)
-    return rows.select(
-        name,
-        "m",
-        "n",
-        "d",
-        F.concat_ws("\x01", "sig", F.col("i").cast("string"), piece).alias("sig"),
-        F.concat(F.substring(F.col("rest"), F.lit(1), at), F.substring(F.col("rest"), at + length + 1, F.length("rest"))).alias("rest"),
-    )
-
-
-def _meet(
-    short: DataFrame, long: DataFrame, hot: int, cuts: int, once: bool = False
-) -> DataFrame:
-    """Pairs ``a, b, d`` of keys that share a piece.
+def _lost(size: Column, threshold: int) -> Column:
+    """Most letter pairs of a key that the edits to any similar key can destroy.
 
-    A bucket of one piece that would give more than ``hot`` pairs is not paired: its keys
-    must share one more piece outside the first, and are cut again, up to ``cuts`` times.
-    ``once`` drops the second form of a pair of equal lengths, when both sides are one set.
+    A deletion destroys two pairs and an insertion one; of ``e`` edits that change the length by
+    ``more``, (e - more) / 2 are deletions.
     """
-    bucket = ["m", "n", "sig"]
-    met = []
+    least, most = F.ceil(size * threshold / (200 - threshold)).cast("int"), F.floor(size * (200 - threshold) / threshold).cast("int")
+    edits_to = lambda n: F.floor((size + n) * (100 - threshold) / 100).cast("int")
+    return F.array_max(F.transform(F.sequence(least, most), lambda n: F.floor((3 * edits_to(n) - (n - size)) / 2).cast("int")))
 
-    def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b.drop("d"), bucket)
 
-    for cut in range(cuts):
-        short, long = _cut(short, "a"), _cut(long, "b").distinct()
-        if cut == cuts - 1:
-            met.append(paired(short, long))
-            break
-        sizes = short.groupBy(*bucket).agg(F.count("*").alias("ca")).join(
-            long.groupBy(*bucket).agg(F.count("*").alias("cb")), bucket
-        )
-        crowded = sizes.filter(F.col("ca") * F.col("cb") > hot).select(*bucket)
-        crowded = materialize(crowded, "crowded")
-        if crowded.isEmpty():
-            met.append(paired(short, long))
-            break
-        met.append(paired(short.join(crowded, bucket, "left_anti"), long))
-        short = short.join(crowded, bucket, "left_semi")
-        long = long.join(crowded, bucket, "left_semi")
-    other = (F.col("m") < F.col("n")) | (F.col("a") < F.col("b")) if once else F.col("a") != F.col("b")
-    near = F.expr("levenshtein(a, b, d) >= 0")  # with substitutions never more than the edits
-    return reduce(DataFrame.unionByName, [p.filter(other & near).select("a", "b") for p in met])
+def _rarest(marks: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
+    """Of each key, the rarest marks: one more than can be lost. Similar keys have one of them in common."""
+    order = Window.partitionBy("key").orderBy("count", "gram", "nth")
+    ranked = marks.join(counts, "gram").withColumn("place", F.row_number().over(order))
+    return ranked.filter(F.col("place") <= _lost(F.col("size"), threshold) + 1).select("key", "size", "gram", "nth")
 
 
 # Spark repeats a deterministic function where a filter on its result is moved; this is costly.
 edits = edits.asNondeterministic()
 
 
-def similar_pairs(
-    left: DataFrame,
-    right: DataFrame | None = None,
-    threshold: int = FUZZY_THRESHOLD,
-    hot: int = HOT_PAIRS,
-    cuts: int = 3,
-) -> DataFrame:
-    """Pairs ``a, b, score`` of distinct keys whose similarity reaches ``threshold``.
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: int = FUZZY_THRESHOLD) -> DataFrame:
+    """Pairs ``a, b, score`` of distinct keys whose similarity reaches ``threshold`` (70 or more).
 
     ``left`` and ``right`` have one string column ``key`` without repeats; without
     ``right`` each unordered pair of ``left`` comes once, with ``a < b``.
 
-    With lengths ``m <= n`` at most ``d = (1 - threshold)(m + n)`` edits are allowed, so of
-    ``d + 1`` pieces of the shorter key one occurs unchanged in the longer, moved by no more
-    than the edits permit. An equality join on (lengths, piece) therefore finds every pair,
-    and a bounded edit distance inside the join drops nearly all others before the exact
-    score.
+    Two keys within the allowed edits share more letter pairs than either can lose, so with all pairs
+    in one order, rarest first, the first few of either meet. An equality join on those finds every
+    similar pair; a key has rows in proportion to its length, and frequent pairs are hardly used. A
+    bounded edit distance drops most of what meets before the exact score.
     """
-    both = left if right is None else right
-    met = _meet(_sized(left, "a", threshold), _sized(both, "b", threshold), hot, cuts, right is None)
+    if threshold < 70:
+        raise ValueError("below 70 similar keys may share no letter pair")
+    own = _marks(left)
+    other = own if right is None else _marks(right)
+    counts = (own if right is None else own.unionByName(other)).groupBy("gram").count()
+    counts = materialize(counts, "grams")
+    short = _rarest(own, counts, threshold)
     if right is None:
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        short = long = materialize(short, "marks")
     else:
-        turned = _meet(_sized(right, "a", threshold), _sized(left, "b", threshold), hot, cuts)
-        met = met.unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = met.distinct().withColumn("edits", edits("a", "b"))
+        long = _rarest(other, counts, threshold)
+    a = short.select(F.col("key").alias("a"), F.col("size").alias("m"), "gram", "nth")
+    b = long.select(F.col("key").alias("b"), F.col("size").alias("n"), "gram", "nth")
+    allowed = F.floor((F.col("m") + F.col("n")) * (100 - threshold) / 100).cast("int")
+    distinct = F.col("a") < F.col("b") if right is None else F.col("a") != F.col("b")
+    met = a.join(b, ["gram", "nth"]).filter(distinct & (F.abs(F.col("m") - F.col("n")) <= allowed))
+    near = met.select("a", "b", allowed.alias("d")).distinct().filter("levenshtein(a, b, d) >= 0")  # with substitutions never more than the edits
+    pairs = near.withColumn("edits", edits("a", "b"))
     total = F.length("a") + F.length("b")
     return pairs.filter(F.col("edits") * 100 <= total * (100 - threshold)).select(
         "a", "b", ((1 - F.col("edits") / total) * 100).alias("score")
@@ -188,7 +136,6 @@ def canonical_keys(
     nodes: DataFrame,
     threshold: int = FUZZY_THRESHOLD,
     first_batch: int = FIRST_BATCH,
-    hot: int = HOT_PAIRS,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The keys of ``key, pos`` that become canonical when all are read by ``pos``; and, when
     they fit one batch, all similar pairs ``early, late, score``.
@@ -206,7 +153,7 @@ def canonical_keys(
             later = rest.filter(F.col("pos") > cutoff)
         else:
             batch, later = rest, None
-        pairs = similar_pairs(batch.select("key"), None, threshold, hot)
+        pairs = similar_pairs(batch.select("key"), None, threshold)
         pa = batch.select(F.col("key").alias("a"), F.col("pos").alias("pa"))
         pb = batch.select(F.col("key").alias("b"), F.col("pos").alias("pb"))
         a_first = F.col("pa") < F.col("pb")
@@ -223,7 +170,7 @@ def canonical_keys(
             return new, edges.select("early", "late", "score")
         if later is None:
             break
-        matched = similar_pairs(new, later.select("key"), threshold, hot).select(F.col("b").alias("key"))
+        matched = similar_pairs(new, later.select("key"), threshold).select(F.col("b").alias("key"))
         rest = materialize(later.join(matched, "key", "left_anti"), "rest")
         size *= 2
     return reduce(DataFrame.unionByName, canon) if canon else nodes.select("key"), None
@@ -235,7 +182,6 @@ def canonicalize(
     order_by: str,
     threshold: int = FUZZY_THRESHOLD,
     first_batch: int = FIRST_BATCH,
-    hot: int = HOT_PAIRS,
 ) -> DataFrame:
     """Map every raw label to its canonical one: ``raw, canonical, score``.
 
@@ -258,11 +204,11 @@ def canonicalize(
         "key", F.col("first").alias("pos"), F.col("label").alias("canonical")
     )
     nodes = materialize(nodes, "nodes")
-    keys, pairs = canonical_keys(nodes, threshold, first_batch, hot)
+    keys, pairs = canonical_keys(nodes, threshold, first_batch)
     canon = materialize(nodes.join(keys, "key", "left_semi"), "canonical")
 
     if pairs is None:
-        options = similar_pairs(canon.select("key"), nodes.select("key"), threshold, hot).select(
+        options = similar_pairs(canon.select("key"), nodes.select("key"), threshold).select(
             F.col("a").alias("other"), F.col("b").alias("key"), "score"
         )
     else:

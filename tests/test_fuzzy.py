@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from checks import adapters
 from sitemill.operators import fuzzy
@@ -55,7 +56,7 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("options", [{}, {"first_batch": 4, "hot": 0}])
+@pytest.mark.parametrize("options", [{}, {"first_batch": 4}])
 def test_same_as_in_order(spark, options):
     assert run(spark, VALUES, **options) == in_order(VALUES)
 
@@ -79,7 +80,7 @@ def test_generated_labels(spark, threshold):
             at = rng.randrange(len(s) + 1)
             s[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "x", " "])
         values.append("".join(s))
-    assert run(spark, values, threshold=threshold, first_batch=100, hot=50) == in_order(values, threshold)
+    assert run(spark, values, threshold=threshold, first_batch=100) == in_order(values, threshold)
 
 
 def test_catalog_labels(spark, sf):
@@ -94,3 +95,24 @@ def test_catalog_labels(spark, sf):
 def test_edits(a, b):
     assert fuzzy._edits(a, b) == len(a) + len(b) - 2 * lcs(a, b)
     assert fuzzy._edits(a, b) <= len(a) + len(b) - 2 * SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+
+
+def test_rows_per_key_are_linear(spark):
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in (20, 40, 60) for _ in range(20)]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    marks = fuzzy._marks(df)
+    kept = fuzzy._rarest(marks, marks.groupBy("gram").count(), 90).groupBy("key", "size").count().groupBy("size").agg(F.max("count").alias("n"))
+    rows = {r["size"]: r["n"] for r in kept.collect()}
+    assert rows[20] <= 12 and rows[40] <= 2.2 * rows[20] and rows[60] <= 3.3 * rows[20]
+
+
+@pytest.mark.parametrize("threshold", [70, 85])
+def test_pairs_of_two_sets(spark, threshold):
+    rng = random.Random(threshold)
+    keys = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    left, right = sorted(set(keys[:60])), sorted(set(keys[60:]))
+    frames = [spark.createDataFrame([(k,) for k in x], "key string") for x in (left, right)]
+    got = {(r["a"], r["b"]) for r in fuzzy.similar_pairs(*frames, threshold).collect()}
+    near = lambda a, b: 100 * (len(a) + len(b) - 2 * lcs(a, b)) <= (100 - threshold) * (len(a) + len(b))
+    assert got == {(a, b) for a in left for b in right if a != b and near(a, b)}
