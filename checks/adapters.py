@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitemill.session import resolved
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -255,12 +257,12 @@ def archive_pointers(spark: SparkSession, sf: str, root: str) -> DataFrame:
     fit are stored as Latin-1.
     """
 
+    uri = resolved(spark, root)
+
     def write(pages: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
 
-        store, base = (
-            fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-        )
+        store, base = fs.FileSystem.from_uri(uri)
         pages = pages.sort_values("page_id")
         name = f"segment-{int(pages['page_id'].iloc[0]) // 32:06d}.warc.gz"
         store.create_dir(base, recursive=True)

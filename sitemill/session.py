@@ -56,6 +56,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI of the file system that Spark reads it from, for other readers of the same files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared scratch folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

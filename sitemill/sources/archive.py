@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitemill.session import resolved
+
 RANGE_BYTES = 64 * 1024 * 1024
 POINTER = ("warc_filename", "warc_record_offset", "warc_record_length")
 RESPONSE = (
@@ -116,11 +118,11 @@ def _failed(message: str) -> dict:
 def archive_responses(pointers: DataFrame, root: str) -> DataFrame:
     """Pointer rows with the response they point at, or the ``error`` that kept it away.
 
-    Files live below ``root``: any location the Arrow filesystem layer opens, as a path
-    or URI. Pointers are gathered by file and 64 MB range and sorted by offset, so a task
+    Files live below ``root``, which means what it means to Spark: without a scheme it lies in
+    the default file system. Pointers are gathered by file and 64 MB range and sorted by offset, so a task
     reads forward, and a file with most of the pointers is spread over many tasks.
     """
-    cols = pointers.columns
+    cols, uri = pointers.columns, resolved(pointers.sparkSession, root)
     located = (
         pointers.repartition("warc_filename", F.floor(F.col("warc_record_offset") / RANGE_BYTES))
         .sortWithinPartitions("warc_filename", "warc_record_offset")
@@ -129,7 +131,7 @@ def archive_responses(pointers: DataFrame, root: str) -> DataFrame:
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        store, base = fs.FileSystem.from_uri(uri)
         name, handle = None, None
         for batch in batches:
             # Few rows at a time: bodies are large.
