@@ -21,6 +21,10 @@ SETTINGS = {
 STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+#: Folders that ``materialize`` wrote, for jobs that remove them when their results are stored.
+MADE: list[str] = []
+
+
 def builder(app: str = "sitemill", master: str | None = None) -> SparkSession.Builder:
     b = SparkSession.builder.appName(app)
     if master:
@@ -77,4 +81,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables. Nothing unwritten may still read them."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
