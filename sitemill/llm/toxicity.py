@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ INPUT = 2 * DIM + 3
 GRAMS = (3, 4, 5)
 #: Windows that are scored at once.
 TOGETHER = 512
+#: Words whose features are computed at once.
+TOGETHER_WORDS = 20_000
 THRESHOLD = 0.3
 #: Standard errors that a leaning must exceed.
 DOUBTS = 2.5
@@ -47,6 +49,9 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     ``<`` and ``>`` mark the ends of a word, so the shortest has one n-gram.
     """
+    if len(words) > TOGETHER_WORDS:
+        parts = [features(words[i : i + TOGETHER_WORDS]) for i in range(0, len(words), TOGETHER_WORDS)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
     lengths = np.array([len(w) + 2 for w in words])
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -62,8 +67,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows.append((h[there] >> np.uint64(7)) % np.uint64(TABLE))
         owners.append(owner[: len(codes) - n + 1][there])
     of = np.concatenate(owners)
-    grams = np.concatenate(rows)[np.argsort(of, kind="stable")].astype(np.int64)
-    return np.array([zlib.crc32(w.encode()) % TABLE for w in words]), grams, np.bincount(of, minlength=len(words))
+    grams = np.concatenate(rows)[np.argsort(of, kind="stable")].astype(np.int32)
+    return np.array([zlib.crc32(w.encode()) % TABLE for w in words], np.int32), grams, np.bincount(of, minlength=len(words))
 
 
 def windows(n: int) -> np.ndarray:
@@ -199,11 +204,15 @@ class Adam:
             self.p[k] -= self.rate * self.slow.get(k, 1.0) * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
 
 
-def leaning(rows: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Per table row: logarithm of how much more often toxic texts hold it, less some standard errors: 0 for rare rows."""
-    pairs = np.unique(rows.astype(np.int64) * len(toxic) + text)
-    held, of = pairs // len(toxic), toxic[pairs % len(toxic)]
-    yes, no = np.bincount(held[of], minlength=TABLE), np.bincount(held[~of], minlength=TABLE)
+def leaning(texts_rows: Iterable[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Per table row: logarithm of how much more often toxic texts hold it, less some standard errors: 0 for rare rows.
+
+    Texts are counted one after another, so that no more than one text's rows are held at a time.
+    """
+    held = np.zeros((2, TABLE), np.int32)
+    for rows, y in zip(texts_rows, toxic.astype(int), strict=True):
+        held[y, np.unique(rows)] += 1
+    no, yes = held
     odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((~toxic).sum() + 1))
     doubt = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
     return (np.sign(odds) * np.maximum(0, np.abs(odds) - DOUBTS * doubt)).astype(np.float32)
@@ -217,20 +226,16 @@ def fit(texts: list[str], labels: list[int], rounds: int = 4, batch: int = 256,
     from the third round on, that the network scores, about as high as its highest one.
     """
     net, rng = Network(seed), np.random.default_rng(seed)
-    words = [words_of(t) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    vocabulary: dict[str, int] = {}
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t in texts]
     if not vocabulary or len(set(labels)) < 2:
         return net
     of_word, grams, many = features(list(vocabulary))
     ends = np.cumsum(many)
-    ids = [np.array([vocabulary[w] for w in ws], np.int64) for ws in words]
     toxic = np.array(labels) == 1
-    text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat = np.concatenate(ids)
-    pairs = np.unique(text * len(vocabulary) + flat)
-    text_of, word_of = pairs // len(vocabulary), pairs % len(vocabulary)
-    net.leaning["word"] = leaning(of_word[word_of], text_of, toxic)
-    net.leaning["gram"] = leaning(grams[_runs(ends[word_of] - many[word_of], many[word_of])], np.repeat(text_of, many[word_of]), toxic)
+    distinct = [np.unique(x) for x in ids]
+    net.leaning["word"] = leaning((of_word[x] for x in distinct), toxic)
+    net.leaning["gram"] = leaning((grams[_runs(ends[x] - many[x], many[x])] for x in distinct), toxic)
     lean = net.leaning["word"][of_word] + np.maximum.reduceat(net.leaning["gram"][grams], ends - many)
 
     owner, numbers = [], []
@@ -300,7 +305,9 @@ def train(texts: list[str], labels: list[int], **settings) -> Network:
     held = [zlib.crc32(t.encode()) % HELD == 0 for t in texts]
     net = fit([t for t, h in zip(texts, held, strict=True) if not h], [y for y, h in zip(labels, held, strict=True) if not h], **settings)
     own = [t for t, h in zip(texts, held, strict=True) if h]
-    net.scale = scaled(Scorer(net)(own), np.array([y for y, h in zip(labels, held, strict=True) if h], float))
+    scorer = Scorer(net)
+    found = np.concatenate([scorer(own[i : i + 64]) for i in range(0, len(own), 64)]) if own else np.zeros(0)
+    net.scale = scaled(found, np.array([y for y, h in zip(labels, held, strict=True) if h], float))
     return net
 
 
