@@ -19,21 +19,23 @@ WORDS = 5
 ROWS = 5
 #: Chance that banding, or the bit sketch, misses a pair at the similarity itself (above it: less).
 MISSED = 1e-6
-#: Coordinates that give a bit each to the sketch.
-BITS = 128
-#: Rounds in which one member of each bucket is held against the others before all are.
-HUB_ROUNDS = 2
+#: Coordinates that give two bits each to the sketch, and the 64-bit numbers that hold them.
+SKETCHED, PARTS = 1024, 32
+EVEN_BITS = 0x5555555555555555
+#: Rounds in which the hub of each bucket meets the other components before all pairs are looked at.
+HUB_ROUNDS = 1
 #: Members of a bucket that meet in one task.
 BLOCK = 512
 #: Shingles times coordinates that are hashed at once.
 CELLS = 1 << 18
 
 CLASS = ["n", "h1", "h2"]
+BITS = [f"b{i}" for i in range(PARTS)]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What the similarity asks for: bands, coordinates, and bits in which a pair may differ."""
+    """What the similarity asks for: bands, coordinates, and sketched coordinates in which a pair may differ."""
 
     percent: int
 
@@ -43,16 +45,16 @@ class Plan:
 
     @property
     def coordinates(self) -> int:
-        return max(BITS, self.bands * ROWS)
+        return self.bands * ROWS
 
     @property
     def differing(self) -> int:
-        differs, tail = (1 - self.percent / 100) / 2, 1.0
-        for k in range(BITS + 1):
-            tail -= math.comb(BITS, k) * differs**k * (1 - differs) ** (BITS - k)
+        differs, tail = (1 - self.percent / 100) * 3 / 4, 1.0  # two random bits agree in a quarter of cases
+        for k in range(SKETCHED + 1):
+            tail -= math.comb(SKETCHED, k) * differs**k * (1 - differs) ** (SKETCHED - k)
             if tail <= MISSED:
                 return k
-        return BITS
+        return SKETCHED
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,27 +88,32 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
     step = max(1, CELLS // coordinates)
     for i in range(0, len(places), step):
         x = places[i : i + step, None] + shifts
-        x ^= x >> np.uint32(16)
         x *= np.uint32(0x85EBCA6B)
-        x ^= x >> np.uint32(13)
+        x ^= x >> np.uint32(15)
         x *= np.uint32(0xC2B2AE35)
-        x ^= x >> np.uint32(16)
         np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
-def sketch(text: str, plan: Plan) -> tuple[int, int, int, list[int], int, int]:
-    """Size and digest of the shingle set, band keys, and the bit sketch."""
+def sketch(text: str, plan: Plan) -> tuple:
+    """Size and digest of the shingle set, and its band keys."""
     found = shingles(text)
     if not len(found):
-        return 0, 0, 0, [], 0, 0
+        return 0, 0, 0, []
     low = signature(found, plan.coordinates).astype(np.uint64)
     keys = np.arange(1, plan.bands + 1, dtype=np.uint64)
     for k in range(ROWS):
         keys = mixed(keys + low[k : plan.bands * ROWS : ROWS])
-    bits = np.packbits((low[:BITS] & np.uint64(1)).astype(np.uint8)).view("<i8")
     digest = [mixed(found).sum(dtype=np.uint64), mixed(found ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]
-    return len(found), *np.array(digest, np.uint64).view(np.int64).tolist(), keys.view(np.int64).tolist(), int(bits[0]), int(bits[1])
+    return len(found), *np.array(digest, np.uint64).view(np.int64).tolist(), keys.view(np.int64).tolist()
+
+
+def bit_sketch(found: np.ndarray) -> np.ndarray:
+    """Two bits of each of ``SKETCHED`` coordinates, as ``PARTS`` numbers."""
+    if not len(found):
+        return np.zeros(PARTS, np.int64)
+    low = signature(found, SKETCHED)
+    return np.packbits(np.stack([(low >> np.uint32(1)) & np.uint32(1), low & np.uint32(1)], axis=1).astype(np.uint8)).view("<i8")
 
 
 def sketches(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -115,39 +122,46 @@ def sketches(rows: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(t or "", plan) for t in batch.column(3).to_pylist()]
-            columns = [pa.array([f[i] for f in found], pa.list_(pa.int64()) if i == 3 else pa.int64()) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["row", "run", "doc_id", "n", "h1", "h2", "bands", "b0", "b1"])
+            columns = [pa.array([f[i] for f in found], pa.list_(pa.int64()) if i == 3 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], ["row", "run", "doc_id", *CLASS, "bands"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("row", "run", "doc_id", "text").mapInArrow(run, f"row long, run int, doc_id {kind}, n long, h1 long, h2 long, bands array<long>, b0 long, b1 long")
+    return rows.select("row", "run", "doc_id", "text").mapInArrow(run, f"row long, run int, doc_id {kind}, n long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
-    """``n, h1, h2, found``: the whole shingle set of each text, under its digest."""
+    """``n, h1, h2, found`` and ``BITS``: the whole shingle set of each text under its digest, and its bit sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t or "") for t in batch.column(0).to_pylist()]
             digests = [[mixed(s).sum(dtype=np.uint64), mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)] for s in sets]
             pairs = np.array(digests, np.uint64).reshape(len(sets), 2).view(np.int64)
+            bits = np.array([bit_sketch(s) for s in sets], np.int64).reshape(len(sets), PARTS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                ["n", "h1", "h2", "found"],
+                [pa.array([len(s) for s in sets], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(PARTS)]],
+                [*CLASS, "found", *BITS],
             )
 
-    return texts.select("text").mapInArrow(run, "n long, h1 long, h2 long, found array<long>")
+    return texts.select("text").mapInArrow(run, "n long, h1 long, h2 long, found array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def alike(pairs: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
     """Pairs that their sizes and bit sketches allow."""
-    a = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
-    b = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-    return pairs.join(a, "a").join(b, "b").where(_allowed(plan)).select("a", "b")
+    return pairs.join(facts.select(*_side("a")), "a").join(facts.select(*_side("b")), "b").where(_allowed(plan)).select("a", "b")
+
+
+def _side(name: str) -> list:
+    """Node, size and sketch of one side of a pair: ``name``, ``name_n``, ``name_b0`` and so on."""
+    return [F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(b).alias(f"{name}_{b}") for b in BITS]]
 
 
 def _allowed(plan: Plan):
-    sizes = 100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb")
-    differing = F.bit_count(F.col("a0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("c1")))
+    sizes = 100 * F.least("a_n", "b_n") >= plan.percent * F.greatest("a_n", "b_n")
+    differing = F.lit(0)
+    for b in BITS:
+        x = F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))
+        differing = differing + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(EVEN_BITS)))
     return sizes & (differing <= plan.differing)
 
 
@@ -160,43 +174,54 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").where(100 * both >= plan.percent * union).select("a", "b")
 
 
-def links(classes: DataFrame, docs_text: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between classes, and the components they form.
+def links(classes: DataFrame, docs_text: DataFrame, plan: Plan) -> DataFrame:
+    """Components ``node, component`` that confirmed links between classes form; nodes without a link are left out.
 
-    Members of a bucket are first held against its hub, the member that shares most buckets (the
-    text that the others were made from, as a rule), which joins a group of near copies by one link
-    each. Then, between members that no links join so far, all pairs are looked at in blocks; sizes
-    and bit sketches part most, the others are compared in full. No pair of a bucket is left out
-    unless links join it already.
+    A class first meets one other: of the hubs of its buckets (the members that share most buckets,
+    as a rule the text that others were made from) the one that shares most. That joins a group of
+    near copies by a link each. Then, in buckets that hold several components still, the hub meets
+    the members of other components, and at last all pairs of different components are looked at in
+    blocks; sizes and bit sketches part most, the others are compared in full. No pair of a bucket is
+    left out unless links join it already.
     """
-    facts = classes.select("node", "n", "b0", "b1")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = materialize(keyed.join(crowd, "key"), "near-buckets")
     score = materialize(shared.groupBy("node").agg(F.sum("m").alias("score")), "near-scores")
-    live = materialize(shared.select("key", "node").join(score, "node"), "near-live")
     needed = score.join(classes.select("node", "first", *CLASS), "node").select("node", *CLASS, F.col("first.doc_id").alias("doc_id"))
     texts = docs_text.join(needed.select("doc_id").distinct().withColumnRenamed("doc_id", "own"), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-    sets = materialize(full_sets(texts.select("text")).join(needed.select("node", *CLASS), CLASS).groupBy("node").agg(F.first("found").alias("found")), "near-sets")
-
-    found = None
-    groups = score.select("node", F.col("node").alias("component"))
+    sets = materialize(full_sets(texts.select("text")).join(needed.select("node", *CLASS), CLASS).groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "found", *BITS)]), "near-sets")
+    facts = sets.select("node", "n", *BITS)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        return materialize(confirmed(materialize(alike(ordered, facts, plan), "near-pairs"), sets, plan), "near-links")
+
+    def still_mixed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """Rows ``key, node, score`` with component and bucket size, of buckets that hold several components."""
+        rows = materialize(rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-labelled")
+        mixed_keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+        return materialize(rows.join(mixed_keys.select("key", "m"), "key"), "near-live")
+
+    rows = materialize(shared.select("key", "node").join(score, "node"), "near-rows")
+    top = F.max(F.struct("score", (-F.col("node")).alias("node")))
+    hubs = rows.groupBy("key").agg(top.alias("hub"))
+    best = rows.join(hubs, "key").groupBy("node").agg(F.max("hub").alias("hub")).select("node", (-F.col("hub.node")).alias("hub"))
+    found = linked(best.where("node <> hub"))
+    groups = components(found, "near")
+    live = still_mixed(rows, groups)
     for _ in range(HUB_ROUNDS):
-        hubs = live.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("node"))).alias("hub")).select("key", (-F.col("hub.node")).alias("hub"))
-        marked = materialize(live.join(hubs, "key").select("key", "node", "score", "hub"), "near-marked")
-        pairs = marked.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        new = materialize(confirmed(materialize(alike(pairs, facts, plan), "near-pairs"), sets, plan), "near-links")
-        found = new if found is None else found.unionByName(new)
-        groups = components(found, "near")
-        labelled = marked.where("node <> hub").drop("hub").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        labelled = materialize(labelled, "near-labelled")
-        mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
-        live = materialize(labelled.join(mixed_keys.select("key", "m"), "key"), "near-live")
         if live.isEmpty():
-            return found, groups
-    new = materialize(confirmed(materialize(cross_pairs(live, facts, plan), "near-pairs"), sets, plan), "near-links")
-    found = found.unionByName(new)
-    return found, components(found, "near")
+            return groups
+        hubs = live.groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("node"), "component")).alias("hub"))
+        marked = live.drop("m").join(hubs, "key").select("key", "node", "score", "component", (-F.col("hub.node")).alias("hub"), F.col("hub.component").alias("other"))
+        marked = materialize(marked, "near-marked")
+        found = found.unionByName(linked(marked.where("component <> other")))
+        groups = components(found, "near")
+        live = still_mixed(marked.where("node <> hub").select("key", "node", "score"), groups)
+    last = cross_pairs(live, facts, plan)
+    found = found.unionByName(materialize(confirmed(materialize(last, "near-pairs"), sets, plan), "near-links"))
+    return components(found, "near")
 
 
 def cross_pairs(live: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
@@ -207,8 +232,8 @@ def cross_pairs(live: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
     known = live.join(facts, "node").withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int"))
     known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     spread = materialize(known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))), "near-blocks")
-    left = spread.where("block <= other").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("b0").alias("a0"), F.col("b1").alias("a1"))
-    right = spread.where("block >= other").select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
+    left = spread.where("block <= other").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("component").alias("ca"), *_side("a"))
+    right = spread.where("block >= other").select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("component").alias("cb"), *_side("b"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & _allowed(plan)
     met = left.join(right, ["key", "i", "j"]).where(apart)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -222,10 +247,10 @@ def find(rows: DataFrame, percent: int) -> DataFrame:
     classes = (
         base.where("n > 0")
         .groupBy(*CLASS)
-        .agg(F.min("row").alias("node"), F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+        .agg(F.min("row").alias("node"), F.min(first).alias("first"), F.first("bands").alias("bands"))
     )
     classes = materialize(classes, "near-classes")
-    _, groups = links(classes, rows.select("doc_id", "text"), plan)
+    groups = links(classes, rows.select("doc_id", "text"), plan)
     own = classes.select("node", "first", *CLASS).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = own.groupBy("component").agg(F.min("first").alias("best"))
     facts = own.join(firsts, "component").select(*CLASS, F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("kept_row"))
