@@ -5,13 +5,16 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemill.llm import bpe, exact, langid, mixing, neardup
 from sitemill.llm.common import prepare
 from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, vocabulary
-from sitemill.session import materialize
+from sitemill.session import MADE, materialize, remove
 
 #: A text goes when the next best language packs it to no more than this share above the best one.
 MARGIN = 0.002
@@ -19,34 +22,55 @@ MARGIN = 0.002
 PERCENT = 80
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Intermediate tables of the stage that ran last.
+_left: list[str] = []
+
+
+def stage(function: Stage) -> Stage:
+    """A stage that first removes what the stage before it left: that one's result is written by then."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        before = len(MADE)
+        result = function(prepare(spark), docs, sf_dir)
+        _left[:] = MADE[before:]
+        return result
+
+    return run_stage
+
+
+@stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: texts without a letter and undecided ones go."""
     columns = docs.columns
-    known = langid.learn(langid.training_rows(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")))
+    known = langid.learn(langid.training_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return langid.keep_known(docs, known, margin=MARGIN).select(*columns)
 
 
+@stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without blanks."""
-    prepare(spark)
     return exact.deduplicate(docs)
 
 
+@stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    prepare(spark)
     return neardup.deduplicate(docs, PERCENT)
 
 
+@stage
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for, globally shuffled."""
-    prepare(spark)
     return mixing.mix(docs, MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*")
 
 
+@stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, checked by decoding them: ``doc_id, source, n_tokens, ids, round_trip``."""
-    prepare(spark)
     both = docs.select("doc_id", "source", "text", bpe.round_trip(spark, vocabulary())(F.col("text")).alias("both"))
     return both.select(
         "doc_id",
@@ -72,6 +96,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, step in STAGES[:-1]:
+        docs = materialize(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
