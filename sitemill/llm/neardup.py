@@ -219,7 +219,7 @@ def links(classes: DataFrame, docs_text: DataFrame, plan: Plan) -> DataFrame:
         found = found.unionByName(linked(marked.where("component <> other")))
         groups = components(found, "near")
         live = still_mixed(marked.where("node <> hub").select("key", "node", "score"), groups)
-    last = cross_pairs(live, facts, plan)
+    last = cross_pairs(live, facts.join(classes.select("node", "bands"), "node"), plan)
     found = found.unionByName(materialize(confirmed(materialize(last, "near-pairs"), sets, plan), "near-links"))
     return components(found, "near")
 
@@ -227,14 +227,17 @@ def links(classes: DataFrame, docs_text: DataFrame, plan: Plan) -> DataFrame:
 def cross_pairs(live: DataFrame, facts: DataFrame, plan: Plan) -> DataFrame:
     """Pairs within a bucket, of different components, that sizes and bit sketches allow.
 
-    A bucket is cut into blocks; each pair of blocks is one join key, so a large bucket is many tasks.
+    A bucket is cut into blocks; each pair of blocks is one join key, so a large bucket is many tasks. A
+    pair comes from the first bucket that both share only.
     """
     known = live.join(facts, "node").withColumn("of", F.ceil(F.col("m") / BLOCK).cast("int"))
     known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     spread = materialize(known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))), "near-blocks")
-    left = spread.where("block <= other").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("component").alias("ca"), *_side("a"))
-    right = spread.where("block >= other").select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("component").alias("cb"), *_side("b"))
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & _allowed(plan)
+    left = spread.where("block <= other").select("key", F.col("block").alias("i"), F.col("other").alias("j"), F.col("component").alias("ca"), F.col("bands").alias("a_bands"), *_side("a"))
+    right = spread.where("block >= other").select("key", F.col("other").alias("i"), F.col("block").alias("j"), F.col("component").alias("cb"), F.col("bands").alias("b_bands"), *_side("b"))
+    before = F.array_position("a_bands", F.col("key")).cast("int") - 1
+    met_before = F.arrays_overlap(F.slice("a_bands", F.lit(1), before), F.slice("b_bands", F.lit(1), before))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))) & _allowed(plan) & ~met_before
     met = left.join(right, ["key", "i", "j"]).where(apart)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
