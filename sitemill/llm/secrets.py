@@ -91,7 +91,7 @@ def total(values: Column) -> Column:
 
 
 def tested(found: Column) -> Column:
-    """Matches with an encoding, and ``p``: how well the token agrees with independent, uniform characters.
+    """Matches with an encoding, ``hash`` of the token, and ``p``: how well the token agrees with independent, uniform characters.
 
     Chi-squared test of equal use of the alphabet, runs test of lower and upper half of the alphabet,
     and serial correlation of neighbours; the three p-values are combined as Fisher does.
@@ -106,6 +106,7 @@ def tested(found: Column) -> Column:
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["code"].alias("code"),
+            F.xxhash64(m["token"]).alias("hash"),
             F.length(m["token"]).cast("double").alias("n"),
             by_encoding(m["code"], [float(len(e[3])) for e in ENCODINGS]).alias("size"),
             F.transform(F.array_distinct(F.split(m["token"], "")), lambda c: F.length(m["token"]) - F.length(F.replace(m["token"], c, F.lit("")))).alias("counts"),
@@ -118,6 +119,7 @@ def tested(found: Column) -> Column:
             m["start"].alias("start"),
             m["end"].alias("end"),
             m["code"].alias("code"),
+            m["hash"].alias("hash"),
             m["n"].alias("n"),
             m["size"].alias("size"),
             total(F.transform(m["counts"], lambda c: (c * c).cast("double"))).alias("squares"),
@@ -146,7 +148,7 @@ def tested(found: Column) -> Column:
         least = F.lit(1e-12)
         log = F.ln(F.greatest(least, tail(uniform))) + F.ln(F.greatest(least, F.least(F.lit(1.0), 2 * tail(runs)))) + F.ln(F.greatest(least, F.least(F.lit(1.0), 2 * tail(serial))))
         long = sum([F.when(n >= x, 1).otherwise(0) for x in LENGTHS[1:]], F.lit(0))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), (m["code"] * len(LENGTHS) + long).alias("stratum"), (F.exp(log) * (1 - log + log * log / 2)).alias("p"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["hash"].alias("hash"), (m["code"] * len(LENGTHS) + long).alias("stratum"), (F.exp(log) * (1 - log + log * log / 2)).alias("p"))
 
     return F.transform(summed, statistics)
 
@@ -157,10 +159,12 @@ def thresholds(tokens: DataFrame) -> DataFrame:
     A stratum is an encoding and a length class. Random tokens have p spread evenly, others have it
     near 0; so twice those above a half tell how many are random, and the threshold is the smallest
     at which no more than ``FALSE_SHARE`` of what is taken is expected to be something else.
-    Counts are a row per stratum and step, at most 960, whatever the table holds.
+    The estimate needs independent tokens, so equal ones (by 64-bit hash, as p follows from the token)
+    count once, however often they are copied. Counts are a row per stratum and step, at most 960,
+    whatever the table holds.
     """
     step = F.least(F.lit(STEPS - 1), F.floor(F.col("p") * STEPS)).cast("int")
-    counts = tokens.groupBy("stratum", step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens.select("stratum", "hash", step.alias("step")).distinct().groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("stratum")
     random = F.sum(F.when(F.col("step") >= STEPS // 2, F.col("n")).otherwise(0)).over(every) * 2
     taken = F.sum("n").over(every.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -187,7 +191,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     seen = materialize(
         rows.select("row", "doc_id", base.alias("base"), matches("text", CANDIDATE).alias("tokens")).select("row", "doc_id", "base", tested(F.col("tokens")).alias("tokens")), "secret-spans"
     )
-    limits = thresholds(seen.select(F.explode("tokens").alias("t")).select("t.stratum", "t.p"))
+    limits = thresholds(seen.select(F.explode("tokens").alias("t")).select("t.stratum", "t.hash", "t.p"))
     known = {r["stratum"]: r["least_p"] for r in limits.collect()}  # at most one per stratum
     limit = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv]) if known else F.create_map().cast("map<int,double>")
     free = F.filter(

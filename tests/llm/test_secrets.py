@@ -41,6 +41,30 @@ def test_random_tokens_are_told_from_words(make):
             assert texts[r.doc_id][s.start : s.end] in {*keys, *names}
 
 
+def test_copies_of_a_token_do_not_move_the_threshold(make):
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: rng.choice(["river", "Stone", "cloud", "Paper", "light", "Green", "house", "Night"])
+    keys = ["".join(rng.choice(letters) for _ in range(38)) for _ in range(200)]
+    names = ["".join(word() for _ in range(7)) + str(rng.randrange(10)) for _ in range(200)]
+    texts = [f"see {x} there" for x in keys + names]
+
+    def limits(texts):
+        spans = make(texts).select("doc_id", secrets.tested(secrets.matches("text", secrets.CANDIDATE)).alias("tokens"))
+        tokens = spans.selectExpr("doc_id", "explode(tokens) AS t").select("doc_id", "t.*")
+        return tokens, {r.stratum: r.least_p for r in secrets.thresholds(tokens).collect()}
+
+    tokens, alone = limits(texts)
+    assert len(alone) == 1
+    rows = tokens.collect()
+    for near in (0.3, 0.9):  # 4,000 copies in other documents
+        r = min(rows, key=lambda r: abs(r.p - near))
+        token = texts[r.doc_id][r.start : r.end]
+        assert limits(texts + [f"copy {token}"] * 4_000)[1] == alone
+    found = secrets.scan(make(texts + [f"copy {token}"] * 4_000)).where("doc_id >= 400")
+    assert found.where("size(found) = 1").count() == 4_000  # all copies are reported
+
+
 def test_digest(make):
     text = "token = 0123456789abcdef0123456789abcdef"
     row = secrets.digest(secrets.scan(make([text]))).first()
