@@ -33,6 +33,19 @@ ENCODINGS: list[tuple[str, str, list[str], str]] = [
     ("base64", "^[A-Za-z0-9+/]+=*$", ["[0-9]", "[A-Z]", "[a-z]"], _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+=*$", ["[0-9]", "[A-Z]", "[a-z]"], _UPPER + _LOWER + _DIGITS + "-_"),
 ]
+#: For what fits none of those, without its padding: digits or letters only, and the alphabets with separators where a class is missing.
+FURTHER: list[tuple[str, str, list[str], str]] = [
+    ("digits", "^[0-9]+$", [], _DIGITS),
+    ("upper26", "^[A-Z]+$", [], _UPPER),
+    ("lower26", "^[a-z]+$", [], _LOWER),
+    ("base52", "^[A-Za-z]+$", [], _UPPER + _LOWER),
+    ("base64 part", "^[A-Za-z0-9+/]+$", [], _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url part", "^[A-Za-z0-9_-]+$", [], _UPPER + _LOWER + _DIGITS + "-_"),
+]
+EVERY = ENCODINGS + FURTHER
+#: Runs of one alphabet inside a run that fits no encoding of several classes, or in which a word stands between separators.
+PARTS = ["[A-Za-z0-9_-]{16,}={0,2}", "[A-Za-z0-9+/]{16,}={0,2}", "[A-Za-z0-9]{16,}={0,2}"]
+WORDY = "(?:^|[+/_-])[A-Za-z]?[a-z]{3,}(?:[+/_-]|$)"
 #: Lengths that are judged together start here.
 LENGTHS = [16, 24, 32, 48, 64, 128]
 #: Steps of the threshold, and the share of false discoveries that each stratum may hold.
@@ -46,19 +59,20 @@ def ends_of(gaps: Column, sizes: Column) -> Column:
     return F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")), lambda acc: acc["ends"])
 
 
-def matches(text: str, pattern: str, group: int = 0) -> Column:
+def matches(text: str | Column, pattern: str, group: int = 0) -> Column:
     """Matches, leftmost and non-overlapping, as an array of ``start, end, value`` (the group); null without one.
 
     The texts between the matches tell where they are: ``split`` and ``regexp_extract_all`` find the
     same matches. Most texts have none and are only searched once.
     """
-    whole = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    values = whole if group == 0 else F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    text = F.col(text) if isinstance(text, str) else text
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     sizes = F.transform(whole, F.length)
-    ends = ends_of(F.transform(F.split(F.col(text), pattern, -1), F.length), sizes)
+    ends = ends_of(F.transform(F.split(text, pattern, -1), F.length), sizes)
     spans = F.zip_with(ends, sizes, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
     both = F.zip_with(spans, values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value")))
-    return F.when(F.col(text).rlike(pattern), both)
+    return F.when(text.rlike(pattern), both)
 
 
 def kind_of(found: Column, kind: int) -> Column:
@@ -66,10 +80,10 @@ def kind_of(found: Column, kind: int) -> Column:
     return F.coalesce(F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"))), F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
-def encoding_of(token: Column) -> Column:
-    """Number of the inferred encoding; null when none fits."""
+def fitting(token: Column, encodings: list) -> Column:
+    """Number of the first encoding that fits; null when none does."""
     found = F.lit(None).cast("int")
-    for i, (_, pattern, parts, _) in reversed(list(enumerate(ENCODINGS))):
+    for i, (_, pattern, parts, _) in reversed(list(enumerate(encodings))):
         fits = token.rlike(pattern)
         for part in parts:
             fits = fits & token.rlike(part)
@@ -77,6 +91,44 @@ def encoding_of(token: Column) -> Column:
     return found
 
 
+def encoding_of(token: Column) -> Column:
+    """Number of the inferred encoding; null when the token mixes ``+/`` with ``_-``."""
+    return F.coalesce(fitting(token, ENCODINGS), fitting(F.rtrim(token, F.lit("=")), EVERY))
+
+
+def units(found: Column) -> Column:
+    """What is tested of the matches: each as a whole, or, where it may hold more than a key, its longest runs of each alphabet.
+
+    A run that mixes ``+/`` with ``_-`` or lacks a class of characters, and one with a word between
+    separators (a path, a prefix), is cut; runs of two alphabets may overlap, equal ones come once.
+    """
+
+    def cut(m: Column) -> Column:
+        value, none = m["value"], F.array().cast("array<struct<start:int,end:int,value:string>>")
+        whole = F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"))
+        inner = F.concat(*[F.coalesce(matches(value, p), none) for p in PARTS])
+        moved = F.transform(inner, lambda x: F.struct((m["start"] + x["start"]).alias("start"), (m["start"] + x["end"]).alias("end"), x["value"].alias("value")))
+        mixed = value.rlike("[+/_-]") & (fitting(value, ENCODINGS).isNull() | value.rlike(WORDY))
+        return F.when(mixed, F.array_sort(F.array_distinct(moved))).otherwise(F.array(whole))
+
+    return F.flatten(F.transform(found, cut))
+
+
+def longest(spans: Column) -> Column:
+    """Of overlapping spans (sorted by start) the longer; the earlier of equal ones."""
+
+    def add(kept: Column, t: Column) -> Column:
+        last = F.element_at(kept, -1)
+        return (
+            F.when((F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end"] <= t["start"]), F.concat(kept, F.array(t)))
+            .when(last["end"] - last["start"] < t["end"] - t["start"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(t)))
+            .otherwise(kept)
+        )
+
+    plain = F.transform(spans, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), add)
+
+
 def by_encoding(number: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), number + 1)
 
@@ -108,9 +160,9 @@ def tested(found: Column) -> Column:
             m["code"].alias("code"),
             F.xxhash64(m["token"]).alias("hash"),
             F.length(m["token"]).cast("double").alias("n"),
-            by_encoding(m["code"], [float(len(e[3])) for e in ENCODINGS]).alias("size"),
+            by_encoding(m["code"], [float(len(e[3])) for e in EVERY]).alias("size"),
             F.transform(F.array_distinct(F.split(m["token"], "")), lambda c: F.length(m["token"]) - F.length(F.replace(m["token"], c, F.lit("")))).alias("counts"),
-            F.transform(F.split(m["token"], ""), lambda c: F.position(c, by_encoding(m["code"], [e[3] for e in ENCODINGS])).cast("double")).alias("ranks"),
+            F.transform(F.split(m["token"], ""), lambda c: F.position(c, by_encoding(m["code"], [e[3] for e in EVERY])).cast("double")).alias("ranks"),
         ),
     )
     summed = F.transform(
@@ -122,7 +174,7 @@ def tested(found: Column) -> Column:
             m["hash"].alias("hash"),
             m["n"].alias("n"),
             m["size"].alias("size"),
-            total(F.transform(m["counts"], lambda c: (c * c).cast("double"))).alias("squares"),
+            total(F.transform(m["counts"], lambda c: c.cast("double") * c)).alias("squares"),
             total(F.transform(m["ranks"], lambda r: F.when(r > m["size"] / 2, 1.0).otherwise(0.0))).alias("high"),
             total(
                 F.zip_with(F.slice(m["ranks"], F.lit(1), F.size(m["ranks"]) - 1), F.slice(m["ranks"], F.lit(2), F.size(m["ranks"]) - 1), lambda a, b: F.when((a > m["size"] / 2) != (b > m["size"] / 2), 1.0).otherwise(0.0))
@@ -160,7 +212,7 @@ def thresholds(tokens: DataFrame) -> DataFrame:
     near 0; so twice those above a half tell how many are random, and the threshold is the smallest
     at which no more than ``FALSE_SHARE`` of what is taken is expected to be something else.
     The estimate needs independent tokens, so equal ones (by 64-bit hash, as p follows from the token)
-    count once, however often they are copied. Counts are a row per stratum and step, at most 960,
+    count once, however often they are copied. Counts are a row per stratum and step, at most 1,680,
     whatever the table holds.
     """
     step = F.least(F.lit(STEPS - 1), F.floor(F.col("p") * STEPS)).cast("int")
@@ -182,14 +234,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """Per document: ``doc_id``, ``base`` and ``found`` (spans ``start, kind, end``, ordered), ``row``.
 
     ``base`` holds the matches of the fixed patterns; ``found`` adds tokens that the tests take as
-    random and that overlap none of them. A null or empty text has none. Rows are scanned one by
+    random and that overlap none of them; of two that overlap, the longer. A null or empty text has none. Rows are scanned one by
     one, repeated ids too. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     assign = F.filter(matches("text", ASSIGN, 2), lambda m: F.length(m["value"]) >= ASSIGN_LEAST)
     base = F.array_sort(F.concat(kind_of(assign, 0), kind_of(matches("text", ACCESS), 1), kind_of(matches("text", HEX), 2)))
     seen = materialize(
-        rows.select("row", "doc_id", base.alias("base"), matches("text", CANDIDATE).alias("tokens")).select("row", "doc_id", "base", tested(F.col("tokens")).alias("tokens")), "secret-spans"
+        rows.select("row", "doc_id", base.alias("base"), matches("text", CANDIDATE).alias("tokens")).select("row", "doc_id", "base", tested(units(F.col("tokens"))).alias("tokens")), "secret-spans"
     )
     limits = thresholds(seen.select(F.explode("tokens").alias("t")).select("t.stratum", "t.hash", "t.p"))
     known = {r["stratum"]: r["least_p"] for r in limits.collect()}  # at most one per stratum
@@ -197,7 +249,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     free = F.filter(
         F.col("tokens"), lambda t: (t["p"] >= limit[t["stratum"]]) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     )
-    return seen.select("row", "doc_id", "base", F.array_sort(F.concat("base", kind_of(free, 3))).alias("found"))
+    return seen.select("row", "doc_id", "base", F.array_sort(F.concat("base", kind_of(longest(free), 3))).alias("found"))
 
 
 KIND_IS = [lambda x: x == 0, lambda x: x == 1, lambda x: x == 2]

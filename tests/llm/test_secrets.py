@@ -65,6 +65,25 @@ def test_copies_of_a_token_do_not_move_the_threshold(make):
     assert found.where("size(found) = 1").count() == 4_000  # all copies are reported
 
 
+def test_keys_in_paths_behind_prefixes_and_without_digits(make):
+    rng = random.Random(11)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = (
+        [("/user-files/", draw(upper + lower + digits, 40)) for _ in range(40)]
+        + [("my-app_dir/", draw(lower + digits, 40)) for _ in range(40)]
+        + [("sk-live-", draw(lower + digits, 40)) for _ in range(40)]
+        + [("", draw(upper + lower, 40)) for _ in range(40)]
+        + [("", draw(lower, 40)) for _ in range(40)]
+    )
+    texts = [f"see {a}{k} there" for a, k in keys] + ["see /user-files/some_words/other-words there", "see ----------------______________ there"] * 20
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.found] for r in secrets.scan(make(texts)).collect()}
+    for first in range(0, 200, 40):
+        assert sum(any(keys[i][1] in v for v in found[i]) for i in range(first, first + 40)) >= 30
+    assert not any(found[i] for i in range(200, 240))
+    assert all(len(found[i]) <= 1 for i in found)
+
+
 def test_digest(make):
     text = "token = 0123456789abcdef0123456789abcdef"
     row = secrets.digest(secrets.scan(make([text]))).first()
