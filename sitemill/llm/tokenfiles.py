@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitemill.llm.bpe import Cutter, file_text, id_lists, rows_of
-from sitemill.llm.common import per_worker, travel
+from sitemill.llm.bpe import id_lists, rows_of
+from sitemill.llm.chunks import library
+from sitemill.llm.common import travel
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
@@ -31,37 +31,13 @@ LAYOUT = {
 }
 
 
-def library_encoder(source: str) -> Cutter:
-    """Ids from the tokenizers library, which is asked for pieces not met before."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(source)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return Cutter(added, lambda pieces: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-
-
-def library(spark: SparkSession, path: str) -> Callable[[], Cutter]:
-    source = file_text(path)
-    sent, name = spark.sparkContext.broadcast(source), f"library-{len(source)}-{zlib.crc32(source.encode())}"
-
-    def build() -> Cutter:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
-        return library_encoder(sent.value)
-
-    return lambda: per_worker(name, build)
-
-
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> None:
     """Writes the documents' ids in ascending ``doc_id``, each with ``end_id`` appended.
 
     Files are range partitions by id and row number, so that rows with one id can lie in several.
     Every row holds its file's number (``part``) and the ids before it in that file
-    (``part_start``). Null ids come first, a null text is empty and has only the end id. An empty
-    table writes files without rows.
+    (``part_start``). Ids are read as long integers (text that is no number is an error). Null ids
+    come first, a null text is empty and has only the end id. An empty table writes files without rows.
     """
     encoder = library(docs.sparkSession, vocabulary)
 
