@@ -89,11 +89,8 @@ def mix(
         known = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(
             salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("own") == F.col("salt"))
         )
-    draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("pieces")),
-        F.lit(0),
-        lambda acc, piece: acc + F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(f"draw{seed}"), piece.cast("string"), F.col("id")))),
-    )
+    numbers = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda piece: uniform(F.lit(f"draw{seed}"), piece.cast("string"), F.col("id")))
+    draw = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
     return (
         known.withColumn("count", draw)
         .where("count > 0")

@@ -77,10 +77,24 @@ def _spans(name: str, pattern: str, where: str = "true") -> str:
   WHERE {where})"""
 
 
-_code = "CASE " + " ".join(
-    f"WHEN regexp_matches(value, '{p}') " + " ".join(f"AND regexp_matches(value, '{x}')" for x in parts) + f" THEN {i}" for i, (_, p, parts, _) in enumerate(secrets.ENCODINGS)
-) + " END"
-_letters = "CASE code " + " ".join(f"WHEN {i} THEN '{e[3]}'" for i, e in enumerate(secrets.ENCODINGS)) + " END"
+def _fitting(value: str, encodings: list) -> str:
+    whens = (f"WHEN regexp_matches({value}, '{p}') " + " ".join(f"AND regexp_matches({value}, '{x}')" for x in parts) + f" THEN {i}" for i, (_, p, parts, _) in enumerate(encodings))
+    return f"CASE {' '.join(whens)} END"
+
+
+def _parts(i: int, pattern: str) -> str:
+    """The runs of one alphabet inside the runs that are cut, with their places in the text."""
+    return f"""
+parts{i} AS (
+  SELECT doc_id, a + list_sum(g[1:i]) + coalesce(list_sum(s[1:i - 1]), 0) AS a, m[i] AS value FROM (
+    SELECT doc_id, a, regexp_extract_all(value, '{pattern}') AS m, list_transform(regexp_extract_all(value, '{pattern}'), lambda x: length(x)) AS s,
+           list_transform(string_split_regex(value, '{pattern}'), lambda x: length(x)) AS g
+    FROM candidate WHERE {_mixed} AND regexp_matches(value, '{pattern}')) q, unnest(range(1, len(m) + 1)) x(i))"""
+
+
+_mixed = f"(regexp_matches(value, '[+/_-]') AND ({_fitting('value', secrets.ENCODINGS)} IS NULL OR regexp_matches(value, '{secrets.WORDY}')))"
+_code = f"coalesce({_fitting('value', secrets.ENCODINGS)}, {_fitting("rtrim(value, '=')", secrets.EVERY)})"
+_letters = "CASE code " + " ".join(f"WHEN {i} THEN '{e[3]}'" for i, e in enumerate(secrets.EVERY)) + " END"
 _long = " + ".join(f"(n >= {x})::INT" for x in secrets.LENGTHS[1:])
 
 
@@ -93,7 +107,7 @@ def _two(z: str) -> str:
 
 
 ORACLES["op9_secrets"] = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 {_spans("assign", secrets.ASSIGN, f"length(v[i]) >= {secrets.ASSIGN_LEAST}")},
 {_spans("access", secrets.ACCESS)},
 {_spans("hex", secrets.HEX)},
@@ -101,9 +115,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS (
   SELECT doc_id, a, 0 AS k, a + length(value) AS b FROM assign UNION ALL SELECT doc_id, a, 1, a + length(value) FROM access
   UNION ALL SELECT doc_id, a, 2, a + length(value) FROM hex),
-coded AS (SELECT *, {_code} AS code FROM candidate),
+{",".join(_parts(i, p) for i, p in enumerate(secrets.PARTS))},
+units AS (
+  SELECT doc_id, a, value FROM candidate WHERE NOT {_mixed}
+  UNION {" UNION ".join(f"SELECT * FROM parts{i}" for i in range(len(secrets.PARTS)))}),
+coded AS (SELECT *, {_code} AS code FROM units),
 ranked AS (
-  SELECT doc_id, a, a + length(value) AS b, code, length({_letters})::DOUBLE AS size, string_split(rtrim(value, '='), '') AS cs, {_letters} AS letters
+  SELECT doc_id, a, a + length(value) AS b, value, code, length({_letters})::DOUBLE AS size, string_split(rtrim(value, '='), '') AS cs, {_letters} AS letters
   FROM coded WHERE code IS NOT NULL),
 numbers AS (
   SELECT *, len(cs)::DOUBLE AS n, list_transform(cs, lambda c: strpos(letters, c)::DOUBLE) AS r,
@@ -118,17 +136,23 @@ z AS (
          abs(turns + 1 - (2 * high * (n - high) / n + 1)) / sqrt(greatest(1e-9, (2 * high * (n - high) / n) * (2 * high * (n - high) / n - 1) / (n - 1))) AS z2,
          abs(products) / ((size * size - 1) / 12 * sqrt(n - 1)) AS z3 FROM sums),
 logs AS (SELECT *, ln(greatest(1e-12, {_tail("z1")})) + {_two("z2")} + {_two("z3")} AS l FROM z),
-p AS (SELECT doc_id, a, b, code * {len(secrets.LENGTHS)} + {_long} AS stratum, exp(l) * (1 - l + l * l / 2) AS p FROM logs),
-counts AS (SELECT stratum, least({secrets.STEPS - 1}, floor(p * {secrets.STEPS}))::INT AS step, count(*) AS n FROM p GROUP BY ALL),
+p AS (SELECT doc_id, a, b, rtrim(value, '=') AS token, code * {len(secrets.LENGTHS)} + {_long} AS stratum, exp(l) * (1 - l + l * l / 2) AS p FROM logs),
+counts AS (SELECT stratum, least({secrets.STEPS - 1}, floor(p * {secrets.STEPS}))::INT AS step, count(DISTINCT token) AS n FROM p GROUP BY ALL),
 rated AS (
   SELECT stratum, step, 2 * coalesce(sum(n) FILTER (step >= {secrets.STEPS // 2}) OVER (PARTITION BY stratum), 0) AS random,
          sum(n) OVER (PARTITION BY stratum ORDER BY step DESC) AS taken FROM counts),
 least_p AS (
   SELECT stratum, min(step / {secrets.STEPS}.0) AS least_p FROM rated
   WHERE 1 - (1 - step / {secrets.STEPS}.0) * random / taken <= {secrets.FALSE_SHARE} AND random > 0 GROUP BY stratum),
-added AS (
-  SELECT p.doc_id, p.a, 3 AS k, p.b FROM p JOIN least_p USING (stratum)
+free AS MATERIALIZED (
+  SELECT p.doc_id, p.a, p.b, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.a, p.b) AS i FROM p JOIN least_p USING (stratum)
   WHERE p.p >= least_p AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.a < p.b AND p.a < base.b)),
+held AS (  -- the span that is held after the i-th; a new one comes when it is apart or longer
+  SELECT doc_id, i, a, b FROM free WHERE i = 1
+  UNION ALL SELECT f.doc_id, f.i, if(h.b <= f.a OR h.b - h.a < f.b - f.a, f.a, h.a), if(h.b <= f.a OR h.b - h.a < f.b - f.a, f.b, h.b)
+  FROM held h JOIN free f ON f.doc_id = h.doc_id AND f.i = h.i + 1),
+added AS (
+  SELECT h.doc_id, h.a, 3 AS k, h.b FROM held h LEFT JOIN free f ON f.doc_id = h.doc_id AND f.i = h.i + 1 WHERE f.i IS NULL OR h.b <= f.a),
 every AS (SELECT *, ['assign', 'access', 'hex', 'random'][k + 1] || ':' || a::BIGINT || ':' || b::BIGINT AS s FROM (FROM base UNION ALL FROM added)),
 lists AS (
   SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,

@@ -5,6 +5,8 @@ DataFrame functions only. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +52,41 @@ WORDY = "(?:^|[+/_-])[A-Za-z]?[a-z]{3,}(?:[+/_-]|$)"
 LENGTHS = [16, 24, 32, 48, 64, 128]
 #: Steps of the threshold, and the share of false discoveries that each stratum may hold.
 STEPS, FALSE_SHARE = 20, 0.1
+#: Elements of an array that are folded at a time.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(values: Column) -> Column:
+    """An array cut into arrays of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of integers (sums, or highest ones), at a cost in proportion to its length.
+
+    A fold that appends copies what it has so far. So totals run inside blocks, then over the
+    blocks, whose copies are as many times fewer as a block is long.
+    """
+
+    def inside(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["all"], F.array(add(acc["at"], x))).alias("all")), lambda acc: acc["all"])
+
+    def in_blocks(parts: Column) -> Column:
+        before = let(F.transform(parts, lambda xs: F.element_at(xs, -1)), lambda ends: F.concat(F.array(F.lit(0)), F.slice(inside(ends), F.lit(1), F.size(ends) - 1)))
+        return F.flatten(F.zip_with(parts, before, lambda xs, b: F.transform(xs, lambda x: add(b, x))))
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, inside(v)).otherwise(let(F.transform(blocks(v), inside), in_blocks)))
 
 
 def ends_of(gaps: Column, sizes: Column) -> Column:
     """Running ends of the matches, from the lengths of the texts between them and their own."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, s: g + s)
-    return F.aggregate(steps, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"] + x)).alias("ends")), lambda acc: acc["ends"])
+    return running(F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda g, s: g + s), lambda a, b: a + b)
 
 
 def matches(text: str | Column, pattern: str, group: int = 0) -> Column:
@@ -116,17 +146,42 @@ def units(found: Column) -> Column:
 
 def longest(spans: Column) -> Column:
     """Of overlapping spans (sorted by start) the longer; the earlier of equal ones."""
+    kind = "struct<start:int,end:int>"
+
+    def add(state: Column, t: Column) -> Column:
+        last = state["last"]
+        apart = last.isNull() | (last["end"] <= t["start"])
+        kept = F.when(apart & last.isNotNull(), F.concat(state["kept"], F.array(last))).otherwise(state["kept"])
+        return F.struct(F.when(apart | (last["end"] - last["start"] < t["end"] - t["start"]), t).otherwise(last).alias("last"), kept.alias("kept"))
+
+    def block(state: Column, ts: Column) -> Column:
+        start = F.struct(state["last"].alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+        return let(F.aggregate(ts, start, add), lambda x: F.struct(x["last"].alias("last"), F.concat(state["done"], F.array(x["kept"])).alias("done")))
 
-    def add(kept: Column, t: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return (
-            F.when((F.size(kept) == 0) | (F.try_element_at(kept, F.lit(-1))["end"] <= t["start"]), F.concat(kept, F.array(t)))
-            .when(last["end"] - last["start"] < t["end"] - t["start"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(t)))
-            .otherwise(kept)
-        )
+    def fold(plain: Column) -> Column:
+        start = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        return F.aggregate(blocks(plain), start, block, lambda x: F.concat(F.flatten(x["done"]), F.array(x["last"])))
 
     plain = F.transform(spans, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
-    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), add)
+    return let(plain, lambda ts: F.when(F.size(ts) < 2, ts).otherwise(fold(ts)))
+
+
+def apart_from(base: Column, tokens: Column) -> Column:
+    """The tokens that overlap no span of ``base``, ordered by their ends.
+
+    A span that starts before a token's end overlaps it when it ends behind the token's start. So
+    starts of spans and ends of tokens are put in one order, and the highest end of a span so far is compared.
+    """
+    spans = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("span"), b["end"].alias("reach"), F.lit(None).cast("struct<start:int,end:int>").alias("token")))
+    ends = F.transform(tokens, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("span"), F.lit(0).alias("reach"), F.struct(t["start"].alias("start"), t["end"].alias("end")).alias("token")))
+
+    def free(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        both = F.zip_with(events, reach, lambda e, r: F.struct(e["token"].alias("token"), r.alias("reach")))
+        return F.transform(F.filter(both, lambda e: e["token"].isNotNull() & (e["reach"] <= e["token"]["start"])), lambda e: e["token"])
+
+    plain = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), plain).otherwise(let(F.array_sort(F.concat(spans, ends)), free))
 
 
 def by_encoding(number: Column, values: list) -> Column:
@@ -246,9 +301,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     limits = thresholds(seen.select(F.explode("tokens").alias("t")).select("t.stratum", "t.hash", "t.p"))
     known = {r["stratum"]: r["least_p"] for r in limits.collect()}  # at most one per stratum
     limit = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv]) if known else F.create_map().cast("map<int,double>")
-    free = F.filter(
-        F.col("tokens"), lambda t: (t["p"] >= limit[t["stratum"]]) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    )
+    likely = F.filter(F.col("tokens"), lambda t: t["p"] >= limit[t["stratum"]])
+    free = F.array_sort(apart_from(F.col("base"), likely))
     return seen.select("row", "doc_id", "base", F.array_sort(F.concat("base", kind_of(longest(free), 3))).alias("found"))
 
 

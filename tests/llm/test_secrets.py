@@ -1,7 +1,10 @@
 import base64
+import itertools
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from sitemill.llm import secrets
 
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -88,3 +91,38 @@ def test_digest(make):
     text = "token = 0123456789abcdef0123456789abcdef"
     row = secrets.digest(secrets.scan(make([text]))).first()
     assert (row.n_assign, row.n_access, row.n_hex, row.spans) == (1, 0, 1, "assign:0:40,hex:8:40")
+
+
+def test_a_text_of_many_matches(make):
+    """Folds run in blocks: time grows with the number of matches, and blocks join up."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    text = " ".join(f"token=abcdef{i}" if i % 2 else draw(rng.randrange(16, 70)) for i in range(200_000))
+    row = secrets.scan(make([text])).first()
+    assert [tuple(s) for s in row.base] == base_of(text) and len(row.base) == 100_000
+    taken = [s for s in row.found if s.kind == 3]
+    assert len(taken) > 60_000 and all(s.end > s.start and " " not in text[s.start : s.end] for s in taken)
+    assert all(a.end <= b.start for a, b in zip(row.found, row.found[1:]))
+
+
+def test_folds(spark):
+    rng = random.Random(13)
+    rows = []
+    for n in [0, 1, 2, 3, 255, 256, 257, 511, 513, 700]:
+        for _ in range(4):
+            spans = sorted((a, a + rng.randrange(1, 12)) for a in (rng.randrange(4 * n + 1) for _ in range(n)))
+            base = sorted((a, 0, a + rng.randrange(1, 9)) for a in (rng.randrange(4 * n + 1) for _ in range(n // 3)))
+            rows.append((spans, base))
+    df = spark.createDataFrame(rows, "spans array<struct<start:int,end:int>>, base array<struct<start:int,kind:int,end:int>>")
+    got = df.select("spans", "base", secrets.longest(F.col("spans")).alias("long"), secrets.apart_from(F.col("base"), F.col("spans")).alias("apart"), secrets.running(F.transform("spans", lambda s: s["end"]), lambda a, b: a + b).alias("sums"))
+    for r in got.collect():
+        kept = []
+        for a, b in r.spans:
+            if not kept or kept[-1][1] <= a:
+                kept.append((a, b))
+            elif b - a > kept[-1][1] - kept[-1][0]:
+                kept[-1] = (a, b)
+        assert [tuple(s) for s in r.long] == kept
+        assert sorted(map(tuple, r.apart)) == [(a, b) for a, b in r.spans if not any(x < b and a < y for x, _, y in r.base)]
+        assert r.sums == list(itertools.accumulate(b for _, b in r.spans))
