@@ -22,16 +22,16 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N
 #: White space that Unicode counts as such; Python counts four separators more.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 MORE_WHITE = re.compile("[\x1c-\x1f]").search
-#: Entries that are remembered, in each of two generations.
-REMEMBERED = 150_000
+#: Chunks and pieces that are remembered, in each of two generations. Pieces come back more often and cost more to work out.
+CHUNKS, PIECES = 150_000, 250_000
 
 
 class Remembered(dict):
     """A mapping that works out what it does not hold. A full one becomes the old one, which is asked before working anything out again."""
 
-    def __init__(self, work_out: Callable[[str], bytes]):
+    def __init__(self, work_out: Callable[[str], bytes], most: int):
         super().__init__()
-        self.work_out, self.old = work_out, {}
+        self.work_out, self.most, self.old = work_out, most, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
@@ -41,7 +41,7 @@ class Remembered(dict):
         return found
 
     def trim(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -59,8 +59,8 @@ class LibraryEncoder:
         self.apart = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")")
         self.letters = {b: c for c, b in byte_letters().items()}
         self.model = self.library.model
-        self.pieces = Remembered(self.ids_of_piece)
-        self.chunks = Remembered(self.ids_of_chunk)
+        self.pieces = Remembered(self.ids_of_piece, PIECES)
+        self.chunks = Remembered(self.ids_of_chunk, CHUNKS)
 
     def ids_of_piece(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.letters)

@@ -24,10 +24,9 @@ def test_same_as_the_library_on_whole_texts(kind, name, sf, spark):
         assert np.frombuffer(encode(text), "<i4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_what_is_remembered_is_bounded(monkeypatch):
-    monkeypatch.setattr(chunks, "REMEMBERED", 10)
+def test_what_is_remembered_is_bounded():
     asked = []
-    seen = chunks.Remembered(lambda key: asked.append(key) or key.encode())
+    seen = chunks.Remembered(lambda key: asked.append(key) or key.encode(), 10)
     for round in range(3):
         for key in "abcdefgh":
             seen.trim()
