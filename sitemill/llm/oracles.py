@@ -1,10 +1,19 @@
 """SQL of the queries that SQL can express."""
 
 from sitemill.llm import secrets
-from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, NEAR_PERCENT, SHARD_BYTES
+from sitemill.llm.queries import MIX_REST, MIX_SEED, MIX_WEIGHTS, NEAR_PERCENT, PHRASE_COVER, PHRASE_LEAST, PHRASE_TOP, PHRASE_WORDS, SHARD_BYTES, TRIE_FAMILY, TRIE_HEADS
 
 ORACLES = {}
 
+
+def trie_crc_table() -> list[int]:
+    """The steps of CRC-32 for each value of a byte."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(v >> 1) ^ (0xEDB88320 if v & 1 else 0) for v in table]
+    return table
+
+
 ORACLES["op2_sharding"] = f"""
 WITH keyed AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes,
@@ -161,3 +170,57 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN lists USING (doc_id)
 """
+
+_grams = " UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k - 1}], ' '))) AS p, {k} AS k FROM w WHERE len(ws) >= {k}" for k in range(1, PHRASE_WORDS + 1))
+
+ORACLES["op12_phrases"] = rf"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(x, '[\x20\x09]+'), lambda s: s <> '') AS ws FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM t)),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, p, k, count(*) AS f FROM ({_grams}) GROUP BY ALL HAVING count(*) >= {PHRASE_LEAST}),
+c AS (
+  SELECT f.lang, f.p, f.k, f.f, i, array_to_string(string_split(p, ' ')[1:i], ' ') AS a, array_to_string(string_split(p, ' ')[i + 1:], ' ') AS b
+  FROM f, range(1, {PHRASE_WORDS}) x(i) WHERE i < f.k),
+s AS (
+  SELECT c.lang, c.p, c.k, c.f AS a, l.f AS l, r.f AS r, n, i, ((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.p = c.a JOIN f r ON r.lang = c.lang AND r.p = c.b JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, i) = 1),
+inner_phrases AS (
+  SELECT DISTINCT f.lang, array_to_string(string_split(p, ' ')[i:i + m - 1], ' ') AS p, f.f AS longer
+  FROM f, range(1, {PHRASE_WORDS + 1}) x(i), range(2, {PHRASE_WORDS}) y(m) WHERE m < f.k AND i + m - 1 <= f.k),
+o AS (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM inner_phrases h WHERE h.lang = b.lang AND h.p = b.p AND 100 * h.longer >= {PHRASE_COVER} * b.a)),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(p)) AS rank FROM o)
+SELECT lang, rank, p AS phrase, a, l, r, n, score FROM q WHERE rank <= {PHRASE_TOP}
+"""
+
+_table = ",".join(str(v) for v in trie_crc_table())
+
+ORACLES["op13_trie"] = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY i) AS xs FROM o GROUP BY conv_id),
+crc AS (  -- CRC-32 of the decimal id, a byte a step
+  SELECT conv_id, conv_id::VARCHAR AS s, 1 AS j, 4294967295::BIGINT AS v FROM own
+  UNION ALL SELECT conv_id, s, j + 1, xor(v >> 8, [{_table}][(xor(v, ascii(substr(s, j, 1))) & 255) + 1]::BIGINT) FROM crc WHERE j <= length(s)),
+h AS (SELECT conv_id, xor(v, 4294967295::BIGINT) % {TRIE_HEADS} AS h FROM crc WHERE j = length(s) + 1),
+c AS MATERIALIZED (
+  SELECT own.conv_id, list_concat(coalesce(d.xs[1:h], []), own.xs[h + 1:]) AS xs
+  FROM own JOIN h USING (conv_id) LEFT JOIN own d ON d.conv_id = own.conv_id - own.conv_id % {TRIE_FAMILY}),
+p AS MATERIALIZED (SELECT conv_id, d, xs[1:d] AS k, d = len(xs) AS whole FROM c, range(0, (SELECT max(len(xs)) + 1 FROM c)) r(d) WHERE d <= len(xs)),
+n AS MATERIALIZED (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(k[d].t), 0) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole), '')) AS ends_sha256
+  FROM p GROUP BY k, d),
+u AS (SELECT a.k, count(*) AS n_children FROM n a JOIN n b ON b.d = a.d + 1 AND b.k[1:a.d] = a.k GROUP BY a.k),
+m AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN u USING (k)),
+q AS (
+  SELECT a.k, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (b.n_children = 0) AS n_leaves
+  FROM m a JOIN (SELECT n_children, saved, k[1:r.d] AS k FROM m, range(0, (SELECT max(d) + 1 FROM m)) r(d) WHERE r.d <= m.d) b ON b.k = a.k GROUP BY a.k)
+SELECT m.conv_id, m.d AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN q USING (k) LEFT JOIN m up ON up.d = m.d - 1 AND up.k = m.k[1:m.d - 1]
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm import bpe, exact, langid, mixing, neardup, quality, secrets, sharding, tokenfiles, toxicity
+from sitemill.llm import bpe, exact, langid, mixing, neardup, packing, phrases, quality, secrets, sharding, tokenfiles, toxicity, trie
 from sitemill.llm.common import fold, table
 from sitemill.session import scratch_path
 
@@ -20,15 +20,19 @@ MIX_WEIGHTS, MIX_REST, MIX_SEED = {"src0": 0.2, "src1": 0.1, "src2": 0.02}, 0.68
 
 #: Links of op4: 100 * shared shingles >= this * all shingles of both.
 NEAR_PERCENT = 85
+#: Least frequency, longest phrase, phrases of a language, and the share of its frequency from which a longer phrase replaces one.
+PHRASE_LEAST, PHRASE_WORDS, PHRASE_TOP, PHRASE_COVER = 100, 5, 2000, 100
+#: Conversations take fewer than so many first turns from the first of each so many.
+TRIE_HEADS, TRIE_FAMILY = 6, 100
 #: Id that ends each document in token files.
 END_ID = 2
 
 
-def vocabulary() -> str:
-    """The public vocabulary file; it is not part of the repository."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; it is not part of the repository."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(fn):
@@ -100,3 +104,21 @@ def op9_secrets(spark, sf):
 @query
 def op10_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*", "copy", "rate", "shuffle_key")
+
+
+@query
+def op11_packing(spark, sf):
+    packed = packing.pack_texts(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
+    return packed.select("doc_id", "start", "length", tokenfiles.crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"), PHRASE_LEAST, PHRASE_WORDS, PHRASE_TOP, PHRASE_COVER)
+
+
+@query
+def op13_trie(spark, sf):
+    turns = trie.ordered(table(spark, sf, "conversations"))
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % TRIE_HEADS
+    return trie.nodes(trie.prefixes(turns, TRIE_HEADS - 1, heads, F.col("conv_id") - F.col("conv_id") % TRIE_FAMILY))
