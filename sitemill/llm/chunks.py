@@ -22,8 +22,9 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N
 #: White space that Unicode counts as such; Python counts four separators more.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 MORE_WHITE = re.compile("[\x1c-\x1f]").search
+MARKS = frozenset(",.;:!?")
 #: Chunks and pieces that are remembered, in each of two generations. Pieces come back more often and cost more to work out.
-CHUNKS, PIECES = 150_000, 250_000
+CHUNKS, PIECES = 250_000, 350_000
 
 
 class Remembered(dict):
@@ -46,6 +47,14 @@ class Remembered(dict):
             self.clear()
 
 
+def latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class LibraryEncoder:
     """Texts to ids (little-endian 32-bit integers), as the library gives without special tokens added, truncation and padding."""
 
@@ -93,14 +102,15 @@ class ByteLevel(LibraryEncoder):
         self.wide, self.narrow = regex.compile(PATTERN).findall, re.compile(narrow_pattern()).findall
 
     def cut(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-            pieces = self.narrow(text)
-        except UnicodeEncodeError:
-            pieces = self.wide(text)
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        find = self.narrow if latin(text) else self.wide
+        return b"".join(map(self.pieces.__getitem__, find(text)))
 
     def ids_of_chunk(self, chunk: str) -> bytes:
+        if latin(chunk):  # most chunks are a word, or a word and one mark
+            if chunk.isalpha():
+                return self.pieces[" " + chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+                return self.pieces[" " + chunk[:-1]] + self.pieces[chunk[-1]]
         return self.cut(" " + chunk)
 
     def ids_of_text(self, text: str) -> bytes:
@@ -122,10 +132,12 @@ class WordEnds(LibraryEncoder):
         self.narrow = re.compile(own.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")).findall
 
     def ids_of_chunk(self, chunk: str) -> bytes:
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:  # characters that compose or have special lower cases
+        if not latin(chunk):  # characters that compose or have special lower cases
             return array("i", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if chunk.isalpha():
+            return self.pieces[chunk.lower()]
+        if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+            return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
         return b"".join(map(self.pieces.__getitem__, self.narrow(chunk.lower())))
 
     def ids_of_text(self, text: str) -> bytes:

@@ -22,7 +22,7 @@ from sitemill.llm.chunks import WordEnds, library
 from sitemill.llm.common import travel
 
 #: Pieces and tokens that a task keeps to choose from.
-POOL, POOL_TOKENS = 1024, 2_000_000
+POOL, POOL_TOKENS = 256, 1_000_000
 #: Tokens of finished sequences that are given on together.
 OUT_TOKENS = 1_000_000
 
