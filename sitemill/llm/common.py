@@ -14,15 +14,14 @@ from sitemill.session import materialize, tune
 
 #: Characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Rows and bytes of one Arrow batch: texts can be long, Python workers are small.
-ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
+#: Rows of one Arrow batch: texts can be long, Python workers are small.
+ARROW_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the package: those of the library, and small Arrow batches."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

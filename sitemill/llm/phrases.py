@@ -11,13 +11,14 @@ read, so copies, long texts and hot languages cost what their words cost.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitemill.llm.common import text_of, travel
@@ -29,6 +30,8 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
 #: Words of one block, and bytes of text that are cut into words together.
 BLOCK_WORDS, CUT_BYTES = 1 << 20, 1 << 21
+#: Bytes of one Arrow batch of blocks.
+ARROW_BYTES = 16 << 20
 #: A tile has 2**9 ids a side; it is dense from an eighth of its cells on. Routes deal out squares of 2**5 ids a side.
 TILE, SQUARE, DENSE_SHARE = 9, 5, 8
 #: Blocks whose counts are merged at a time, and most routes of a level.
@@ -294,6 +297,18 @@ def phrase_ids(ids: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     return rows.mapInArrow(translate, "block long, lang string, ids binary")
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of so many bytes for jobs that run inside; the setting of before comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, least: int, words: int, lang: str, text: str, sent_words: int, sent_pairs: int) -> tuple[DataFrame, DataFrame]:
     """``lang, size, phrase, f`` of phrases up to ``words`` long that occur ``least`` times or more, and ``lang, n``: all words."""
     spark = docs.sparkSession
@@ -342,8 +357,9 @@ def collocations(
     A null text is empty, a null language is ``und``; copies count; a language without frequent
     phrases and an empty table give no rows. Ties go to the smaller phrase in byte order.
     """
-    every, totals = frequent_phrases(docs, least, words, lang, text, sent_words, sent_pairs)
-    every = materialize(every, "phrases")
+    with arrow_batches(docs.sparkSession, ARROW_BYTES):  # a row is a block, and all jobs over blocks end in here
+        every, totals = frequent_phrases(docs, least, words, lang, text, sent_words, sent_pairs)
+        every = materialize(every, "phrases")
     parts = F.split("phrase", " ")
 
     def run(first, size):
