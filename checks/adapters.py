@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,41 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("event_id").alias("ord"), text.alias("value"))
 
 
+def log_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The process log as files of 500 lines: ``file, line, value``."""
+    ord = F.col("ord")
+    return log_lines(spark, sf).select(F.floor(ord / 500).alias("file"), (ord % 500 + 1).alias("line"), "value")
+
+
+def write_logs(lines: DataFrame, root: str) -> None:
+    """Writes the files, each anew, by the tasks that hold their lines."""
+    folder = root.removeprefix("file://").removeprefix("file:")
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        rows = rows.sort_values("line")
+        path = f"{folder}/{rows['file'].iloc[0]}.log"
+        with open(f"{path}.new", "w", encoding="utf-8") as f:
+            f.writelines(v + "\n" for v in rows["value"])
+        os.replace(f"{path}.new", path)
+        return pd.DataFrame({"n": [len(rows)]})
+
+    lines.groupBy("file").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+def write_arrays(rows: DataFrame, path: str) -> None:
+    """One JSON array per file, an element per line."""
+
+    def lines(batches):
+        mark = "["
+        for batch in batches:
+            yield pd.DataFrame({"value": [f"{mark if i == 0 else ','}{v}" for i, v in enumerate(batch["value"])]})
+            mark = ","
+        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(lines, "value string").write.text(path)
+
+
 def probes(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(

@@ -38,7 +38,9 @@ VIEW = f"""rollup_all AS (
   FROM runs GROUP BY bundle_name
 )"""
 
-LINES = """log_lines AS (
+ERRORS = r"\[ERROR\]|\[CRITICAL\]|OperationalError|NameError|KeyError|AttributeError|Authentication failed|no password supplied|ConnectionRefusedError|Connection refused|Cloudflare challenge or 403"
+PATTERN = "bundle[s]?/([a-zA-Z0-9_]+)"
+LINES = f"""log_lines AS (
   SELECT event_id AS ord, CASE WHEN event_type = 'error'
       THEN '  [ERROR] KeyError in ' || path || ' k=' || regexp_extract(props, '[0-9]+')
       ELSE 'INFO finished ' || path END AS value
@@ -47,10 +49,10 @@ LINES = """log_lines AS (
         FROM events)
 ), log_errors AS (
   SELECT bundle_name, message, min(ord) AS ord FROM (
-    SELECT coalesce(nullif(regexp_extract(value, 'bundle[s]?/([a-zA-Z0-9_]+)', 1), ''), 'unknown_bundle') AS bundle_name,
+    SELECT coalesce(nullif(regexp_extract(value, '{PATTERN}', 1), ''), 'unknown_bundle') AS bundle_name,
       left(trim(value), 140) AS message, ord
     FROM log_lines
-    WHERE regexp_matches(value, '\\[ERROR\\]|\\[CRITICAL\\]|OperationalError|NameError|KeyError|AttributeError|Authentication failed|no password supplied|ConnectionRefusedError|Connection refused|Cloudflare challenge or 403', 'i')
+    WHERE regexp_matches(value, '{ERRORS}', 'i')
   ) GROUP BY bundle_name, message
 )"""
 
@@ -125,6 +127,7 @@ ORACLES["health_status"] = f"""WITH {_health(False)}
 SELECT bundle_name, status, total AS total_runs_24h, success AS success_runs_24h, items AS items_scraped_24h,
   last_ok IS NULL AS never, round(hours, 4) AS hours_since_success, sla AS sla_hours, round(ratio, 2) AS anomaly_ratio,
   errors_n AS stdout_error_count, issues_n FROM health"""
+ORACLES["health_report"] = f"WITH {_health(False)} SELECT bundle_name, status, total AS total_runs_24h, row_number() OVER (ORDER BY bundle_name) AS place FROM health"
 ORACLES["health_status_logs"] = f"WITH {_health(True)} SELECT bundle_name, status, first_error, errors_n AS stdout_error_count FROM health"
 ORACLES["health_issues"] = f"WITH {_health(True)} SELECT * FROM issues"
 ORACLES["health_fleet"] = f"""WITH {_health(False)}
@@ -294,6 +297,7 @@ PROFILE = " UNION ALL ".join(
 ORACLES["feed_profile"] = f"WITH {FEED} {PROFILE}"
 ORACLES["feed_json_scan"] = ORACLES["feed_profile"]
 ORACLES["feed_normalized"] = f"WITH {NORM} SELECT * FROM norm"
+ORACLES["feed_array_scan"] = ORACLES["feed_normalized"]
 # A CSV file cannot tell an empty text from none.
 TAIL = """CASE p % 5 WHEN 0 THEN ' 5" screw, "best"' WHEN 1 THEN chr(10) || 'second, line' WHEN 2 THEN ' ' || chr(92) || ' "' WHEN 3 THEN '  ,  ' ELSE '' END"""
 
@@ -395,8 +399,9 @@ ROUTED = """routed AS (
     WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 'com_site' WHEN host = 'example.net' OR suffix(host, '.example.net') THEN 'net_site' END AS extractor_id
   FROM (SELECT *, split_part(split_part(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https://', ''), '^http://', ''), '^www\\.', ''), '/', 1), ':', 1) AS host FROM pages)
 )"""
-ORACLES["extractor_pages"] = f"""WITH {ROUTED}, n AS (SELECT page_id, url, extractor_id = 'com_site' AS own, unnest(range(page_id % 4 + 1)) AS i FROM routed)
-SELECT page_id, CAST(i AS INTEGER) AS pos, CASE WHEN own THEN rtrim(url, '/') || '/p/' || (i + 1) WHEN i = 0 THEN url
+ORACLES["extractor_pages"] = f"""WITH {ROUTED}, n AS (SELECT page_id, url, coalesce(extractor_id, '') = 'com_site' AS own, coalesce(extractor_id, '') = 'net_site' AS coded, unnest(range(page_id % 4 + 1)) AS i FROM routed)
+SELECT page_id, CAST(i AS INTEGER) AS pos, CASE WHEN coded AND i > 0 THEN url || '#' || CASE i WHEN 1 THEN md5(url) WHEN 2 THEN md5(md5(url)) ELSE md5(md5(md5(url))) END
+  WHEN own THEN rtrim(url, '/') || '/p/' || (i + 1) WHEN i = 0 THEN url
   ELSE url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'page=' || i END AS page_url FROM n"""
 ORACLES["route_pages"] = f"WITH {ROUTED} SELECT page_id, url, extractor_id FROM routed"
 ORACLES["extract_listing"] = """WITH found AS (
@@ -503,6 +508,14 @@ UNION ALL SELECT n + 1, '</body>' || chr(10) || '</html>' FROM n"""
 # Streams: the batch equivalent
 
 ORACLES["stream_log_errors"] = f"WITH {LINES} SELECT bundle_name, message FROM log_errors"
+ORACLES["stream_log_tail"] = f"""WITH {LINES}, f AS (SELECT floor(ord / 500)::BIGINT AS file, ord % 500 + 1 AS line, value FROM log_lines),
+sizes AS (SELECT file, max(line) AS n FROM f GROUP BY file),
+scans AS (
+  SELECT 0 AS scan, value FROM f JOIN sizes USING (file) WHERE line <= 360 AND line > least(n, 360) - 300
+  UNION ALL SELECT 1, value FROM f WHERE line > 360
+  UNION ALL SELECT 2, value FROM f JOIN sizes USING (file) WHERE file % 3 = 1 AND n > 330 AND line <= 330 AND line > 30)
+SELECT DISTINCT scan, coalesce(nullif(regexp_extract(value, '{PATTERN}', 1), ''), 'unknown_bundle') AS bundle_name, left(trim(value), 140) AS message
+FROM scans WHERE regexp_matches(value, '{ERRORS}', 'i')"""
 ORACLES["stream_health"] = f"""WITH {_health(False)}
 SELECT bundle_name, status, total AS total_runs_24h, success AS success_runs_24h, failed AS failed_runs_24h FROM health"""
 ORACLES["stream_telemetry"] = f"""WITH {RUNS} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS dt, bundle_name, count(*) AS runs, CAST(sum(items_scraped) AS BIGINT) AS items FROM runs GROUP BY 1, 2"""
@@ -512,3 +525,32 @@ ORACLES["stream_trailing"] = f"""WITH {RUNS}, buckets AS (
 SELECT bundle_name, as_of, CAST(sum(t) OVER w AS BIGINT) AS total_runs_24h, CAST(sum(s) OVER w AS BIGINT) AS success_runs_24h,
   CAST(sum(a) OVER w AS BIGINT) AS anomaly_runs_24h, CAST(sum(f) OVER w AS BIGINT) AS failed_runs_24h
 FROM buckets WINDOW w AS (PARTITION BY bundle_name ORDER BY as_of RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)"""
+
+# Single linkage by recursion: a step joins the two components with the least distance. Every point carries the account of its
+# component's cluster (c: rank of the step that made it; mass; below: stability of the clusters inside it).
+ORACLES["density_clusters"] = """WITH RECURSIVE v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+e AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY w, a, b) AS k FROM (
+    SELECT p.id AS a, q.id AS b, sqrt(list_sum(list_transform(list_zip(p.x, q.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS w FROM v p JOIN v q ON p.id < q.id)),
+r AS (
+  SELECT id, id AS comp, 1 AS n, NULL::BIGINT AS c, 0.0::DOUBLE AS mass, 0.0::DOUBLE AS below, 0::BIGINT AS step, NULL::BIGINT AS was, NULL::DOUBLE AS own, NULL::DOUBLE AS inner_own FROM v
+  UNION ALL
+  SELECT r.id, CASE WHEN r.comp IN (u.comp, t.comp) THEN least(u.comp, t.comp) ELSE r.comp END, CASE WHEN r.comp IN (u.comp, t.comp) THEN u.n + t.n ELSE r.n END,
+    CASE WHEN r.comp NOT IN (u.comp, t.comp) THEN r.c WHEN (u.c IS NULL) = (t.c IS NULL) THEN m.k ELSE coalesce(u.c, t.c) END,
+    CASE WHEN r.comp NOT IN (u.comp, t.comp) THEN r.mass WHEN (u.c IS NULL) = (t.c IS NULL) THEN (u.n + t.n) / m.l
+         WHEN u.c IS NULL THEN t.mass + u.n / m.l ELSE u.mass + t.n / m.l END,
+    CASE WHEN r.comp NOT IN (u.comp, t.comp) THEN r.below WHEN u.c IS NOT NULL AND t.c IS NOT NULL THEN greatest(u.mass - u.n / m.l, u.below) + greatest(t.mass - t.n / m.l, t.below)
+         ELSE u.below + t.below END,
+    m.k, r.c, CASE WHEN r.comp IN (u.comp, t.comp) AND u.c IS NOT NULL AND t.c IS NOT NULL THEN r.mass - r.n / m.l END, r.below
+  FROM r, (SELECT min(e.k) AS k, arg_min(e.a, e.k) AS a, arg_min(e.b, e.k) AS b, greatest(arg_min(e.w, e.k), 2.2250738585072014e-308) AS l
+           FROM e JOIN r p ON p.id = e.a JOIN r q ON q.id = e.b WHERE p.comp <> q.comp) m
+    JOIN r u ON u.id = m.a JOIN r t ON t.id = m.b),
+ended AS (SELECT DISTINCT was AS cluster, c AS parent, own >= inner_own AS wins FROM r WHERE own IS NOT NULL),
+top AS (
+  SELECT cluster, parent, CASE WHEN wins THEN cluster END AS top FROM ended
+  UNION ALL SELECT t.cluster, e.parent, CASE WHEN e.wins THEN e.cluster END FROM top t JOIN ended e ON e.cluster = t.parent),
+tops AS (SELECT cluster, max(top) AS top FROM top GROUP BY cluster),
+entered AS (SELECT id, min_by(c, step) AS cluster FROM r WHERE c IS NOT NULL GROUP BY id),
+placed AS (SELECT id, top FROM entered JOIN tops USING (cluster) WHERE top IS NOT NULL),
+named AS (SELECT top, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM placed GROUP BY top)
+SELECT v.id, coalesce(label, -1)::INTEGER AS label FROM v LEFT JOIN placed USING (id) LEFT JOIN named USING (top)"""

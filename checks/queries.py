@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import adapters as A
 from sitemill.functions import scoring, text
-from sitemill.operators import cluster, extract, fuzzy, lookup, media, merge, routing, vectors
+from sitemill.operators import cluster, extract, fuzzy, lookup, media, merge, routing, store, vectors
+from sitemill.operators.ranking import number_rows
 from sitemill.plans import alerts, catalog, health, report, snapshot
 from sitemill.session import materialize, scratch_path, tune
 from sitemill.sources import archive, crawl, feeds
 from sitemill.streaming import health as stream_jobs
 from sitemill.streaming import logs as stream_logs
+from sitemill.streaming import logtail
 
 QUERIES = {}
 
@@ -70,6 +73,13 @@ def health_status_logs(spark, sf):
     return _health(spark, sf, logs=True).select("bundle_name", "status", "first_error", "stdout_error_count")
 
 
+@query
+def health_report(spark, sf):
+    """The report's rows by bundle name, with their places."""
+    rows = health.report(_health(spark, sf)).select("bundle_name", "status", "total_runs_24h")
+    return number_rows(rows, ["bundle_name"], "place", F.lit(0))
+
+
 @query
 def health_issues(spark, sf):
     return health.issues(_health(spark, sf, logs=True))
@@ -195,8 +205,9 @@ def repair_alerts(spark, sf):
 def run_log_append(spark, sf):
     """Runs appended to log and telemetry, read back from telemetry."""
     root = scratch_path(spark, "runlog")
-    feeds.record_runs(A.runs(spark, sf), f"{root}/log", f"{root}/telemetry")
-    log, telemetry = spark.read.parquet(f"{root}/log"), spark.read.parquet(f"{root}/telemetry")
+    for batch in (0, 1, 1):  # the second is tried again
+        feeds.record_runs(A.runs(spark, sf).where(F.col("id") % 2 == batch), root, f"{batch:04d}")
+    log, telemetry = feeds.read_log(spark, root), feeds.read_telemetry(spark, root)
     per_day = telemetry.groupBy(F.col("dt").cast("string").alias("dt"), "status").agg(
         F.count("*").alias("runs"), F.sum("items_scraped").alias("items"),
         F.sum("duration_seconds").cast("double").alias("seconds"),
@@ -241,6 +252,14 @@ def feed_json_scan(spark, sf):
     return catalog.profile(feeds.read_feed(spark, path, A.feed(spark, sf).schema))
 
 
+@query
+def feed_array_scan(spark, sf):
+    """The feed as files of one JSON array each, read by ranges."""
+    path = scratch_path(spark, "feed") + ".json"
+    A.write_arrays(A.feed(spark, sf), path)
+    return catalog.normalize(feeds.read_feed(spark, path, A.feed(spark, sf).schema, array=True))
+
+
 @query
 def gtin_check(spark, sf):
     f = catalog.normalize(A.feed(spark, sf))
@@ -308,7 +327,7 @@ def catalog_export(spark, sf):
     parts = [
         feeds.read_feed(spark, f"{out}/{n}.csv").select(F.lit(n).alias("part"), "sku", "title") for n in ("catalog", "quarantine")
     ]
-    ledger = spark.read.parquet(f"{out}/import_runs")
+    ledger = catalog.stored(spark, out, "import_runs")
     ledger = ledger.select(F.col("status").alias("part"), F.col("row_count").cast("string").alias("sku"), F.lit(None).cast("string").alias("title"))
     return parts[0].unionByName(parts[1]).unionByName(ledger)
 
@@ -388,9 +407,9 @@ def shard_list(spark, sf):
 
 @query
 def shard_limit(spark, sf):
-    """The first shards of a manifest in one file, in its order."""
+    """The first shards of a manifest, in its order."""
     path = scratch_path(spark, "manifest")
-    lines = A.manifest_lines(spark, sf).orderBy("page_id").coalesce(1)
+    lines = A.manifest_lines(spark, sf).repartitionByRange("page_id").sortWithinPartitions("page_id")
     lines.select("value").write.text(path)
     return crawl.shards(spark, path, "CC-MAIN-2024-46", max_shards=15, base="https://shards.example")
 
@@ -469,14 +488,20 @@ def page_urls(spark, sf):
 
 @query
 def extractor_pages(spark, sf):
-    """Page URLs by the extractor's own form where it has one, else by the generic one."""
+    """Page URLs by the extractor's own form or its own code where it has one, else by the generic one."""
     routed = routing.route(A.table(spark, sf, "pages"), A.registry(spark))
 
     def by_path(base, n):
         return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.rtrim(base, F.lit("/")), F.lit("/p/"), i.cast("string")))
 
-    rows = routing.extractor_page_urls(routed, (F.col("page_id") % 4 + 1).cast("int"), {"com_site": by_path})
-    return rows.select("page_id", F.posexplode("page_urls").alias("pos", "page_url"))
+    def by_cursor(base, n):
+        cursor = base  # each page names the next one
+        for i in range(n):
+            yield base if i == 0 else f"{base}#{cursor}"
+            cursor = hashlib.md5(cursor.encode()).hexdigest()
+
+    rows = routing.page_rows(routed, (F.col("page_id") % 4 + 1).cast("int"), {"com_site": by_path}, {"net_site": by_cursor})
+    return rows.select("page_id", "pos", "page_url")
 
 
 @query
@@ -542,10 +567,10 @@ def escape_html(spark, sf):
 
 @query
 def upsert_items(spark, sf):
-    return merge.upsert(
-        A.items_current(spark, sf), A.items_batch(spark, sf), ["company_name"], "pos", ["summary", "source_url"],
-        new_values={"created_at": A.as_of()}, id_column="id",
-    )
+    root = scratch_path(spark, "items")
+    store.create(A.items_current(spark, sf), root, ["company_name"], 32, "id")
+    store.upsert(spark, root, A.items_batch(spark, sf), "pos", ["summary", "source_url"], {"created_at": A.as_of()})
+    return store.read(spark, root)
 
 
 @query
@@ -635,8 +660,11 @@ def point_upsert(spark, sf):
     batch = A.centroids(spark, sf).select(
         (F.col("query_id") * 100).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector")
     )
-    out = vectors.merge_points(current, vectors.check_dimension(batch, 64))
-    return out.select("id", F.coalesce(F.col("payload")["label"], F.lit("")).alias("label"), F.posexplode("vector").alias("dim", "x")).withColumn(
+    root = scratch_path(spark, "points")
+    vectors.create_collection(spark, root, 64)
+    vectors.upsert_points(spark, root, current)
+    vectors.upsert_points(spark, root, batch)
+    return vectors.read_points(spark, root).select("id", F.coalesce(F.col("payload")["label"], F.lit("")).alias("label"), F.posexplode("vector").alias("dim", "x")).withColumn(
         "x", F.round(F.col("x").cast("double"), 5)
     )
 
@@ -647,11 +675,11 @@ def collection_versions(spark, sf):
     root = scratch_path(spark, "collection")
     vectors.create_collection(spark, root, 64, "Dot")
     points = A.points(spark, sf).select("id", "vector", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("payload"))
-    vectors.upsert_points(spark, root, points, 1)
+    vectors.upsert_points(spark, root, points)
     batch = A.centroids(spark, sf).select((F.col("query_id") * 100).cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
-    vectors.upsert_points(spark, root, batch, 2)
+    vectors.upsert_points(spark, root, batch)
     dim, metric = vectors.collection_meta(spark, root)
-    stored = merge.read_version(spark, root)
+    stored = vectors.read_points(spark, root)
     return stored.groupBy(F.coalesce(F.col("payload")["label"], F.lit("")).alias("label")).agg(
         F.count("*").alias("points"), F.max(F.size("vector")).alias("dims")
     ).withColumns({"dim": F.lit(dim), "metric": F.lit(metric)})
@@ -753,6 +781,22 @@ def stream_log_errors(spark, sf):
     return spark.read.schema("bundle_name string, message string").parquet(f"{root}/out").select("bundle_name", "message")
 
 
+@query
+def stream_log_tail(spark, sf):
+    """Log files of 500 lines: first their beginnings, then all of it, then some cut down to 330 lines."""
+    root = scratch_path(spark, "log-tail")
+    lines = A.log_files(spark, sf)
+
+    def scan(kept):
+        A.write_logs(kept, f"{root}/logs")
+        logtail.write_scans(logtail.tail(spark, f"{root}/logs"), f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+
+    scan(lines.where("line <= 360"))
+    scan(lines)
+    scan(lines.where("file % 3 = 1 and line <= 330"))
+    return logtail.read_scans(spark, f"{root}/out").select("scan", "bundle_name", "message")
+
+
 @query
 def stream_health(spark, sf):
     root = scratch_path(spark, "stream-health")
@@ -766,19 +810,16 @@ def stream_health(spark, sf):
 
 @query
 def stream_trailing(spark, sf):
-    """Five-minute buckets counted by a stream; the trailing day at the end of each."""
+    """The trailing day at the end of each five-minute bucket with runs, summed up by the stream itself."""
     root = scratch_path(spark, "stream-trailing")
     runs = A.runs(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    last = runs.agg(F.max("created_at")).select(F.lit(-1).cast("long").alias("id"), F.lit("clock").alias("bundle_name"), (F.col("max(created_at)") + F.expr("INTERVAL 2 DAYS")).alias("created_at"))
+    last = runs.agg(F.max("created_at")).select(F.lit(-1).cast("long").alias("id"), F.lit("clock").alias("bundle_name"), (F.col("max(created_at)") + F.expr("INTERVAL 3 DAYS")).alias("created_at"))
     runs.select("id", "bundle_name", "status", "created_at").write.parquet(f"{root}/in")
-    # A later row closes the last buckets.
+    # A later row closes the last windows.
     last.withColumn("status", F.lit("SUCCESS")).select("id", "bundle_name", "status", "created_at").write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema("id long, bundle_name string, status string, created_at timestamp").parquet(f"{root}/in")
-    buckets = stream_jobs.bucket_rollup(stream)
-    buckets.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(
-        availableNow=True
-    ).start().awaitTermination()
-    done = stream_jobs.trailing_rollup(spark.read.parquet(f"{root}/out").where("bundle_name <> 'clock'"))
+    stream_jobs.write_trailing(stream_jobs.trailing_stream(stream), f"{root}/out", f"{root}/checkpoint", once=True).awaitTermination()
+    done = spark.read.parquet(f"{root}/out").where("bundle_name <> 'clock'")
     return done.withColumn("as_of", F.unix_seconds("as_of"))
 
 

@@ -5,6 +5,10 @@ STALENESS_SLA_HOURS = 12
 ANOMALY_RATIO = 0.3
 STUCK_RUN_SECONDS = 1800
 MESSAGE_CHARS = 140
+# Fixed value: pages of a source whose number of pages is not positive.
+PAGES = 10
+# Fixed value: lines that are read of a log file seen for the first time.
+TAIL_LINES = 300
 
 # Patterns that mark a process log line as an error (case-insensitive).
 LOG_ERROR_PATTERNS = [

@@ -9,6 +9,7 @@ from sitemill.constants import (
     LOG_BUNDLE_PATTERN,
     LOG_ERROR_PATTERNS,
     MESSAGE_CHARS,
+    PAGES,
     UNKNOWN_BUNDLE,
     WHITESPACE,
 )
@@ -71,7 +72,7 @@ def routing_host(url: Column) -> Column:
 
 def page_urls(base: Column, max_pages: Column) -> Column:
     """Array of the base URL and its ``page=1 .. n-1`` variants; ``n=10`` when not positive."""
-    n = F.when(max_pages <= 0, F.lit(10)).otherwise(max_pages)
+    n = F.when(max_pages <= 0, F.lit(PAGES)).otherwise(max_pages)
     delim = F.when(F.contains(base, F.lit("?")), F.lit("&")).otherwise(F.lit("?"))
     # sequence(1, 0) would count down, hence the guard.
     numbered = F.when(

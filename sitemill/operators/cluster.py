@@ -2,6 +2,12 @@
 
 With one neighbour as core sample the mutual reachability distance is the Euclidean
 distance, so the hierarchy is that of the minimum spanning tree.
+
+No step sees all points or all edges. Points lie in balls of a bounded size, and bounds on distances tell
+which pairs of balls may hold a tree edge. Edges lie in levels of a bounded size by length;
+what the edges of all shorter levels join is contracted in a number of rounds that grows with the
+logarithm of the number of levels, and then all levels grow their part of the hierarchy at
+once, each connected part of a level on its own.
 """
 
 from __future__ import annotations
@@ -14,15 +20,20 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitemill.operators.ranking import number_rows, one_per_key
+from sitemill.operators.ranking import number_rows
 from sitemill.session import materialize
 
 MIN_BLOCK, MAX_BLOCK = 256, 4096
+#: Blocks that points are aimed to lie in at most; more points make larger blocks. A few numbers per block come to the driver.
+MOST_BLOCKS = 5_000
 LEVEL_EDGES = 200_000
-LOCAL_EDGES = 200_000
+#: Blocks that one block is split into at once.
+SPLIT = 256
+#: Bounds are compared with room for rounding.
+ROOM = 1 + 1e-9
 
 
 def _tree(points: np.ndarray) -> list[tuple[int, int, float]]:
@@ -42,191 +53,395 @@ def _tree(points: np.ndarray) -> list[tuple[int, int, float]]:
     return edges
 
 
-def _blocks(points: DataFrame, block_points: int | None) -> tuple[DataFrame, int]:
-    """Rows ``block, members``: points packed to blocks of a bounded size by hashed id."""
-    n = points.count()
-    # Larger blocks move less data, smaller ones give more tasks.
-    block_points = block_points or min(MAX_BLOCK, max(MIN_BLOCK, n // 16))
-    count = max(1, math.ceil(n / block_points))
-    placed = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return placed.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("members")), count
+def _distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((points**2).sum(1)[:, None] + (centers**2).sum(1)[None] - 2 * points @ centers.T, 0))
 
 
-def block_edges(points: DataFrame, block_points: int | None = None) -> DataFrame:
-    """Edges ``lo, hi, w`` that contain a minimum spanning tree of all points.
+def balls(points: DataFrame, block_points: int | None = None) -> DataFrame:
+    """``id, vector, block``: points by their nearest pivot, again and again until no block is too large.
 
-    Every pair of points is inside some pair of blocks, and an edge missing from the tree
-    of its block pair closes a cycle in which it is the longest. A block is sent to the
-    pairs it takes part in, each pair is one small dense problem, and only its tree leaves
-    the task. Distances between points are computed once and never become rows.
+    Pivots are points of the block, drawn by hash, about two per block that is wanted. A block
+    that does not part this way (equal points) is parted by hash.
     """
-    packed, count = _blocks(points, block_points)
-    id_type = points.schema["id"].dataType.simpleString()
-    # Block b meets every block: pair number = (smaller, larger).
-    meets = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda other: F.struct(
-            F.least("block", other).alias("x"), F.greatest("block", other).alias("y")
-        ),
-    )
-    if count > 1:
-        meets = F.filter(meets, lambda p: p["x"] != p["y"])
-    pairs = packed.select("members", F.inline(meets)).groupBy("x", "y").agg(
-        F.flatten(F.collect_list("members")).alias("members")
-    )
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    n = points.count()
+    size = max(block_points or min(MAX_BLOCK, max(MIN_BLOCK, n // 16)), -(-n // MOST_BLOCKS))
+    placed = points.select("id", "vector", F.lit(0).cast("long").alias("block"))
+    origin: dict[int, int] = {}
+    sizes, first = {0: n}, 1
+    while large := {b: k for b, k in sizes.items() if k > size}:
+        wanted = {b: min(SPLIT, -(-2 * k // size)) for b, k in large.items()}
+        stuck = {b for b in large if origin.get(b) == large[b]}
+        order = Window.partitionBy("block").orderBy(F.xxhash64("id", F.lit(first)), "id")
+        many = points.sparkSession.createDataFrame(sorted(wanted.items()), "block long, wanted int")
+        drawn = placed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SPLIT).join(F.broadcast(many), "block").where("n <= wanted")
+        pivots: dict[int, list] = {}
+        for r in drawn.select("block", "vector").collect():  # two per wanted block
+            pivots.setdefault(r["block"], []).append(r["vector"])
+        parts, origin = {}, {}
+        for b, k in wanted.items():
+            parts[b] = (first, k, None if b in stuck else np.array(pivots[b], np.float64))
+            origin |= dict.fromkeys(range(first, first + k), large[b])
+            first += k
+        sent = points.sparkSession.sparkContext.broadcast(parts)
+
+        @F.pandas_udf("long")
+        def nearest(block: pd.Series, vector: pd.Series, mark: pd.Series) -> pd.Series:
+            out = block.to_numpy().copy()
+            for b in np.unique(out):
+                if b in sent.value:
+                    start, k, centers = sent.value[b]
+                    rows = np.flatnonzero(block.to_numpy() == b)
+                    if centers is None:
+                        out[rows] = start + mark.to_numpy()[rows] % k
+                    else:
+                        out[rows] = start + _distances(np.stack(vector.iloc[rows].to_list()).astype(np.float64), centers).argmin(1)
+            return pd.Series(out)
+
+        mark = F.pmod(F.xxhash64(F.lit(first), "id"), F.lit(1 << 30))
+        placed = materialize(placed.select("id", "vector", nearest("block", "vector", mark).alias("block")), "balls")
+        sizes = {r["block"]: r["n"] for r in placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return placed
+
+
+def _needed(facts: pd.DataFrame, edges: list[tuple[int, int, float]]):
+    """A function of a block number: the later blocks with which it may share a tree edge, and how long that is at most.
+
+    The trees of the blocks and the tree of their middles (``edges``, in the order in which it
+    was grown) connect all points. An edge of the whole tree is no longer than the longest on that
+    way between its ends. Between two middles that is the longest edge added after the first of
+    them and up to the second.
+    """
+    order = np.array([0, *[b for _, b, _ in edges]])
+    place = np.argsort(order)
+    added = np.array([0.0, *[w for _, _, w in edges]])
+    centers = np.stack(facts["center"].to_list())
+    radius, longest = facts["radius"].to_numpy(), facts["longest"].to_numpy()
+
+    def run(x: int) -> tuple[np.ndarray, np.ndarray]:
+        at = place[x]
+        way = np.zeros(len(order))
+        way[at + 1 :] = np.maximum.accumulate(added[at + 1 :])
+        way[:at] = np.maximum.accumulate(added[1 : at + 1][::-1])[::-1]
+        most = np.maximum(np.maximum(longest[x], longest), way[place]) * ROOM
+        apart = np.sqrt(((centers - centers[x]) ** 2).sum(1)) - (radius[x] + radius) * ROOM
+        later = np.flatnonzero((apart <= most) & (np.arange(len(order)) > x))
+        return later, most[later]
+
+    return run
+
+
+def block_pairs(facts: pd.DataFrame, edges: list, spark) -> DataFrame:
+    """``x, y, most`` of the block numbers whose blocks are looked at together."""
+    sent = spark.sparkContext.broadcast((facts, edges))
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needed = _needed(*sent.value)
         for batch in batches:
-            for members in batch["members"]:
-                members = sorted(members, key=lambda m: m["id"])
-                ids = [m["id"] for m in members]
-                matrix = np.array([m["vector"] for m in members], dtype=np.float64)
-                rows = [(ids[min(a, b)], ids[max(a, b)], w) for a, b, w in _tree(matrix)]
-                yield pd.DataFrame(rows, columns=["lo", "hi", "w"])
-
-    found = pairs.select("members").mapInPandas(trees, f"lo {id_type}, hi {id_type}, w double")
-    # The same edge can be in the trees of several pairs, with the same length.
-    return found.groupBy("lo", "hi").agg(F.min("w").alias("w"))
-
-
-def _local_tree(edges: pd.DataFrame) -> pd.DataFrame:
-    """The edges of ``cu, cv, lo, hi, w`` that join two components, shortest first."""
-    root: dict = {}
-
-    def find(c):
-        while root.setdefault(c, c) != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
+            for x in batch["id"]:
+                y, most = needed(int(x))
+                yield pd.DataFrame({"x": int(x), "y": y, "most": most})
 
-    keep = []
-    edges = edges.sort_values(["w", "lo", "hi"], ignore_index=True)
-    for n, (u, v) in enumerate(zip(edges["cu"], edges["cv"], strict=True)):
-        a, b = find(u), find(v)
-        if a != b:
-            root[a] = b
-            keep.append(n)
-    return edges.loc[keep, ["lo", "hi", "w"]]
+    return spark.range(len(facts)).mapInPandas(pairs, "x long, y long, most double")
 
 
-def spanning_tree(
-    points: DataFrame, block_points: int | None = None, local_edges: int = LOCAL_EDGES
-) -> DataFrame:
-    """Minimum spanning tree of ``id, vector`` points as ``lo, hi, w``, n - 1 edges.
+def block_edges(points: DataFrame, block_points: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges ``lo, hi, w`` that contain a minimum spanning tree of all points, and the block pairs looked at.
 
-    Rounds over the candidate edges: each component takes its least edge (by length, then
-    ids, so choices cannot form a cycle), components that meet are merged, edges inside a
-    component are dropped. At least half of the components vanish per round. Once no more
-    than ``local_edges`` remain, one task finishes them.
+    They are the trees of the blocks, the tree of the blocks' middles, and of every needed pair of
+    blocks the tree edges that cross; of a pair only points near enough to the other ball take part.
     """
-    edges = materialize(block_edges(points, block_points), "candidates")
+    spark = points.sparkSession
+    placed = materialize(balls(points, block_points), "placed")
     id_type = points.schema["id"].dataType.simpleString()
-    live = edges.select(F.col("lo").alias("cu"), F.col("hi").alias("cv"), "lo", "hi", "w")
-    chosen = [edges.limit(0)]
-    while (left := live.count()) > 0:
-        if left <= local_edges:
-            rest = live.withColumn("g", F.lit(True)).groupBy("g")
-            rest = rest.applyInPandas(_local_tree, f"lo {id_type}, hi {id_type}, w double")
-            chosen.append(rest)
-            break
-        turned = live.select(F.col("cv").alias("cu"), F.col("cu").alias("cv"), "lo", "hi", "w")
-        order = [F.col("w"), F.col("lo"), F.col("hi")]
-        least = materialize(one_per_key(live.unionByName(turned), ["cu"], order), "least")
-        chosen.append(least.select("lo", "hi", "w").distinct())
-        names = _merge_components(least.select(F.col("cu").alias("node"), F.col("cv").alias("to")))
-        live = (
-            live.join(names.select(F.col("node").alias("cu"), F.col("root").alias("ru")), "cu")
-            .join(names.select(F.col("node").alias("cv"), F.col("root").alias("rv")), "cv")
-            .filter("ru <> rv")
-            .select(
-                F.least("ru", "rv").alias("cu"), F.greatest("ru", "rv").alias("cv"), "lo", "hi", "w"
-            )
-        )
-        # Of parallel edges between two components only the least can be taken.
-        live = materialize(one_per_key(live, ["cu", "cv"], order), "live")
-    return reduce(DataFrame.unionByName, chosen)
+    schema = f"block long, lo {id_type}, hi {id_type}, w double, center array<double>, radius double, middle array<double>"
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        ids, matrix = rows["id"].to_list(), np.stack(rows["vector"].to_list()).astype(np.float64)
+        found = [(key[0], ids[min(a, b)], ids[max(a, b)], w, None, None, None) for a, b, w in _tree(matrix)]
+        center = matrix.mean(0)
+        away = np.sqrt(((matrix - center) ** 2).sum(1))
+        middle = int(away.argmin())
+        longest = max((f[3] for f in found), default=0.0)
+        found.append((key[0], ids[middle], None, longest, center, away.max(), matrix[middle]))
+        return pd.DataFrame(found, columns=["block", "lo", "hi", "w", "center", "radius", "middle"], dtype=object)
+
+    trees = materialize(placed.groupBy("block").applyInPandas(grow, schema), "trees")
+    facts = trees.where("hi IS NULL").select("block", F.col("lo").alias("id"), F.col("w").alias("longest"), "center", "radius", "middle").orderBy("block").toPandas()
+    own = trees.where("hi IS NOT NULL").select("lo", "hi", "w")
+    if len(facts) < 2:
+        return own, spark.createDataFrame([], "x long, y long, most double")
+    # One row per block from here on the driver: their middles' tree.
+    middles = _tree(np.stack(facts["middle"].to_list()))
+    ids = facts["id"].to_list()
+    between = spark.createDataFrame([(min(ids[a], ids[b]), max(ids[a], ids[b]), w) for a, b, w in middles], own.schema)
+    pairs = materialize(block_pairs(facts, middles, spark), "pairs")
+    numbers = spark.createDataFrame([(int(b), i) for i, b in enumerate(facts["block"])], "block long, x long")
+    packed = placed.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("members")).join(numbers, "block").select(F.col("x").alias("own"), "members")
+    meets = pairs.select("x", "y", "most", F.explode(F.array("x", "y")).alias("own")).join(packed, "own")
+    sent = spark.sparkContext.broadcast((np.stack(facts["center"].to_list()), facts["radius"].to_numpy()))
+
+    def cross(rows: pd.DataFrame) -> pd.DataFrame:
+        centers, radius = sent.value
+        most, sides = rows["most"].iloc[0], []
+        for own, members in zip(rows["own"], rows["members"], strict=True):
+            other = rows["y"].iloc[0] if own == rows["x"].iloc[0] else rows["x"].iloc[0]
+            matrix = np.array([m["vector"] for m in members], dtype=np.float64)
+            near = np.flatnonzero(np.sqrt(((matrix - centers[other]) ** 2).sum(1)) - radius[other] * ROOM <= most)
+            sides += [(members[i]["id"], own, matrix[i]) for i in near]
+        if len({s for _, s, _ in sides}) < 2:
+            return pd.DataFrame([], columns=["lo", "hi", "w"], dtype=object)
+        sides.sort(key=lambda m: m[0])
+        edges = _tree(np.stack([v for _, _, v in sides]))
+        found = [(min(sides[a][0], sides[b][0]), max(sides[a][0], sides[b][0]), w) for a, b, w in edges if sides[a][1] != sides[b][1] and w <= most]
+        return pd.DataFrame(found, columns=["lo", "hi", "w"], dtype=object)
+
+    crossing = meets.groupBy("x", "y").applyInPandas(cross, own.schema)
+    every = own.unionByName(between).unionByName(crossing)
+    # The same edge can be found by several pairs, with the same length.
+    return every.groupBy("lo", "hi").agg(F.min("w").alias("w")), pairs
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``rec, node, root`` of the nodes on ``rec, a, b``: the smallest node that is reachable in the same ``rec``.
+
+    A node takes the smallest label next to it, then its label's label, until nothing changes.
+    """
+    both = materialize(edges.select("rec", "a", "b").unionAll(edges.select("rec", "b", "a")).distinct(), "links")
+    labels = both.groupBy("rec", F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
+    while True:
+        labels = materialize(labels, "labels")
+        near = both.join(labels.select("rec", F.col("node").alias("b"), "root"), ["rec", "b"]).groupBy("rec", F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        low = labels.join(near, ["rec", "node"]).select("rec", "node", "root", F.least("root", "near").alias("low"))
+        up = labels.select("rec", F.col("node").alias("low"), F.col("root").alias("up"))
+        labels = materialize(low.join(up, ["rec", "low"]).select("rec", "node", F.least("low", "up").alias("root"), (F.least("low", "up") != F.col("root")).alias("moved")), "labels")
+        if labels.where("moved").isEmpty():
+            return labels.select("rec", "node", "root")
+        labels = labels.select("rec", "node", "root")
+
 
+def levels(edges: DataFrame, level_edges: int = LEVEL_EDGES) -> DataFrame:
+    """``level, grp, rank, lo, hi, w, u, v, u_size, v_size``: edges by rising length in levels of about ``level_edges``.
 
-def _merge_components(links: DataFrame) -> DataFrame:
-    """Root per node of a forest in which each node names the one its least edge leads to.
+    ``u`` and ``v`` are the components of the ends under all edges of earlier levels (named by their
+    smallest point) with their sizes; edges inside one are gone. ``grp`` is the connected part of the level.
 
-    Following the names ends in two nodes that name each other; the smaller is the root.
-    Pointers are doubled, three times per written round, until all are roots.
+    Halves of the range of levels are contracted together: in each round the lighter half of every
+    range gives the components for its heavier half.
     """
-    a, b = links.alias("a"), links.alias("b")
-    mutual = (F.col("b.to") == F.col("a.node")) & (F.col("a.node") < F.col("a.to"))
-    names = a.join(b, F.col("a.to") == F.col("b.node"), "left").select(
-        F.col("a.node").alias("node"),
-        F.when(mutual, F.col("a.node")).otherwise(F.col("a.to")).alias("root"),
-    )
-    while True:
-        for _ in range(3):
-            up = names.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            names = names.join(up, F.col("root") == F.col("_n")).select(
-                "node", F.col("_r").alias("root"), (F.col("root") != F.col("_r")).alias("moved")
-            )
-        names = materialize(names, "roots")
-        if names.filter("moved").isEmpty():
-            return names.select("node", "root")
+    n = edges.count()
+    count = max(1, -(-n // level_edges))
+    ranked = Window.partitionBy("level").orderBy("w", "lo", "hi")
+    ranged = edges.repartitionByRange(count, "w", "lo", "hi").withColumn("level", F.spark_partition_id().cast("long")) if count > 1 else edges.withColumn("level", F.lit(0).cast("long"))
+    ranged = materialize(ranged, "levels")
+    table = ranged.withColumn("rank", F.shiftleft("level", 32) + F.row_number().over(ranked)).withColumns({"u": F.col("lo"), "v": F.col("hi")})
+    if count == 1:
+        one = F.lit(1).cast("long")
+        return table.select("level", F.lit(None).cast(edges.schema["lo"].dataType).alias("grp"), "rank", "lo", "hi", "w", "u", "v", one.alias("u_size"), one.alias("v_size"))
+    width = 1 << (count - 1).bit_length()
+    table = materialize(table.withColumn("rec", F.lit(0).cast("long")), "contract")
+    sizes = materialize(table.select("rec", F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("size", F.lit(1).cast("long")), "sizes")
+    while width > 1:
+        width //= 2
+        light = table.where(F.floor(F.col("level") / width) % 2 == 0)
+        roots = materialize(_components(light.select("rec", F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+
+        def named(rows: DataFrame, end: str, roots: DataFrame = roots) -> DataFrame:
+            found = rows.join(roots.select("rec", F.col("node").alias(end), "root"), ["rec", end], "left")
+            return found.withColumn(end, F.coalesce("root", end)).drop("root")
+
+        heavy = named(named(table.where(F.floor(F.col("level") / width) % 2 == 1), "u"), "v").where("u <> v")
+        grown = named(sizes, "node").groupBy("rec", "node").agg(F.sum("size").alias("size"))
+        after = F.floor(F.col("level") / width).cast("long")
+        table = materialize(light.unionByName(heavy).withColumn("old", F.col("rec")).withColumn("rec", after), "contract")
+        # Sizes of the ends that each half still has.
+        ends = table.select("rec", "old", F.explode(F.array("u", "v")).alias("node")).distinct()
+        first = ends.where(F.col("rec") % 2 == 0).join(sizes.withColumnRenamed("rec", "old"), ["old", "node"])
+        second = ends.where(F.col("rec") % 2 == 1).join(grown.withColumnRenamed("rec", "old"), ["old", "node"])
+        sizes = materialize(first.unionByName(second).select("rec", "node", "size"), "sizes")
+        table = table.drop("old")
+    groups = _components(table.select("rec", F.col("u").alias("a"), F.col("v").alias("b")))
+    for end in ("u", "v"):
+        table = table.join(sizes.select("rec", F.col("node").alias(end), F.col("size").alias(f"{end}_size")), ["rec", end])
+    table = table.join(groups.select("rec", F.col("node").alias("u"), F.col("root").alias("grp")), ["rec", "u"])
+    return table.select("level", "grp", "rank", "lo", "hi", "w", "u", "v", "u_size", "v_size")
+
+
+class _Forest:
+    """Components named by their smallest member."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, c):
+        self.up.setdefault(c, c)
+        while self.up[c] != c:
+            self.up[c] = self.up[self.up[c]]
+            c = self.up[c]
+        return c
+
+    def join(self, a, b):
+        low, high = (a, b) if a < b else (b, a)
+        self.up[high] = low
+        return low
+
+
+def spanning_tree(points: DataFrame, block_points: int | None = None, level_edges: int = LEVEL_EDGES) -> DataFrame:
+    """Minimum spanning tree of ``id, vector`` points as ``lo, hi, w``, n - 1 edges."""
+    edges, _ = block_edges(points.select("id", "vector"), block_points)
+    edges = materialize(edges, "candidates")
 
+    def shortest(rows: pd.DataFrame) -> pd.DataFrame:
+        forest, keep = _Forest(), []
+        rows = rows.sort_values("rank", ignore_index=True)
+        for n, (u, v) in enumerate(zip(rows["u"], rows["v"], strict=True)):
+            a, b = forest.find(u), forest.find(v)
+            if a != b:
+                forest.join(a, b)
+                keep.append(n)
+        return rows.loc[keep, ["lo", "hi", "w"]]
 
-def _grow(edges: pd.DataFrame, min_size: int, first_cluster: int):
+    return levels(edges, level_edges).groupBy("level", "grp").applyInPandas(shortest, edges.schema)
+
+
+def _grow(edges: pd.DataFrame, min_size: int) -> list[tuple]:
     """Join components along edges of rising length and keep account of their clusters.
 
     A component of ``min_size`` points has a cluster. When a component joins one with a
     cluster, its points leave that cluster (seen from the top) at 1/length; when two
-    clusters meet both end there, and their union starts a new one.
+    clusters meet both end there, and their union starts a new one, known by its edge's rank.
 
-    ``info`` holds per component: points, cluster, sum of points times 1/length, stability
-    kept below, and, while it has no cluster, the components it was made of.
+    A component that comes with a cluster does not know which; that cluster is named by the component
+    (``of``). Rows are ``kind, comp, rank, of, parent, value, wins``: ``mass`` that a cluster gathers,
+    ``ended`` ones (value: points times 1/length there), those ``done`` whose stability is settled here,
+    the clusters that components ``entered``, small components that ``moved`` into larger ones, and
+    the cluster with which a component goes ``out``.
     """
-    root: dict = {}
-    info: dict = {}
-    for side in ("u", "v"):
-        state = zip(
-            *(edges[f"{side}{k}"] for k in ("", "_size", "_cluster", "_mass", "_inner")), strict=True
-        )
-        for c, size, cluster, mass, inner in state:
-            if c not in root:
-                root[c] = c
-                known = None if pd.isna(cluster) else int(cluster)
-                info[c] = (int(size), known, float(mass), float(inner), [c] if known is None else [])
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    ended, entered, new = [], [], first_cluster
-    for u, v, w in zip(edges["u"], edges["v"], edges["w"], strict=True):
-        a, b = sorted((find(u), find(v)))
-        lam = 1.0 / max(w, sys.float_info.min)
-        (na, ca, ma, ia, la), (nb, cb, mb, ib, lb) = info.pop(a), info.pop(b)
-        root[b] = a
-        size = na + nb
-        if ca is not None and cb is not None:
-            inner = 0.0
-            for cluster, n, mass, below in ((ca, na, ma, ia), (cb, nb, mb, ib)):
-                own = mass - n * lam
-                inner += max(own, below)
-                ended.append((cluster, new, own >= below))
-            info[a] = (size, new, size * lam, inner, [])
-            new += 1
-        elif ca is None and cb is None:
+    forest, info, rows = _Forest(), {}, []
+    edges = edges.sort_values("rank")
+    for rank, u, v, us, vs, w in zip(*(edges[c] for c in ("rank", "u", "v", "u_size", "v_size", "w")), strict=True):
+        for c, size in ((u, us), (v, vs)):
+            if c not in forest.up:
+                forest.find(c)
+                small = size < min_size
+                # points, cluster, mass gathered here, stability below, all of it known, small members
+                info[c] = (int(size), None if small else (None, c), 0.0, 0.0, False, [c] if small else [])
+        a, b = forest.find(u), forest.find(v)
+        if a == b:
+            continue
+        lam, rank = 1.0 / max(w, sys.float_info.min), int(rank)
+        one, two = info.pop(a), info.pop(b)
+        root, size = forest.join(a, b), one[0] + two[0]
+        if one[1] and two[1]:
+            inner, known = 0.0, True
+            for n, cluster, mass, below, settled, _ in (one, two):
+                if settled:
+                    own = mass - n * lam
+                    inner += max(own, below)
+                    rows.append(("done", None, cluster[0], None, rank, max(own, below), own >= below))
+                else:
+                    known = False
+                    rows.append(("ended", None, *cluster, rank, n * lam, None))
+                    rows.append(("mass", None, *cluster, None, mass, None))
+            info[root] = (size, (rank, None), size * lam, inner, known, [])
+        elif not one[1] and not two[1]:
             if size < min_size:
-                info[a] = (size, None, 0.0, 0.0, la + lb)
+                info[root] = (size, None, 0.0, 0.0, False, one[5] + two[5])
                 continue
-            entered += [(c, new) for c in la + lb]
-            info[a] = (size, new, size * lam, 0.0, [])
-            new += 1
+            rows += [("entered", c, rank, None, None, None, None) for c in one[5] + two[5]]
+            info[root] = (size, (rank, None), size * lam, 0.0, True, [])
+        else:
+            (n, cluster, mass, below, settled, _), late = (one, two) if one[1] else (two, one)
+            rows += [("entered", c, *cluster, None, None, None) for c in late[5]]
+            info[root] = (size, cluster, mass + late[0] * lam, below, settled, [])
+    for root, (_, cluster, mass, _, _, small) in info.items():
+        if cluster:
+            rows.append(("out", root, *cluster, None, None, None))
+            rows.append(("mass", None, *cluster, None, mass, None))
         else:
-            cluster, mass, below = (ca, ma, ia) if ca is not None else (cb, mb, ib)
-            late, n = (lb, nb) if ca is not None else (la, na)
-            entered += [(c, cluster) for c in late]
-            info[a] = (size, cluster, mass + n * lam, below, [])
-    moved = [(c, find(c)) for c in root]
-    return moved, info, ended, entered
+            rows += [("moved", c, None, root, None, None, None) for c in small]
+    return rows
+
+
+def _named_clusters(events: DataFrame) -> DataFrame:
+    """``of, level, cluster``: the cluster that a component comes with to a level.
+
+    It is the one with which the component went out of the last level before that it was in, which
+    may in turn have been named by a component; such ways are followed by doubling.
+    """
+    asked = events.where("of IS NOT NULL AND kind <> 'moved'").select(F.col("of").alias("comp"), "level").distinct()
+    outs = events.where("kind = 'out'").select("comp", "level", "rank", "of")
+    nothing = F.lit(None)
+    both = outs.select("comp", "level", (F.col("level") * 2 + 1).alias("at"), F.struct("rank", "of", "level").alias("way")).unionByName(
+        asked.select("comp", "level", (F.col("level") * 2).alias("at"), nothing.alias("way"))
+    )
+    before = Window.partitionBy("comp").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ways = both.withColumn("last", F.last("way", ignorenulls=True).over(before)).where("way IS NULL")
+    ways = materialize(ways.select("comp", "level", F.col("last.rank").alias("cluster"), F.col("last.of").alias("of"), F.col("last.level").alias("since")), "ways")
+    while not ways.where("cluster IS NULL").isEmpty():
+        further = ways.select(F.col("comp").alias("of"), F.col("level").alias("since"), F.col("cluster").alias("c2"), F.col("of").alias("o2"), F.col("since").alias("s2"))
+        known, open_ = ways.where("cluster IS NOT NULL"), ways.where("cluster IS NULL")
+        gone = open_.join(further, ["of", "since"]).select("comp", "level", F.col("c2").alias("cluster"), F.col("o2").alias("of"), F.col("s2").alias("since"))
+        ways = materialize(known.unionByName(gone), "ways")
+    return ways.select(F.col("comp").alias("of"), "level", "cluster")
+
+
+def _values(nodes: DataFrame) -> DataFrame:
+    """``cluster, parent, own, value`` of clusters whose stability depends on other levels.
+
+    ``nodes`` has ``cluster, parent, own, q`` (stability of settled clusters below) and up to two open
+    clusters below, ``c1, c2``. The value is the greater of ``own`` and all that is below. A cluster
+    with one open cluster below takes over what that one waits for, so chains halve in every round.
+    """
+    state = nodes.withColumns({"p": F.col("own"), "value": F.when(F.col("c1").isNull(), F.greatest("own", "q"))})
+    names = ["cluster", "parent", "own", "p", "q", "c1", "c2", "value"]
+    state = materialize(state.select(*names), "values")
+    while not state.where("value IS NULL").isEmpty():
+        one, two = (state.select(F.col("cluster").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("p", "q", "c1", "c2", "value")]) for c in ("c1", "c2"))
+        rows = state.join(one, "c1", "left").join(two, "c2", "left")
+        alone = F.col("c2").isNull()
+        v1, v2 = F.col("c1_value"), F.col("c2_value")
+        chain = alone & v1.isNull() & F.col("c1_c2").isNull()
+        value = F.when(alone, F.greatest(F.col("p"), F.col("q") + v1)).otherwise(F.greatest(F.col("p"), F.col("q") + v1 + v2))
+        complete = F.when(alone, v1.isNotNull()).otherwise(v1.isNotNull() & v2.isNotNull())
+        open_ = F.col("value").isNull()
+        state = rows.select(
+            "cluster",
+            "parent",
+            "own",
+            F.when(open_ & chain, F.greatest(F.col("p"), F.col("q") + F.col("c1_p"))).otherwise(F.col("p")).alias("p"),
+            F.when(open_ & chain, F.col("q") + F.col("c1_q")).when(open_ & ~alone, F.col("q") + F.coalesce(v1, v2, F.lit(0.0))).otherwise(F.col("q")).alias("q"),
+            F.when(open_ & chain, F.col("c1_c1")).when(open_ & ~alone & v1.isNotNull(), F.col("c2")).otherwise(F.col("c1")).alias("c1"),
+            F.when(open_ & ~alone & (v1.isNotNull() | v2.isNotNull()), F.lit(None)).otherwise(F.col("c2")).alias("c2"),
+            F.when(open_ & complete, value).otherwise(F.col("value")).alias("value"),
+        )
+        state = materialize(state.select(*names), "values")
+    return state.select("cluster", "parent", "own", "value")
+
+
+def _entries(events: DataFrame, named: DataFrame) -> DataFrame:
+    """``id, cluster``: the first cluster of each point, followed from the small component it starts as."""
+    entered = events.where("kind = 'entered'").join(named, ["of", "level"], "left").select("comp", "level", F.coalesce("rank", "cluster").alias("cluster"))
+    moved = events.where("kind = 'moved'").select("comp", "level", F.col("of").alias("to"))
+    if moved.isEmpty():
+        return entered.select(F.col("comp").alias("id"), "cluster")
+    every = entered.select("comp", "level").unionByName(moved.select("comp", "level"))
+    both = every.select("comp", "level", (F.col("level") * 2).alias("at"), F.col("level").alias("there")).unionByName(
+        moved.select(F.col("to").alias("comp"), "level", (F.col("level") * 2 + 1).alias("at"), F.lit(None).cast("long").alias("there")).distinct()
+    )
+    later = Window.partitionBy("comp").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    following = both.withColumn("next", F.min("there").over(later)).where("there IS NULL").select(F.col("comp").alias("to"), "level", "next")
+    none = F.lit(None).cast("long").alias("cluster")
+    ways = entered.select("comp", "level", "cluster", F.lit(None).cast(moved.schema["to"].dataType).alias("to"), F.lit(None).cast("long").alias("next")).unionByName(
+        moved.join(following, ["to", "level"]).select("comp", "level", none, "to", "next")
+    )
+    ways = materialize(ways, "entries")
+    while not ways.where("next IS NOT NULL").isEmpty():
+        further = ways.select(F.col("comp").alias("to"), F.col("level").alias("next"), F.col("cluster").alias("c2"), F.col("to").alias("t2"), F.col("next").alias("n2"))
+        gone = ways.where("next IS NOT NULL").join(further, ["to", "next"]).select("comp", "level", F.col("c2").alias("cluster"), F.col("t2").alias("to"), F.col("n2").alias("next"))
+        ways = materialize(ways.where("next IS NULL").unionByName(gone), "entries")
+    starts = every.groupBy("comp").agg(F.min("level").alias("level"))
+    return ways.join(starts, ["comp", "level"]).where("cluster IS NOT NULL").select(F.col("comp").alias("id"), "cluster")
 
 
 def _winners(ended: DataFrame) -> DataFrame:
@@ -254,104 +469,55 @@ def _winners(ended: DataFrame) -> DataFrame:
         if paths.filter("moved").isEmpty():
             return paths.select("cluster", "top")
 
-
 def density(
     points: DataFrame,
     min_cluster_size: int = 2,
     block_points: int | None = None,
     level_edges: int = LEVEL_EDGES,
-    local_edges: int = LOCAL_EDGES,
 ) -> DataFrame:
     """Cluster label per point: ``id, label``; -1 is noise.
 
     The hierarchy is cut by excess of mass, the whole set is never one cluster, and labels
     are numbered by the smallest member id.
 
-    Tree edges are taken by length in levels of about ``level_edges``. A level is one task
-    over the components of earlier levels, so its input is bounded however many points
-    these have; what it decides (merged components, ended clusters, the cluster a component
-    enters) is written as rows and resolved by joins. Levels follow one another.
+    A task holds a block, a pair of blocks, or a connected part of a level of about ``level_edges``
+    edges. Levels do not wait for one another: what a task cannot know of earlier levels it names, and
+    joins put it in place afterwards.
     """
-    tree = spanning_tree(points.select("id", "vector"), block_points, local_edges)
-    tree = materialize(tree, "tree")
-    n_edges = tree.count()
-    if n_edges == 0:
+    edges, _ = block_edges(points.select("id", "vector"), block_points)
+    edges = materialize(edges, "candidates")
+    if edges.isEmpty():
         return points.select("id", F.lit(-1).alias("label"))
-    id_type = points.schema["id"].dataType.simpleString()
-    n_levels = math.ceil(n_edges / level_edges)
-    if n_levels > 1:
-        ranged = tree.repartitionByRange(n_levels, "w", "lo", "hi")
-        ranged = materialize(ranged.withColumn("level", F.spark_partition_id()), "levels")
-        # Partition numbers rise with edge length; there are about n / level_edges of them.
-        present = [r[0] for r in ranged.select("level").distinct().orderBy("level").collect()]
+    id_type, least = points.schema["id"].dataType.simpleString(), max(2, min_cluster_size)
+    names = ["kind", "comp", "rank", "of", "parent", "value", "wins"]
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(_grow(rows, least), columns=names, dtype=object)
+        return found.assign(level=int(key[0]))
+
+    schema = f"kind string, comp {id_type}, rank long, of {id_type}, parent long, value double, wins boolean, level long"
+    events = materialize(levels(edges, level_edges).groupBy("level", "grp").applyInPandas(grow, schema), "events")
+    open_names = events.where("of IS NOT NULL AND kind <> 'moved'")
+    named = materialize(_named_clusters(events), "named") if not open_names.isEmpty() else open_names.select("of", "level", F.col("rank").alias("cluster")).limit(0)
+    done = events.where("kind = 'done'").select(F.col("rank").alias("cluster"), "parent", "value", "wins")
+    ended = events.where("kind = 'ended'")
+    if ended.isEmpty():
+        stable = done.select("cluster", "parent", "wins")
     else:
-        ranged, present = tree.withColumn("level", F.lit(0)), [0]
-
-    schema = (
-        f"kind string, comp {id_type}, root {id_type}, size long, cluster long, parent long, "
-        "mass double, inner double, wins boolean"
-    )
-    names = ["kind", "comp", "root", "size", "cluster", "parent", "mass", "inner", "wins"]
-
-    def grow_level(level: int):
-        def run(edges: pd.DataFrame) -> pd.DataFrame:
-            edges = edges.sort_values(["w", "lo", "hi"])
-            moved, info, ended, entered = _grow(edges, min_cluster_size, level << 40)
-            rows = [("moved", c, r, None, None, None, None, None, None) for c, r in moved]
-            rows += [("comp", c, None, s, k, None, m, i, None) for c, (s, k, m, i, _) in info.items()]
-            rows += [("ended", None, None, None, c, p, None, None, wins) for c, p, wins in ended]
-            rows += [("entered", c, None, None, k, None, None, None, None) for c, k in entered]
-            return pd.DataFrame(rows, columns=names, dtype=object)
-
-        return run
-
-    fresh = {
-        "size": F.lit(1).cast("long"),
-        "cluster": F.lit(None).cast("long"),
-        "mass": F.lit(0.0),
-        "inner": F.lit(0.0),
-    }
-    # Component of each point, and the account of every component of more than one point.
-    where = points.select("id", F.col("id").alias("comp"))
-    state = where.select("comp", *[c.alias(k) for k, c in fresh.items()]).limit(0)
-    entries, ended = [], []
-    for level in present:
-        edges = ranged.filter(F.col("level") == level)
-        for end, side in (("lo", "u"), ("hi", "v")):
-            if level == present[0]:
-                # Every point is still a component of its own.
-                edges = edges.withColumns(
-                    {side: F.col(end)} | {f"{side}_{k}": c for k, c in fresh.items()}
-                )
-                continue
-            edges = edges.join(
-                where.select(F.col("id").alias(end), F.col("comp").alias(side)), end
-            )
-            known = state.select(F.col("comp").alias(side), *[F.col(k).alias(f"_{k}") for k in fresh])
-            edges = edges.join(known, side, "left").withColumns(
-                {f"{side}_{k}": F.coalesce(F.col(f"_{k}"), c) for k, c in fresh.items()}
-            ).drop(*[f"_{k}" for k in fresh])
-        grown = edges.groupBy("level").applyInPandas(grow_level(level), schema)
-        grown = materialize(grown, "grown")
-
-        entered = grown.filter("kind = 'entered'").select("comp", "cluster")
-        if level == present[0]:
-            entries.append(entered.withColumnRenamed("comp", "id"))
-        else:
-            entries.append(where.join(entered, "comp").select("id", "cluster"))
-        ended.append(grown.filter("kind = 'ended'").select("cluster", "parent", "wins"))
-        if level != present[-1]:
-            moved = grown.filter("kind = 'moved'").select(
-                F.col("comp").alias("_c"), F.col("root").alias("_r")
-            )
-            where = where.join(moved, F.col("comp") == F.col("_c"), "left")
-            where = materialize(where.select("id", F.coalesce("_r", "comp").alias("comp")), "where")
-            changed = grown.filter("kind = 'comp'").select("comp", *fresh)
-            kept = state.join(moved, F.col("comp") == F.col("_c"), "left_anti")
-            state = materialize(kept.unionByName(changed), "state")
-
-    tops = _winners(reduce(DataFrame.unionByName, ended))
-    placed = reduce(DataFrame.unionByName, entries).join(tops, "cluster").filter("top IS NOT NULL")
+        known = events.join(named, ["of", "level"], "left").withColumn("cluster", F.coalesce("rank", "cluster"))
+        gathered = known.where("kind = 'mass'").groupBy("cluster").agg(F.sum("value").alias("mass"))
+        ends = materialize(known.where("kind = 'ended'").select("cluster", "parent", F.col("value").alias("cost")), "ended")
+        settled = done.groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("q"))
+        waiting = ends.groupBy(F.col("parent").alias("cluster")).agg(F.min("cluster").alias("c1"), F.max("cluster").alias("c2"))
+        nodes = ends.join(gathered, "cluster").join(settled, "cluster", "left").join(waiting, "cluster", "left")
+        nodes = nodes.select("cluster", "parent", (F.col("mass") - F.col("cost")).alias("own"), F.coalesce("q", F.lit(0.0)).alias("q"), "c1", F.when(F.col("c1") != F.col("c2"), F.col("c2")).alias("c2"))
+        valued = _values(nodes)
+        below = done.select("parent", "value").unionByName(valued.select("parent", "value")).groupBy(F.col("parent").alias("cluster")).agg(F.sum("value").alias("inner"))
+        judged = valued.join(below, "cluster", "left").select("cluster", "parent", (F.col("own") >= F.coalesce("inner", F.lit(0.0))).alias("wins"))
+        stable = done.select("cluster", "parent", "wins").unionByName(judged)
+
+    tops = _winners(stable)
+    placed = _entries(events, named).join(tops, "cluster").filter("top IS NOT NULL")
     placed = materialize(placed.select("id", "top"), "placed")
     firsts = placed.groupBy("top").agg(F.min("id").alias("first"))
     numbered = number_rows(firsts, ["first"], "label", F.lit(-1))

@@ -52,8 +52,8 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
     """Summary per cluster: hook, overlay text, leading media type and brand, counts, script and visual prompt.
 
     The hook is the first speech, else the first title, else a default; the lead brand is the first
-    one named. A cluster of ``known`` without items gets an error row. One scan: items are reduced
-    per (cluster, type, brand), and those rows per cluster.
+    one named. A cluster of ``known`` without items gets an error row. Items are reduced
+    per (cluster, type, brand), those rows per cluster, and per (cluster, brand) to be counted.
     """
     first = {"speech": "speech_transcript", "title": "title", "overlay": "ocr_text"}
 
@@ -66,7 +66,6 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
     )
     kinds = parts.groupBy(cluster, "kind").agg(
         F.sum("n").alias("n"),
-        F.collect_set("named").alias("named"),  # a cluster names a handful of brands
         F.min(F.when(F.col("named").isNotNull(), F.struct("named_at", "named"))).alias("lead"),
         *[F.min(k).alias(k) for k in first],
     )
@@ -74,10 +73,11 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
         # Most frequent type, the smallest name among equals.
         F.min(F.struct(-F.col("n"), F.col("kind").alias("k")))["k"].alias("primary_media_type"),
         F.sum("n").alias("analyzed_items_count"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("named")))).cast("long").alias("brand_count"),
         F.min("lead")["named"].alias("lead_brand"),
         *[F.min(k)["v"].alias(f"_{k}") for k in first],
     )
+    brands = parts.where("named IS NOT NULL").groupBy(cluster, "named").agg(F.lit(1)).groupBy(cluster).agg(F.count(F.lit(1)).alias("brand_count"))
+    rows = rows.join(brands, cluster, "left")
     if known is not None:
         rows = known.select(cluster).distinct().join(rows, cluster, "left")
     found = F.col("analyzed_items_count").isNotNull()

@@ -47,12 +47,13 @@ def upsert(
     update: Sequence[str] | None = None,
     new_values: dict[str, Column] | None = None,
     id_column: str | None = None,
+    id_start: int | None = None,
 ) -> DataFrame:
     """The table after the batch: known keys take ``update`` columns, unknown keys are added.
 
     Other columns of known rows (id, creation time) stay; ``new_values`` fills columns of
-    added rows, and ``id_column`` numbers them after the current maximum. ``update=None``
-    replaces every non-key column. Without ``order`` the batch must have unique keys.
+    added rows, and ``id_column`` numbers them after the current maximum (or ``id_start``, where
+    ``current`` is a part of the table). ``update=None`` replaces every non-key column. Without ``order`` the batch must have unique keys.
 
     The batch is reduced and written first, so the size that Spark plans the joins with is that of a
     file and not a guess: a small batch leaves the table where it is, a large one moves both. The
@@ -77,7 +78,7 @@ def upsert(
     added = _aligned(added, current.columns, current.schema)
     if id_column is not None:
         # A one-row aggregate, read once as the start of the numbering.
-        start = current.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
+        start = current.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0] if id_start is None else id_start
         added = number_rows(added, keys, id_column, F.lit(start)).select(*current.columns)
         added = _aligned(added, current.columns, current.schema)
     return kept.unionByName(added)

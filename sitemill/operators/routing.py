@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import UserDefinedTableFunction
 
+from sitemill.constants import PAGES
 from sitemill.functions.text import page_urls, routing_host, strip
 from sitemill.operators.ranking import one_per_key
 from sitemill.session import materialize
@@ -65,3 +70,44 @@ def extractor_page_urls(routed: DataFrame, max_pages: Column, pagers: dict[str,
     for name, pager in pagers.items():
         found = F.when(F.col(extractor) == name, pager(F.col(url), max_pages)).otherwise(found)
     return routed.withColumn("page_urls", found)
+
+
+def page_table(pagers: dict[str, Callable[[str, int], Iterable[str]]]) -> UserDefinedTableFunction:
+    """A table function of (extractor id, base URL, number of pages) that gives ``pos, page_url`` as the extractor's own Python code pages.
+
+    The code may do what no column expression can: follow what it made itself, keep a state, stop when it likes.
+    Nothing for extractors without code of their own and for null URLs; a null or non-positive number counts as ``PAGES``.
+    """
+
+    class Pages:
+        def eval(self, extractor_id: str, base: str, pages: int):
+            pager = pagers.get(extractor_id)
+            if pager is not None and base is not None:
+                yield from enumerate(pager(base, pages if pages and pages > 0 else PAGES))
+
+    return udtf(Pages, returnType="pos int, page_url string")
+
+
+def page_rows(
+    routed: DataFrame,
+    max_pages: Column,
+    pagers: dict[str, Callable[[Column, Column], Column]],
+    coded: dict[str, Callable[[str, int], Iterable[str]]],
+    url: str = "url",
+    extractor: str = "extractor_id",
+) -> DataFrame:
+    """A row per page: ``pos`` (from 0) and ``page_url``. Extractors in ``coded`` page by Python code, the others as in ``extractor_page_urls``.
+
+    Only rows of coded extractors go through Python.
+    """
+    own = F.coalesce(F.col(extractor).isin(list(coded)), F.lit(False))
+    plain = extractor_page_urls(routed.where(~own), max_pages, pagers, url, extractor)
+    rows = plain.select(*routed.columns, F.posexplode("page_urls").alias("pos", "page_url"))
+    if not coded:
+        return rows
+    called = routed.where(own).withColumn("_pages", max_pages.cast("int"))
+    paged = called.lateralJoin(page_table(coded)(F.col(extractor).outer(), F.col(url).outer(), F.col("_pages").outer()))
+    return rows.unionByName(paged.drop("_pages"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitemill.operators.merge import read_version, upsert, write_version
+from sitemill.functions.worker import fingerprint, once_per_worker
+from sitemill.operators import store
 from sitemill.session import materialize
 
 # Metric names (anything else means Cosine) and search defaults.
@@ -39,11 +40,11 @@ def check_dimension(points: DataFrame, dim: int, vector: str = "vector") -> Data
     )
 
 
-def create_collection(spark: SparkSession, root: str, dim: int, distance: str = "Cosine") -> None:
+def create_collection(spark: SparkSession, root: str, dim: int, distance: str = "Cosine", buckets: int = store.BUCKETS) -> None:
     """An empty collection of a fixed width and metric; an existing one is left alone."""
     meta = spark.createDataFrame([(dim, metric_name(distance))], "dim int, metric string")
     meta.write.mode("ignore").json(f"{root}/meta")
-    write_version(spark.createDataFrame([], POINTS), root, 0)
+    store.create(spark.createDataFrame([], POINTS), root, ["id"], buckets)
 
 
 def collection_meta(spark: SparkSession, root: str) -> tuple[int, str]:
@@ -51,20 +52,20 @@ def collection_meta(spark: SparkSession, root: str) -> tuple[int, str]:
     return row["dim"], row["metric"]
 
 
-def merge_points(current: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
-    """The points after the batch: a known id is replaced whole, a missing payload is empty."""
-    if "payload" not in batch.columns:
-        batch = batch.withColumn("payload", F.create_map().cast("map<string,string>"))
+def read_points(spark: SparkSession, root: str) -> DataFrame:
+    return store.read(spark, root)
+
+
+def whole_points(batch: DataFrame) -> DataFrame:
+    """A batch of points; a missing payload is empty."""
     empty = F.create_map().cast("map<string,string>")
-    return upsert(current, batch.withColumn("payload", F.coalesce("payload", empty)), ["id"], order)
+    return batch.withColumn("payload", F.coalesce("payload", empty) if "payload" in batch.columns else empty)
 
 
-def upsert_points(spark: SparkSession, root: str, batch: DataFrame, version: int, order: str | None = None) -> str | None:
-    """Write the next version of a collection; an empty batch writes nothing."""
-    if batch.isEmpty():
-        return None
+def upsert_points(spark: SparkSession, root: str, batch: DataFrame, order: str | None = None) -> int:
+    """The version after a batch: a known id is replaced whole. Only buckets that hold ids of the batch are rewritten; an empty batch writes nothing."""
     dim, _ = collection_meta(spark, root)
-    return write_version(merge_points(read_version(spark, root), check_dimension(batch, dim), order), root, version)
+    return store.upsert(spark, root, whole_points(check_dimension(batch, dim)), order).number
 
 
 def _scores(queries: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
@@ -233,15 +234,19 @@ def embed(
     text: str,
     encoder: Callable[[], object] = HashingEncoder,
     out: str = "vector",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add the embedding of ``text``, at the model's own width.
 
-    ``encoder`` builds the model; it is called once per task, not per batch or row.
+    ``encoder`` builds the model; it is called once per worker, whatever the number of tasks, and
+    known by its fingerprint. ``tasks`` deals the rows out anew, for inputs that are few files.
     """
+    df = df.repartition(tasks) if tasks else df
+    key = fingerprint(encoder)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = encoder()
+        model = once_per_worker(key, encoder)
         for texts in batches:
             yield pd.Series(list(model.encode(texts.tolist()).astype(np.float32)))
 

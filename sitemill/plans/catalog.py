@@ -7,13 +7,14 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitemill import constants as K
 from sitemill.functions.scoring import digits, gtin_valid
 from sitemill.functions.text import blank_to_null, strip
-from sitemill.session import materialize
+from sitemill.session import materialize, remove
+from sitemill.sources.commits import read_batches, write_batch
 from sitemill.sources.feeds import export_csv
 
 TEXT_FIELDS = ("sku", "gtin", "brand", "title", "category", "parent_sku")
@@ -442,9 +443,10 @@ def run(
 ) -> dict:
     """Normalise, enrich, validate and export one feed.
 
-    Writes ``staging``, ``qa_issues`` and ``import_runs`` below ``out`` in any case; the
-    CSV exports only when the gate passes. The enriched rows are computed once and kept
-    in the shared folder for the passes over them.
+    Rows of ``staging``, ``qa_issues`` and ``import_runs`` below ``out`` are added in one commit in
+    any case, once for each ``import_run_id`` however often it is tried (``stored`` reads them); the
+    CSV exports are written only when the gate passes, the quarantine only when there is something in it. The
+    enriched rows are computed once and kept in the shared folder for the passes over them.
     """
     spark = feed.sparkSession
     enriched = materialize(enrich(normalize(feed), rules, floor), "enriched")
@@ -453,10 +455,6 @@ def run(
     clean, held = split(enriched)
 
     run_id = F.lit(import_run_id).alias("import_run_id")
-    staging(enriched, import_run_id).write.mode("append").parquet(f"{out}/staging")
-    issues(enriched.filter("NOT quarantine")).select(run_id, "*").write.mode("append").parquet(
-        f"{out}/qa_issues"
-    )
     ledger = {
         "id": import_run_id,
         "source_path": source_path,
@@ -465,11 +463,22 @@ def run(
         "qa_failed": totals["quarantine_count"],
         "status": "passed" if passed else "failed",
     }
-    spark.createDataFrame([ledger]).withColumn("created_at", F.current_timestamp()).write.mode(
-        "append"
-    ).parquet(f"{out}/import_runs")
+    rows = {
+        "staging": staging(enriched, import_run_id),
+        "qa_issues": issues(enriched.filter("NOT quarantine")).select(run_id, "*"),
+        "import_runs": spark.createDataFrame([ledger]).withColumn("created_at", F.current_timestamp()),
+    }
+    write_batch(spark, out, f"{import_run_id:08d}", rows)
     if not passed:
         raise GateError(f"{totals['qa_errors']} QA errors — fix before export")
 
-    export_csv(held, f"{out}/quarantine.csv")
+    if totals["quarantine_count"]:
+        export_csv(held, f"{out}/quarantine.csv")
+    else:
+        remove(spark, [f"{out}/quarantine.csv"])
     return totals | {"export_path": export_csv(clean, f"{out}/catalog.csv")}
+
+
+def stored(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """``staging``, ``qa_issues`` or ``import_runs`` of all runs below ``out``."""
+    return read_batches(spark, out, table)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from sitemill.sources import commits, splits
 
 # Fixed value: the run log columns.
 RUN_SCHEMA = T.StructType(
@@ -45,16 +48,16 @@ def read_feed(
     """A supplier feed by suffix. Without a schema, CSV columns are read as text.
 
     Text keeps leading zeros of identifiers; normalisation parses the numbers. A CSV value may hold
-    line breaks in quotes, so a file is one task; set ``line_breaks`` to false for large files known
-    to have none, which are then split. JSON feeds hold an object per line, or with ``array`` one
-    array per file, which is one task.
+    line breaks in quotes; ``line_breaks=False`` says that none does and saves a pass over the
+    files. JSON feeds hold an object per line, or with ``array`` one array per file. All of them
+    are read by as many tasks as the files have ranges.
     """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     reader = spark.read.schema(schema) if schema else spark.read
     if suffix == "csv":
-        return reader.options(**CSV, multiLine=line_breaks).csv(path)
+        return splits.read_csv(spark, path, CSV, schema) if line_breaks else reader.options(**CSV).csv(path)
     if suffix == "json":
-        return reader.option("multiLine", array).json(path)
+        return splits.read_json_array(spark, path, schema) if array else reader.json(path)
     if suffix in ("parquet", "pq"):
         return reader.parquet(path)
     raise ValueError(f"unsupported feed format: {suffix or path}")
@@ -76,11 +79,18 @@ def read_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return guarded.filter("_ok IS NULL").select(*names)
 
 
-def record_runs(runs: DataFrame, log_path: str, telemetry_path: str) -> bool:
-    """Append finished runs to the log and to telemetry; an empty batch is a no-op.
+#: Columns of the telemetry table, in its order.
+TELEMETRY_SCHEMA = T.StructType([RUN_SCHEMA[c] for c in TELEMETRY] + [T.StructField("dt", T.DateType())])
+LOG_SCHEMA = T.StructType([*RUN_SCHEMA.fields, T.StructField("dt", T.DateType())])
+
+
+def record_runs(runs: DataFrame, root: str, batch: str) -> bool:
+    """Finished runs added to the log and to telemetry below ``root``, in one commit.
 
-    Missing counters are zero. Both tables are partitioned by day; telemetry is sorted by
-    bundle, status and time for its range filters.
+    False, and nothing done, for an empty batch and for one that is there already: a failure
+    between the two tables shows in neither, and a retry counts once in both. Missing counters are
+    zero. Both tables are partitioned by day; telemetry is sorted by bundle, status and time for
+    its range filters.
     """
     if runs.isEmpty():
         return False
@@ -94,17 +104,25 @@ def record_runs(runs: DataFrame, log_path: str, telemetry_path: str) -> bool:
             c = F.coalesce(c, F.current_timestamp())
         filled.append(c.alias(f.name))
     rows = runs.select(*filled).withColumn("dt", F.to_date("created_at"))
-    rows.write.mode("append").partitionBy("dt").parquet(log_path)
-    append_telemetry(rows, telemetry_path)
-    return True
+    order = ["dt", "bundle_name", "status", "created_at"]
+    # Range partitioning by the sort key splits a busy day over several files.
+    telemetry = rows.select(*TELEMETRY, "dt").repartitionByRange(*order).sortWithinPartitions(*order)
+    return commits.write_batch(runs.sparkSession, root, batch, {"log": rows, "telemetry": telemetry}, by="dt")
 
 
-def append_telemetry(rows: DataFrame, path: str) -> None:
-    by_day = rows.select(*TELEMETRY, F.to_date("created_at").alias("dt"))
-    # Range partitioning by the sort key splits a busy day over several files.
-    by_day.repartitionByRange("dt", "bundle_name", "status", "created_at").sortWithinPartitions(
-        "dt", "bundle_name", "status", "created_at"
-    ).write.mode("append").partitionBy("dt").parquet(path)
+def record_stream(runs: DataFrame, root: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """A stream of finished runs, each of its batches a commit of its own; a batch that Spark repeats changes nothing."""
+    writer = runs.writeStream.foreachBatch(lambda rows, number: record_runs(rows, root, f"{number:010d}") and None)
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="300 seconds")).start()
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    return commits.read_batches(spark, root, "log", LOG_SCHEMA)
+
+
+def read_telemetry(spark: SparkSession, root: str) -> DataFrame:
+    return commits.read_batches(spark, root, "telemetry", TELEMETRY_SCHEMA)
 
 
 def read_items(items: DataFrame, tie: str = "company_name") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -46,12 +48,40 @@ def bucket_rollup(runs: DataFrame, bucket: str = BUCKET, late: str = "1 hour") -
     )
 
 
+KINDS = ("total", "success", "anomaly", "failed")
+
+
+def trailing_stream(runs: DataFrame, bucket: str = BUCKET, late: str = "1 hour", hours: int = 24) -> DataFrame:
+    """The rollup of the last ``hours`` at the end of every bucket that has runs, kept by the stream.
+
+    Runs are counted in tumbling buckets first, buckets in windows that slide by one bucket, so
+    the state is the open buckets and windows of each bundle, whatever the number of runs. A run that is up
+    to ``late`` behind the newest counts; later ones are dropped and counted (``late_groups``).
+    """
+    status = F.col("status")
+    counts = {"total": F.count(F.lit(1)), "success": F.count_if(status == "SUCCESS"), "anomaly": F.count_if(status.isin("ZERO_ROWS", "DEGRADED")), "failed": F.count_if(status == "FAILED")}
+    small = runs.withWatermark("created_at", late).groupBy(F.window("created_at", bucket).alias("w"), "bundle_name").agg(*[c.alias(k) for k, c in counts.items()])
+    at = F.window(F.window_time("w"), f"{hours} hours", bucket).alias("t")
+    sums = small.groupBy(at, "bundle_name").agg(*[F.sum(k).alias(f"{k}_runs_{hours}h") for k in KINDS], F.max("w.end").alias("newest"))
+    ends = sums.where(F.col("newest") == F.col("t.end"))
+    return ends.select("bundle_name", F.col("t.end").alias("as_of"), *[f"{k}_runs_{hours}h" for k in KINDS])
+
+
+def write_trailing(rollup: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    writer = rollup.writeStream.outputMode("append").format("parquet").option("path", path)
+    return _start(writer.option("checkpointLocation", checkpoint), once)
+
+
+def late_groups(query: StreamingQuery) -> int:
+    """Rows that came too late, as far as the query still remembers its batches; runs of one bundle and bucket in one task of a batch are one row."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
 def trailing_rollup(buckets: DataFrame, hours: int = 24) -> DataFrame:
     """The rollup of the last ``hours`` at the end of every bucket, from stored buckets (an extension)."""
     at = F.unix_seconds(F.col("as_of").cast("timestamp"))
     span = Window.partitionBy("bundle_name").orderBy(at).rangeBetween(-hours * 3600 + 1, 0)
-    kinds = ("total", "success", "anomaly", "failed")
-    return buckets.select("bundle_name", "as_of", *[F.sum(f"{k}_runs").over(span).alias(f"{k}_runs_{hours}h") for k in kinds])
+    return buckets.select("bundle_name", "as_of", *[F.sum(f"{k}_runs").over(span).alias(f"{k}_runs_{hours}h") for k in KINDS])
 
 
 def store_runs(batch: DataFrame, number: int, root: str) -> None:

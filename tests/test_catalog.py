@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import random
 
 import duckdb
 import pytest
@@ -116,21 +117,25 @@ def test_run_exports_and_refuses(spark, tmp_path):
     assert totals["clean_count"] + totals["quarantine_count"] == totals["row_count"] == 2
     assert [r["sku"] for r in spark.read.option("header", True).csv(f"{out}/catalog.csv").collect()] == ["a"]
     assert [r["sku"] for r in spark.read.option("header", True).csv(f"{out}/quarantine.csv").collect()] == ["b"]
-    assert spark.read.parquet(f"{out}/import_runs").first()["status"] == "passed"
-    assert {r["qa_status"] for r in spark.read.parquet(f"{out}/staging").collect()} == {"passed", "quarantine"}
+    assert catalog.stored(spark, out, "import_runs").first()["status"] == "passed"
+    assert {r["qa_status"] for r in catalog.stored(spark, out, "staging").collect()} == {"passed", "quarantine"}
 
     bad = str(tmp_path / "bad")
     with pytest.raises(catalog.GateError):
         catalog.run(frame(spark, ok | {"sku": "a", "stock": -1}), bad, "feed.csv")
-    assert not glob.glob(f"{bad}/catalog.csv") and spark.read.parquet(f"{bad}/qa_issues").count() == 1
-    assert spark.read.parquet(f"{bad}/import_runs").first()["status"] == "failed"
+    assert not glob.glob(f"{bad}/catalog.csv") and catalog.stored(spark, bad, "qa_issues").count() == 1
+    assert catalog.stored(spark, bad, "import_runs").first()["status"] == "failed"
 
 
 def test_no_quarantined_rows_when_empty(spark, tmp_path):
     ok = {"sku": "a", "title": "plain", "gtin": GOOD, "brand": "Other", "category": "C", "price": 5.0, "stock": 1}
-    catalog.run(frame(spark, ok), str(tmp_path / "o"), "f")
-    rerun = str(tmp_path / "o" / "quarantine.csv")
-    assert feeds.read_feed(spark, rerun).count() == 0
+    out = str(tmp_path / "o")
+    catalog.run(frame(spark, ok, {"sku": "b", "title": "thing", "price": 1.0}), out, "f")
+    assert feeds.read_feed(spark, f"{out}/quarantine.csv").count() == 1
+    for _ in range(2):  # the second run, and the same tried again
+        catalog.run(frame(spark, ok), out, "f", import_run_id=2)
+    assert not glob.glob(f"{out}/quarantine.csv") and catalog.stored(spark, out, "import_runs").count() == 2
+    assert catalog.stored(spark, out, "staging").groupBy("import_run_id").count().orderBy("import_run_id").collect() == [(1, 2), (2, 1)]
 
 
 def test_rules_are_not_repeated_in_the_plan(spark, tmp_path):
@@ -186,6 +191,25 @@ def test_first_contained_takes_dictionary_order(spark):
     assert got == {1: "B", 2: "R", 3: None, 4: None}
 
 
+def test_first_contained_by_definition(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    needles = [(word(rng.randrange(0, 5)), f"v{i}", rng.randrange(30)) for i in range(60)]
+    texts = [None, "", *[word(rng.randrange(0, 25)).upper() for _ in range(300)]] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    dictionary = spark.createDataFrame(needles, "needle string, value string, rank int")
+
+    def want(text):
+        hits = [(r, n, v) for n, v, r in needles if n and n in (text or "").lower()]
+        return min(hits)[2] if hits else None
+
+    for part_bytes in (1 << 20, 500):  # one automaton, and several
+        found = lookup.first_contained(df, "t", dictionary, "c", part_bytes)
+        assert {r["i"]: r["c"] for r in found.collect()} == {i: want(t) for i, t in enumerate(texts)}
+        assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    assert lookup.first_contained(df, "t", dictionary.limit(0), "c").where("c IS NOT NULL").isEmpty()
+
+
 def test_hot_value_in_a_map_keeps_all_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("brand"))
     m = spark.createDataFrame([("hot", "H")], "raw string, canonical string")

@@ -150,9 +150,9 @@ def test_payloads(spark, tmp_path):
 
 
 def test_record_runs(spark, tmp_path):
-    log, tele = str(tmp_path / "log"), str(tmp_path / "tele")
+    root = str(tmp_path)
     runs = spark.createDataFrame([("demo", "SUCCESS", 3)], "bundle_name string, status string, items_scraped int")
-    assert feeds.record_runs(runs, log, tele) and not feeds.record_runs(runs.limit(0), log, tele)
-    r = spark.read.parquet(log).first()
+    assert feeds.record_runs(runs, root, "a") and not feeds.record_runs(runs.limit(0), root, "b")
+    r = feeds.read_log(spark, root).first()
     assert (r["http_403_count"], r["items_scraped"], float(r["duration_seconds"])) == (0, 3, 0.0) and r["created_at"]
-    assert spark.read.parquet(tele).count() == 1
+    assert feeds.read_telemetry(spark, root).count() == 1

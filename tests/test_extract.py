@@ -57,6 +57,28 @@ def test_small_registry_is_broadcast(spark, tmp_path):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pages_by_code_and_by_column(spark):
+    rows = [(1, "https://a.example/x", "own", 3), (2, "https://b.example/x?y=1", "other", 2), (3, "https://c.example/", None, 1), (4, None, "own", 2), (5, "https://d.example/", "own", None), (6, "https://e.example/", "stops", 9)]
+    df = spark.createDataFrame(rows, "page_id int, url string, extractor_id string, n int")
+
+    def stops(base, pages):
+        """Pages until the cursor says so."""
+        cursor = len(base)
+        while cursor % 7 and pages:
+            yield f"{base}?c={cursor}"
+            cursor, pages = cursor * 3 + 1, pages - 1
+
+    coded = {"own": lambda base, pages: (f"{base}/{'i' * i}" for i in range(pages)), "stops": stops}
+    got = {}
+    for r in routing.page_rows(df, F.col("n"), {}, coded).orderBy("page_id", "pos").collect():
+        got.setdefault(r["page_id"], []).append(r["page_url"])
+    assert got[1] == ["https://a.example/x/", "https://a.example/x/i", "https://a.example/x/ii"]
+    assert got[2] == ["https://b.example/x?y=1", "https://b.example/x?y=1&page=1"] and got[3] == ["https://c.example/"]
+    assert 4 not in got and len(got[5]) == 10 and got[6] == list(stops("https://e.example/", 9))
+    plan = routing.page_rows(df.where("extractor_id = 'other'"), F.col("n"), {}, {})._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_cards_parser():
     got = extract.cards_parser("dir")(PAGE, "http://p")
     assert [(r["company_name"], r["summary"]) for r in got] == [

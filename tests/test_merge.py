@@ -91,14 +91,14 @@ def test_collection(spark, tmp_path):
     vectors.create_collection(spark, root, 2, "Manhattan")
     assert vectors.collection_meta(spark, root) == (2, "Cosine")
     points = spark.createDataFrame([(1, [1.0, 0.0], {"name": "Acme"}), (2, [0.0, 1.0], None)], vectors.POINTS)
-    vectors.upsert_points(spark, root, points, 1)
-    assert vectors.upsert_points(spark, root, points.limit(0), 2) is None
-    vectors.upsert_points(spark, root, spark.createDataFrame([(2, [0.6, 0.8])], "id bigint, vector array<float>"), 3)
-    stored = {r["id"]: r for r in vectors.read_version(spark, root).collect()}
+    assert vectors.upsert_points(spark, root, points) == 2
+    assert vectors.upsert_points(spark, root, points.limit(0)) == 2
+    vectors.upsert_points(spark, root, spark.createDataFrame([(2, [0.6, 0.8])], "id bigint, vector array<float>"))
+    stored = {r["id"]: r for r in vectors.read_points(spark, root).collect()}
     assert stored[1]["payload"] == {"name": "Acme"} and stored[2]["payload"] == {} and stored[2]["vector"][0] > 0.5
     bad = spark.createDataFrame([(3, [1.0], {})], vectors.POINTS)
     with pytest.raises(Exception, match="expected 2 dimensions"):
-        vectors.upsert_points(spark, root, bad, 4)
+        vectors.upsert_points(spark, root, bad)
     vectors.create_collection(spark, root, 9, "Dot")
     assert vectors.collection_meta(spark, root) == (2, "Cosine")
 

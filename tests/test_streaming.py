@@ -91,3 +91,29 @@ def test_telemetry_stream_appends_each_run_once(spark, tmp_path):
         jobs.append_telemetry(stream, f"{root}/out", f"{root}/c", once=True).awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     assert out.count() == 20 and out.first()["dt"] == dt.date(2024, 1, 31)
+
+
+def test_trailing_windows_take_runs_up_to_an_hour_late(spark, tmp_path):
+    root, schema = str(tmp_path), "bundle_name string, status string, created_at timestamp"
+    at = lambda minutes: NOW + dt.timedelta(minutes=minutes)
+    batches = [
+        [("a", "SUCCESS", at(0)), ("a", "FAILED", at(2)), ("b", "DEGRADED", at(7))],
+        [("a", "SUCCESS", at(90))],  # the watermark goes to 30 minutes
+        [("a", "FAILED", at(45)), ("b", "SUCCESS", at(89)), ("a", "SUCCESS", at(1))],  # the last one is too late
+        [("a", "SUCCESS", at(24 * 60 + 1))],
+        [("clock", "SUCCESS", at(4 * 24 * 60))],
+    ]
+    kept, dropped = [], 0
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/in/n={n}")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        q = jobs.write_trailing(jobs.trailing_stream(stream), f"{root}/out", f"{root}/checkpoint", once=True)
+        q.awaitTermination()
+        dropped += jobs.late_groups(q)
+        kept += [r for r in rows if r != ("a", "SUCCESS", at(1))]
+    assert dropped == 1
+    buckets = jobs.bucket_rollup(spark.createDataFrame(kept, schema))
+    names = ["bundle_name", "as_of", "total_runs_24h", "success_runs_24h", "anomaly_runs_24h", "failed_runs_24h"]
+    want = sorted(tuple(r) for r in jobs.trailing_rollup(buckets).where("bundle_name <> 'clock'").select(*names).collect())
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").where("bundle_name <> 'clock'").select(*names).collect())
+    assert got == want and len(want) == 6

@@ -1,9 +1,13 @@
 """Search and clustering against brute force."""
 
+import functools
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitemill.functions import worker
 from sitemill.operators import cluster, vectors
 
 
@@ -136,7 +140,7 @@ def blobs():
     return np.concatenate([c + rng.normal(size=(s, 4)) * w for c, s, w in zip(centers, (50, 12, 9, 5, 3, 21), (0.3, 0.2, 0.6, 0.1, 0.2, 1.0), strict=True)]).astype(np.float32)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_points": 17, "local_edges": 0, "level_edges": 30}])
+@pytest.mark.parametrize("options", [{}, {"block_points": 17, "level_edges": 30}, {"block_points": 5, "level_edges": 4}])
 def test_density(spark, blobs, options):
     got = cluster.density(frame(spark, blobs), **options)
     labels = [r["label"] for r in got.orderBy("id").collect()]
@@ -154,18 +158,73 @@ def test_density_of_little(spark):
     assert [r["label"] for r in cluster.density(frame(spark, np.eye(2))).collect()] == [-1, -1]
 
 
-@pytest.mark.parametrize("local_edges", [0, 200_000])
-def test_spanning_tree(spark, blobs, local_edges):
-    tree = cluster.spanning_tree(frame(spark, blobs), 30, local_edges).collect()
+@pytest.mark.parametrize("level_edges", [40, 200_000])
+def test_spanning_tree(spark, blobs, level_edges):
+    tree = cluster.spanning_tree(frame(spark, blobs), 30, level_edges).collect()
     d = np.sqrt(((blobs[:, None].astype(float) - blobs[None]) ** 2).sum(-1))
     total = sum(w for _, _, w in cluster._tree(blobs.astype(float)))
     assert len(tree) == len(blobs) - 1 and abs(sum(r["w"] for r in tree) - total) < 1e-6
     assert all(abs(d[r["lo"], r["hi"]] - r["w"]) < 1e-6 for r in tree)
 
 
+@pytest.mark.parametrize("min_size", [2, 5])
+def test_density_in_many_levels(spark, min_size):
+    """Chains, nests and small groups, with levels of a few edges: what levels cannot know of each other is put in place."""
+    rng = np.random.default_rng(7)
+    chain = np.cumsum(rng.uniform(0.1, 0.2, size=(60, 1)) * [1, 0], axis=0)
+    nest = np.concatenate([rng.normal(size=(8, 2)) * 0.01 * 3**k + [20 + 4 * 2**k, 5] for k in range(6)])
+    matrix = np.concatenate([chain, nest, rng.normal(size=(40, 2)) * 8]).astype(np.float32)
+    want = reference_labels(matrix.astype(float), min_size)
+    for options in ({"block_points": 20, "level_edges": 9}, {"block_points": 11, "level_edges": 50}):
+        got = cluster.density(frame(spark, matrix), min_size, **options)
+        assert [r["label"] for r in got.orderBy("id").collect()] == want, options
+
+
+def test_looked_at_block_pairs_grow_with_the_points(spark):
+    """On data of few dimensions the pairs of balls per ball, and the edges kept per point, do not grow."""
+    seen = {}
+    for n in (2_000, 8_000):
+        matrix = np.random.default_rng(9).uniform(size=(n, 2)) * np.sqrt(n)
+        edges, pairs = cluster.block_edges(frame(spark, matrix), 100)
+        blocks = cluster.balls(frame(spark, matrix), 100).groupBy("block").count()
+        assert blocks.agg(F.max("count")).first()[0] <= 100
+        seen[n] = (pairs.count() / blocks.count(), edges.count() / n)
+    assert seen[8_000][0] <= 1.5 * seen[2_000][0] and seen[8_000][1] <= 1.3 * seen[2_000][1] and seen[8_000][1] < 3
+
+
 def test_copies_form_one_cluster(spark):
     # A third of the points are copies of one.
     rng = np.random.default_rng(5)
     matrix = np.concatenate([np.ones((30, 3)), rng.normal(size=(60, 3)) * 5]).astype(np.float32)
-    labels = [r["label"] for r in cluster.density(frame(spark, matrix), block_points=16, local_edges=10).orderBy("id").collect()]
+    labels = [r["label"] for r in cluster.density(frame(spark, matrix), block_points=16, level_edges=10).orderBy("id").collect()]
     assert len(set(labels[:30])) == 1 and labels[0] >= 0
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Counting:
+        def __init__(self):
+            import os
+            import uuid
+
+            open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def encode(self, texts):
+            return np.ones((len(texts), 2))
+
+    docs = spark.range(400).select(F.col("id").cast("string").alias("text"))
+    found = vectors.embed(docs, "text", Counting, tasks=40)
+    assert found.rdd.getNumPartitions() == 40
+    for _ in range(2):
+        assert found.where("vector[0] = 1").count() == 400
+    loads = os.listdir(folder)
+    assert len(loads) == len({f.split("-")[0] for f in loads}) <= 16  # 80 tasks, one load in each worker
+
+
+def test_a_worker_keeps_a_few_things():
+    made = []
+    for key in "abcabcda":
+        worker.once_per_worker(f"t{key}", lambda key=key: made.append(key) or key, most=3)
+    assert made == list("abcd") + ["a"]
+    assert worker.fingerprint(functools.partial(vectors.HashingEncoder, 8)) != worker.fingerprint(functools.partial(vectors.HashingEncoder, 9))
