@@ -29,9 +29,9 @@ from sitemill.session import materialize, remove, scratch_path
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
 #: Words of one block, and bytes of text that are cut into words together.
-BLOCK_WORDS, CUT_BYTES = 1 << 20, 1 << 21
+BLOCK_WORDS, CUT_BYTES = 1 << 19, 1 << 20
 #: Bytes of one Arrow batch of blocks.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 #: A tile has 2**9 ids a side; it is dense from an eighth of its cells on. Routes deal out squares of 2**5 ids a side.
 TILE, SQUARE, DENSE_SHARE = 9, 5, 8
 #: Blocks whose counts are merged at a time, and most routes of a level.
