@@ -554,3 +554,5 @@ entered AS (SELECT id, min_by(c, step) AS cluster FROM r WHERE c IS NOT NULL GRO
 placed AS (SELECT id, top FROM entered JOIN tops USING (cluster) WHERE top IS NOT NULL),
 named AS (SELECT top, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM placed GROUP BY top)
 SELECT v.id, coalesce(label, -1)::INTEGER AS label FROM v LEFT JOIN placed USING (id) LEFT JOIN named USING (top)"""
+
+ORACLES["knn_pruned"] = ORACLES["knn_cosine"]

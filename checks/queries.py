@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import adapters as A
 from sitemill.functions import scoring, text
-from sitemill.operators import cluster, extract, fuzzy, lookup, media, merge, routing, store, vectors
+from sitemill.operators import ballsearch, cluster, extract, fuzzy, lookup, media, merge, routing, store, vectors
 from sitemill.operators.ranking import number_rows
 from sitemill.plans import alerts, catalog, health, report, snapshot
 from sitemill.session import materialize, scratch_path, tune
@@ -23,8 +23,8 @@ QUERIES = {}
 
 
 def query(fn):
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return fn(tune(spark), sf)
+    def run(spark: SparkSession, sf: str, **options) -> DataFrame:
+        return fn(tune(spark), sf, **options)
 
     run.__name__ = fn.__name__
     QUERIES[fn.__name__] = run
@@ -510,15 +510,15 @@ def route_pages(spark, sf):
     return routed.select("page_id", "url", "extractor_id")
 
 
-def _records(spark, sf):
+def _records(spark, sf, tasks=None):
     routed = routing.route(A.table(spark, sf, "pages"), A.registry(spark))
     parsers = {n: extract.cards_parser(n) for n in ("blog_tionsh", "com_site", "net_site")}
-    return extract.extract_records(routed, parsers)
+    return extract.extract_records(routed, parsers, tasks=tasks)
 
 
 @query
-def extract_records(spark, sf):
-    records, _ = _records(spark, sf)
+def extract_records(spark, sf, tasks=None):
+    records, _ = _records(spark, sf, tasks)
     return records.select("page_id", "extractor_id", "ord", *extract.FIELDS)
 
 
@@ -640,6 +640,16 @@ def knn_euclid(spark, sf):
     return _knn(spark, sf, "Euclid")
 
 
+@query
+def knn_pruned(spark, sf):
+    """The cosine search over balls of points: those that cannot hold a hit are not scored."""
+    points = A.points(spark, sf)
+    index = ballsearch.build(points, scratch_path(spark, "ball-index"), "Cosine", 64)
+    found = ballsearch.search(spark, index, A.centroids(spark, sf), 10)
+    labels = points.select("id", F.col("label").cast("string").alias("label"))
+    return found.join(labels, "id").select("query_id", "id", F.round("score", 6).alias("score"), "rank", "label")
+
+
 @query
 def knn_dot_threshold(spark, sf):
     return _knn(spark, sf, "Dot", 0.04)
@@ -686,9 +696,9 @@ def collection_versions(spark, sf):
 
 
 @query
-def embed_hash(spark, sf):
+def embed_hash(spark, sf, tasks=None):
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
-    rows = vectors.embed(docs, "text", functools.partial(vectors.HashingEncoder, 64))
+    rows = vectors.embed(docs, "text", functools.partial(vectors.HashingEncoder, 64), tasks=tasks)
     return rows.select("doc_id", F.posexplode("vector").alias("dim", "weight")).filter("weight > 0").withColumn(
         "weight", F.round(F.col("weight").cast("double"), 4)
     )

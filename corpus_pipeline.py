@@ -44,7 +44,11 @@ def stage(function: Stage) -> Stage:
 
 @stage
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told: texts without a letter and undecided ones go."""
+    """Documents whose language is told: texts without a letter (null and empty ones too) and undecided ones go.
+
+    The dictionaries are learned from the documents below ``sf_dir``, whatever table is judged. Copies and
+    repeated rows fare alike; an empty table stays empty.
+    """
     columns = docs.columns
     known = langid.learn(langid.training_rows(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return langid.keep_known(docs, known, margin=MARGIN).select(*columns)
@@ -52,19 +56,29 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal without blanks."""
+    """One document of each group of texts that are equal without blanks: the longest, then the smallest id.
+
+    Null counts as empty, and empty texts are one group; of repeated rows one stays; an empty table stays empty.
+    """
     return exact.deduplicate(docs)
 
 
 @stage
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
+    """One document of each component of near-duplicates: the smallest id.
+
+    Texts without a word are linked with nothing and stay; repeated rows are near-duplicates of each other; an
+    empty table stays empty.
+    """
     return neardup.deduplicate(docs, PERCENT)
 
 
 @stage
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for, globally shuffled."""
+    """Each document as often as its source's target weight asks for, globally shuffled.
+
+    A null source is one of its own; rows with one id get one count; an empty table stays empty.
+    """
     return mixing.mix(docs, MIX_WEIGHTS, MIX_REST, seed=MIX_SEED).select("doc.*")
 
 

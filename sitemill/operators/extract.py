@@ -121,16 +121,19 @@ def extract_records(
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
+    tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Records and errors of routed pages.
 
     Each page with an ``extractor_id`` goes through that parser; an exception becomes an
-    error row of the page. Row-local, so pages stay where they were read.
+    error row of the page. Row-local, so pages stay where they were read, unless ``tasks`` deals
+    them out anew (for inputs that are few files).
     """
     id_type = routed.schema[page_id].dataType.simpleString()
     pages = routed.filter(F.col("extractor_id").isNotNull()).select(
         F.col(page_id).alias("page_id"), "extractor_id", F.col(url).alias("url"), F.col(html).alias("html")
     )
+    pages = pages.repartition(tasks) if tasks else pages
     names = ["page_id", "extractor_id", "ord", *FIELDS, "attrs", "record_size", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,12 +44,10 @@ def sorted_tokens(label: Column) -> Column:
 
 
 def _marks(keys: DataFrame) -> DataFrame:
-    """``key, size, gram, nth``: the letter pairs of each key, ends included, numbered where they repeat."""
+    """``key, size, gram, at``: the letter pairs of each key, ends included, and where they stand."""
     whole = F.concat(F.lit("\x02"), "key", F.lit("\x03"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("key") + 1), lambda i: F.substring(whole, i, F.lit(2)))
-    rows = keys.select("key", F.length("key").alias("size"), F.posexplode(pairs).alias("at", "gram"))
-    again = Window.partitionBy("key", "gram").orderBy("at")
-    return rows.select("key", "size", "gram", F.row_number().over(again).alias("nth"))
+    return keys.select("key", F.length("key").alias("size"), F.posexplode(pairs).alias("at", "gram"))
 
 
 def _lost(size: Column, threshold: int) -> Column:
@@ -65,9 +63,9 @@ def _lost(size: Column, threshold: int) -> Column:
 
 def _rarest(marks: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
     """Of each key, the rarest marks: one more than can be lost. Similar keys have one of them in common."""
-    order = Window.partitionBy("key").orderBy("count", "gram", "nth")
+    order = Window.partitionBy("key").orderBy("count", "gram", "at")
     ranked = marks.join(counts, "gram").withColumn("place", F.row_number().over(order))
-    return ranked.filter(F.col("place") <= _lost(F.col("size"), threshold) + 1).select("key", "size", "gram", "nth")
+    return ranked.filter(F.col("place") <= _lost(F.col("size"), threshold) + 1).select("key", "size", "gram", "at")
 
 
 # Spark repeats a deterministic function where a filter on its result is moved; this is costly.
@@ -80,10 +78,12 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: in
     ``left`` and ``right`` have one string column ``key`` without repeats; without
     ``right`` each unordered pair of ``left`` comes once, with ``a < b``.
 
-    Two keys within the allowed edits share more letter pairs than either can lose, so with all pairs
-    in one order, rarest first, the first few of either meet. An equality join on those finds every
-    similar pair; a key has rows in proportion to its length, and frequent pairs are hardly used. A
-    bounded edit distance drops most of what meets before the exact score.
+    Two keys within the allowed edits keep more letter pairs than either can lose. So with all pairs
+    in one order, rarest first, the first pair that is kept is among the first few of either. An
+    equality join on those finds every similar pair; a key has rows in proportion to its length, and
+    frequent pairs are hardly used. What stands before and behind a kept pair differs in length by no more than
+    the allowed edits, which drops most that meet in a frequent pair; a bounded edit distance drops most
+    of the rest before the exact score.
     """
     if threshold < 70:
         raise ValueError("below 70 similar keys may share no letter pair")
@@ -96,11 +96,12 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: in
         short = long = materialize(short, "marks")
     else:
         long = _rarest(other, counts, threshold)
-    a = short.select(F.col("key").alias("a"), F.col("size").alias("m"), "gram", "nth")
-    b = long.select(F.col("key").alias("b"), F.col("size").alias("n"), "gram", "nth")
+    a = short.select(F.col("key").alias("a"), F.col("size").alias("m"), "gram", F.col("at").alias("i"))
+    b = long.select(F.col("key").alias("b"), F.col("size").alias("n"), "gram", F.col("at").alias("j"))
     allowed = F.floor((F.col("m") + F.col("n")) * (100 - threshold) / 100).cast("int")
     distinct = F.col("a") < F.col("b") if right is None else F.col("a") != F.col("b")
-    met = a.join(b, ["gram", "nth"]).filter(distinct & (F.abs(F.col("m") - F.col("n")) <= allowed))
+    shift = F.abs(F.col("i") - F.col("j")) + F.abs((F.col("m") - F.col("i")) - (F.col("n") - F.col("j")))
+    met = a.join(b, "gram").filter(distinct & (shift <= allowed))
     near = met.select("a", "b", allowed.alias("d")).distinct().filter("levenshtein(a, b, d) >= 0")  # with substitutions never more than the edits
     pairs = near.withColumn("edits", edits("a", "b"))
     total = F.length("a") + F.length("b")

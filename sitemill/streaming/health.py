@@ -68,8 +68,19 @@ def trailing_stream(runs: DataFrame, bucket: str = BUCKET, late: str = "1 hour",
 
 
 def write_trailing(rollup: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """The closed windows, each once.
+
+    A bucket lies in as many windows as a window has buckets; one generated method for all of them
+    would be too long to compile, so this query (it keeps the settings of its start) goes without.
+    """
     writer = rollup.writeStream.outputMode("append").format("parquet").option("path", path)
-    return _start(writer.option("checkpointLocation", checkpoint), once)
+    conf, name = rollup.sparkSession.conf, "spark.sql.codegen.wholeStage"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return _start(writer.option("checkpointLocation", checkpoint), once)
+    finally:
+        conf.set(name, before)
 
 
 def late_groups(query: StreamingQuery) -> int:
