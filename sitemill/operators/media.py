@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitemill import constants as K
@@ -53,7 +53,7 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
 
     The hook is the first speech, else the first title, else a default; the lead brand is the first
     one named. A cluster of ``known`` without items gets an error row. Items are reduced
-    per (cluster, type, brand), those rows per cluster, and per (cluster, brand) to be counted.
+    per (cluster, type, brand), and those rows per cluster; brands are counted without a list of them.
     """
     first = {"speech": "speech_transcript", "title": "title", "overlay": "ocr_text"}
 
@@ -64,20 +64,15 @@ def summarize(df: DataFrame, cluster: str = "cluster_id", order: str = "ord", kn
     parts = df.groupBy(cluster, kind.alias("kind"), brand.alias("named")).agg(
         F.count("*").alias("n"), F.min(order).alias("named_at"), *[at(blank_to_null(F.col(c))).alias(k) for k, c in first.items()]
     )
-    kinds = parts.groupBy(cluster, "kind").agg(
-        F.sum("n").alias("n"),
-        F.min(F.when(F.col("named").isNotNull(), F.struct("named_at", "named"))).alias("lead"),
-        *[F.min(k).alias(k) for k in first],
-    )
-    rows = kinds.groupBy(cluster).agg(
+    of_kind = F.sum("n").over(Window.partitionBy(cluster, "kind"))
+    rows = parts.withColumn("of_kind", of_kind).groupBy(cluster).agg(
         # Most frequent type, the smallest name among equals.
-        F.min(F.struct(-F.col("n"), F.col("kind").alias("k")))["k"].alias("primary_media_type"),
+        F.min(F.struct(-F.col("of_kind"), F.col("kind").alias("k")))["k"].alias("primary_media_type"),
         F.sum("n").alias("analyzed_items_count"),
-        F.min("lead")["named"].alias("lead_brand"),
+        F.count_distinct("named").alias("brand_count"),
+        F.min(F.when(F.col("named").isNotNull(), F.struct("named_at", "named")))["named"].alias("lead_brand"),
         *[F.min(k)["v"].alias(f"_{k}") for k in first],
     )
-    brands = parts.where("named IS NOT NULL").groupBy(cluster, "named").agg(F.lit(1)).groupBy(cluster).agg(F.count(F.lit(1)).alias("brand_count"))
-    rows = rows.join(brands, cluster, "left")
     if known is not None:
         rows = known.select(cluster).distinct().join(rows, cluster, "left")
     found = F.col("analyzed_items_count").isNotNull()

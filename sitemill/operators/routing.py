@@ -85,7 +85,7 @@ def page_table(pagers: dict[str, Callable[[str, int], Iterable[str]]]) -> UserDe
             if pager is not None and base is not None:
                 yield from enumerate(pager(base, pages if pages and pages > 0 else PAGES))
 
-    return udtf(Pages, returnType="pos int, page_url string")
+    return udtf(Pages, returnType="pos int, page_url string", useArrow=True)
 
 
 def page_rows(
