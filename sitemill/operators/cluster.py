@@ -4,7 +4,9 @@ With one neighbour as core sample the mutual reachability distance is the Euclid
 distance, so the hierarchy is that of the minimum spanning tree.
 
 No step sees all points or all edges. Points lie in balls of a bounded size, and bounds on distances tell
-which pairs of balls may hold a tree edge. Edges lie in levels of a bounded size by length;
+which pairs of balls may hold a tree edge. Every point gets its few nearest others from matrix products over pairs of
+balls; a component takes its lightest edge as soon as none unseen can be lighter, and only the points that keep one in doubt
+search again. Edges of the tree lie in levels of a bounded size by length;
 what the edges of all shorter levels join is contracted in a number of rounds that grows with the
 logarithm of the number of levels, and then all levels grow their part of the hierarchy at
 once, each connected part of a level on its own.
@@ -34,6 +36,10 @@ LEVEL_EDGES = 200_000
 SPLIT = 256
 #: Bounds are compared with room for rounding.
 ROOM = 1 + 1e-9
+#: Edges that a search gives for a point.
+NEAREST = 8
+#: Points of the groups of blocks that meet in a task, rows of a matrix product, and candidates whose distances are worked out at once.
+GROUP, STRIP, SLICE = 32_768, 512, 1 << 16
 
 
 def _tree(points: np.ndarray) -> list[tuple[int, int, float]]:
@@ -144,62 +150,303 @@ def block_pairs(facts: pd.DataFrame, edges: list, spark) -> DataFrame:
     return spark.range(len(facts)).mapInPandas(pairs, "x long, y long, most double")
 
 
-def block_edges(points: DataFrame, block_points: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges ``lo, hi, w`` that contain a minimum spanning tree of all points, and the block pairs looked at.
-
-    They are the trees of the blocks, the tree of the blocks' middles, and of every needed pair of
-    blocks the tree edges that cross; of a pair only points near enough to the other ball take part.
+def _longest(points: np.ndarray) -> float:
+    """The longest edge of a tree of the points that is the least one but for rounding."""
+    n, sq = len(points), (points**2).sum(1)
+    near, source = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+    inside, at, longest = np.zeros(n), 0, 0.0
+    for _ in range(n - 1):
+        inside[at] = np.inf
+        step = sq - 2 * (points @ points[at]) + sq[at]
+        closer = step < near
+        near[closer], source[closer] = step[closer], at
+        at = int(np.argmin(near + inside))
+        longest = max(longest, float(np.sqrt(((points[at] - points[source[at]]) ** 2).sum())))
+    return longest
+
+
+class _Lists:
+    """The lightest edges of the points of a block, of those offered: at most ``NEAREST`` of each, none above its limit."""
+
+    def __init__(self, limits: np.ndarray):
+        self.limits, self.parts, self.waiting = limits, [], 0
+
+    def offer(self, row: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
+        self.parts.append((row, q, w))
+        self.waiting += len(row)
+        if self.waiting > 2 * NEAREST * len(self.limits):
+            self.settled()
+
+    def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``row, q, w`` by row, then lightest first; where a list of ``NEAREST`` ends."""
+        if not self.parts:
+            self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        row, q, w = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((q, w, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < NEAREST
+        row, q, w, last = row[keep], q[order][keep], w[order][keep], place[keep] == NEAREST - 1
+        self.limits[row[last]] = np.minimum(self.limits[row[last]], w[last])
+        self.parts, self.waiting = [(row, q, w)], 0
+        return row, q, w, last
+
+
+class _Block:
+    def __init__(self, ids, comps, limits, vectors: bytes):
+        self.ids = np.asarray(ids, np.int64)
+        self.comps = np.asarray(comps, np.int64)
+        self.limits = np.array(limits, np.float64)
+        self.points = np.frombuffer(vectors, np.float64).reshape(len(self.ids), -1)
+        self.center = self.points.mean(0)
+        self.radius = float(np.sqrt(((self.points - self.center) ** 2).sum(1)).max())
+
+
+def _meet(own: _Block, lists: _Lists, other: _Block, most: float) -> None:
+    """Offers ``lists`` the edges from points of one block to points of the other that lie in another component."""
+    asked = np.flatnonzero(lists.limits >= 0)
+    away = np.sqrt(((own.points[asked] - other.center) ** 2).sum(1)) - other.radius * ROOM
+    asked = asked[away <= np.minimum(lists.limits[asked], most) * ROOM]
+    kinds = np.unique(other.comps)
+    if len(kinds) == 1:
+        asked = asked[own.comps[asked] != kinds[0]]
+    if not len(asked):
+        return
+    mixed = len(kinds) < len(other.ids) and bool(np.isin(own.comps[asked], kinds).any())
+    # Half the square of a distance is half the square of p less the product of (p, -1) and (t, half the square of t).
+    there = other.points - own.center
+    there_sq = (there**2).sum(1)
+    wide = np.column_stack([there, there_sq / 2])
+    for s in range(0, len(asked), STRIP):
+        rows = asked[s : s + STRIP]
+        here = own.points[rows] - own.center
+        here_sq = (here**2).sum(1)
+        room = 1e-12 * (here_sq.max() + there_sq.max())
+        near = np.column_stack([here, np.full(len(rows), -1.0)]) @ wide.T
+        if mixed:
+            near[own.comps[rows][:, None] == other.comps[None]] = -np.inf
+        limit = np.minimum(lists.limits[rows], most) * ROOM
+        least = (here_sq - limit**2) / 2 - room
+        hit = near >= least[:, None]
+        if near.shape[1] > NEAREST + 1 and np.count_nonzero(hit) > 8 * NEAREST * len(rows):
+            kth = near.shape[1] - NEAREST - 1  # a point meets itself
+            least = np.maximum(least, np.partition(near, kth, axis=1)[:, kth] - 2 * room)
+            hit = near >= least[:, None]
+        if mixed:
+            hit &= near > -np.inf
+        i, j = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        for k in range(0, len(i), SLICE):
+            row, at = i[k : k + SLICE], j[k : k + SLICE]
+            w = np.sqrt(((own.points[rows[row]] - other.points[at]) ** 2).sum(1))
+            keep = (own.comps[rows[row]] != other.comps[at]) & (w <= limit[row])
+            lists.offer(rows[row[keep]], other.ids[at[keep]], w[keep])
+
+
+def _search(blocks: DataFrame, tiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """``p, q, w, last``: the lightest edges to other components of each point with a limit of 0 or more, none above it.
+
+    ``blocks`` has ``x, ids, comps, limits, vectors`` (a row per block), ``tiles`` the blocks ``x, y`` that meet and ``most``. Blocks
+    meet in groups, a task each pair of groups. ``last`` marks the end of a list of ``NEAREST``: what
+    is not in it is heavier.
+    """
+    placed = blocks.join(groups, "x")
+    dealt = tiles.join(groups.withColumnRenamed("grp", "g"), "x").join(groups.select(F.col("x").alias("y"), F.col("grp").alias("h")), "y")
+    dealt = materialize(dealt.groupBy("g", "h").agg(F.collect_list(F.struct("x", "y", "most")).alias("t")), "tiles")
+    names = ["x", "ids", "comps", "limits", "vectors"]
+    empty = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in names]
+    lists = [F.lit(None).cast(k).alias(c) for c, k in (("xs", "array<long>"), ("ys", "array<long>"), ("mosts", "array<double>"))]
+    sides = [dealt.select("g", "h").join(placed.withColumnRenamed("grp", end), end).select("g", "h", F.lit(n).alias("side"), *names, *lists) for n, end in enumerate("gh")]
+    given = dealt.select("g", "h", F.lit(2).alias("side"), *empty, F.col("t.x").alias("xs"), F.col("t.y").alias("ys"), F.col("t.most").alias("mosts"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        side = [{r.x: _Block(r.ids, r.comps, r.limits, r.vectors) for r in rows[rows["side"] == n].itertuples()} for n in (0, 1)]
+        tile = rows[rows["side"] == 2].iloc[0]
+        xs, ys, mosts = np.asarray(tile["xs"]), np.asarray(tile["ys"]), np.asarray(tile["mosts"])
+        found = []
+        for x, own in side[0].items():
+            at = np.flatnonzero(xs == x)
+            if not len(at) or not (own.limits >= 0).any():
+                continue
+            apart = [((side[1][y].center - own.center) ** 2).sum() for y in ys[at]]
+            lists = _Lists(own.limits)
+            for k in at[np.argsort(apart)]:
+                _meet(own, lists, side[1][ys[k]], mosts[k])
+            row, q, w, _ = lists.settled()
+            found.append((x, own.ids[row].tobytes(), q.tobytes(), w.tobytes()))
+        return pd.DataFrame(found, columns=["x", "p", "q", "w"], dtype=object)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        p, q, w = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("p", np.int64), ("q", np.int64), ("w", np.float64)))
+        ids, row = np.unique(p, return_inverse=True)
+        lists = _Lists(np.full(len(ids), np.inf))
+        lists.parts = [(row, q, w)]
+        row, q, w, last = lists.settled()
+        return pd.DataFrame({"p": ids[row], "q": q, "w": w, "last": last})
+
+    every = sides[0].unionByName(sides[1]).unionByName(given)
+    parts = every.groupBy("g", "h").applyInPandas(meet, "x long, p binary, q binary, w binary")
+    return parts.groupBy("x").applyInPandas(merge, "p long, q long, w double, last boolean")
+
+
+def _sweep(rows: pd.DataFrame) -> pd.DataFrame:
+    """Takes edges in rising order, where either end's component has no unseen edge that is lighter: ``lo, hi, w`` and ``comp, root``.
+
+    An edge that is passed over stays in doubt, as the least bound of a component never rises here.
     """
-    spark = points.sparkSession
-    placed = materialize(balls(points, block_points), "placed")
-    id_type = points.schema["id"].dataType.simpleString()
-    schema = f"block long, lo {id_type}, hi {id_type}, w double, center array<double>, radius double, middle array<double>"
+    forest, low, kept = _Forest(), {}, []
+    for end in "ab":
+        low |= {c: (w, lo, hi) for c, w, lo, hi in zip(*(rows[c] for c in (end, f"{end}_w", f"{end}_lo", f"{end}_hi")), strict=True)}
+    for a, b, w, lo, hi in sorted(zip(*(rows[c] for c in ("a", "b", "w", "lo", "hi")), strict=True), key=lambda e: e[2:]):
+        a, b = forest.find(a), forest.find(b)
+        if a != b and (w, lo, hi) <= max(low[a], low[b]):
+            least = min(low[a], low[b])
+            low[forest.join(a, b)] = least
+            kept.append((lo, hi, w, None, None))
+    kept += [(None, None, None, c, r) for c in low if (r := forest.find(c)) != c]
+    return pd.DataFrame(kept, columns=["lo", "hi", "w", "comp", "root"], dtype=object)
+
+
+def _lightest(edges: DataFrame) -> DataFrame:
+    """``comp, edge, other``: the lightest known edge of each component and where it leads."""
+    edge = F.struct("w", "lo", "hi").alias("edge")
+    ends = edges.select(F.col("a").alias("comp"), edge, F.col("b").alias("other")).unionAll(edges.select("b", edge, "a"))
+    return ends.groupBy("comp").agg(F.min(F.struct("edge", "other")).alias("m")).select("comp", "m.edge", "m.other")
+
+
+def _joined(chosen: DataFrame) -> DataFrame:
+    """``comp, root`` for components that each follow their lightest edge to another; only two can choose the same edge."""
+    back = chosen.select(F.col("comp").alias("other"), F.col("other").alias("back"))
+    ways = chosen.select("comp", "other").join(back, "other", "left").where("back IS NULL OR back <> comp OR comp > other").select("comp", F.col("other").alias("root"))
+    while True:
+        for _ in range(3):
+            further = ways.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+            ways = ways.join(further, "root", "left").select("comp", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        ways = materialize(ways, "ways")
+        if ways.where("moved").isEmpty():
+            return ways.select("comp", "root")
 
-    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+
+def _renamed(rows: DataFrame, end: str, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.withColumnRenamed("comp", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+
+
+def _forest_of(nodes: DataFrame, edges: DataFrame, level_edges: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Takes every edge that is known to be a tree edge: nodes and edges with the components so far, and what was taken.
+
+    ``nodes`` has ``id, x, comp, low``; an edge of that point that is not known comes after ``low``
+    (null: there is none). ``edges`` has ``a, b`` (components), ``w, lo, hi``. The lightest known edge of a
+    component is one of the tree when no point of the component can have a lighter one.
+    """
+    taken = []
+    while True:
+        pair = edges.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).where("a <> b")
+        edges = materialize(pair.groupBy("a", "b").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("a", "b", "e.*"), "between")
+        lows = nodes.groupBy("comp").agg(F.min("low").alias("low"))
+        few = edges.limit(level_edges + 1).count() <= level_edges
+        if few:
+            given, none = edges, {"w": float("inf"), "lo": 0, "hi": 0}
+            for end in "ab":
+                given = given.join(lows.select(F.col("comp").alias(end), *[F.coalesce(f"low.{c}", F.lit(v)).alias(f"{end}_{c}") for c, v in none.items()]), end)
+            found = materialize(given.groupBy().applyInPandas(_sweep, "lo long, hi long, w double, comp long, root long"), "swept")
+            taken.append(found.where("lo IS NOT NULL").select("lo", "hi", "w"))
+            roots = found.where("comp IS NOT NULL").select("comp", "root")
+        else:
+            chosen = materialize(_lightest(edges).join(lows, "comp").where("low IS NULL OR edge <= low"), "chosen")
+            if chosen.isEmpty():
+                return nodes, edges, taken
+            taken.append(chosen.select("edge.lo", "edge.hi", "edge.w").distinct())
+            roots = _joined(chosen)
+        nodes = materialize(_renamed(nodes, "comp", roots), "nodes")
+        edges = _renamed(_renamed(edges, "a", roots), "b", roots).where("a <> b")
+        if few:
+            return nodes, materialize(edges, "between"), taken
+
+
+def block_edges(points: DataFrame, block_points: int | None = None, level_edges: int = LEVEL_EDGES) -> tuple[DataFrame, DataFrame]:
+    """The minimum spanning tree ``lo, hi, w`` of all points (of equal lengths the smaller ids), and the block pairs looked at.
+
+    Equal points hang on the smallest of them. Of the others each has its nearest ones searched, and components
+    grow along edges that are certain. Where all that is left is in doubt, the points that cause it,
+    but for those of the largest component, search beyond their component.
+    """
+    spark, id_type = points.sparkSession, points.schema["id"].dataType
+    numbered = None
+    if id_type.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        numbered = materialize(number_rows(points.select("id"), ["id"], "n"), "numbered")
+        points = points.join(numbered, "id").select(F.col("n").alias("id"), "vector")
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    single = materialize(points.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "single")
+    copied = single.where("n > 1").select("vector", F.col("id").alias("lo"))
+    tree = [points.join(copied, "vector").where("id <> lo").select("lo", F.col("id").alias("hi"), F.lit(0.0).alias("w"))] if not copied.isEmpty() else []
+    placed = balls(single.select("id", "vector"), block_points)
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", ignore_index=True)
-        ids, matrix = rows["id"].to_list(), np.stack(rows["vector"].to_list()).astype(np.float64)
-        found = [(key[0], ids[min(a, b)], ids[max(a, b)], w, None, None, None) for a, b, w in _tree(matrix)]
+        matrix = np.stack(rows["vector"].to_list()).astype(np.float64)
         center = matrix.mean(0)
         away = np.sqrt(((matrix - center) ** 2).sum(1))
-        middle = int(away.argmin())
-        longest = max((f[3] for f in found), default=0.0)
-        found.append((key[0], ids[middle], None, longest, center, away.max(), matrix[middle]))
-        return pd.DataFrame(found, columns=["block", "lo", "hi", "w", "center", "radius", "middle"], dtype=object)
-
-    trees = materialize(placed.groupBy("block").applyInPandas(grow, schema), "trees")
-    facts = trees.where("hi IS NULL").select("block", F.col("lo").alias("id"), F.col("w").alias("longest"), "center", "radius", "middle").orderBy("block").toPandas()
-    own = trees.where("hi IS NOT NULL").select("lo", "hi", "w")
-    if len(facts) < 2:
-        return own, spark.createDataFrame([], "x long, y long, most double")
-    # One row per block from here on the driver: their middles' tree.
-    middles = _tree(np.stack(facts["middle"].to_list()))
-    ids = facts["id"].to_list()
-    between = spark.createDataFrame([(min(ids[a], ids[b]), max(ids[a], ids[b]), w) for a, b, w in middles], own.schema)
-    pairs = materialize(block_pairs(facts, middles, spark), "pairs")
-    numbers = spark.createDataFrame([(int(b), i) for i, b in enumerate(facts["block"])], "block long, x long")
-    packed = placed.groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("members")).join(numbers, "block").select(F.col("x").alias("own"), "members")
-    meets = pairs.select("x", "y", "most", F.explode(F.array("x", "y")).alias("own")).join(packed, "own")
-    sent = spark.sparkContext.broadcast((np.stack(facts["center"].to_list()), facts["radius"].to_numpy()))
-
-    def cross(rows: pd.DataFrame) -> pd.DataFrame:
-        centers, radius = sent.value
-        most, sides = rows["most"].iloc[0], []
-        for own, members in zip(rows["own"], rows["members"], strict=True):
-            other = rows["y"].iloc[0] if own == rows["x"].iloc[0] else rows["x"].iloc[0]
-            matrix = np.array([m["vector"] for m in members], dtype=np.float64)
-            near = np.flatnonzero(np.sqrt(((matrix - centers[other]) ** 2).sum(1)) - radius[other] * ROOM <= most)
-            sides += [(members[i]["id"], own, matrix[i]) for i in near]
-        if len({s for _, s, _ in sides}) < 2:
-            return pd.DataFrame([], columns=["lo", "hi", "w"], dtype=object)
-        sides.sort(key=lambda m: m[0])
-        edges = _tree(np.stack([v for _, _, v in sides]))
-        found = [(min(sides[a][0], sides[b][0]), max(sides[a][0], sides[b][0]), w) for a, b, w in edges if sides[a][1] != sides[b][1] and w <= most]
-        return pd.DataFrame(found, columns=["lo", "hi", "w"], dtype=object)
-
-    crossing = meets.groupBy("x", "y").applyInPandas(cross, own.schema)
-    every = own.unionByName(between).unionByName(crossing)
-    # The same edge can be found by several pairs, with the same length.
-    return every.groupBy("lo", "hi").agg(F.min("w").alias("w")), pairs
+        limits, room = np.full(len(rows), np.inf), 1e-12 * (away.max() ** 2)
+        if len(rows) > NEAREST:
+            for s in range(0, len(rows), STRIP):
+                nearest = np.partition(_distances(matrix[s : s + STRIP] - center, matrix - center), NEAREST, axis=1)[:, NEAREST]
+                limits[s : s + STRIP] = np.sqrt(nearest**2 + 4 * room) * ROOM
+        found = (key[0], rows["id"].to_list(), limits, matrix.tobytes(), _longest(matrix - center), center, away.max(), matrix[away.argmin()])
+        return pd.DataFrame([found], columns=["block", "ids", "limits", "vectors", "longest", "center", "radius", "middle"], dtype=object)
+
+    packed = materialize(
+        placed.groupBy("block").applyInPandas(pack, "block long, ids array<long>, limits array<double>, vectors binary, longest double, center array<double>, radius double, middle array<double>"),
+        "packed",
+    )
+    facts = packed.select("block", F.size("ids").alias("n"), "longest", "center", "radius", "middle").orderBy("block").toPandas()
+    pairs = spark.createDataFrame([], "x long, y long, most double")
+    if len(facts) > 1:
+        # One row per block from here on the driver: their middles' tree.
+        pairs = materialize(block_pairs(facts, _tree(np.stack(facts["middle"].to_list())), spark), "pairs")
+    if len(facts):
+        before = facts["n"].cumsum() - facts["n"]
+        size = min(GROUP, max(1, int(facts["n"].sum()) // 8))
+        numbers = spark.createDataFrame([(int(b), i, int(k) // size) for i, (b, k) in enumerate(zip(facts["block"], before, strict=True))], "block long, x long, grp long")
+        groups = numbers.select("x", "grp")
+        blocks = packed.join(numbers, "block").select("x", "ids", F.col("ids").alias("comps"), "limits", "vectors")
+        alone = numbers.select("x", F.col("x").alias("y"), F.lit(float("inf")).alias("most"))
+        tiles = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "most")).unionByName(alone)
+        tree += _grown(blocks, tiles, groups, level_edges)
+    every = reduce(DataFrame.unionByName, tree, spark.createDataFrame([], "lo long, hi long, w double"))
+    if numbered is not None:
+        for end in ("lo", "hi"):
+            every = every.join(numbered.select(F.col("n").alias(end), "id"), end).drop(end).withColumnRenamed("id", end)
+    return every.select(F.col("lo").cast(id_type).alias("lo"), F.col("hi").cast(id_type).alias("hi"), "w"), pairs
+
+
+def _grown(blocks: DataFrame, tiles: DataFrame, groups: DataFrame, level_edges: int) -> list[DataFrame]:
+    """The tree of the points of ``blocks``, in parts."""
+    found = materialize(_search(blocks, tiles, groups), "nearest")
+    edge = F.struct("w", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    last = found.where("last").select(F.col("p").alias("id"), edge.alias("low"))
+    nodes = materialize(blocks.select("x", F.explode("ids").alias("id")).join(last, "id", "left").select("id", "x", F.col("id").alias("comp"), "low"), "nodes")
+    edges = found.select(F.col("p").alias("a"), F.col("q").alias("b"), edge.alias("e")).select("a", "b", "e.*")
+    tree = []
+    while True:
+        nodes, edges, taken = _forest_of(nodes, edges, level_edges)
+        tree += taken
+        sizes = nodes.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()
+        if len(sizes) < 2:
+            return tree
+        best = _lightest(edges).select("comp", "edge")
+        doubt = (F.col("comp") != sizes[0]["comp"]) & F.col("low").isNotNull() & (F.col("edge").isNull() | (F.col("low") < F.col("edge")))
+        marked = nodes.join(best, "comp", "left").withColumn("limit", F.when(doubt, F.coalesce("edge.w", F.lit(float("inf")))).otherwise(-1.0))
+        marked = materialize(marked.select("id", "x", "comp", "low", "limit"), "marked")
+        each = marked.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("id", "comp", "limit"))).alias("m"), F.max("limit").alias("most"))
+        asking = each.where("most >= 0").select("x")
+        found = materialize(_search(blocks.drop("comps", "limits").join(each.select("x", F.col("m.comp").alias("comps"), F.col("m.limit").alias("limits")), "x"), tiles.join(asking, "x"), groups), "nearest")
+        last = found.where("last").select(F.col("p").alias("id"), edge.alias("end"))
+        # A list that is not full has all there is up to the limit.
+        beyond = F.when(F.col("limit") < float("inf"), F.struct(F.col("limit").alias("w"), F.lit(sys.maxsize).alias("lo"), F.lit(sys.maxsize).alias("hi")))
+        low = F.when(F.col("limit") < 0, F.col("low")).otherwise(F.coalesce("end", beyond))
+        nodes = materialize(marked.join(last, "id", "left").select("id", "x", "comp", low.alias("low")), "nodes")
+        comps = nodes.select("id", "comp")
+        new = found.select("p", "q", edge.alias("e")).join(comps.toDF("p", "a"), "p").join(comps.toDF("q", "b"), "q").select("a", "b", "e.*")
+        edges = edges.unionByName(new)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -288,20 +535,7 @@ class _Forest:
 
 def spanning_tree(points: DataFrame, block_points: int | None = None, level_edges: int = LEVEL_EDGES) -> DataFrame:
     """Minimum spanning tree of ``id, vector`` points as ``lo, hi, w``, n - 1 edges."""
-    edges, _ = block_edges(points.select("id", "vector"), block_points)
-    edges = materialize(edges, "candidates")
-
-    def shortest(rows: pd.DataFrame) -> pd.DataFrame:
-        forest, keep = _Forest(), []
-        rows = rows.sort_values("rank", ignore_index=True)
-        for n, (u, v) in enumerate(zip(rows["u"], rows["v"], strict=True)):
-            a, b = forest.find(u), forest.find(v)
-            if a != b:
-                forest.join(a, b)
-                keep.append(n)
-        return rows.loc[keep, ["lo", "hi", "w"]]
-
-    return levels(edges, level_edges).groupBy("level", "grp").applyInPandas(shortest, edges.schema)
+    return block_edges(points.select("id", "vector"), block_points, level_edges)[0]
 
 
 def _grow(edges: pd.DataFrame, min_size: int) -> list[tuple]:
@@ -484,8 +718,7 @@ def density(
     edges. Levels do not wait for one another: what a task cannot know of earlier levels it names, and
     joins put it in place afterwards.
     """
-    edges, _ = block_edges(points.select("id", "vector"), block_points)
-    edges = materialize(edges, "candidates")
+    edges = materialize(spanning_tree(points, block_points, level_edges), "tree")
     if edges.isEmpty():
         return points.select("id", F.lit(-1).alias("label"))
     id_type, least = points.schema["id"].dataType.simpleString(), max(2, min_cluster_size)

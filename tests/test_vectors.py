@@ -191,6 +191,24 @@ def test_looked_at_block_pairs_grow_with_the_points(spark):
     assert seen[8_000][0] <= 1.5 * seen[2_000][0] and seen[8_000][1] <= 1.3 * seen[2_000][1] and seen[8_000][1] < 3
 
 
+@pytest.mark.parametrize("level_edges", [15, 200_000])
+def test_a_cloud_of_many_dimensions_gives_its_tree_and_no_other_edges(spark, level_edges):
+    """Points that no bound parts, equal lengths, copies and groups that lie apart: the edges that rise by length, then ids, and n - 1 of them."""
+    rng = np.random.default_rng(13)
+    grid = np.pad(np.stack(np.meshgrid(range(5), range(5)), -1).reshape(-1, 2), ((0, 0), (0, 14)))
+    matrix = np.concatenate([rng.normal(size=(150, 16)), grid + 30, np.ones((25, 16)), rng.normal(size=(30, 16)) * 0.01 - 20])
+    matrix = matrix[rng.permutation(len(matrix))].astype(np.float32)
+    found, _ = cluster.block_edges(frame(spark, matrix), 40, level_edges)
+    x, up, want = matrix.astype(float), list(range(len(matrix))), set()
+    for _, a, b in sorted((np.sqrt(((x[a : a + 1] - x[b]) ** 2).sum(1))[0], a, b) for b in range(len(x)) for a in range(b)):
+        if up[a] != up[b]:
+            old = up[b]
+            up = [up[a] if c == old else c for c in up]
+            want.add((a, b))
+    rows = found.collect()
+    assert len(rows) == len(matrix) - 1 and {(r["lo"], r["hi"]) for r in rows} == want
+
+
 def test_copies_form_one_cluster(spark):
     # A third of the points are copies of one.
     rng = np.random.default_rng(5)
