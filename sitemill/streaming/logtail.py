@@ -3,7 +3,8 @@
 ``spark.readStream.format("logtail")`` gives the lines appended since the last batch. A file that is
 seen for the first time, or that is shorter than where its last batch ended (rotated, truncated),
 gives its last lines only. Files are listed and read through ``pyarrow.fs``, so a path may be
-local, ``hdfs://``, ``s3://`` or ``gs://``; a log of any length is read range by range, a task each.
+local, ``hdfs://``, ``s3://`` or ``gs://``; a log of any length is read range by range, a task each, and
+short ones share a task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import fnmatch
 import json
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,28 +27,36 @@ from sitemill.constants import TAIL_LINES
 from sitemill.functions.text import is_log_error, log_bundle, short, strip
 
 SCHEMA = "path string, at long, value string"
-#: Bytes of one range, and of one read.
-RANGE_BYTES, READ_BYTES = 32 << 20, 1 << 20
+#: Bytes of one range, of one read, and what opening a file counts for beside the bytes of a task.
+RANGE_BYTES, READ_BYTES, OPEN_BYTES = 32 << 20, 1 << 20, 1 << 19
+#: Files whose ends are looked at together.
+LOOKS = 16
 #: Lines of one Arrow batch.
 BATCH_LINES = 8192
 
 
-class Range(InputPartition):
+class Range:
     """Bytes ``start`` to ``end`` of a file. A line belongs to the range that holds its first byte; ``first`` starts at a line."""
 
     def __init__(self, path: str, start: int, end: int, first: bool):
-        super().__init__(0)
         self.path, self.start, self.end, self.first = path, start, end, first
 
 
-class Last(InputPartition):
+class Last:
     """The last ``lines`` lines before ``end``."""
 
     def __init__(self, path: str, end: int, lines: int):
-        super().__init__(0)
         self.path, self.end, self.lines = path, end, lines
 
 
+class Share(InputPartition):
+    """Pieces of files that a task reads one after the other."""
+
+    def __init__(self, pieces: list[Range | Last]):
+        super().__init__(0)
+        self.pieces = pieces
+
+
 class Files:
     """The log files below a path."""
 
@@ -78,38 +88,51 @@ class Files:
 
     def latest(self) -> dict[str, int]:
         system, root = self.system()
-        found = {}
+        found, changed = {}, {}
         for info in system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             if info.type == fs.FileType.File and fnmatch.fnmatch(info.base_name, self.pattern):
                 known = self.ends.get(info.path)
-                if not known or known[0] != info.size:
-                    known = self.ends[info.path] = (info.size, self.last_line_end(system, info.path, info.size))
-                if known[1]:
+                if known and known[0] == info.size:
                     found[info.path] = known[1]
-        return dict(sorted(found.items()))
+                else:
+                    changed[info.path] = info.size
+        if changed:
+            with ThreadPoolExecutor(LOOKS) as pool:
+                for (path, size), end in zip(changed.items(), pool.map(lambda c: self.last_line_end(system, *c), changed.items()), strict=True):
+                    self.ends[path], found[path] = (size, end), end
+        return {path: end for path, end in sorted(found.items()) if end}
 
     def between(self, start: dict[str, int], end: dict[str, int]) -> list[InputPartition]:
-        parts: list[InputPartition] = []
+        """What each task reads: pieces of at most ``rangeBytes``, as many as fit when each file counts for some bytes more."""
+        shares: list[Share] = []
+        room = 0
         for path, size in end.items():
             before = start.get(path)
             if before is None or before > size:
-                parts.append(Last(path, size, self.lines))
+                pieces = [(Last(path, size, self.lines), min(size, READ_BYTES))]
             else:
-                parts += [Range(path, a, min(size, a + self.range_bytes), a == before) for a in range(before, size, self.range_bytes)]
-        return parts
-
-    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+                pieces = [(Range(path, a, b, a == before), b - a) for a in range(before, size, self.range_bytes) for b in (min(size, a + self.range_bytes),)]
+            for piece, length in pieces:
+                if not shares or length + OPEN_BYTES > room:
+                    shares.append(Share([]))
+                    room = self.range_bytes
+                shares[-1].pieces.append(piece)
+                room -= length + OPEN_BYTES
+        return shares
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         system, _ = self.system()
-        with system.open_input_file(part.path) as f:
-            found = last_lines(f, part.end, part.lines) if isinstance(part, Last) else lines_of(f, part.start, part.end, part.first)
-            ready: list[tuple[int, bytes]] = []
-            for line in found:
-                ready.append(line)
-                if len(ready) == BATCH_LINES:
-                    yield batch_of(part.path, ready)
-                    ready = []
-            if ready:
-                yield batch_of(part.path, ready)
+        ready: list[tuple[str, int, bytes]] = []
+        for piece in share.pieces:
+            with system.open_input_file(piece.path) as f:
+                found = last_lines(f, piece.end, piece.lines) if isinstance(piece, Last) else lines_of(f, piece.start, piece.end, piece.first)
+                for at, line in found:
+                    ready.append((piece.path, at, line))
+                    if len(ready) == BATCH_LINES:
+                        yield batch_of(ready)
+                        ready = []
+        if ready:
+            yield batch_of(ready)
 
 
 def lines_of(f: pa.NativeFile, start: int, end: int, first: bool) -> Iterator[tuple[int, bytes]]:
@@ -148,10 +171,10 @@ def last_lines(f: pa.NativeFile, end: int, lines: int) -> Iterator[tuple[int, by
         at += len(line) + 1
 
 
-def batch_of(path: str, lines: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    at, values = zip(*lines, strict=True)
+def batch_of(lines: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
+    paths, at, values = zip(*lines, strict=True)
     texts = [v.removesuffix(b"\r").decode("utf-8", errors="ignore") for v in values]
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(at)), pa.array(at, pa.int64()), pa.array(texts, pa.string())], ["path", "at", "value"])
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(at, pa.int64()), pa.array(texts, pa.string())], ["path", "at", "value"])
 
 
 class TailStream(DataSourceStreamReader):

@@ -85,3 +85,22 @@ def test_ranges_put_together_give_every_line_once(tmp_path):
             k = rng.randrange(len(lines))
             assert rows({str(path): starts[k]}) == list(zip(starts, want))[k:]
             assert files.between({str(path): starts[k]}, end) and not files.between(end, end)
+
+
+def test_short_files_share_tasks_and_long_ones_are_parted(tmp_path):
+    for n in range(200):
+        (tmp_path / f"{n:03}.log").write_text(f"a {n}\nb {n}\n")
+    (tmp_path / "long.log").write_text("x" * 99 + "\n" + "y" * 2_000_000 + "\nz\n")
+    files = Files({"path": str(tmp_path), "rangeBytes": str(1 << 20)})
+    end = files.latest()
+    assert len(end) == 201
+    size = end[str(tmp_path / "long.log")]
+    wide = Files({"path": str(tmp_path), "rangeBytes": str(32 << 20)})
+    for since in ({}, dict.fromkeys(end, 0)):
+        shares = wide.between(since, end)
+        assert len(shares) <= 5
+        values = [v for p in shares for b in wide.read(p) for v in b["value"].to_pylist()]
+        assert values[:4] == ["a 0", "b 0", "a 1", "b 1"] and len(values) == 403
+    shares = files.between(dict.fromkeys(end, 0), end)
+    assert sum(any(p.path.endswith("long.log") for p in s.pieces) for s in shares) >= size >> 20
+    assert sum(b.num_rows for p in shares for b in files.read(p)) == 403
