@@ -23,28 +23,32 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 MORE_WHITE = re.compile("[\x1c-\x1f]").search
 MARKS = frozenset(",.;:!?")
-#: Chunks and pieces that are remembered, in each of two generations. Pieces come back more often and cost more to work out.
-CHUNKS, PIECES = 250_000, 350_000
+#: Chunks and pieces that are remembered. Pieces come back more often and cost more to work out.
+CHUNKS, PIECES = 500_000, 700_000
+#: A full memory starts anew after it lacked so many times what it holds.
+AGAIN = 8
 
 
 class Remembered(dict):
-    """A mapping that works out what it does not hold. A full one becomes the old one, which is asked before working anything out again."""
+    """A mapping that works out what it does not hold. A full one takes in no more, until what it lacks shows that it holds the wrong things."""
 
     def __init__(self, work_out: Callable[[str], bytes], most: int):
         super().__init__()
-        self.work_out, self.most, self.old = work_out, most, {}
+        self.work_out, self.most, self.lacked, self.full, self.old = work_out, most, 0, False, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.work_out(key)
-        self[key] = found
+        found = self.work_out(key)
+        if self.full:
+            self.lacked += 1
+        else:
+            self[key] = found
         return found
 
     def trim(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+        if self.lacked > AGAIN * self.most:
             self.clear()
+            self.lacked = 0
+        self.full = len(self) >= self.most
 
 
 def latin(text: str) -> bool:

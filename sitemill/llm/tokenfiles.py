@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitemill.llm.bpe import id_lists, rows_of
-from sitemill.llm.chunks import library
+from sitemill.llm.chunks import ByteLevel, library
 from sitemill.llm.common import travel
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
@@ -30,6 +30,9 @@ LAYOUT = {
     "compression": "zstd",
 }
 
+#: The encoder of byte-level vocabularies, from the text of the vocabulary file.
+library_encoder = ByteLevel
+
 
 def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> None:
     """Writes the documents' ids in ascending ``doc_id``, each with ``end_id`` appended.

@@ -35,3 +35,17 @@ def test_what_is_remembered_is_bounded():
     for i in range(100):
         seen.trim()
         assert seen[str(i)] == str(i).encode() and len(seen) <= 11 and len(seen.old) <= 11
+
+
+def test_what_is_remembered_first_stays_until_too_much_is_lacking():
+    asked = []
+    seen = chunks.Remembered(lambda key: asked.append(key) or key.encode(), 10)
+    common = "abcdefghij"
+    for i in range(10 * chunks.AGAIN):
+        seen.trim()
+        assert [seen[c] for c in common] == [c.encode() for c in common] and seen[str(i)] == str(i).encode()
+    assert all(asked.count(c) == 1 for c in common)
+    for i in range(20):
+        seen.trim()
+        assert seen["new"] == b"new"
+    assert asked.count("new") < 20 and len(seen) <= 11
