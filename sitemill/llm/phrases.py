@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +30,15 @@ from sitemill.session import materialize, remove, scratch_path
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
 #: Words of one block, and bytes of text that are cut into words together.
-BLOCK_WORDS, CUT_BYTES = 1 << 20, 1 << 21
+BLOCK_WORDS, CUT_BYTES = 1 << 19, 1 << 21
 #: Bytes of one Arrow batch of blocks.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
+#: Blocks of a Parquet row group, however well they compress; each is a page of its own.
+GROUP_BLOCKS = 4
 #: A tile has 2**9 ids a side; it is dense from an eighth of its cells on. Routes deal out squares of 2**5 ids a side.
 TILE, SQUARE, DENSE_SHARE = 9, 5, 8
 #: Blocks whose counts are merged at a time, and most routes of a level.
-FAN_IN, ROUTES = 256, 1024
+FAN_IN, ROUTES = 512, 1024
 #: Dictionaries up to so many entries are sent to every task (about 50 MB); larger ones are joined.
 SENT_WORDS, SENT_PAIRS = 400_000, 3_000_000
 #: Candidates of a language are ranked in so many parts first.
@@ -145,6 +148,13 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, ids[at].astype(np.int64), ids[at + 1].astype(np.int64)
 
 
+def short(ids: np.ndarray) -> np.ndarray:
+    """Ids of which only one of consecutive -1 stays, which parts neighbours as well as many."""
+    stays = np.ones(len(ids), bool)
+    stays[1:] = (ids[1:] >= 0) | (ids[:-1] >= 0)
+    return ids[stays]
+
+
 def routed(keys: np.ndarray, counts: np.ndarray, routes: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Pairs and counts by route: neighbouring pairs share one, a well-filled tile is spread over many."""
     square = (keys >> (32 + SQUARE)) * 1_000_003 + ((keys & 0xFFFFFFFF) >> SQUARE)
@@ -201,14 +211,15 @@ def pair_counts(ids: DataFrame, blocks: int, least: int) -> DataFrame:
 
     found = ids.select("lang", "block", "ids").mapInArrow(partial(routes, groups), PARTIAL)
     while groups > 1:
-        routes, groups = routes * 64, -(-groups // FAN_IN)
+        routes, groups = routes * min(64, groups), -(-groups // FAN_IN)
         found = found.groupBy("lang", "route", "grp").applyInArrow(step(routes, groups), PARTIAL)
     return found.groupBy("lang", "route").applyInArrow(last, "lang string, lft long, rgt long, f long")
 
 
 def ranked(frequent: DataFrame, ties: list[str]) -> DataFrame:
     """``id``: rank by language, then by falling frequency."""
-    rows = number_rows(frequent.withColumn("minus", -F.col("f")), ["lang", "minus", *ties], "id", F.lit(-1)).drop("minus")
+    frequent = materialize(frequent.withColumn("minus", -F.col("f")), "phrase-counts")  # ranges are looked for and filled: two passes
+    rows = number_rows(frequent, ["lang", "minus", *ties], "id", F.lit(-1)).drop("minus")
     return materialize(rows, "phrase-ranks")
 
 
@@ -224,9 +235,11 @@ def word_ids(found: DataFrame, words: DataFrame, most: int) -> DataFrame:
     spark, entries = found.sparkSession, checked(words)
     small = entries <= most
     if small:
-        known: dict[str, dict[str, int]] = {}
-        for r in words.select("lang", "word", "id").toLocalIterator():
-            known.setdefault(r["lang"], {})[r["word"]] = r["id"]
+        rows = words.select("lang", "word", "id").toArrow()
+        known = {}
+        for name in rows["lang"].unique().to_pylist():
+            own = rows.filter(pc.equal(rows["lang"], name))
+            known[name] = (own["word"].combine_chunks(), own["id"].to_numpy().astype(np.int32))
         sent = spark.sparkContext.broadcast(known)
         rows = found.select("block", "lang", "codes", "words")
     else:
@@ -237,15 +250,20 @@ def word_ids(found: DataFrame, words: DataFrame, most: int) -> DataFrame:
     def translate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block, lang, codes, words_or_n = (batch.column(c)[row].as_py() for c in range(4))
+                block, lang, codes = (batch.column(c)[row].as_py() for c in range(3))
                 if small:
-                    of = sent.value.get(lang, {})
-                    table = np.array([-1, *[of.get(w, -1) for w in words_or_n]], np.int32)
+                    own = batch.column(3)[row].values
+                    table = np.full(len(own) + 1, -1, np.int32)
+                    if lang in sent.value:
+                        words, ids = sent.value[lang]
+                        at = pc.fill_null(pc.index_in(own, value_set=words.cast(own.type)), -1).to_numpy()
+                        table[1:] = np.where(at >= 0, ids[at], -1)
                 else:
-                    table = np.full(words_or_n + 1, -1, np.int32)
-                    for x in batch.column(4)[row].as_py() or []:
-                        table[x["pos"] + 1] = x["id"]
-                yield pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "ids": [table[np.frombuffer(codes, np.int32)].tobytes()]})
+                    table = np.full(batch.column(3)[row].as_py() + 1, -1, np.int32)
+                    if batch.column(4)[row].is_valid:
+                        pos, ids = batch.column(4)[row].values.flatten()
+                        table[pos.to_numpy() + 1] = ids.to_numpy()
+                yield pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "ids": [short(table[np.frombuffer(codes, np.int32)]).tobytes()]})
 
     return rows.mapInArrow(translate, "block long, lang string, ids binary")
 
@@ -283,16 +301,17 @@ def phrase_ids(ids: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
                 if small:
                     keys, ranks = sent.value
                 else:
-                    known = batch.column(3)[row].as_py() or []
-                    keys = np.array([x["lft"] << 32 | x["rgt"] for x in known], np.int64)
-                    ranks = np.array([x["id"] for x in known], np.int32)
-                    order = np.argsort(keys)
-                    keys, ranks = keys[order], ranks[order]
+                    keys = ranks = np.empty(0, np.int64)
+                    if batch.column(3)[row].is_valid:
+                        lft, rgt, ranks = (x.to_numpy() for x in batch.column(3)[row].values.flatten())
+                        keys = lft << 32 | rgt
+                        order = np.argsort(keys)
+                        keys, ranks = keys[order], ranks[order]
                 if len(keys):
                     wanted = left << 32 | right
                     where = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     after[at] = np.where(keys[where] == wanted, ranks[where], -1)
-                yield pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "ids": [after.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "lang": [lang], "ids": [short(after).tobytes()]})
 
     return rows.mapInArrow(translate, "block long, lang string, ids binary")
 
@@ -338,9 +357,14 @@ def frequent_phrases(docs: DataFrame, least: int, words: int, lang: str, text: s
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder, and where, so that it can be removed before the end."""
+    """A table of blocks written to the shared folder, and where, so that it can be removed before the end.
+
+    Parquet sizes pages and row groups by what they hold compressed and looks at it every 100 rows only; readers
+    take a row group's rows at once. Blocks of rare phrases compress to nothing, so their number is bounded.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    sizes = {"parquet.page.row.count.limit": 1, "parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.block.size.row.check.min": 1}
+    df.write.options(compression="zstd", **sizes).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,9 +1,11 @@
 import itertools
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from sitemill.llm import phrases
@@ -82,3 +84,29 @@ def test_tally():
             for a, b, m in zip(left.tolist(), right.tolist(), (counts if c is not None else np.ones(n, int)).tolist()):
                 want[a << 32 | b] += m
             assert dict(zip(keys.tolist(), sums.tolist())) == dict(want) and len(keys) == len(want)
+
+
+def test_blocks_are_read_a_few_at_a_time(spark):
+    """Blocks that compress to nothing still get a page each and small row groups: readers take a group at once."""
+    blocks = spark.range(0, 150, 1, 1).selectExpr("id as block", "'en' as lang", "cast(repeat('a', 100000) as binary) as ids")
+    table, path = phrases.written(blocks, "test-blocks")
+    (part,) = pathlib.Path(path.removeprefix("file://")).glob("*.parquet")
+    file = pq.ParquetFile(part)
+    groups = [file.metadata.row_group(i) for i in range(file.metadata.num_row_groups)]
+    assert table.count() == 150 and max(g.num_rows for g in groups) <= phrases.GROUP_BLOCKS
+
+
+def test_rare_places_go(spark, make):
+    """Rare words and ends of pieces next to each other leave one -1, at every level and however ids are looked up."""
+    texts = ["a b rare1 rare2. rare3 c a b, , ,x a b c"] * 3 + ["so - it goes"]
+    docs = make(None, rows=[(i, t, "en", None, *(["x"] * 31)) for i, t in enumerate(texts)], parts=1)
+    found, _ = phrases.written(phrases.blocks(docs, "lang", "text"), "test-blocks")
+    words = spark.createDataFrame([("en", w, i) for i, w in enumerate("abc")], "lang string, word string, id long")
+    pairs = spark.createDataFrame([("en", 0, 1, 0), ("en", 2, 0, 1)], "lang string, lft long, rgt long, id long")
+    for most in (10, 0):
+        level = phrases.word_ids(found, words, most)
+        assert np.frombuffer(level.first()["ids"], np.int32).tolist() == [0, 1, -1, 2, 0, 1, -1, 0, 1, 2, -1] * 3
+        level = phrases.phrase_ids(level, pairs, most)
+        assert np.frombuffer(level.first()["ids"], np.int32).tolist() == [0, -1, 1, 0, -1, 0, -1] * 3
+    assert phrases.short(np.array([-1, -1, 3, -1, -1, -1, 4, 5, -1])).tolist() == [-1, 3, -1, 4, 5, -1]
+    assert phrases.short(np.array([], np.int32)).tolist() == []
